@@ -31,14 +31,21 @@ def _merge(fn: str, local: Column, offset: Column) -> Column:
 
 
 def slice_hot_groups(
-    df: DataFrame, keys: Sequence[str], slice_on: str, min_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    slice_on: str,
+    min_rows: int = HOT_ROWS,
+    probe: DataFrame | None = None,
 ) -> DataFrame | None:
     """Tag rows with ``_k`` (key hash), ``_gid`` (hot group number) and ``_slice``.
 
     ``_gid`` and ``_slice`` are -1 for ordinary groups. Returns None when no group is hot.
     Rows with equal ``slice_on`` always share a slice. ``_k`` keeps joins on null keys safe.
+    ``probe`` is a cheaper frame with the same keys and order column, from which group sizes
+    and cut points are taken instead of ``df``.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
+    probe = df if probe is None else probe
+    sizes = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
     hot = sizes.orderBy(F.desc("_n")).limit(MAX_HOT_GROUPS)
     rows = hot.collect()
     if not rows:
@@ -52,16 +59,24 @@ def slice_hot_groups(
     match = F.lit(True)
     for key, field in zip(keys, fields):
         match = match & F.col(key).eqNullSafe(F.col(field))
-    tagged = (
-        df.join(F.broadcast(listing), match, "left")  # at most MAX_HOT_GROUPS rows
-        .drop(*fields)
-        .withColumn("_gid", F.coalesce("_gid", F.lit(-1)))
-        .withColumn("_k", F.xxhash64(*keys))
-        .withColumn("_pos", F.col(slice_on).cast("double"))
-    )
+
+    def tag(frame: DataFrame) -> DataFrame:
+        return (
+            frame.join(F.broadcast(listing), match, "left")  # at most MAX_HOT_GROUPS rows
+            .drop(*fields)
+            .withColumns(
+                {
+                    "_gid": F.coalesce("_gid", F.lit(-1)),
+                    "_k": F.xxhash64(*keys),
+                    "_pos": F.col(slice_on).cast("double"),
+                }
+            )
+        )
+
+    tagged = tag(df)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = max(8, min(MAX_SLICES, shuffle))
-    cuts = tagged.filter("_gid >= 0").approxQuantile(
+    cuts = tag(probe).filter("_gid >= 0").approxQuantile(
         "_pos", [i / wanted for i in range(1, wanted)], 1.0 / (4 * wanted)
     )
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
@@ -94,6 +109,7 @@ def running(
     include_current: bool = False,
     strictly_before: bool = False,
     min_rows: int = HOT_ROWS,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per group, aggregates over all rows ordered before the current one.
 
@@ -112,7 +128,7 @@ def running(
         last = 0 if include_current else -1
         return base.orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
 
-    sliced = slice_hot_groups(df, keys, slice_on, min_rows)
+    sliced = slice_hot_groups(df, keys, slice_on, min_rows, probe)
     if sliced is None:
         w = framed(Window.partitionBy(*keys))
         return df.select("*", *[_AGG[fn](c).over(w).alias(n) for n, (fn, c) in aggs.items()])
@@ -145,11 +161,12 @@ def with_neighbours(
     prev_name: str,
     next_name: str,
     min_rows: int = HOT_ROWS,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Add the ``at`` value of the previous and the next row of the same group."""
     keys = list(keys)
     order = [F.col(at), *[F.col(t) for t in ties]]
-    sliced = slice_hot_groups(df, keys, at, min_rows)
+    sliced = slice_hot_groups(df, keys, at, min_rows, probe)
     if sliced is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", F.lag(at).over(w).alias(prev_name), F.lead(at).over(w).alias(next_name))

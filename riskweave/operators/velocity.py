@@ -33,21 +33,25 @@ def trailing(
     arrival: bool = False,
     count_name: str = "n",
     min_rows: int = HOT_ROWS,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Input columns plus, per window w, ``{count_name}_{w}``, ``{sum}_{w}`` and ``{distinct}_{w}``.
 
     With ``arrival=False`` a row sees the events in [t-w, t): rows at the same instant do not
     see each other. With ``arrival=True`` it sees the events before it in (time, id) order that
     are newer than t-w, the lower bound excluded. ``windows`` maps a suffix to seconds.
+    ``probe`` may name a cheaper frame holding the same rows to look for hot entities in.
     """
     sums, distincts = dict(sums or {}), dict(distincts or {})
     columns = df.columns
     spans = {w: seconds_to_micros(s) for w, s in windows.items()}
     work = df.withColumn("_us", micros(ts))
+    source_rows = (df if probe is None else probe).withColumn("_us", micros(ts))
     for i, source in enumerate(distincts.values()):
         # values that are null are not counted as distinct, so they need no neighbours
         work = with_neighbours(
-            work, [key, source], "_us", [ident], f"_p{i}", f"_x{i}", min_rows
+            work, [key, source], "_us", [ident], f"_p{i}", f"_x{i}", min_rows,
+            probe=source_rows.select(key, source, "_us"),
         )
 
     def closes(start: Column, following: Column, span: int) -> Column:
@@ -55,45 +59,39 @@ def trailing(
         gap = following - start
         return F.coalesce(gap < span if arrival else gap <= span, F.lit(False))
 
-    def entry_struct(x: Column, kind: int, payload: Column, window: int) -> Column:
-        parts = [x.alias("_at"), F.lit(kind).alias("_kind"), F.lit(window).alias("_win"), payload.alias("_row")]
-        parts += [F.coalesce(c.cast(_EXACT), F.lit(0).cast(_EXACT)).alias(f"_s{i}") for i, c in enumerate(sums.values())]
-        for i, source in enumerate(distincts.values()):
-            known = F.col(source).isNotNull()
-            per_window = []
-            for j, span in enumerate(spans.values()):
-                if kind == 1:  # a new value enters; an older equal one may stop counting here
-                    delta = F.when(closes(F.col(f"_p{i}"), F.col("_us"), span), 0).otherwise(1)
-                elif j == window:  # leaves now unless an equal value has replaced it before
-                    delta = F.when(closes(F.col("_us"), F.col(f"_x{i}"), span), 0).otherwise(-1)
-                else:
-                    delta = F.lit(0)
-                per_window.append(F.when(known, delta).otherwise(0))
-            parts.append(F.array(*per_window).alias(f"_d{i}"))
-        return F.struct(*parts)
-
-    whole = F.struct(*columns)
-    blank = F.when(F.lit(False), whole)
-    moves = [entry_struct(F.col("_us"), 1, whole, -1)]
-    moves += [entry_struct(F.col("_us") + F.lit(s), 0, blank, j) for j, s in enumerate(spans.values())]
+    # one entry (window number -1) and one exit per window; only the entry carries the row
+    win = F.col("_win")
+    entry = win == -1
+    shift = F.element_at(F.array(F.lit(0), *[F.lit(s) for s in spans.values()]), win + 2)
     points = work.select(
-        F.col(key).alias("_key"), F.col(ident).alias("_id"), F.inline(F.array(*moves))
-    )
+        F.col(key).alias("_key"), F.col(ident).alias("_id"), "_us",
+        *[F.coalesce(c.cast(_EXACT), F.lit(0).cast(_EXACT)).alias(f"_s{i}") for i, c in enumerate(sums.values())],
+        *[c for i in range(len(distincts)) for c in (f"_p{i}", f"_x{i}")],
+        *[F.col(c).isNotNull().alias(f"_k{i}") for i, c in enumerate(distincts.values())],
+        F.struct(*columns).alias("_whole"),
+        F.explode(F.array(*[F.lit(j) for j in range(-1, len(spans))])).alias("_win"),
+    ).select(
+        "*", (F.col("_us") + shift).alias("_at"), entry.cast("int").alias("_kind"),
+        F.when(entry, F.col("_whole")).alias("_row"),
+    ).drop("_whole")
 
     aggs: dict[str, tuple[str, Column]] = {}
-    names: list[tuple[str, str]] = []  # (output, kind)
-    win, kind = F.col("_win"), F.col("_kind")
-    for j, w in enumerate(spans):
-        sign = F.when(kind == 1, 1).when(win == j, -1).otherwise(0)
-        aggs[f"{count_name}_{w}"] = ("sum", sign)
+    names: list[tuple[str, str]] = []  # (output, type)
+    zero = F.lit(0).cast(_EXACT)
+    for j, (w, span) in enumerate(spans.items()):
+        aggs[f"{count_name}_{w}"] = ("sum", F.when(entry, 1).when(win == j, -1).otherwise(0))
         names.append((f"{count_name}_{w}", "long"))
         for i, s in enumerate(sums):
-            zero = F.lit(0).cast(_EXACT)
-            moved = F.when(kind == 1, F.col(f"_s{i}")).when(win == j, -F.col(f"_s{i}")).otherwise(zero)
+            moved = F.when(entry, F.col(f"_s{i}")).when(win == j, -F.col(f"_s{i}")).otherwise(zero)
             aggs[f"{s}_{w}"] = ("sum", moved)
             names.append((f"{s}_{w}", "double"))
         for i, d in enumerate(distincts):
-            aggs[f"{d}_{w}"] = ("sum", F.col(f"_d{i}")[j])
+            # a value enters unless an older equal one is still counted, whose turn ends here;
+            # it leaves with the window unless an equal value has replaced it before
+            enters = F.when(closes(F.col(f"_p{i}"), F.col("_us"), span), 0).otherwise(1)
+            leaves = F.when(closes(F.col("_us"), F.col(f"_x{i}"), span), 0).otherwise(-1)
+            moved = F.when(~F.col(f"_k{i}"), 0).when(entry, enters).when(win == j, leaves).otherwise(0)
+            aggs[f"{d}_{w}"] = ("sum", moved)
             names.append((f"{d}_{w}", "long"))
     swept = running(
         points,
@@ -103,8 +101,9 @@ def trailing(
         ties=["_kind", "_id"],
         strictly_before=not arrival,
         min_rows=min_rows,
+        probe=source_rows.select(F.col(key).alias("_key"), F.col("_us").alias("_at")),
     )
-    return swept.filter(kind == 1).select(
+    return swept.filter("_kind = 1").select(
         "_row.*", *[F.coalesce(F.col(n).cast(t), F.lit(0).cast(t)).alias(n) for n, t in names]
     )
 
@@ -163,11 +162,12 @@ def windowed_features(
         df, "user_id", suffixes, sums={"txn_amount": amount}, distincts=distincts,
         count_name="txn_count", min_rows=min_rows,
     )
-    for s in suffixes:
-        out = out.withColumn(f"avg_amount_{s}", guarded_ratio(F.col(f"txn_amount_{s}"), F.col(f"txn_count_{s}")))
-        if not distincts:
-            out = out.withColumn(f"unique_merchants_{s}", F.lit(0))
-    return out
+    extra = {
+        f"avg_amount_{s}": guarded_ratio(F.col(f"txn_amount_{s}"), F.col(f"txn_count_{s}")) for s in suffixes
+    }
+    if not distincts:
+        extra |= {f"unique_merchants_{s}": F.lit(0) for s in suffixes}
+    return out.withColumns(extra)
 
 
 def burst_ratios(df: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def serving_velocity(df: DataFrame, *, min_rows: int = HOT_ROWS) -> DataFrame:
     )
     return trailing(
         by_user, "device_id", SERVING_WINDOWS, distincts={"device_unique_users": "user_id"},
-        arrival=True, count_name="device_txn_count", min_rows=min_rows,
+        arrival=True, count_name="device_txn_count", min_rows=min_rows, probe=df,
     )
 
 
@@ -234,10 +234,11 @@ def velocity_grid(
         df, "user_id", windows, sums={"amount_sum": F.col("amount"), **flagged},
         distincts=present, count_name="txn_count", min_rows=min_rows,
     )
-    for w in windows:
-        out = out.withColumn(f"amount_avg_{w}", guarded_ratio(F.col(f"amount_sum_{w}"), F.col(f"txn_count_{w}")))
-        for n in flagged:
-            out = out.withColumn(f"{n}_{w}", F.col(f"{n}_{w}").cast("long"))
+    extra = {
+        f"amount_avg_{w}": guarded_ratio(F.col(f"amount_sum_{w}"), F.col(f"txn_count_{w}")) for w in windows
+    }
+    extra |= {f"{n}_{w}": F.col(f"{n}_{w}").cast("long") for n in flagged for w in windows}
+    out = out.withColumns(extra)
     peaks = trailing_max(df, "user_id", windows, "amount", "amount_max", min_rows=min_rows)
     return out.join(peaks, "transaction_id")
 
