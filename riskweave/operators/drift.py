@@ -121,11 +121,12 @@ def ks_p_value(statistic: Column, n_ref: Column, n_cur: Column, terms: int = 100
 
 def ks(reference: DataFrame, current: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
     """(feature, ks_statistic, ks_pvalue) from two (feature, value) tables; (0, 1) if one is empty."""
-    counts = _tagged(reference, current).groupBy("feature", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    rows = _tagged(reference, current)
+    counts = rows.groupBy("feature", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
     totals = counts.groupBy("feature").agg(F.sum("ref").alias("_nr"), F.sum("cur").alias("_nc"))
     seen = running(
         counts, ["feature"], "value", {"_r": ("sum", F.col("ref")), "_c": ("sum", F.col("cur"))},
-        include_current=True, min_rows=min_rows,
+        include_current=True, min_rows=min_rows, probe=rows.select("feature", "value"),
     )
     gap = F.abs(F.try_divide(F.col("_r"), F.col("_nr")) - F.try_divide(F.col("_c"), F.col("_nc")))
     # one total row per feature: as many as there are columns

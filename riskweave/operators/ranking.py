@@ -22,7 +22,7 @@ def score_ladder(
     ladder = running(
         counts, keys, score,
         {"_n_above": ("sum", F.col("_n")), "_pos_above": ("sum", F.col("_pos"))},
-        descending=True, min_rows=min_rows,
+        descending=True, min_rows=min_rows, probe=df.select(*keys, score),
     )
     return ladder.na.fill(0, ["_n_above", "_pos_above"])
 

@@ -21,6 +21,9 @@ HOT_ROWS = 1_000_000
 MAX_HOT_GROUPS = 1_024
 MAX_SLICES = 1_024
 
+# Given as ``min_rows`` where a caller has already ruled hot groups out: nothing is probed.
+NO_HOT_GROUPS = -1
+
 _AGG: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -30,6 +33,12 @@ def _merge(fn: str, local: Column, offset: Column) -> Column:
     return F.greatest(local, offset) if fn == "max" else F.least(local, offset)
 
 
+def has_hot_group(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> bool:
+    """Whether any group is large enough to be sliced; one map-side-combined count."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not sizes.filter(F.col("_n") > min_rows).isEmpty()
+
+
 def slice_hot_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,6 +53,8 @@ def slice_hot_groups(
     ``probe`` is a cheaper frame with the same keys and order column, from which group sizes
     and cut points are taken instead of ``df``.
     """
+    if min_rows == NO_HOT_GROUPS:
+        return None
     probe = df if probe is None else probe
     sizes = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
     hot = sizes.orderBy(F.desc("_n")).limit(MAX_HOT_GROUPS)
@@ -208,7 +219,10 @@ def exact_quantiles(
     if not groups:
         base = base.withColumn("_all", F.lit(0))
     counts = base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running(counts, keys, value, {"_before": ("sum", F.col("_c"))}, min_rows=min_rows)
+    # raw rows bound the distinct values of every group and slice, so they serve as the probe
+    ranked = running(
+        counts, keys, value, {"_before": ("sum", F.col("_c"))}, min_rows=min_rows, probe=base.select(*keys, value)
+    )
     ranked = ranked.withColumn("_before", F.coalesce("_before", F.lit(0)))
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     joined = ranked.join(sizes, keys)
@@ -238,7 +252,9 @@ def value_at_rank(df: DataFrame, value: str, rank: int, min_rows: int = HOT_ROWS
     """The ``rank``-th smallest value (0-based) of a numeric column, or None."""
     base = df.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
     counts = base.groupBy("_all", value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running(counts, ["_all"], value, {"_before": ("sum", F.col("_c"))}, min_rows=min_rows)
+    ranked = running(
+        counts, ["_all"], value, {"_before": ("sum", F.col("_c"))}, min_rows=min_rows, probe=base.select("_all", value)
+    )
     before = F.coalesce(F.col("_before"), F.lit(0))
     hit = ranked.filter((before <= rank) & (F.lit(rank) < before + F.col("_c"))).select(value).first()
     return None if hit is None else hit[0]

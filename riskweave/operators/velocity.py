@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bounded, guarded_ratio, micros, seconds_to_micros
-from .scan import HOT_ROWS, running, with_neighbours
+from .scan import HOT_ROWS, NO_HOT_GROUPS, has_hot_group, running, with_neighbours
 
 HOUR = 3600
 _EXACT = "decimal(28,10)"
@@ -47,6 +47,9 @@ def trailing(
     spans = {w: seconds_to_micros(s) for w, s in windows.items()}
     work = df.withColumn("_us", micros(ts))
     source_rows = (df if probe is None else probe).withColumn("_us", micros(ts))
+    # no entity is hot: then neither is any (entity, value) pair, and one count settles it all
+    if min_rows != NO_HOT_GROUPS and not has_hot_group(source_rows, [key], min_rows):
+        min_rows = NO_HOT_GROUPS
     for i, source in enumerate(distincts.values()):
         # values that are null are not counted as distinct, so they need no neighbours
         work = with_neighbours(
@@ -125,6 +128,8 @@ def trailing_max(
     block and the start of the next: the start is a running maximum over entries, the end is a
     running maximum, read backwards, over the same events moved forward by one window.
     """
+    if min_rows != NO_HOT_GROUPS and not has_hot_group(df, [key], min_rows):
+        min_rows = NO_HOT_GROUPS
     spans = [(w, seconds_to_micros(s)) for w, s in windows.items()]
     moves = []
     for j, (_, span) in enumerate(spans):

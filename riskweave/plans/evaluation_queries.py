@@ -232,8 +232,8 @@ def time_split(spark, sf_dir):
     return t.select("transaction_id", F.when(F.unix_micros("timestamp") <= F.lit(at), "train").otherwise("test").alias("part"))
 
 
-TIME_SPLIT = "WITH " + PRED_SQL + """, q AS (SELECT quantile_cont(us::DOUBLE, 0.8) AS at FROM txn)
-SELECT transaction_id, CASE WHEN us <= at THEN 'train' ELSE 'test' END AS part FROM txn, q"""
+TIME_SPLIT = "WITH " + PRED_SQL + """, q AS (SELECT quantile_cont(us::DOUBLE, 0.8) AS border FROM txn)
+SELECT transaction_id, CASE WHEN us <= border THEN 'train' ELSE 'test' END AS part FROM txn, q"""
 
 
 def stratified_sizes(spark, sf_dir):

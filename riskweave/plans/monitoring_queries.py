@@ -126,14 +126,18 @@ SELECT 'prediction' AS drift_type, feature, severity, round(psi, 5) AS statistic
 
 def drift_gate(spark, sf_dir):
     gate = D.drift_gate(_drift(spark, sf_dir))
-    share = D.drifting_share(_drift(spark, sf_dir))
-    return gate.select(F.concat_ws(",", "critical_features").alias("critical_features"), "passed").join(
-        _round(share, 5, "psi", "drifting_features_pct"), F.lit(True)
-    )
+    return gate.select(F.concat_ws(",", "critical_features").alias("critical_features"), "passed")
 
 
 DRIFT_GATE = "WITH " + _DRIFT + """ SELECT coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (severity = 'critical'), '') AS critical_features,
-  count(*) FILTER (severity = 'critical') = 0 AS passed, round(max(psi), 5) AS psi, round(avg((severity <> 'none')::INT) * 100, 5) AS drifting_features_pct FROM drift"""
+  count(*) FILTER (severity = 'critical') = 0 AS passed FROM drift"""
+
+
+def drifting_share(spark, sf_dir):
+    return _round(D.drifting_share(_drift(spark, sf_dir)), 5, "psi", "drifting_features_pct")
+
+
+DRIFTING_SHARE = "WITH " + _DRIFT + """ SELECT round(max(psi), 5) AS psi, round(avg((severity <> 'none')::INT) * 100, 5) AS drifting_features_pct FROM drift"""
 
 
 def drift_windows(spark, sf_dir):
@@ -255,11 +259,11 @@ TRIGGER_COUNTS = _TRIG + """ SELECT reason, count(*) AS n, CASE WHEN reason = 'd
 
 QUERIES = {
     "feature_profile": feature_profile, "psi": psi, "ks": ks, "kl": kl, "feature_drift": feature_drift, "prediction_drift": prediction_drift,
-    "drift_gate": drift_gate, "drift_windows": drift_windows, "drift_alerts": drift_alerts, "recent_alerts": recent_alerts,
+    "drift_gate": drift_gate, "drifting_share": drifting_share, "drift_windows": drift_windows, "drift_alerts": drift_alerts, "recent_alerts": recent_alerts,
     "retrain_triggers": retrain_triggers, "trigger_counts": trigger_counts,
 }
 ORACLE = {
     "feature_profile": FEATURE_PROFILE, "psi": PSI, "ks": KS, "kl": KL, "feature_drift": FEATURE_DRIFT, "prediction_drift": PREDICTION_DRIFT,
-    "drift_gate": DRIFT_GATE, "drift_windows": DRIFT_WINDOWS, "drift_alerts": DRIFT_ALERTS, "recent_alerts": RECENT_ALERTS,
+    "drift_gate": DRIFT_GATE, "drifting_share": DRIFTING_SHARE, "drift_windows": DRIFT_WINDOWS, "drift_alerts": DRIFT_ALERTS, "recent_alerts": RECENT_ALERTS,
     "retrain_triggers": RETRAIN_TRIGGERS, "trigger_counts": TRIGGER_COUNTS,
 }

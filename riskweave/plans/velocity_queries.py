@@ -21,7 +21,7 @@ def velocity_windows(spark, sf_dir):
     out = velocity.windowed_features(t, HOURS)
     names = [f"{c}_{h}h" for h in HOURS for c in ("txn_count", "txn_amount", "avg_amount", "unique_merchants")]
     out = out.select("transaction_id", *names)
-    return _round(out, 4, *[n for n in names if "amount" in n])
+    return _round(out, 8, *[n for n in names if "amount" in n])
 
 
 def _frame(name, us, key="user_id"):
@@ -35,8 +35,8 @@ def _distinct(col, w):
 VELOCITY_WINDOWS = (
     "WITH " + TXN_SQL + " SELECT transaction_id, "
     + ", ".join(
-        f"count(*) OVER w{h} AS txn_count_{h}h, round(coalesce(sum(amount) OVER w{h}, 0), 4) AS txn_amount_{h}h, "
-        f"round(coalesce(avg(amount) OVER w{h}, 0), 4) AS avg_amount_{h}h, {_distinct('merchant_id', f'w{h}')} AS unique_merchants_{h}h"
+        f"count(*) OVER w{h} AS txn_count_{h}h, round(coalesce(sum(amount) OVER w{h}, 0), 8) AS txn_amount_{h}h, "
+        f"round(coalesce(avg(amount) OVER w{h}, 0), 8) AS avg_amount_{h}h, {_distinct('merchant_id', f'w{h}')} AS unique_merchants_{h}h"
         for h in HOURS
     )
     + " FROM txn WINDOW " + ", ".join(_frame(f"w{h}", h * _HOUR_US) for h in HOURS)
@@ -63,11 +63,11 @@ SELECT transaction_id, round(c1 / CASE WHEN c24 = 0 THEN 1 ELSE c24 END, 6) AS t
 
 def user_baseline(spark, sf_dir):
     out = velocity.user_baseline(transactions(spark, sf_dir))
-    return _round(out, 4, "avg_amount", "std_amount")
+    return _round(out, 8, "avg_amount", "std_amount")
 
 
 USER_BASELINE = "WITH " + TXN_SQL + """
-SELECT user_id, count(*) AS txn_count, round(avg(amount), 4) AS avg_amount, round(stddev_samp(amount), 4) AS std_amount,
+SELECT user_id, count(*) AS txn_count, round(avg(amount), 8) AS avg_amount, round(stddev_samp(amount), 8) AS std_amount,
   grouping(user_id) = 1 AS is_global FROM txn GROUP BY GROUPING SETS ((user_id), ())"""
 
 
@@ -103,7 +103,7 @@ def velocity_grid(spark, sf_dir):
     out = velocity.velocity_grid(_grid_input(spark, sf_dir))
     names = [c for c in out.columns if c.rsplit("_", 1)[-1] in velocity.GRID_WINDOWS]
     out = out.select("transaction_id", *names)
-    return _round(out, 4, *[n for n in names if n.startswith("amount_")])
+    return _round(out, 8, *[n for n in names if n.startswith("amount_")])
 
 
 VELOCITY_GRID = (
@@ -111,8 +111,8 @@ VELOCITY_GRID = (
   'ip' || (transaction_id % 31) AS ip_address, transaction_id % 13 = 0 AS is_failed, transaction_id % 17 = 0 AS is_declined FROM txn)
 SELECT transaction_id, """
     + ", ".join(
-        f"count(*) OVER w{w} AS txn_count_{w}, round(coalesce(sum(amount) OVER w{w}, 0), 4) AS amount_sum_{w}, "
-        f"round(coalesce(avg(amount) OVER w{w}, 0), 4) AS amount_avg_{w}, round(coalesce(max(amount) OVER w{w}, 0), 4) AS amount_max_{w}, "
+        f"count(*) OVER w{w} AS txn_count_{w}, round(coalesce(sum(amount) OVER w{w}, 0), 8) AS amount_sum_{w}, "
+        f"round(coalesce(avg(amount) OVER w{w}, 0), 8) AS amount_avg_{w}, round(coalesce(max(amount) OVER w{w}, 0), 8) AS amount_max_{w}, "
         f"{_distinct('merchant_id', 'w' + w)} AS unique_merchants_{w}, {_distinct('recipient_id', 'w' + w)} AS unique_recipients_{w}, "
         f"{_distinct('ip_address', 'w' + w)} AS unique_ips_{w}, coalesce(sum(is_failed::INT) OVER w{w}, 0)::BIGINT AS failed_attempts_{w}, "
         f"coalesce(sum(is_declined::INT) OVER w{w}, 0)::BIGINT AS declined_count_{w}"
@@ -161,28 +161,28 @@ def user_history(spark, sf_dir):
         "transaction_id", "total_lifetime_transactions", "total_lifetime_amount", "avg_transaction_amount",
         "days_since_last_transaction", "transaction_frequency_weekly",
     )
-    return _round(out, 4, "total_lifetime_amount", "avg_transaction_amount", "transaction_frequency_weekly")
+    return _round(out, 8, "total_lifetime_amount", "avg_transaction_amount", "transaction_frequency_weekly")
 
 
 USER_HISTORY = "WITH " + TXN_SQL + """, h AS (SELECT transaction_id, us, count(*) OVER w AS n, coalesce(sum(amount) OVER w, 0) AS a,
   max(us) OVER w AS last_us, min(us) OVER w AS first_us FROM txn
   WINDOW w AS (PARTITION BY user_id ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT transaction_id, n AS total_lifetime_transactions, round(a, 4) AS total_lifetime_amount,
-  round(CASE WHEN n > 0 THEN a / n END, 4) AS avg_transaction_amount,
+SELECT transaction_id, n AS total_lifetime_transactions, round(a, 8) AS total_lifetime_amount,
+  round(CASE WHEN n > 0 THEN a / n END, 8) AS avg_transaction_amount,
   floor((us - last_us) / 86400000000.0::DOUBLE)::BIGINT AS days_since_last_transaction,
-  round(CASE WHEN us > first_us THEN n / greatest((us - first_us) / 604800000000.0::DOUBLE, 1.0) END, 4) AS transaction_frequency_weekly
+  round(CASE WHEN us > first_us THEN n / greatest((us - first_us) / 604800000000.0::DOUBLE, 1.0) END, 8) AS transaction_frequency_weekly
 FROM h"""
 
 
 def rolling_amount(spark, sf_dir):
     t = transactions(spark, sf_dir).select("transaction_id", "timestamp", "user_id", "amount")
     out = velocity.rolling_amount_profile(t).select("transaction_id", "avg_amount_30d", "std_amount_30d")
-    return _round(out, 3, "avg_amount_30d", "std_amount_30d")
+    return _round(_round(out, 8, "avg_amount_30d"), 5, "std_amount_30d")
 
 
 ROLLING_AMOUNT = (
-    "WITH " + TXN_SQL + " SELECT transaction_id, round(avg(amount) OVER w, 3) AS avg_amount_30d, "
-    "round(stddev_samp(amount) OVER w, 3) AS std_amount_30d FROM txn WINDOW " + _frame("w", 30 * 24 * _HOUR_US)
+    "WITH " + TXN_SQL + " SELECT transaction_id, round(avg(amount) OVER w, 8) AS avg_amount_30d, "
+    "round(stddev_samp(amount) OVER w, 5) AS std_amount_30d FROM txn WINDOW " + _frame("w", 30 * 24 * _HOUR_US)
 )
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
 
 @dataclass(frozen=True)
 class Field:
@@ -138,29 +136,29 @@ RECORDS = {
 }
 
 
-def record_struct(fields: tuple[Field, ...]) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{f.name}` {f.type}" for f in fields))
+def record_ddl(fields: tuple[Field, ...]) -> str:
+    return ", ".join(f"`{f.name}` {f.type}" for f in fields)
 
 
-STREAM_EVENT = T.StructType.fromDDL(
+STREAM_EVENT = (
     "transaction_id string, user_id string, merchant_id string, merchant_category string, amount double, "
     "device_id string, device_type string, location_country string, timestamp timestamp, "
     "metadata map<string,string>"
 )
-STREAM_PREDICTION = T.StructType.fromDDL(
+STREAM_PREDICTION = (
     "transaction_id string, fraud_probability double, decision string, risk_level string, "
     "triggered_rules array<string>, model_version string, latency_ms double, timestamp timestamp"
 )
-PREDICTION_LOG = T.StructType.fromDDL(
+PREDICTION_LOG = (
     "transaction_id string, prediction_timestamp timestamp, predicted_score double"
 )
-SNAPSHOT = T.StructType.fromDDL(
+SNAPSHOT = (
     "entity_id string, entity_type string, features map<string,double>, timestamp timestamp, ttl_seconds bigint"
 )
-ALERT = T.StructType.fromDDL(
+ALERT = (
     "name string, severity string, message string, timestamp timestamp, source string, details map<string,string>"
 )
-TRIGGER = T.StructType.fromDDL(
+TRIGGER = (
     "trigger_id string, reason string, timestamp timestamp, metrics_snapshot map<string,double>, "
     "threshold_violated string, model_version_before string, model_version_after string, status string, notes string"
 )

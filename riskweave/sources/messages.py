@@ -9,7 +9,10 @@ from ..schemas import SNAPSHOT, STREAM_EVENT, STREAM_PREDICTION
 
 ISO = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]"}
 ISO_OUT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-REQUIRED = [f.name for f in STREAM_EVENT.fields if f.name != "metadata"]
+REQUIRED = (
+    "transaction_id", "user_id", "merchant_id", "merchant_category", "amount", "device_id", "device_type",
+    "location_country", "timestamp",
+)
 
 
 def parse_events(messages: DataFrame, column: str = "value") -> DataFrame:

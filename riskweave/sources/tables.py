@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from ..operators.labels import between_dates, evaluation_window, join_labels, label_coverage
 from ..operators.quality import LABEL_CONTRACT, TRANSACTION_CONTRACT, DataContract, require_valid
-from ..schemas import LABEL_FIELDS, PREDICTION_LOG, TRANSACTION_FIELDS, record_struct
+from ..schemas import LABEL_FIELDS, PREDICTION_LOG, TRANSACTION_FIELDS, record_ddl
 from ..session import prepare
 
 
@@ -18,8 +17,8 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
 
 
 def load_parts(
-    spark: SparkSession, directory: str, stem: str, time_column: str, empty: T.StructType,
-    start=None, end=None, contract: DataContract | None = None, schema: T.StructType | None = None,
+    spark: SparkSession, directory: str, stem: str, time_column: str, empty: str,
+    start=None, end=None, contract: DataContract | None = None, schema: str | None = None,
 ) -> DataFrame:
     """All ``{stem}_*.parquet`` parts, or ``{stem}*.csv`` if there are none, or an empty table.
 
@@ -46,14 +45,14 @@ def load_parts(
 
 def load_transactions(spark: SparkSession, data_dir: str, start_date=None, end_date=None, validate: bool = True, **kw) -> DataFrame:
     return load_parts(
-        spark, f"{data_dir}/raw", "transactions", "timestamp", record_struct(TRANSACTION_FIELDS), start_date, end_date,
+        spark, f"{data_dir}/raw", "transactions", "timestamp", record_ddl(TRANSACTION_FIELDS), start_date, end_date,
         TRANSACTION_CONTRACT if validate else None, **kw,
     )
 
 
 def load_labels(spark: SparkSession, data_dir: str, start_date=None, end_date=None, validate: bool = True, **kw) -> DataFrame:
     return load_parts(
-        spark, f"{data_dir}/labels", "labels", "label_timestamp", record_struct(LABEL_FIELDS), start_date, end_date,
+        spark, f"{data_dir}/labels", "labels", "label_timestamp", record_ddl(LABEL_FIELDS), start_date, end_date,
         LABEL_CONTRACT if validate else None, **kw,
     )
 
