@@ -33,10 +33,19 @@ def _merge(fn: str, local: Column, offset: Column) -> Column:
     return F.greatest(local, offset) if fn == "max" else F.least(local, offset)
 
 
+def cluster_by(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle by key into the session's number of partitions.
+
+    The number is given, not left to be coalesced: callers multiply the rows afterwards, so
+    sizes measured at the shuffle would be too small a guide.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
+
+
 def has_hot_group(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> bool:
     """Whether any group is large enough to be sliced; one map-side-combined count."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return not sizes.filter(F.col("_n") > min_rows).isEmpty()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sl_n"))
+    return not sizes.filter(F.col("_sl_n") > min_rows).isEmpty()
 
 
 def slice_hot_groups(
@@ -46,23 +55,23 @@ def slice_hot_groups(
     min_rows: int = HOT_ROWS,
     probe: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Tag rows with ``_k`` (key hash), ``_gid`` (hot group number) and ``_slice``.
+    """Tag rows with ``_sl_key`` (key hash), ``_sl_gid`` (hot group number) and ``_sl_no``.
 
-    ``_gid`` and ``_slice`` are -1 for ordinary groups. Returns None when no group is hot.
-    Rows with equal ``slice_on`` always share a slice. ``_k`` keeps joins on null keys safe.
+    ``_sl_gid`` and ``_sl_no`` are -1 for ordinary groups. Returns None when no group is hot.
+    Rows with equal ``slice_on`` always share a slice. ``_sl_key`` keeps joins on null keys safe.
     ``probe`` is a cheaper frame with the same keys and order column, from which group sizes
     and cut points are taken instead of ``df``.
     """
     if min_rows == NO_HOT_GROUPS:
         return None
     probe = df if probe is None else probe
-    sizes = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
-    hot = sizes.orderBy(F.desc("_n")).limit(MAX_HOT_GROUPS)
+    sizes = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sl_n")).filter(F.col("_sl_n") > min_rows)
+    hot = sizes.orderBy(F.desc("_sl_n")).limit(MAX_HOT_GROUPS)
     rows = hot.collect()
     if not rows:
         return None
     spark = df.sparkSession
-    fields = [f"_h{i}" for i in range(len(keys))]
+    fields = [f"_sl_h{i}" for i in range(len(keys))]
     listing = spark.createDataFrame(
         [tuple(r)[:-1] + (i,) for i, r in enumerate(rows)],
         schema=_hot_schema(hot, keys, fields),
@@ -77,9 +86,9 @@ def slice_hot_groups(
             .drop(*fields)
             .withColumns(
                 {
-                    "_gid": F.coalesce("_gid", F.lit(-1)),
-                    "_k": F.xxhash64(*keys),
-                    "_pos": F.col(slice_on).cast("double"),
+                    "_sl_gid": F.coalesce("_sl_gid", F.lit(-1)),
+                    "_sl_key": F.xxhash64(*keys),
+                    "_sl_at": F.col(slice_on).cast("double"),
                 }
             )
         )
@@ -87,18 +96,18 @@ def slice_hot_groups(
     tagged = tag(df)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = max(8, min(MAX_SLICES, shuffle))
-    cuts = tag(probe).filter("_gid >= 0").approxQuantile(
-        "_pos", [i / wanted for i in range(1, wanted)], 1.0 / (4 * wanted)
+    cuts = tag(probe).filter("_sl_gid >= 0").approxQuantile(
+        "_sl_at", [i / wanted for i in range(1, wanted)], 1.0 / (4 * wanted)
     )
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
     if len(edges) < 3:
-        return tagged.withColumn("_slice", F.lit(0.0)).drop("_pos")
+        return tagged.withColumn("_sl_no", F.lit(0.0)).drop("_sl_at")
     bucketed = Bucketizer(
-        splits=edges, inputCol="_pos", outputCol="_slice", handleInvalid="keep"
+        splits=edges, inputCol="_sl_at", outputCol="_sl_no", handleInvalid="keep"
     ).transform(tagged)
     return bucketed.withColumn(
-        "_slice", F.when(F.col("_gid") >= 0, F.col("_slice")).otherwise(F.lit(-1.0))
-    ).drop("_pos")
+        "_sl_no", F.when(F.col("_sl_gid") >= 0, F.col("_sl_no")).otherwise(F.lit(-1.0))
+    ).drop("_sl_at")
 
 
 def _hot_schema(hot: DataFrame, keys: Sequence[str], fields: Sequence[str]):
@@ -106,7 +115,7 @@ def _hot_schema(hot: DataFrame, keys: Sequence[str], fields: Sequence[str]):
 
     types = {f.name: f.dataType for f in hot.schema.fields}
     out = [StructField(f, types[k], True) for k, f in zip(keys, fields)]
-    return StructType([*out, StructField("_gid", IntegerType(), False)])
+    return StructType([*out, StructField("_sl_gid", IntegerType(), False)])
 
 
 def running(
@@ -144,16 +153,16 @@ def running(
         w = framed(Window.partitionBy(*keys))
         return df.select("*", *[_AGG[fn](c).over(w).alias(n) for n, (fn, c) in aggs.items()])
 
-    part = ["_k", "_gid", "_slice"]
+    part = ["_sl_key", "_sl_gid", "_sl_no"]
     w = framed(Window.partitionBy(*part, *keys))
     local = sliced.select("*", *[_AGG[fn](c).over(w).alias(f"_l_{n}") for n, (fn, c) in aggs.items()])
     totals = (
-        sliced.filter("_gid >= 0")
+        sliced.filter("_sl_gid >= 0")
         .groupBy(*part)
         .agg(*[_AGG[fn](c).alias(f"_t_{n}") for n, (fn, c) in aggs.items()])
     )
-    step = F.col("_slice").desc() if descending else F.col("_slice").asc()
-    earlier = Window.partitionBy("_k", "_gid").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    step = F.col("_sl_no").desc() if descending else F.col("_sl_no").asc()
+    earlier = Window.partitionBy("_sl_key", "_sl_gid").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *part, *[_AGG[fn](F.col(f"_t_{n}")).over(earlier).alias(f"_o_{n}") for n, (fn, _) in aggs.items()]
     )
@@ -181,11 +190,11 @@ def with_neighbours(
     if sliced is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", F.lag(at).over(w).alias(prev_name), F.lead(at).over(w).alias(next_name))
-    part = ["_k", "_gid", "_slice"]
+    part = ["_sl_key", "_sl_gid", "_sl_no"]
     w = Window.partitionBy(*part, *keys).orderBy(*order)
     local = sliced.select("*", F.lag(at).over(w).alias("_lp"), F.lead(at).over(w).alias("_ln"))
-    totals = sliced.filter("_gid >= 0").groupBy(*part).agg(F.max(at).alias("_hi"), F.min(at).alias("_lo"))
-    by_slice = Window.partitionBy("_k", "_gid").orderBy("_slice")
+    totals = sliced.filter("_sl_gid >= 0").groupBy(*part).agg(F.max(at).alias("_hi"), F.min(at).alias("_lo"))
+    by_slice = Window.partitionBy("_sl_key", "_sl_gid").orderBy("_sl_no")
     edges = totals.select(
         *part,
         F.lag("_hi").over(by_slice).alias("_op"),

@@ -3,8 +3,8 @@
 Every trailing aggregate is a sweep: an event enters at its own instant and leaves when the
 window has passed over it, so each feature is a running sum over entries and exits. The work
 is linear in events x windows, whatever the window holds, and a hot entity is scanned in
-slices (see ``scan``). Amounts are summed as decimals: the result is exact to 10 places and
-does not depend on the order of summation.
+slices (see ``scan``). Amounts are summed as whole millionths: nothing is lost by later
+subtraction, and the result does not depend on the order of summation.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bounded, guarded_ratio, micros, seconds_to_micros
-from .scan import HOT_ROWS, NO_HOT_GROUPS, has_hot_group, running, with_neighbours
+from .scan import HOT_ROWS, NO_HOT_GROUPS, cluster_by, has_hot_group, running, with_neighbours
 
 HOUR = 3600
 _EXACT = "decimal(28,10)"
@@ -29,20 +29,36 @@ def trailing(
     ts: str = "timestamp",
     ident: str = "transaction_id",
     sums: Mapping[str, Column] | None = None,
+    tallies: Mapping[str, Column] | None = None,
     distincts: Mapping[str, str] | None = None,
     arrival: bool = False,
+    digits: int | None = 6,
     count_name: str = "n",
     min_rows: int = HOT_ROWS,
     probe: DataFrame | None = None,
 ) -> DataFrame:
-    """Input columns plus, per window w, ``{count_name}_{w}``, ``{sum}_{w}`` and ``{distinct}_{w}``.
+    """Input columns plus, per window w, ``{count_name}_{w}`` and one column per sum, tally and
+    distinct count, named ``{name}_{w}``.
+
+    ``sums`` are amounts, kept to ``digits`` decimal places in a bigint; a running value is the
+    content of one window, so it overflows (an error, never a wrong value) only beyond 9e12 in
+    a single window. ``digits=None`` sums decimals with 10 places instead. ``tallies`` are sums
+    of whole numbers.
 
     With ``arrival=False`` a row sees the events in [t-w, t): rows at the same instant do not
     see each other. With ``arrival=True`` it sees the events before it in (time, id) order that
     are newer than t-w, the lower bound excluded. ``windows`` maps a suffix to seconds.
     ``probe`` may name a cheaper frame holding the same rows to look for hot entities in.
     """
-    sums, distincts = dict(sums or {}), dict(distincts or {})
+    distincts = dict(distincts or {})
+    held = _EXACT if digits is None else "bigint"
+    measures: dict[str, tuple[Column, str]] = {}  # name -> (value per event, type it is held in)
+    for name, c in (sums or {}).items():
+        value = c.cast("double") if digits is not None else c
+        scaled = F.round(value * F.lit(float(10**digits))) if digits is not None else value
+        measures[name] = (scaled.cast(held), held)
+    for name, c in (tallies or {}).items():
+        measures[name] = (c.cast("bigint"), "bigint")
     columns = df.columns
     spans = {w: seconds_to_micros(s) for w, s in windows.items()}
     work = df.withColumn("_us", micros(ts))
@@ -50,6 +66,10 @@ def trailing(
     # no entity is hot: then neither is any (entity, value) pair, and one count settles it all
     if min_rows != NO_HOT_GROUPS and not has_hot_group(source_rows, [key], min_rows):
         min_rows = NO_HOT_GROUPS
+    if min_rows == NO_HOT_GROUPS:
+        # shuffle the events once, before they multiply; every window below then finds its rows
+        # already clustered by the entity
+        work = cluster_by(work, key)
     for i, source in enumerate(distincts.values()):
         # values that are null are not counted as distinct, so they need no neighbours
         work = with_neighbours(
@@ -68,7 +88,7 @@ def trailing(
     shift = F.element_at(F.array(F.lit(0), *[F.lit(s) for s in spans.values()]), win + 2)
     points = work.select(
         F.col(key).alias("_key"), F.col(ident).alias("_id"), "_us",
-        *[F.coalesce(c.cast(_EXACT), F.lit(0).cast(_EXACT)).alias(f"_s{i}") for i, c in enumerate(sums.values())],
+        *[F.coalesce(c, F.lit(0).cast(t)).alias(f"_s{i}") for i, (c, t) in enumerate(measures.values())],
         *[c for i in range(len(distincts)) for c in (f"_p{i}", f"_x{i}")],
         *[F.col(c).isNotNull().alias(f"_k{i}") for i, c in enumerate(distincts.values())],
         F.struct(*columns).alias("_whole"),
@@ -80,14 +100,13 @@ def trailing(
 
     aggs: dict[str, tuple[str, Column]] = {}
     names: list[tuple[str, str]] = []  # (output, type)
-    zero = F.lit(0).cast(_EXACT)
     for j, (w, span) in enumerate(spans.items()):
         aggs[f"{count_name}_{w}"] = ("sum", F.when(entry, 1).when(win == j, -1).otherwise(0))
         names.append((f"{count_name}_{w}", "long"))
-        for i, s in enumerate(sums):
-            moved = F.when(entry, F.col(f"_s{i}")).when(win == j, -F.col(f"_s{i}")).otherwise(zero)
+        for i, (s, (_, kind)) in enumerate(measures.items()):
+            moved = F.when(entry, F.col(f"_s{i}")).when(win == j, -F.col(f"_s{i}")).otherwise(F.lit(0).cast(kind))
             aggs[f"{s}_{w}"] = ("sum", moved)
-            names.append((f"{s}_{w}", "double"))
+            names.append((f"{s}_{w}", "double" if s in (sums or {}) else "long"))
         for i, d in enumerate(distincts):
             # a value enters unless an older equal one is still counted, whose turn ends here;
             # it leaves with the window unless an equal value has replaced it before
@@ -106,9 +125,12 @@ def trailing(
         min_rows=min_rows,
         probe=source_rows.select(F.col(key).alias("_key"), F.col("_us").alias("_at")),
     )
-    return swept.filter("_kind = 1").select(
-        "_row.*", *[F.coalesce(F.col(n).cast(t), F.lit(0).cast(t)).alias(n) for n, t in names]
-    )
+    unit = F.lit(1.0 if digits is None else float(10**digits))
+    finals = [
+        (F.coalesce(F.col(n).cast("double"), F.lit(0.0)) / unit if t == "double" else F.coalesce(F.col(n), F.lit(0).cast(t))).alias(n)
+        for n, t in names
+    ]
+    return swept.filter("_kind = 1").select("_row.*", *finals)
 
 
 def trailing_max(
@@ -135,9 +157,12 @@ def trailing_max(
     for j, (_, span) in enumerate(spans):
         moves.append(F.struct(F.lit(j).alias("_win"), F.col("_us").alias("_at"), F.lit(1).alias("_kind"), F.lit(span).alias("_span")))
         moves.append(F.struct(F.lit(j).alias("_win"), (F.col("_us") + F.lit(span)).alias("_at"), F.lit(0).alias("_kind"), F.lit(span).alias("_span")))
-    points = df.select(
+    source = df.select(
         F.col(key).alias("_key"), F.col(ident).alias("_id"), F.col(value).alias("_v"), micros(ts).alias("_us")
-    ).select("_key", "_id", "_v", F.inline(F.array(*moves)))
+    )
+    if min_rows == NO_HOT_GROUPS:
+        source = cluster_by(source, "_key")
+    points = source.select("_key", "_id", "_v", F.inline(F.array(*moves)))
     points = points.withColumn("_block", F.floor(F.col("_at") / F.col("_span")))
     part = ["_key", "_win", "_block"]
     entering = F.when(F.col("_kind") == 1, F.col("_v"))
@@ -236,13 +261,12 @@ def velocity_grid(
     present = {n: c for n, c in distincts.items() if c in df.columns}
     flagged = {n: F.col(c).cast("int") for n, c in flags.items() if c in df.columns}
     out = trailing(
-        df, "user_id", windows, sums={"amount_sum": F.col("amount"), **flagged},
+        df, "user_id", windows, sums={"amount_sum": F.col("amount")}, tallies=flagged,
         distincts=present, count_name="txn_count", min_rows=min_rows,
     )
     extra = {
         f"amount_avg_{w}": guarded_ratio(F.col(f"amount_sum_{w}"), F.col(f"txn_count_{w}")) for w in windows
     }
-    extra |= {f"{n}_{w}": F.col(f"{n}_{w}").cast("long") for n in flagged for w in windows}
     out = out.withColumns(extra)
     peaks = trailing_max(df, "user_id", windows, "amount", "amount_max", min_rows=min_rows)
     return out.join(peaks, "transaction_id")
@@ -255,7 +279,7 @@ def rolling_amount_profile(
     w = f"{days}d"
     amount = F.col("amount").cast("decimal(18,6)")
     out = trailing(
-        df, "user_id", {w: days * 86400}, sums={"_sum": amount, "_sq": (amount * amount)},
+        df, "user_id", {w: days * 86400}, sums={"_sum": amount, "_sq": amount * amount}, digits=None,
         count_name="_n", min_rows=min_rows,
     )
     n, s, q = F.col(f"_n_{w}"), F.col(f"_sum_{w}"), F.col(f"_sq_{w}")
