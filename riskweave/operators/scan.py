@@ -236,25 +236,25 @@ def exact_quantiles(
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     joined = ranked.join(sizes, keys)
 
-    def at_rank(rank: Column) -> Column:
-        inside = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
-        return F.max(F.when(inside, F.col(value)))
+    # SQL text keeps the many small expressions cheap to build
+    def at_rank(rank: str) -> str:
+        return f"max(CASE WHEN _before <= {rank} AND {rank} < _before + _c THEN `{value}` END)"
 
     picks, finals = [], []
     for i, p in enumerate(probs):
         if rule == "floor":
             # the product comes first, then the division by 100, as the rule is defined on percents
-            rank = F.least(F.floor(F.col("_size") * F.lit(p * 100) / F.lit(100)), F.col("_size") - 1)
-            picks.append(at_rank(rank).alias(f"_a{i}"))
-            finals.append(F.col(f"_a{i}").cast("double"))
+            rank = f"least(floor(_size * {p * 100!r}D / 100), _size - 1)"
+            picks.append(F.expr(f"{at_rank(rank)} AS _a{i}"))
+            finals.append(f"CAST(_a{i} AS DOUBLE)")
             continue
-        h = (F.col("_size") - 1) * F.lit(float(p))
-        picks += [at_rank(F.floor(h)).alias(f"_a{i}"), at_rank(F.ceil(h)).alias(f"_b{i}"), F.max(h).alias(f"_h{i}")]
-        frac = F.col(f"_h{i}") - F.floor(f"_h{i}")
-        low, high = F.col(f"_a{i}").cast("double"), F.col(f"_b{i}").cast("double")
-        finals.append(low + (high - low) * frac)
+        h = f"((_size - 1) * {float(p)!r}D)"
+        picks.append(F.expr(f"{at_rank(f'floor({h})')} AS _a{i}"))
+        picks.append(F.expr(f"{at_rank(f'ceil({h})')} AS _b{i}"))
+        picks.append(F.expr(f"max({h}) AS _h{i}"))
+        finals.append(f"CAST(_a{i} AS DOUBLE) + (CAST(_b{i} AS DOUBLE) - CAST(_a{i} AS DOUBLE)) * (_h{i} - floor(_h{i}))")
     picked = joined.groupBy(*keys).agg(F.max("_size").alias("n"), *picks)
-    return picked.select(*groups, "n", F.array(*finals).alias("q"))
+    return picked.select(*groups, "n", F.expr(f"array({', '.join(finals)})").alias("q"))
 
 
 def value_at_rank(df: DataFrame, value: str, rank: int, min_rows: int = HOT_ROWS):

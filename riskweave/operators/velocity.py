@@ -77,10 +77,9 @@ def trailing(
             probe=source_rows.select(key, source, "_us"),
         )
 
-    def closes(start: Column, following: Column, span: int) -> Column:
+    def closes(start: str, following: str, span: int) -> str:
         """The next equal value comes before the window has left ``start``."""
-        gap = following - start
-        return F.coalesce(gap < span if arrival else gap <= span, F.lit(False))
+        return f"coalesce({following} - {start} {'<' if arrival else '<='} {span}, false)"
 
     # one entry (window number -1) and one exit per window; only the entry carries the row
     win = F.col("_win")
@@ -101,19 +100,20 @@ def trailing(
     aggs: dict[str, tuple[str, Column]] = {}
     names: list[tuple[str, str]] = []  # (output, type)
     for j, (w, span) in enumerate(spans.items()):
-        aggs[f"{count_name}_{w}"] = ("sum", F.when(entry, 1).when(win == j, -1).otherwise(0))
+        aggs[f"{count_name}_{w}"] = ("sum", F.expr(f"CASE _win WHEN -1 THEN 1 WHEN {j} THEN -1 ELSE 0 END"))
         names.append((f"{count_name}_{w}", "long"))
         for i, (s, (_, kind)) in enumerate(measures.items()):
-            moved = F.when(entry, F.col(f"_s{i}")).when(win == j, -F.col(f"_s{i}")).otherwise(F.lit(0).cast(kind))
-            aggs[f"{s}_{w}"] = ("sum", moved)
+            moved = f"CASE _win WHEN -1 THEN _s{i} WHEN {j} THEN -_s{i} ELSE CAST(0 AS {kind}) END"
+            aggs[f"{s}_{w}"] = ("sum", F.expr(moved))
             names.append((f"{s}_{w}", "double" if s in (sums or {}) else "long"))
         for i, d in enumerate(distincts):
             # a value enters unless an older equal one is still counted, whose turn ends here;
             # it leaves with the window unless an equal value has replaced it before
-            enters = F.when(closes(F.col(f"_p{i}"), F.col("_us"), span), 0).otherwise(1)
-            leaves = F.when(closes(F.col("_us"), F.col(f"_x{i}"), span), 0).otherwise(-1)
-            moved = F.when(~F.col(f"_k{i}"), 0).when(entry, enters).when(win == j, leaves).otherwise(0)
-            aggs[f"{d}_{w}"] = ("sum", moved)
+            moved = (
+                f"CASE WHEN NOT _k{i} THEN 0 WHEN _win = -1 THEN IF({closes(f'_p{i}', '_us', span)}, 0, 1) "
+                f"WHEN _win = {j} THEN IF({closes('_us', f'_x{i}', span)}, 0, -1) ELSE 0 END"
+            )
+            aggs[f"{d}_{w}"] = ("sum", F.expr(moved))
             names.append((f"{d}_{w}", "long"))
     swept = running(
         points,
@@ -125,9 +125,9 @@ def trailing(
         min_rows=min_rows,
         probe=source_rows.select(F.col(key).alias("_key"), F.col("_us").alias("_at")),
     )
-    unit = F.lit(1.0 if digits is None else float(10**digits))
+    unit = 1.0 if digits is None else float(10**digits)
     finals = [
-        (F.coalesce(F.col(n).cast("double"), F.lit(0.0)) / unit if t == "double" else F.coalesce(F.col(n), F.lit(0).cast(t))).alias(n)
+        F.expr(f"coalesce(CAST(`{n}` AS DOUBLE), 0D) / {unit!r}D AS `{n}`" if t == "double" else f"coalesce(`{n}`, 0L) AS `{n}`")
         for n, t in names
     ]
     return swept.filter("_kind = 1").select("_row.*", *finals)
