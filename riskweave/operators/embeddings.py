@@ -26,8 +26,8 @@ OVERSAMPLE, ROUNDS, SEED = 10, 5, 42
 def _product(pairs: DataFrame, vectors: DataFrame, out: str, over: str, k: int) -> DataFrame:
     """(out, v): the weighted sum of the vectors of ``over``, for each ``out``."""
     joined = pairs.join(vectors, over)
-    sums = joined.groupBy(out).agg(*[F.sum(F.col("weight") * F.col("v")[i]).alias(f"_{i}") for i in range(k)])
-    return sums.select(out, F.array(*[F.col(f"_{i}") for i in range(k)]).alias("v"))
+    sums = joined.groupBy(out).agg(*[F.expr(f"sum(weight * v[{i}]) AS _{i}") for i in range(k)])
+    return sums.select(out, F.expr(f"array({', '.join(f'_{i}' for i in range(k))}) AS v"))
 
 
 def _gram(vectors: DataFrame, k: int) -> np.ndarray:
@@ -59,10 +59,12 @@ def _times(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
 
 
 def _orthonormal(vectors: DataFrame, k: int) -> DataFrame:
-    values, basis = np.linalg.eigh(_gram(vectors, k))
+    """Vectors with orthonormal columns. The product is written once, then measured and turned."""
+    stored = cut_lineage(vectors)
+    values, basis = np.linalg.eigh(_gram(stored, k))
     keep = values > values.max() * 1e-14 if values.max() > 0 else np.zeros(k, bool)
     scale = np.where(keep, 1 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
-    return cut_lineage(_times(vectors, basis * scale))
+    return _times(stored, basis * scale)
 
 
 @dataclass

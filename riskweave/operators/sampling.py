@@ -29,18 +29,21 @@ def hash_cutoffs(df: DataFrame, ident: str, n: int, total: int, salts: Sequence[
     hashes = {s: ranked_hash(F.col(ident), s) for s in salts}
     counts = df.agg(*[c for i, (s, h) in enumerate(hashes.items()) for c in (
         F.sum(one_if(h < F.lit(low))).alias(f"b{i}"), F.sum(one_if(h <= F.lit(high))).alias(f"t{i}"))]).first()
-    out = {}
+    near, ranks = [], []
     for i, (s, h) in enumerate(hashes.items()):
         below, upto = counts[f"b{i}"] or 0, counts[f"t{i}"] or 0
         lo, hi, rank = low, high, n - 1 - below
         if not below < n <= upto:
             lo, hi, rank = -(2**63), 2**63 - 1, n - 1
-        near = df.select(h.alias("_h")).filter((F.col("_h") >= F.lit(lo)) & (F.col("_h") <= F.lit(hi)))
-        near = near.withColumn("_all", F.lit(0))
-        ranked = running(near, ["_all"], "_h", {"_rank": ("sum", F.lit(1))})
-        hit = ranked.filter(F.coalesce("_rank", F.lit(0)) == rank).select("_h").first()
-        out[s] = 2**63 - 1 if hit is None else hit[0]
-    return out
+        inside = (h >= F.lit(lo)) & (h <= F.lit(hi))
+        near.append(F.struct(F.lit(i).alias("_salt"), F.when(inside, h).alias("_h")))
+        ranks.append(rank)
+    rows = df.select(F.inline(F.array(*near))).filter(F.col("_h").isNotNull())
+    ranked = running(rows, ["_salt"], "_h", {"_rank": ("sum", F.lit(1))})
+    wanted = F.array(*[F.lit(r) for r in ranks])[F.col("_salt")]
+    # one row per salt comes back
+    hits = {r["_salt"]: r["_h"] for r in ranked.filter(F.coalesce("_rank", F.lit(0)) == wanted).select("_salt", "_h").collect()}
+    return {s: hits.get(i, 2**63 - 1) for i, s in enumerate(hashes)}
 
 
 def chosen_flag(df: DataFrame, ident: str, n: int, total: int, salt: str) -> Column:

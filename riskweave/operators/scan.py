@@ -154,23 +154,35 @@ def running(
         return df.select("*", *[_AGG[fn](c).over(w).alias(n) for n, (fn, c) in aggs.items()])
 
     part = ["_sl_key", "_sl_gid", "_sl_no"]
+    scanned, values = sliced, aggs
+    if strictly_before:
+        # rows at one instant share their result: scan instants, so copies and equal instants
+        # are combined before the shuffle and never meet in one window
+        scanned = sliced.groupBy(*part, *keys, slice_on).agg(*[_AGG[fn](c).alias(f"_v_{n}") for n, (fn, c) in aggs.items()])
+        values = {n: (fn, F.col(f"_v_{n}")) for n, (fn, _) in aggs.items()}
     w = framed(Window.partitionBy(*part, *keys))
-    local = sliced.select("*", *[_AGG[fn](c).over(w).alias(f"_l_{n}") for n, (fn, c) in aggs.items()])
+    local = scanned.select("*", *[_AGG[fn](c).over(w).alias(f"_l_{n}") for n, (fn, c) in values.items()])
     totals = (
-        sliced.filter("_sl_gid >= 0")
+        scanned.filter("_sl_gid >= 0")
         .groupBy(*part)
-        .agg(*[_AGG[fn](c).alias(f"_t_{n}") for n, (fn, c) in aggs.items()])
+        .agg(*[_AGG[fn](c).alias(f"_t_{n}") for n, (fn, c) in values.items()])
     )
     step = F.col("_sl_no").desc() if descending else F.col("_sl_no").asc()
     earlier = Window.partitionBy("_sl_key", "_sl_gid").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *part, *[_AGG[fn](F.col(f"_t_{n}")).over(earlier).alias(f"_o_{n}") for n, (fn, _) in aggs.items()]
     )
+    results = [_merge(fn, F.col(f"_l_{n}"), F.col(f"_o_{n}")).alias(n) for n, (fn, _) in aggs.items()]
     merged = local.join(offsets, part, "left")
-    return merged.select(
-        *df.columns,
-        *[_merge(fn, F.col(f"_l_{n}"), F.col(f"_o_{n}")).alias(n) for n, (fn, _) in aggs.items()],
-    )
+    if not strictly_before:
+        return merged.select(*df.columns, *results)
+    same = [*part, *keys, slice_on]
+    found = merged.select(*[F.col(c).alias(f"_m_{i}") for i, c in enumerate(same)], *results)
+    match = F.lit(True)
+    for i, c in enumerate(same):
+        match = match & F.col(c).eqNullSafe(F.col(f"_m_{i}"))
+    # the crowded instant is on one side only, where adaptive execution splits its partition
+    return sliced.join(found, match, "left").select(*df.columns, *list(aggs))
 
 
 def with_neighbours(

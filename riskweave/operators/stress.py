@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,9 @@ def noisy_labels(df: DataFrame, rate: float = 0.1, *, label: str = "label", iden
 
 
 def label_noise(df: DataFrame, rate: float = 0.1, *, metric: str = "pr_auc", max_degradation: float = 0.1,
-                score: str = "score", label: str = "label", ident: str = "transaction_id", seed: int = SEED) -> DataFrame:
-    base = _metric(df, metric, label, score)
+                score: str = "score", label: str = "label", ident: str = "transaction_id", seed: int = SEED,
+                baseline: float | None = None) -> DataFrame:
+    base = _metric(df, metric, label, score) if baseline is None else baseline
     stressed = _metric(noisy_labels(df, rate, label=label, ident=ident, seed=seed), metric, label, score)
     ok = _degradation(base, stressed) <= max_degradation
     return _result(df, "label_noise", f"Test with {rate:.0%} label noise", ok, base, stressed, max_degradation)
@@ -78,8 +80,9 @@ def perturbed_features(df: DataFrame, columns: Sequence[str], rate: float = 0.1,
 
 def feature_perturbation(df: DataFrame, scorer: Scorer, rate: float = 0.1, *, columns: Sequence[str] | None = None,
                          metric: str = "pr_auc", max_degradation: float = 0.15, score: str = "score",
-                         label: str = "label", ident: str = "transaction_id", seed: int = SEED) -> DataFrame:
-    base = _metric(df, metric, label, score)
+                         label: str = "label", ident: str = "transaction_id", seed: int = SEED,
+                         baseline: float | None = None) -> DataFrame:
+    base = _metric(df, metric, label, score) if baseline is None else baseline
     changed = perturbed_features(df.drop(score), _inputs(df, columns, label, score), rate, ident=ident, seed=seed)
     stressed = _metric(scorer(changed), metric, label, score)
     ok = _degradation(base, stressed) <= max_degradation
@@ -94,8 +97,9 @@ def blanked_features(df: DataFrame, columns: Sequence[str], rate: float = 0.2, *
 
 def missing_features(df: DataFrame, scorer: Scorer, rate: float = 0.2, *, columns: Sequence[str] | None = None,
                      metric: str = "pr_auc", max_degradation: float = 0.2, score: str = "score",
-                     label: str = "label", ident: str = "transaction_id", seed: int = SEED) -> DataFrame:
-    base = _metric(df, metric, label, score)
+                     label: str = "label", ident: str = "transaction_id", seed: int = SEED,
+                     baseline: float | None = None) -> DataFrame:
+    base = _metric(df, metric, label, score) if baseline is None else baseline
     changed = blanked_features(df.drop(score), _inputs(df, columns, label, score), rate, ident=ident, seed=seed)
     stressed = _metric(scorer(changed), metric, label, score)
     ok = _degradation(base, stressed) <= max_degradation
@@ -121,11 +125,17 @@ def class_imbalance(df: DataFrame, target: float = 0.01, *, metric: str = "recal
     return _result(df, "class_imbalance", f"Test with {target:.2%} positive rate", stressed >= min_performance, base, stressed, min_performance)
 
 
-def run_suite(df: DataFrame, scorer: Scorer, **kw) -> DataFrame:
-    """One result row per test."""
-    return (
-        label_noise(df, **kw)
-        .unionByName(feature_perturbation(df, scorer, **kw))
-        .unionByName(missing_features(df, scorer, **kw))
-        .unionByName(class_imbalance(df, **kw))
-    )
+def run_suite(df: DataFrame, scorer: Scorer, *, score: str = "score", label: str = "label", **kw) -> DataFrame:
+    """One result row per test. The scored table is stored while the tests read it."""
+    stored = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        kw = {"score": score, "label": label, **kw}
+        base = _metric(stored, "pr_auc", label, score)
+        return (
+            label_noise(stored, baseline=base, **kw)
+            .unionByName(feature_perturbation(stored, scorer, baseline=base, **kw))
+            .unionByName(missing_features(stored, scorer, baseline=base, **kw))
+            .unionByName(class_imbalance(stored, **kw))
+        )
+    finally:
+        stored.unpersist()

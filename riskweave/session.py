@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise into the reliable checkpoint folder; survives lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the table once into the shared folder and go on from the files.
+
+    The result no longer depends on what came before, so a lost executor costs a re-read.
+    """
+    path = f"{shared_root(df.sparkSession)}/riskweave-steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
