@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import one_if
 from .labels import between_dates
-from .scan import HOT_ROWS, exact_quantiles, running
+from .scan import HOT_ROWS, NO_HOT_GROUPS, exact_quantiles, has_hot_group, running
 
 EPS = 1e-10
 # fixed values: limits of the drift verdicts
@@ -168,6 +168,8 @@ def feature_drift(
     """One row per feature with at least ten current values: PSI, KS, both means and a severity."""
     columns = columns or drift_columns(reference, current)
     ref, cur = melt(reference, columns), melt(current, columns)
+    if min_rows != NO_HOT_GROUPS and not has_hot_group(_tagged(ref, cur), ["feature"], min_rows):
+        min_rows = NO_HOT_GROUPS  # one count settles it for every measure below
     means = _tagged(ref, cur).groupBy("feature").agg(
         F.avg(F.when(F.col("ref") == 1, F.col("value"))).alias("ref_mean"),
         F.avg(F.when(F.col("cur") == 1, F.col("value"))).alias("cur_mean"), F.sum("cur").alias("_n"),

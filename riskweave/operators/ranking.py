@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranked_hash
-from .scan import HOT_ROWS, running, value_at_rank
+from .scan import HOT_ROWS, NO_HOT_GROUPS, running, value_at_rank
 
 
 def score_ladder(
@@ -66,6 +66,8 @@ def precision_at_k(
     counts what lies above that point.
     """
     n = df.count()
+    if n <= min_rows:
+        min_rows = NO_HOT_GROUPS
     # fixed values: default review shares
     shares = [0.01, 0.05, 0.1, 0.2]
     ks = [int(n * s) for s in shares] if k_values is None else list(k_values)
