@@ -25,6 +25,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from riskweave.llm.ship import shipped
+
 SPACE = "▁"
 #: Words a worker remembers before it starts afresh.
 CACHED_WORDS = 500_000
@@ -184,7 +186,7 @@ def _codec(model) -> PieceBpe:
 
 def _broadcast_model(df: DataFrame, path: str):
     with open(path, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary: fixed size
+        return shipped(df).sparkSession.sparkContext.broadcast(f.read())  # the vocabulary: fixed size
 
 
 def encode_texts(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

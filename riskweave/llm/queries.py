@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat_format, merkle, piece_bpe, token_count, url_alias
+from riskweave.llm import chat_format, jaccard_join, merkle, piece_bpe, token_count, url_alias
 from riskweave.session import prepare
 
 #: Where the vocabulary file lies; a deployment names its own.
@@ -175,12 +175,17 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), MODEL_PATH)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op4_merkle_fingerprints": op4_merkle_fingerprints,
     "op5_url_filter": op5_url_filter,
     "op6_piece_bpe": op6_piece_bpe,
     "op8_token_count": op8_token_count,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE = {"op1_chat_format": OP1_SQL, "op5_url_filter": OP5_SQL}
