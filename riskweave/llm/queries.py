@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat_format, jaccard_join, merkle, piece_bpe, token_count, url_alias
+from riskweave.llm import chat_format, jaccard_join, merkle, piece_bpe, substring_dedup, token_count, url_alias
 from riskweave.session import prepare
 
 #: Where the vocabulary file lies; a deployment names its own.
@@ -91,6 +91,11 @@ FROM walked GROUP BY conv_id
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.fingerprint_edits(_table(spark, sf_dir, "documents"))
     own, edited, following = F.col("print"), F.col("edited_print"), F.col("next.print")
@@ -181,6 +186,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_merkle_fingerprints": op4_merkle_fingerprints,
     "op5_url_filter": op5_url_filter,
     "op6_piece_bpe": op6_piece_bpe,
