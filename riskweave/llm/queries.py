@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat_format, jaccard_join, merkle, piece_bpe, substring_dedup, token_count, url_alias
+from riskweave.llm import chat_format, jaccard_join, merkle, piece_bpe, substring_dedup, token_count, toxicity, url_alias
 from riskweave.session import prepare
 
 #: Where the vocabulary file lies; a deployment names its own.
@@ -180,6 +180,10 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), MODEL_PATH)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"))
 
@@ -191,6 +195,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_piece_bpe": op6_piece_bpe,
     "op8_token_count": op8_token_count,
+    "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
 

@@ -18,6 +18,8 @@ SLICE_BYTES = 3_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARKS = _SPACE.copy()
+_MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -52,6 +54,14 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     data: np.ndarray
+    sums: np.ndarray
+
+    def prefix_hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash) of the first ``size`` bytes of the words that are longer than that."""
+        at = np.flatnonzero(self.end - self.start > size)
+        start = self.start[at]
+        _, down = _powers(max(16, len(self.data).bit_length()))
+        return at, mix(mix((self.sums[start + size] - self.sums[start]) * down[start]) ^ np.uint64(size))
 
     @property
     def text_of(self) -> np.ndarray:
@@ -74,21 +84,21 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         at = to
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of texts (null: none), with A-Z lower-cased if asked for."""
+def split(texts: pa.Array, lower: bool = False, marks: bool = False) -> Words:
+    """Words of texts (null: none), with A-Z lower-cased if asked for; ``marks``: ASCII punctuation parts words too."""
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     whole = texts.buffers()[2]
     if whole is None or offsets[-1] == offsets[0]:
         none = np.zeros(0, dtype=np.int64)
-        return Words(np.zeros(n + 1, dtype=np.int64), none.astype(np.uint64), none, none, none.astype(np.uint8))
+        return Words(np.zeros(n + 1, dtype=np.int64), none.astype(np.uint64), none, none, none.astype(np.uint8), np.zeros(1, dtype=np.uint64))
     data = np.frombuffer(whole, dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     if texts.null_count:  # a null may have bytes below it
         keep = np.asarray(texts.is_valid())
         if np.any(np.diff(offsets)[~keep]):
-            return split(texts.fill_null(""), lower)
-    space = _SPACE[data]
+            return split(texts.fill_null(""), lower, marks)
+    space = (_MARKS if marks else _SPACE)[data]
     word = ~space
     first_byte = np.zeros(len(data) + 1, dtype=bool)
     first_byte[offsets] = True
@@ -103,4 +113,4 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(values, out=sums[1:])
     hashes = mix(mix((sums[end] - sums[start]) * down[start]) + (end - start).astype(np.uint64))
-    return Words(np.searchsorted(start, offsets), hashes, start, end, data)
+    return Words(np.searchsorted(start, offsets), hashes, start, end, data, sums)
