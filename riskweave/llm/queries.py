@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat_format, jaccard_join, merkle, piece_bpe, substring_dedup, token_count, toxicity, url_alias
+from riskweave.llm import chat_format, jaccard_join, merkle, nearest, piece_bpe, substring_dedup, token_count, toxicity, url_alias
 from riskweave.session import prepare
 
 #: Where the vocabulary file lies; a deployment names its own.
@@ -176,6 +176,10 @@ def piece_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), MODEL_PATH)
 
@@ -194,6 +198,7 @@ QUERIES = {
     "op4_merkle_fingerprints": op4_merkle_fingerprints,
     "op5_url_filter": op5_url_filter,
     "op6_piece_bpe": op6_piece_bpe,
+    "op7_nearest": op7_nearest,
     "op8_token_count": op8_token_count,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
