@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat_format, jaccard_join, merkle, nearest, piece_bpe, substring_dedup, token_count, toxicity, url_alias
+from riskweave.llm import chat_format, jaccard_join, merkle, mixing, nearest, piece_bpe, substring_dedup, token_count, toxicity, url_alias
 from riskweave.session import prepare
 
 #: Where the vocabulary file lies; a deployment names its own.
@@ -91,6 +91,26 @@ FROM walked GROUP BY conv_id
 """
 
 
+#: Target shares of tokens: language, and quality within each.
+TARGETS = {
+    f"{lang}/{quality}": share * part
+    for lang, share in (("en", 0.50), ("de", 0.20), ("fr", 0.18), ("es", 0.12))
+    for quality, part in ((1, 0.85), (0, 0.15))
+}
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rates of documents; labelled rows give language and quality as the domain."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    domain = F.concat_ws("/", "lang", "quality")
+    labelled = docs.select("doc_id", "lang").join(labels, "doc_id").filter("lang IS NOT NULL AND quality IS NOT NULL")
+    return mixing.mix_to_targets(docs, labelled.select("doc_id", domain.alias("domain")), TARGETS)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, _table(spark, sf_dir, "documents"), sf_dir)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -194,6 +214,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_merkle_fingerprints": op4_merkle_fingerprints,
     "op5_url_filter": op5_url_filter,

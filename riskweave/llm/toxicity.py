@@ -17,7 +17,7 @@ kinds nothing can be learned: every score is 0. Empty tables give empty tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm import words
+from riskweave.llm.mixing import vector_sums
 from riskweave.llm.ship import shipped
 from riskweave.session import cut_lineage
 
@@ -82,23 +83,6 @@ def _votes(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sums(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], list[np.ndarray]]) -> list[np.ndarray]:
-    """Sums over all tasks of the vectors that ``partial`` makes of each task's rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = partial(batches)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(vectors)), pa.int64()), pa.array([v.tobytes() for v in vectors], pa.binary())], ["i", "v"]
-        )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.float64) for x in table.column("v").to_pylist())
-        return pa.table({"i": table.column("i").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
-
-    found = rows.mapInArrow(run, "i long, v binary").groupBy("i").applyInArrow(add, "i long, v binary").collect()
-    return [np.frombuffer(bytes(r["v"]), dtype=np.float64) for r in sorted(found, key=lambda r: r["i"])]
-
-
 def mine_lexicon(labelled: DataFrame) -> tuple[np.ndarray, float]:
     """(entries, share of toxic rows) from rows (text, toxic): entries far more frequent in toxic texts."""
 
@@ -237,7 +221,7 @@ def fit_label_model(voted: DataFrame, voters: int, base: float) -> LabelModel:
                     two += (v * p[:, None]).T @ v
             return [one] if two is None else [one, *two]
 
-        found = _sums(voted.select("votes", "label"), partial)
+        found = vector_sums(voted.select("votes", "label"), partial)
         n, bad = found[0][:2]
         model.update(n, bad, found[0][2 : 2 + voters], found[0][2 + voters :])
         if last:
