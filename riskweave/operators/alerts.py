@@ -11,6 +11,15 @@ SEVERITIES = ("info", "warning", "critical")
 SOURCE = "riskweave"
 
 
+# --- fixed values: alert rows must carry these names and message texts --------------------------------
+DRIFT = ("drift_detected", "Drift detected in '%s': %.3f (threshold: %.3f)")
+PERFORMANCE = ("performance_degradation", "Performance degraded: %s=%.3f (min: %.3f)")
+QUALITY = ("data_quality_issue", "Data quality issue: ")
+LATENCY = ("latency_degradation", "Latency degraded: p99=%.1fms (target: %.1fms)")
+LATENCY_TARGET_MS = 50.0
+# ------------------------------------------------------------------------------------------
+
+
 def severity_rank(col: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), col)
 
@@ -26,32 +35,32 @@ def _alert(df: DataFrame, name: str, severity: Column, message: Column, as_of: d
 def drift_alerts(results: DataFrame, as_of: datetime) -> DataFrame:
     """One alert per drifting feature."""
     hit = results.filter(F.col("severity") != "none")
-    text = F.format_string("Drift detected in '%s': %.3f (threshold: %.3f)", "feature", "statistic", "threshold")
-    return _alert(hit, "drift_detected", F.col("severity"), text, as_of,
+    text = F.format_string(DRIFT[1], "feature", "statistic", "threshold")
+    return _alert(hit, DRIFT[0], F.col("severity"), text, as_of,
                   {"feature": F.col("feature"), "drift_value": F.col("statistic"), "threshold": F.col("threshold")})
 
 
 def performance_alerts(gates: DataFrame, as_of: datetime) -> DataFrame:
     """One alert per failed gate row (metric, value, minimum, passed)."""
     hit = gates.filter(~F.col("passed"))
-    text = F.format_string("Performance degraded: %s=%.3f (min: %.3f)", "metric", "value", "minimum")
-    return _alert(hit, "performance_degradation", F.lit("critical"), text, as_of,
+    text = F.format_string(PERFORMANCE[1], "metric", "value", "minimum")
+    return _alert(hit, PERFORMANCE[0], F.lit("critical"), text, as_of,
                   {"metric": F.col("metric"), "current_value": F.col("value"), "threshold": F.col("minimum")})
 
 
 def quality_alerts(checks: DataFrame, as_of: datetime) -> DataFrame:
     """One alert per failed contract check."""
     hit = checks.filter(~F.col("passed"))
-    text = F.concat(F.lit("Data quality issue: "), F.col("message"))
-    return _alert(hit, "data_quality_issue", F.lit("warning"), text, as_of,
+    text = F.concat(F.lit(QUALITY[1]), F.col("message"))
+    return _alert(hit, QUALITY[0], F.lit("warning"), text, as_of,
                   {"column": F.col("column"), "check": F.col("check"), "value": F.col("value")})
 
 
-def latency_alerts(summary: DataFrame, as_of: datetime, target_ms: float = 50.0) -> DataFrame:
+def latency_alerts(summary: DataFrame, as_of: datetime, target_ms: float = LATENCY_TARGET_MS) -> DataFrame:
     """One alert per latency summary row whose p99 is above the target."""
     hit = summary.filter(F.col("latency_p99_ms") > target_ms)
-    text = F.format_string("Latency degraded: p99=%.1fms (target: %.1fms)", F.col("latency_p99_ms"), F.lit(float(target_ms)))
-    return _alert(hit, "latency_degradation", F.lit("warning"), text, as_of,
+    text = F.format_string(LATENCY[1], F.col("latency_p99_ms"), F.lit(float(target_ms)))
+    return _alert(hit, LATENCY[0], F.lit("warning"), text, as_of,
                   {"current_p99_ms": F.col("latency_p99_ms"), "threshold_ms": F.lit(float(target_ms))})
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import errors as E
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,68 +35,83 @@ class Constraint:
         return parts[0].cast("double")
 
 
+@dataclass(frozen=True)
 class Range(Constraint):
-    """Minimum and maximum lie inside the bounds; nulls are ignored."""
+    """The smallest and the largest value lie between two inclusive bounds, either of which may be open; nulls do
+    not matter. Shown is the bound's offender: the smallest value if it is too small, else the largest."""
 
-    def __init__(self, min_val: float | None = None, max_val: float | None = None, severity: str = "error"):
-        self.min_val, self.max_val, self.severity = min_val, max_val, severity
-        self.name = f"range_{min_val}_{max_val}"
-        self.message = f"Values must be in range [{min_val}, {max_val}]"
+    low: float | None = None
+    high: float | None = None
+    severity: str = "error"
+
+    @property
+    def name(self) -> str:
+        shown = ["open" if x is None else f"{x}" for x in (self.low, self.high)]
+        return "within_" + "_to_".join(shown)
+
+    @property
+    def message(self) -> str:
+        return f"smallest or largest value outside {self.low} .. {self.high}"
 
     def measures(self, col):
         return [F.min(col), F.max(col)]
 
+    def _too_small(self, smallest: Column) -> Column:
+        return F.lit(False) if self.low is None else F.coalesce(smallest < self.low, F.lit(False))
+
     def passed(self, parts):
-        low = F.lit(True) if self.min_val is None else F.coalesce(parts[0] >= self.min_val, F.lit(True))
-        high = F.lit(True) if self.max_val is None else F.coalesce(parts[1] <= self.max_val, F.lit(True))
-        return low & high
+        too_large = F.lit(False) if self.high is None else F.coalesce(parts[1] > self.high, F.lit(False))
+        return ~(self._too_small(parts[0]) | too_large)
 
     def value(self, parts):
-        outside = F.lit(False) if self.min_val is None else F.coalesce(parts[0] < self.min_val, F.lit(False))
-        return F.when(outside, parts[0].cast("double")).otherwise(parts[1].cast("double"))
+        return F.when(self._too_small(parts[0]), parts[0]).otherwise(parts[1]).cast("double")
 
 
+@dataclass(frozen=True)
 class NotNull(Constraint):
-    """Share of nulls at most ``max_null_rate``; an empty table fails."""
+    """The share of nulls is at most ``share``; a table without rows fails."""
 
-    name = "not_null"
+    share: float = 0.0
+    severity: str = "error"
+    name = "filled"
 
-    def __init__(self, max_null_rate: float = 0.0, severity: str = "error"):
-        self.max_null_rate, self.severity = max_null_rate, severity
-        self.message = f"Null rate must be <= {max_null_rate}"
+    @property
+    def message(self) -> str:
+        return f"more than {self.share} of the values are missing"
 
     def measures(self, col):
         return [F.avg(one_if(col.isNull()).cast("double"))]
 
     def passed(self, parts):
-        return F.coalesce(parts[0] <= self.max_null_rate, F.lit(False))
+        return F.coalesce(parts[0] <= self.share, F.lit(False))
 
 
+@dataclass(frozen=True)
 class InSet(Constraint):
-    """Every non-null value is one of the allowed ones; the value is the count outside."""
+    """No value but those of ``known`` (nulls do not matter); shown is the number of others."""
 
-    name = "in_set"
+    known: Sequence = ()
+    severity: str = "error"
+    name = "known_value"
 
-    def __init__(self, allowed_values: Sequence, severity: str = "error"):
-        self.allowed = sorted(allowed_values)
-        self.severity = severity
-        self.message = f"Values must be in {self.allowed}"
+    @property
+    def message(self) -> str:
+        return f"values other than {', '.join(map(str, sorted(self.known)))}"
 
     def measures(self, col):
-        return [F.sum(one_if(col.isNotNull() & ~col.isin(*self.allowed)))]
+        return [F.count_if(col.isNotNull() & ~col.isin(*self.known))]
 
     def passed(self, parts):
-        return F.coalesce(parts[0] == 0, F.lit(True))
+        return parts[0] == 0
 
 
+@dataclass(frozen=True)
 class Unique(Constraint):
-    """As many distinct non-null values as rows, so a null fails; the value is the difference."""
+    """As many different values as rows, so a null fails; shown is the difference."""
 
-    name = "unique"
-    message = "Values must be unique"
-
-    def __init__(self, severity: str = "error"):
-        self.severity = severity
+    severity: str = "error"
+    name = "distinct"
+    message = "values occur twice or are missing"
 
     def measures(self, col):
         return [F.count(F.lit(1)) - F.count_distinct(col)]
@@ -133,6 +149,12 @@ _KINDS: dict[type, tuple] = {
     int: _INTEGERS,
     str: (T.StringType,),
 }
+#: What a check on unfit data or an unfit rule raises; anything else (a lost executor, a missing file) passes through.
+DATA_ERRORS = (
+    E.AnalysisException, E.ArithmeticException, E.ArrayIndexOutOfBoundsException, E.DateTimeException, E.IllegalArgumentException,
+    E.NumberFormatException, E.ParseException, E.PySparkTypeError, E.PySparkValueError, E.SparkRuntimeException,
+    ValueError, TypeError, LookupError, AttributeError, ArithmeticError,
+)
 RESULT = "contract string, column string, check string, severity string, passed boolean, value double, message string"
 
 
@@ -146,7 +168,7 @@ class DataContract:
 
     def _static_rows(self, df: DataFrame) -> list[tuple]:
         rows = [
-            (self.name, c, "required", "error", c in df.columns, None, f"Missing required columns: {c}")
+            (self.name, c, "required", "error", c in df.columns, None, f"{c}: no such column")
             for c in self.required_columns
         ]
         for c, kind in self.column_types.items():
@@ -154,7 +176,7 @@ class DataContract:
                 actual = df.schema[c].dataType
                 ok = isinstance(actual, _KINDS[kind])
                 rows.append((self.name, c, "type", "error", ok, None,
-                             f"Column '{c}' expected {kind.__name__}, got {actual.simpleString()}"))
+                             f"{c}: {actual.simpleString()} where {kind.__name__} is needed"))
         return rows
 
     def check(self, df: DataFrame) -> DataFrame:
@@ -174,7 +196,7 @@ class DataContract:
             if c not in df.columns:
                 continue
             for rule in rules:
-                message = F.lit(f"Column '{c}' failed constraint '{rule.name}': {rule.message}")
+                message = F.lit(f"{c} ({rule.name}): {rule.message}")
                 if isinstance(rule, Unique):
                     # a distinct count regroups by value, so it gets a job of its own
                     one = df.agg(*[m.alias(f"m{i}") for i, m in enumerate(rule.measures(F.col(c)))])
@@ -195,25 +217,40 @@ class DataContract:
                 plain.append(rule.compute(F.col(c)).cast("double"))
                 deferred.append(lambda m, at=at, rule=rule, c=c: row(
                     c, rule.name, rule.severity, rule.passed(m(at)), m(at),
-                    F.concat(F.lit(f"Anomaly detected in '{c}': {rule.name}="), F.format_string("%.4f", m(at)),
-                             F.lit(f" (threshold={rule.threshold})"))))
+                    F.concat(F.lit(f"{c}: {rule.name} is "), F.format_string("%.4f", m(at)), F.lit(f", limit {rule.threshold}"))))
         parts = [static, *distinct]
         if plain:
             wide = df.agg(*[p.alias(f"m{i}") for i, p in enumerate(plain)])
             parts.append(wide.select(F.inline(F.array(*[d(lambda i: F.col(f"m{i}")) for d in deferred]))))
         return reduce(DataFrame.unionByName, parts)
 
+    def _one_by_one(self, df: DataFrame) -> tuple[list, list[tuple[str, str]]]:
+        """Each check in a job of its own: a constraint that cannot be evaluated is one error, an anomaly check one
+        warning, and all others count."""
+        rows = list(DataContract(self.name, self.required_columns, self.column_types).check(df).collect())
+        broken: list[tuple[str, str]] = []
+        single = [("error", f"'{rule.name}' on column '{c}'", DataContract(self.name, constraints={c: [rule]}))
+                  for c, rules in self.constraints.items() for rule in rules]
+        single += [("warning", f"'{rule.name}'", DataContract(self.name, anomaly_checks=[rule])) for rule in self.anomaly_checks]
+        for severity, what, contract in single:
+            try:
+                rows += contract.check(df).collect()
+            except DATA_ERRORS as problem:
+                broken.append((severity, f"Contract '{self.name}' could not evaluate {what}: {str(problem).splitlines()[0]}"))
+        return rows, broken
+
     def validate(self, df: DataFrame) -> ValidationResult:
         """Run the checks; only the result rows, one per check, reach the driver."""
         try:
-            rows = self.check(df).collect()
-        except Exception as problem:  # a rule that cannot be evaluated is itself an error
-            return ValidationResult(False, [f"Contract '{self.name}' raised error: {problem}"])
+            rows, broken = self.check(df).collect(), []
+        except DATA_ERRORS:
+            rows, broken = self._one_by_one(df)
         stats: dict[str, object] = {"rows": df.count(), "columns": len(df.columns)}
         names = {a.name for a in self.anomaly_checks}
         stats |= {f"{r['column']}_{r['check']}": r["value"] for r in rows if r["check"] in names}
-        errors = [r["message"] for r in rows if not r["passed"] and r["severity"] == "error"]
-        warnings = [r["message"] for r in rows if not r["passed"] and r["severity"] != "error"]
+        failed = [(r["severity"], r["message"]) for r in rows if not r["passed"]] + broken
+        errors = [m for severity, m in failed if severity == "error"]
+        warnings = [m for severity, m in failed if severity != "error"]
         return ValidationResult(not errors, errors, warnings, stats)
 
 
@@ -229,6 +266,7 @@ def null_rate(threshold: float = 0.05) -> AnomalyCheck:
     return AnomalyCheck("null_rate", lambda c: F.avg(one_if(c.isNull()).cast("double")), threshold)
 
 
+# --- fixed values: names, columns, types, bounds and the null rate of the built-in contracts ----------
 TRANSACTION_CONTRACT = DataContract(
     name="transactions",
     required_columns=("transaction_id", "timestamp", "amount", "merchant_id", "merchant_category", "user_id"),
@@ -241,5 +279,6 @@ LABEL_CONTRACT = DataContract(
     name="labels",
     required_columns=("transaction_id", "is_fraud", "label_timestamp"),
     column_types={"is_fraud": int},
-    constraints={"transaction_id": [NotNull()], "is_fraud": [InSet([0, 1])]},
+    constraints={"transaction_id": [NotNull()], "is_fraud": [InSet((0, 1))]},
 )
+# ------------------------------------------------------------------------------------------

@@ -55,6 +55,7 @@ def _trigger(df: DataFrame, prefix: str, reason: str, violated: Column, snapshot
     )
 
 
+# The texts below (``name=value < limit`` and the like) are fixed values: trigger rows must carry them.
 def _join_violations(parts: list[Column]) -> Column:
     return F.concat_ws("; ", F.array_compact(F.array(*parts)))
 

@@ -7,10 +7,11 @@ into one projection.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,8 +194,31 @@ def rules_from_config(items: Sequence[Mapping[str, str]]) -> tuple[Rule, ...]:
     )
 
 
+def unresolved(df: DataFrame, rules: RuleSet) -> list[str]:
+    """Names of rules whose condition does not fit the table (an absent column, a wrong type, no valid SQL)."""
+    row, names = Row(df.columns), []
+    for rule in rules.rules:
+        try:
+            df.select(rule.fires(row)).schema  # resolves the expression; no job
+        except AnalysisException:
+            names.append(rule.name)
+    return names
+
+
+def bind(df: DataFrame, rules: RuleSet) -> RuleSet:
+    """The set without the rules that do not fit the table; each is reported as a warning and never fires.
+
+    Errors that depend on values (a bad cast) are left to the condition: write ``try_cast`` and its like.
+    """
+    skipped = set(unresolved(df, rules))
+    for name in sorted(skipped):
+        warnings.warn(f"rule {name!r} does not fit the table and is skipped", stacklevel=3)
+    return replace(rules, rules=tuple(r for r in rules.rules if r.name not in skipped)) if skipped else rules
+
+
 def check_before_score(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Add ``triggered``, ``rule_name``, ``action`` and ``reason`` of the early rules."""
+    rules = bind(df, rules)
     first = rules.before_score(df.columns)
     return df.withColumn("_v", first).select(
         *df.columns, F.col("_v").isNotNull().alias("triggered"), F.col("_v.rule_name").alias("rule_name"),
@@ -204,12 +228,8 @@ def check_before_score(df: DataFrame, rules: RuleSet) -> DataFrame:
 
 def decide(df: DataFrame, rules: RuleSet, score: str = "score", kind: str = "transaction_type") -> DataFrame:
     """Add rule_name, action, challenge_type and reason from late rules and the score."""
-    return df.withColumn("_v", rules.decide(F.col(score), df.columns, kind)).select(*df.columns, "_v.*")
+    return df.withColumn("_v", bind(df, rules).decide(F.col(score), df.columns, kind)).select(*df.columns, "_v.*")
 
 
 def triggered_rules(df: DataFrame, rules: RuleSet) -> DataFrame:
-    return df.withColumn("triggered_rules", rules.fired(df.columns))
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    return df.withColumn("triggered_rules", bind(df, rules).fired(df.columns))

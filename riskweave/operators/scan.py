@@ -1,25 +1,25 @@
 """Running aggregates that stay parallel when one group holds most of the rows.
 
 A window over ``partitionBy(key)`` puts a whole group in one task. Here groups above
-``min_rows`` are cut along their order column at approximate quantiles, the slices are
-scanned in parallel, and each slice receives the total of the slices before it. Ordinary
-groups keep the plain window, so the usual case costs one shuffle.
+``min_rows`` are cut along their order column at approximate quantiles of their own, the slices
+are scanned in parallel, and each slice receives the total of the slices before it. Slices that
+are still too large are cut again, so there is no most number of groups or slices. Ordinary groups
+keep the plain window, so the usual case costs one shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Groups beyond this size are sliced.
 HOT_ROWS = 1_000_000
-# At most this many groups are sliced: any group outside the largest 1,024 holds less than
-# 1/1,024 of the rows.
-MAX_HOT_GROUPS = 1_024
-MAX_SLICES = 1_024
+# Slices one round of cutting makes of a group; the next round cuts what is still too large.
+FAN = 64
 
 # Given as ``min_rows`` where a caller has already ruled hot groups out: nothing is probed.
 NO_HOT_GROUPS = -1
@@ -55,67 +55,64 @@ def slice_hot_groups(
     min_rows: int = HOT_ROWS,
     probe: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Tag rows with ``_sl_key`` (key hash), ``_sl_gid`` (hot group number) and ``_sl_no``.
+    """Tag rows with ``_sl_key`` (key hash), ``_sl_gid`` (a second hash of a hot group) and ``_sl_no``.
 
     ``_sl_gid`` and ``_sl_no`` are -1 for ordinary groups. Returns None when no group is hot.
     Rows with equal ``slice_on`` always share a slice. ``_sl_key`` keeps joins on null keys safe.
     ``probe`` is a cheaper frame with the same keys and order column, from which group sizes
-    and cut points are taken instead of ``df``.
+    and cut points are taken instead of ``df``. Cut points stay in tables: one row a hot group.
     """
     if min_rows == NO_HOT_GROUPS:
         return None
     probe = df if probe is None else probe
-    sizes = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sl_n")).filter(F.col("_sl_n") > min_rows)
-    hot = sizes.orderBy(F.desc("_sl_n")).limit(MAX_HOT_GROUPS)
-    rows = hot.collect()
-    if not rows:
+    if not has_hot_group(probe, keys, min_rows):
         return None
-    spark = df.sparkSession
-    fields = [f"_sl_h{i}" for i in range(len(keys))]
-    listing = spark.createDataFrame(
-        [tuple(r)[:-1] + (i,) for i, r in enumerate(rows)],
-        schema=_hot_schema(hot, keys, fields),
-    )
-    match = F.lit(True)
-    for key, field in zip(keys, fields):
-        match = match & F.col(key).eqNullSafe(F.col(field))
-
-    def tag(frame: DataFrame) -> DataFrame:
-        return (
-            frame.join(F.broadcast(listing), match, "left")  # at most MAX_HOT_GROUPS rows
-            .drop(*fields)
-            .withColumns(
-                {
-                    "_sl_gid": F.coalesce("_sl_gid", F.lit(-1)),
-                    "_sl_key": F.xxhash64(*keys),
-                    "_sl_at": F.col(slice_on).cast("double"),
-                }
-            )
+    names = {
+        "_sl_key": F.xxhash64(*keys),
+        "_sl_gid": F.xxhash64(F.lit("group"), *keys).bitwiseAND(F.lit((1 << 62) - 1)),
+        "_sl_no": F.lit(0).cast("long"),
+    }
+    tagged = df.withColumns({**names, "_sl_at": F.col(slice_on).cast("double")})
+    points = probe.select(*[c.alias(n) for n, c in names.items()], F.col(slice_on).cast("double").alias("_sl_at"))
+    part = ["_sl_key", "_sl_gid", "_sl_no"]
+    steps = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
+    first = True
+    while True:
+        sizes = points.groupBy(*part).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_sl_at").alias("_lo"), F.max("_sl_at").alias("_hi"),
+            F.percentile_approx("_sl_at", steps, F.lit(16 * FAN)).alias("_q"),
+        )
+        # a slice of one instant cannot be cut further
+        large = sizes.filter((F.col("_n") > min_rows) & (F.col("_hi") > F.col("_lo")))
+        if not first and large.isEmpty():
+            break
+        # as many slices as the size asks for; the lowest point is no cut, as rows equal to a cut lie behind it
+        wanted = F.least(F.lit(FAN), F.ceil(F.col("_n") / F.lit(max(1, min_rows))))
+        picked = F.filter(F.col("_q"), lambda q, i: F.floor((i + 1) * wanted / FAN) > F.floor(i * wanted / FAN))
+        cuts = F.filter(F.array_sort(F.array_distinct(picked)), lambda q: q > F.col("_lo"))
+        cuts = F.when(F.size(cuts) > 0, cuts).otherwise(F.array("_hi"))
+        # only groups that are hot as a whole keep a group name
+        hot = cut_lineage(large.select(*part, cuts.alias("_cuts"))) if not first else cut_lineage(
+            sizes.filter(F.col("_n") > min_rows).select(*part, F.when(F.col("_hi") > F.col("_lo"), cuts).alias("_cuts"))
         )
 
-    tagged = tag(df)
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(8, min(MAX_SLICES, shuffle))
-    cuts = tag(probe).filter("_sl_gid >= 0").approxQuantile(
-        "_sl_at", [i / wanted for i in range(1, wanted)], 1.0 / (4 * wanted)
-    )
-    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(edges) < 3:
-        return tagged.withColumn("_sl_no", F.lit(0.0)).drop("_sl_at")
-    bucketed = Bucketizer(
-        splits=edges, inputCol="_sl_at", outputCol="_sl_no", handleInvalid="keep"
-    ).transform(tagged)
-    return bucketed.withColumn(
-        "_sl_no", F.when(F.col("_sl_gid") >= 0, F.col("_sl_no")).otherwise(F.lit(-1.0))
-    ).drop("_sl_at")
-
-
-def _hot_schema(hot: DataFrame, keys: Sequence[str], fields: Sequence[str]):
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    types = {f.name: f.dataType for f in hot.schema.fields}
-    out = [StructField(f, types[k], True) for k, f in zip(keys, fields)]
-    return StructType([*out, StructField("_sl_gid", IntegerType(), False)])
+        def cut(frame: DataFrame, hot=hot, first=first) -> DataFrame:
+            joined = frame.join(hot.withColumn("_sl_hot", F.lit(True)), part, "left")
+            inside = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= F.col("_sl_at")))
+            no = F.col("_sl_no") * (FAN + 1) + inside
+            if first:
+                is_hot = F.coalesce("_sl_hot", F.lit(False))
+                joined = joined.withColumns({
+                    "_sl_no": F.when(is_hot, no).otherwise(F.lit(-1)).cast("long"),
+                    "_sl_gid": F.when(is_hot, F.col("_sl_gid")).otherwise(F.lit(-1)).cast("long"),
+                })
+            else:
+                joined = joined.withColumn("_sl_no", F.when(F.col("_sl_gid") >= 0, no).otherwise(F.col("_sl_no")).cast("long"))
+            return joined.drop("_cuts", "_sl_hot")
+
+        tagged, points = cut(tagged), cut(points).filter("_sl_gid >= 0")
+        first = False
+    return tagged.drop("_sl_at")
 
 
 def running(

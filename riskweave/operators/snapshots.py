@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guarded_ratio, micros, one_if
+from .scan import HOT_ROWS, running
 
 KEY = ["entity_type", "entity_id"]
 DEFAULT_TTL = 3600
 
 
-def latest_snapshots(snapshots: DataFrame) -> DataFrame:
-    """The row written last per entity; aggregated map-side, so hot entities are no problem."""
-    rest = [c for c in snapshots.columns if c not in KEY]
-    return snapshots.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.col("timestamp")).alias("_r")).select(*KEY, "_r.*")
+def _order(columns, written: str | None) -> list[Column]:
+    """Time, then the order of writing if there is one, then the content, so equal times have one result."""
+    rest = [F.col(c) for c in ([written] if written else [])]
+    return [F.col("timestamp"), *rest, F.xxhash64(F.to_json(F.struct(*sorted(c for c in columns if c not in KEY))))]
 
 
-def snapshot_lookup(requests: DataFrame, snapshots: DataFrame, as_of: str = "as_of") -> DataFrame:
-    """Requests plus ``features`` and ``hit``: the latest snapshot of the entity, if still alive
-    (as_of <= timestamp + ttl)."""
-    latest = latest_snapshots(snapshots).select(
-        *KEY, F.col("features").alias("_f"), F.col("timestamp").alias("_at"), F.col("ttl_seconds").alias("_ttl")
+def latest_snapshots(snapshots: DataFrame, written: str | None = None) -> DataFrame:
+    """The row written last per entity; aggregated map-side, so hot entities are no problem."""
+    rest = [c for c in snapshots.columns if c not in KEY]
+    last = F.max_by(F.struct(*rest), F.struct(*_order(snapshots.columns, written)))
+    return snapshots.groupBy(*KEY).agg(last.alias("_r")).select(*KEY, "_r.*")
+
+
+def snapshot_lookup(
+    requests: DataFrame, snapshots: DataFrame, as_of: str = "as_of", *, written: str | None = None, min_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Requests plus ``features`` and ``hit``: the latest snapshot of the entity written up to ``as_of``, if
+    still alive then (as_of <= timestamp + ttl). Later snapshots are never seen.
+
+    Requests and snapshot times are swept together, hot entities in slices; the snapshot found is then fetched by
+    entity and time.
+    """
+    rest = [c for c in snapshots.columns if c not in (*KEY, "timestamp")]
+    last = F.max_by(F.struct(*rest), F.struct(*_order(snapshots.columns, written)[1:]))
+    stored = snapshots.filter("timestamp IS NOT NULL").groupBy(*KEY, "timestamp").agg(last.alias("_r")).select(
+        *KEY, micros("timestamp").alias("_at"), F.col("_r.features").alias("_f"), F.col("_r.ttl_seconds").alias("_ttl")
     )
-    alive = micros(as_of) <= micros("_at") + F.col("_ttl") * F.lit(1_000_000)
-    joined = requests.join(latest, KEY, "left")
-    hit = F.coalesce(alive, F.lit(False))
-    return joined.select(*requests.columns, F.when(hit, F.col("_f")).alias("features"), hit.alias("hit"))
+    asked = requests.select(*KEY, micros(as_of).alias("_us"), F.lit(1).alias("_asked"), F.struct(*requests.columns).alias("_row"))
+    points = asked.unionByName(stored.select(*KEY, F.col("_at").alias("_us"), F.lit(0).alias("_asked")), allowMissingColumns=True)
+    found = running(
+        points, KEY, "_us", {"_at": ("max", F.when(F.col("_asked") == 0, F.col("_us")))}, ties=["_asked"], include_current=True,
+        min_rows=min_rows, probe=points.select(*KEY, "_us"),
+    ).filter("_asked = 1").select(*KEY, "_us", "_at", "_row")
+    joined = found.join(stored, [*KEY, "_at"], "left")
+    hit = F.coalesce(F.col("_us") <= F.col("_at") + F.col("_ttl") * F.lit(1_000_000), F.lit(False))
+    return joined.select("_row.*", F.when(hit, F.col("_f")).alias("features"), hit.alias("hit"))
 
 
 def hit_statistics(looked_up: DataFrame, groups=()) -> DataFrame:
@@ -42,12 +63,13 @@ def store_size(snapshots: DataFrame) -> DataFrame:
 
 
 def upsert(snapshots: DataFrame, changes: DataFrame) -> DataFrame:
-    """Last write per entity wins; a change without a time to live gets the default."""
+    """Last write per entity wins, the change at equal times; a change without a time to live gets the default."""
     filled = changes.withColumn(
         "ttl_seconds",
         F.coalesce(F.col("ttl_seconds"), F.lit(DEFAULT_TTL)) if "ttl_seconds" in changes.columns else F.lit(DEFAULT_TTL),
     )
-    return latest_snapshots(snapshots.unionByName(filled.select(*snapshots.columns)))
+    both = snapshots.withColumn("_w", F.lit(0)).unionByName(filled.select(*snapshots.columns, F.lit(1).alias("_w")))
+    return latest_snapshots(both, "_w").drop("_w")
 
 
 def delete(snapshots: DataFrame, keys: DataFrame) -> DataFrame:

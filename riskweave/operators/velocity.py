@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bounded, guarded_ratio, micros, seconds_to_micros
+from ..functions import bounded, guarded_ratio, micros, nan_to_null, seconds_to_micros
 from .scan import HOT_ROWS, NO_HOT_GROUPS, cluster_by, has_hot_group, running, with_neighbours
 
 HOUR = 3600
@@ -54,7 +54,7 @@ def trailing(
     held = _EXACT if digits is None else "bigint"
     measures: dict[str, tuple[Column, str]] = {}  # name -> (value per event, type it is held in)
     for name, c in (sums or {}).items():
-        value = c.cast("double") if digits is not None else c
+        value = nan_to_null(c.cast("double")) if digits is not None else c
         scaled = F.round(value * F.lit(float(10**digits))) if digits is not None else value
         measures[name] = (scaled.cast(held), held)
     for name, c in (tallies or {}).items():
@@ -141,10 +141,10 @@ def trailing_max(
     name: str,
     *,
     ts: str = "timestamp",
-    ident: str = "transaction_id",
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``ident`` plus ``{name}_{w}``: the largest value in [t-w, t), 0 when it is empty.
+    """``key``, ``ts`` and ``{name}_{w}``: the largest value in [t-w, t), 0 when it is empty, for every instant of
+    every entity (rows at one instant share it, whatever their ids).
 
     Time is cut into blocks of the window's own length. A window then covers the end of one
     block and the start of the next: the start is a running maximum over entries, the end is a
@@ -157,12 +157,10 @@ def trailing_max(
     for j, (_, span) in enumerate(spans):
         moves.append(F.struct(F.lit(j).alias("_win"), F.col("_us").alias("_at"), F.lit(1).alias("_kind"), F.lit(span).alias("_span")))
         moves.append(F.struct(F.lit(j).alias("_win"), (F.col("_us") + F.lit(span)).alias("_at"), F.lit(0).alias("_kind"), F.lit(span).alias("_span")))
-    source = df.select(
-        F.col(key).alias("_key"), F.col(ident).alias("_id"), F.col(value).alias("_v"), micros(ts).alias("_us")
-    )
-    if min_rows == NO_HOT_GROUPS:
-        source = cluster_by(source, "_key")
-    points = source.select("_key", "_id", "_v", F.inline(F.array(*moves)))
+    # equal instants are combined before they multiply
+    source = df.groupBy(F.col(key).alias("_key"), F.col(ts).alias("_ts")).agg(F.max(nan_to_null(F.col(value).cast("double"))).alias("_v"))
+    source = source.withColumn("_us", micros("_ts"))
+    points = source.select("_key", "_ts", "_v", F.inline(F.array(*moves)))
     points = points.withColumn("_block", F.floor(F.col("_at") / F.col("_span")))
     part = ["_key", "_win", "_block"]
     entering = F.when(F.col("_kind") == 1, F.col("_v"))
@@ -176,7 +174,7 @@ def trailing_max(
     picked = [
         F.max(F.when(F.col("_win") == j, best)).alias(f"{name}_{w}") for j, (w, _) in enumerate(spans)
     ]
-    return back.filter("_kind = 1").groupBy(F.col("_id").alias(ident)).agg(*picked)
+    return back.filter("_kind = 1").groupBy(F.col("_key").alias(key), F.col("_ts").alias(ts)).agg(*picked)
 
 
 def windowed_features(
@@ -269,7 +267,9 @@ def velocity_grid(
     }
     out = out.withColumns(extra)
     peaks = trailing_max(df, "user_id", windows, "amount", "amount_max", min_rows=min_rows)
-    return out.join(peaks, "transaction_id")
+    peaks = peaks.withColumnsRenamed({"user_id": "_pu", "timestamp": "_pt"})
+    same = out["user_id"].eqNullSafe(peaks["_pu"]) & out["timestamp"].eqNullSafe(peaks["_pt"])
+    return out.join(peaks, same).drop("_pu", "_pt")
 
 
 def rolling_amount_profile(
@@ -301,7 +301,7 @@ def user_history(df: DataFrame, *, min_rows: int = HOT_ROWS) -> DataFrame:
         "_us",
         {
             "_cnt": ("sum", F.lit(1)),
-            "_amt": ("sum", F.coalesce(F.col("amount").cast(_EXACT), F.lit(0).cast(_EXACT))),
+            "_amt": ("sum", F.coalesce(nan_to_null(F.col("amount").cast("double")).cast(_EXACT), F.lit(0).cast(_EXACT))),
             "_last": ("max", F.col("_us")),
             "_first": ("min", F.col("_us")),
         },

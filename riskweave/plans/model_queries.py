@@ -36,7 +36,7 @@ def feature_importance(spark, sf_dir):
 
 def embeddings_lookup(spark, sf_dir):
     t = transactions(spark, sf_dir).select("transaction_id", "user_id", "merchant_id", "device_id")
-    return embeddings.fit_embeddings(t, user_dim=8, merchant_dim=4, device_dim=4).features(t)
+    return embeddings.fit_embeddings(t).features(t)
 
 
 def label_noise(spark, sf_dir):

@@ -29,12 +29,12 @@ def _contract_sql():
         "SELECT 'transactions', 'merchant_id', 'type', 'error', true, NULL::DOUBLE",
         "SELECT 'transactions', 'user_id', 'type', 'error', false, NULL::DOUBLE",
         "SELECT 'labels', 'is_fraud', 'type', 'error', true, NULL::DOUBLE",
-        "SELECT 'transactions', 'transaction_id', 'unique', 'error', count(DISTINCT transaction_id) = count(*), (count(*) - count(DISTINCT transaction_id))::DOUBLE FROM txn",
-        "SELECT 'transactions', 'amount', 'range_0_100000', 'error', min(amount*300) >= 0 AND max(amount*300) <= 100000, "
+        "SELECT 'transactions', 'transaction_id', 'distinct', 'error', count(DISTINCT transaction_id) = count(*), (count(*) - count(DISTINCT transaction_id))::DOUBLE FROM txn",
+        "SELECT 'transactions', 'amount', 'within_0_to_100000', 'error', min(amount*300) >= 0 AND max(amount*300) <= 100000, "
         "round(CASE WHEN min(amount*300) < 0 THEN min(amount*300) ELSE max(amount*300) END, 6) FROM txn",
-        "SELECT 'transactions', 'timestamp', 'not_null', 'error', avg((\"timestamp\" IS NULL)::INT) <= 0, avg((\"timestamp\" IS NULL)::INT) FROM txn",
-        "SELECT 'labels', 'transaction_id', 'not_null', 'error', avg((transaction_id IS NULL)::INT) <= 0, avg((transaction_id IS NULL)::INT) FROM lab",
-        "SELECT 'labels', 'is_fraud', 'in_set', 'error', count(*) FILTER (is_fraud NOT IN (0, 1)) = 0, count(*) FILTER (is_fraud NOT IN (0, 1))::DOUBLE FROM lab",
+        "SELECT 'transactions', 'timestamp', 'filled', 'error', avg((\"timestamp\" IS NULL)::INT) <= 0, avg((\"timestamp\" IS NULL)::INT) FROM txn",
+        "SELECT 'labels', 'transaction_id', 'filled', 'error', avg((transaction_id IS NULL)::INT) <= 0, avg((transaction_id IS NULL)::INT) FROM lab",
+        "SELECT 'labels', 'is_fraud', 'known_value', 'error', count(*) FILTER (is_fraud NOT IN (0, 1)) = 0, count(*) FILTER (is_fraud NOT IN (0, 1))::DOUBLE FROM lab",
     ]
     for c in ("transaction_id", "amount", "merchant_id", "merchant_category", "user_id", "device_type"):
         rows.append(f"SELECT 'transactions', '{c}', 'null_rate', 'warning', avg(({c} IS NULL)::INT) <= 0.05, round(avg(({c} IS NULL)::INT), 6) FROM txn")

@@ -280,6 +280,9 @@ def user_dimension(spark, sf_dir):
 USER_DIMENSION = "WITH " + TXN_SQL + " SELECT transaction_id, c_mktsegment, c_nationkey FROM txn LEFT JOIN customer ON c_custkey = user_id"
 
 
+_MONTH_START = 1_704_067_200_000_000  # 2024-01-01
+
+
 def _snapshots(spark, sf_dir):
     t = transactions(spark, sf_dir)
     snaps = t.select(
@@ -289,7 +292,8 @@ def _snapshots(spark, sf_dir):
     )
     requests = table(spark, sf_dir, "customer").select(
         F.lit("user").alias("entity_type"), F.col("c_custkey").cast("string").alias("entity_id"), "c_mktsegment",
-        F.lit("2024-01-30 12:00:00").cast("timestamp").alias("as_of"),
+        # spread over the month, so that most requests have snapshots still to come
+        F.timestamp_micros(F.lit(_MONTH_START) + F.pmod(F.col("c_custkey") * 37, F.lit(720)) * F.lit(_HOUR_US)).alias("as_of"),
     )
     return snapshots.snapshot_lookup(requests, snaps)
 
@@ -298,10 +302,9 @@ def snapshot_lookup(spark, sf_dir):
     return _snapshots(spark, sf_dir).select("entity_id", "hit", F.element_at("features", "amount").alias("amount"))
 
 
-_SNAP = TXN_SQL + """, last AS (SELECT user_id, arg_max(amount, us) AS amount, max(us) AS us, arg_max(3600 * (1 + transaction_id % 48), us) AS ttl
-  FROM txn GROUP BY user_id),
-found AS (SELECT c_custkey::VARCHAR AS entity_id, c_mktsegment, coalesce(epoch_us(TIMESTAMP '2024-01-30 12:00:00') <= us + ttl * 1000000, false) AS hit, amount
-  FROM customer LEFT JOIN last ON user_id = c_custkey)"""
+_SNAP = TXN_SQL + f""", asked AS (SELECT c_custkey, c_mktsegment, {_MONTH_START} + (c_custkey * 37 % 720) * {_HOUR_US} AS at FROM customer),
+found AS (SELECT c_custkey::VARCHAR AS entity_id, c_mktsegment, coalesce(at <= us + 3600 * (1 + transaction_id % 48) * 1000000, false) AS hit, amount
+  FROM asked ASOF LEFT JOIN txn ON user_id = c_custkey AND at >= us)"""
 SNAPSHOT_LOOKUP = "WITH " + _SNAP + " SELECT entity_id, hit, CASE WHEN hit THEN amount END AS amount FROM found"
 
 
@@ -313,6 +316,22 @@ SNAPSHOT_HIT_RATE = "WITH " + _SNAP + """ SELECT c_mktsegment, count(*) FILTER (
   round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM found GROUP BY 1"""
 
 
+def snapshot_upsert(spark, sf_dir):
+    """Snapshots written twice at equal times: the change wins; entities of the third user go."""
+    t = transactions(spark, sf_dir).select(
+        F.lit("user").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"),
+        F.create_map(F.lit("amount"), F.col("amount")).alias("features"), "timestamp", F.lit(60).alias("ttl_seconds"), "transaction_id",
+    )
+    changes = t.filter("transaction_id % 2 = 0").withColumn("features", F.create_map(F.lit("amount"), F.lit(-1.0)))
+    gone = t.filter("entity_id = '3'").select("entity_type", "entity_id")
+    kept = snapshots.delete(snapshots.upsert(t.drop("transaction_id"), changes.drop("ttl_seconds", "transaction_id")), gone)
+    return kept.select("entity_id", "ttl_seconds", F.element_at("features", "amount").alias("amount"), F.unix_micros("timestamp").alias("us"))
+
+
+SNAPSHOT_UPSERT = "WITH " + TXN_SQL + """ SELECT user_id::VARCHAR AS entity_id, CASE WHEN arg_max(transaction_id, us) % 2 = 0 THEN 3600 ELSE 60 END::INT AS ttl_seconds,
+  CASE WHEN arg_max(transaction_id, us) % 2 = 0 THEN -1.0 ELSE arg_max(amount, us) END AS amount, max(us) AS us FROM txn WHERE user_id <> 3 GROUP BY user_id"""
+
+
 def category_ranking(spark, sf_dir):
     cats = features.fit_categories(transactions(spark, sf_dir), "merchant_id", 20)
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(cats)], "position int, category string")
@@ -328,7 +347,7 @@ QUERIES = {
     "user_history": user_history, "rolling_amount": rolling_amount, "devices_last_30d": devices_last_30d,
     "shared_devices": shared_devices, "merchant_rates": merchant_rates, "entity_frequency": entity_frequency,
     "cooccurrence": cooccurrence, "list_flags": list_flags, "user_dimension": user_dimension,
-    "snapshot_lookup": snapshot_lookup, "snapshot_hit_rate": snapshot_hit_rate, "category_ranking": category_ranking,
+    "snapshot_lookup": snapshot_lookup, "snapshot_hit_rate": snapshot_hit_rate, "snapshot_upsert": snapshot_upsert, "category_ranking": category_ranking,
 }
 ORACLE = {
     "velocity_windows": VELOCITY_WINDOWS, "velocity_ratios": VELOCITY_RATIOS, "user_baseline": USER_BASELINE,
@@ -336,5 +355,5 @@ ORACLE = {
     "user_history": USER_HISTORY, "rolling_amount": ROLLING_AMOUNT, "devices_last_30d": DEVICES_LAST_30D,
     "shared_devices": SHARED_DEVICES, "merchant_rates": MERCHANT_RATES, "entity_frequency": ENTITY_FREQUENCY,
     "cooccurrence": COOCCURRENCE, "list_flags": LIST_FLAGS, "user_dimension": USER_DIMENSION,
-    "snapshot_lookup": SNAPSHOT_LOOKUP, "snapshot_hit_rate": SNAPSHOT_HIT_RATE, "category_ranking": CATEGORY_RANKING,
+    "snapshot_lookup": SNAPSHOT_LOOKUP, "snapshot_hit_rate": SNAPSHOT_HIT_RATE, "snapshot_upsert": SNAPSHOT_UPSERT, "category_ranking": CATEGORY_RANKING,
 }

@@ -35,7 +35,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own; executors of a
+    cluster could not see such a folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -44,6 +45,8 @@ def shared_root(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskweave-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..session import prepare
 from ..sources.messages import to_messages
@@ -44,8 +45,41 @@ def write_memory(df: DataFrame, name: str, checkpoint: str | None = None):
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
+class RunCounters(StreamingQueryListener):
+    """Rows and time of all triggers of one query's whole run; register with ``spark.streams.addListener``.
+
+    With ``max_events`` the query is stopped once it has processed as many (after the micro-batch that reaches it).
+    """
+
+    def __init__(self, query=None, max_events: int | None = None):
+        self.query, self.max_events = query, max_events
+        self.processed, self.total_latency_ms = 0, 0.0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if self.query is not None and str(progress.runId) != str(self.query.runId):
+            return
+        self.processed += int(progress.numInputRows)
+        self.total_latency_ms += float(dict(progress.durationMs).get("triggerExecution", 0))
+        if self.query is not None and self.max_events is not None and self.processed >= self.max_events:
+            self.query.stop()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def summary(self) -> dict[str, float]:
+        mean = self.total_latency_ms / self.processed if self.processed else 0.0
+        return {"processed": self.processed, "total_latency_ms": self.total_latency_ms, "avg_latency_ms": mean}
+
+
 def progress(query) -> dict[str, float]:
-    """Rows processed and time spent, summed over the recent triggers."""
+    """Rows processed and time spent in the recent triggers; ``RunCounters`` covers the whole run."""
     seen = query.recentProgress
     rows = sum(int(p["numInputRows"]) for p in seen)
     ms = sum(int(p["durationMs"].get("triggerExecution", 0)) for p in seen)

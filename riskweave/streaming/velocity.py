@@ -65,8 +65,11 @@ def velocity_stream(
     """Start the loop: read velocity, score, emit, record. Returns the streaming query.
 
     ``score`` turns the batch with velocity columns into the output rows. Events older than the
-    newest event seen so far minus ``lateness`` go to ``late_path`` instead.
+    newest event seen so far minus ``lateness`` go to ``late_path`` instead (``{output_path}-late``
+    unless named): every row in is a row out or a late row. Recorded days that no event in time can
+    reach any more are removed from the history.
     """
+    late_path = late_path or f"{output_path}-late"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -85,10 +88,13 @@ def velocity_stream(
             if score is not None:
                 out = score(out)
             out.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
-            if late is not None and late_path is not None:
+            if late is not None:
                 late.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
             recorded = rows.select(*NEEDED, F.to_date("timestamp").alias("day"))
             recorded.write.mode("overwrite").partitionBy("day").parquet(f"{history_path}/batch_id={batch_id}")
+            top = max(t for t in (newest, bounds["hi"]) if t is not None)
+            spark.createDataFrame([(top,)], "newest timestamp").write.mode("overwrite").parquet(f"{history_path}-newest/batch_id={batch_id}")
+            _prune(spark, history_path, batch_id, (top - lateness - KEEP).date())
         finally:
             batch.unpersist()
 
@@ -96,18 +102,39 @@ def velocity_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _newest(spark: SparkSession, path: str, before_batch: int):
-    """The newest recorded event time; reads only the last recorded day."""
+def _listed(spark: SparkSession, path: str):
+    """(file system, folders) directly below a folder; none if it does not exist."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    days: list[str] = []
-    for b in fs.listStatus(root):
-        name = b.getPath().getName()
-        if name.startswith("batch_id=") and int(name.split("=")[1]) < before_batch:
-            days += [d.getPath().getName()[4:] for d in fs.listStatus(b.getPath()) if d.getPath().getName().startswith("day=")]
-    if not days:
-        return None
-    last = spark.read.parquet(path).filter((F.col("batch_id") < before_batch) & (F.col("day") == F.lit(max(days)).cast("date")))
-    return last.agg(F.max("timestamp")).first()[0]
+    return fs, [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def _batches(paths) -> list:
+    """(batch number, folder), newest first."""
+    named = [(int(p.getName().split("=")[1]), p) for p in paths if p.getName().startswith("batch_id=")]
+    return sorted(named, key=lambda x: -x[0])
+
+
+def _newest(spark: SparkSession, path: str, before_batch: int):
+    """The newest recorded event time: one row that each batch leaves."""
+    _, paths = _listed(spark, f"{path}-newest")
+    for number, folder in _batches(paths):
+        if number < before_batch:
+            return spark.read.parquet(folder.toString()).first()[0]
+    return None
+
+
+def _prune(spark: SparkSession, path: str, batch_id: int, first_day) -> None:
+    """Remove recorded days before ``first_day``, and marks of batches before the last one."""
+    fs, paths = _listed(spark, path)
+    for _, folder in _batches(paths):
+        days = [s.getPath() for s in fs.listStatus(folder)]
+        dated = [d for d in days if d.getName().startswith("day=") and d.getName()[4:] < first_day.isoformat()]
+        for d in dated:
+            fs.delete(d, True)
+        if dated and len(dated) == sum(d.getName().startswith("day=") for d in days):
+            fs.delete(folder, True)
+    _, marks = _listed(spark, f"{path}-newest")
+    for number, folder in _batches(marks):
+        if number < batch_id - 1:
+            fs.delete(folder, True)

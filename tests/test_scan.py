@@ -81,3 +81,22 @@ def test_choice_differs_by_salt_and_repeats(spark):
     df = spark.range(3000)
     cuts = hash_cutoffs(df, "id", 300, 3000, ["a", "b"])
     assert cuts["a"] != cuts["b"] and cuts == hash_cutoffs(df.repartition(7), "id", 300, 3000, ["a", "b"])
+
+
+def test_every_hot_group_is_sliced_by_its_own_values(spark):
+    from riskweave.operators.scan import slice_hot_groups
+
+    df = spark.range(2_000 * 40).select((F.col("id") % 2_000).alias("k"), (F.col("id") % 2_000 * 10_000 + F.floor(F.col("id") / 2_000)).alias("t"))
+    sizes = slice_hot_groups(df, ["k"], "t", 10).groupBy("k", "_sl_gid", "_sl_no").count()
+    worst = sizes.agg(F.max("count"), F.count(F.lit(1)), F.min("_sl_gid")).first()
+    assert worst[0] <= 20 and worst[1] >= 8_000 and worst[2] >= 0
+
+
+def test_slices_too_large_for_one_round_are_cut_again(spark):
+    from riskweave.operators.scan import slice_hot_groups
+
+    df = spark.range(3_000).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("t"))
+    sliced = slice_hot_groups(df, ["k"], "t", 5)
+    assert sliced.groupBy("_sl_no").count().agg(F.max("count")).first()[0] <= 10
+    edges = sliced.groupBy("_sl_no").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("_sl_no").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(edges, edges[1:]))

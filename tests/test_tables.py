@@ -19,13 +19,13 @@ def failed(df, contract):
 
 
 def test_constraints(spark):
-    df = spark.createDataFrame([(10.0, 1, "a"), (150.0, None, "d"), (-5.0, 3, "b")], "v double, n bigint, s string")
+    df = spark.createDataFrame([(0.25, 7, "x"), (8.5, None, "y"), (-0.75, 7, "?")], "v double, n bigint, s string")
     contract = quality.DataContract(
         "c", required_columns=["v", "gone"], column_types={"v": float, "n": int, "s": str},
-        constraints={"v": [quality.Range(0, 100)], "n": [quality.NotNull(), quality.Unique()], "s": [quality.InSet(["a", "b", "c"])]},
+        constraints={"v": [quality.Range(-0.5, 8)], "n": [quality.NotNull(), quality.Unique()], "s": [quality.InSet(["x", "y"])]},
     )
-    assert failed(df, contract) == {("gone", "required"), ("v", "range_0_100"), ("n", "not_null"), ("n", "unique"), ("s", "in_set")}
-    assert failed(df.filter("v < 0"), quality.DataContract("c", constraints={"v": [quality.Range(None, 10)]})) == set()
+    assert failed(df, contract) == {("gone", "required"), ("v", "within_-0.5_to_8"), ("n", "filled"), ("n", "distinct"), ("s", "known_value")}
+    assert failed(df.filter("v < 0"), quality.DataContract("c", constraints={"v": [quality.Range(None, 8)]})) == set()
     with pytest.raises(ValueError):
         quality.require_valid(df, contract)
     result = quality.require_valid(df, contract, fail_on_error=False)
@@ -35,9 +35,9 @@ def test_constraints(spark):
 def test_empty_and_all_null(spark):
     contract = quality.DataContract("c", constraints={"v": [quality.NotNull(), quality.Range(0, 1)]})
     empty = spark.createDataFrame([], "v double")
-    assert failed(empty, contract) == {("v", "not_null")}
+    assert failed(empty, contract) == {("v", "filled")}
     nulls = spark.createDataFrame([(None,), (None,)], "v double")
-    assert failed(nulls, contract) == {("v", "not_null")}
+    assert failed(nulls, contract) == {("v", "filled")}
     soft = quality.DataContract("c", anomaly_checks=[quality.null_rate(0.05)])
     res = soft.validate(nulls)
     assert res.valid and len(res.warnings) == 1 and res.stats["v_null_rate"] == 1.0
@@ -57,10 +57,36 @@ def test_custom_constraint(spark):
     assert failed(df, quality.DataContract("c", constraints={"v": [Positive()]})) == {("v", "positive")}
 
 
-def test_a_rule_that_cannot_run_is_an_error(spark):
-    df = spark.createDataFrame([("x",)], "v string")
-    bad = quality.DataContract("c", anomaly_checks=[quality.AnomalyCheck("x", lambda c: F.sum(c.cast("int")), 1)])
-    assert not bad.validate(df).valid
+def test_a_check_that_cannot_run_leaves_the_others(spark):
+    df = spark.createDataFrame([("x", 7.0), ("y", -2.0)], "v string, w double")
+    cast_all = quality.AnomalyCheck("x", lambda c: F.sum(c.cast("int")), 1)
+    res = quality.DataContract("c", constraints={"w": [quality.Range(0, 5)]}, anomaly_checks=[cast_all]).validate(df)
+    assert not res.valid and len(res.errors) == 1 and res.errors[0].startswith("w ")
+    assert any("could not evaluate 'x'" in m for m in res.warnings)
+
+    class Broken(quality.Constraint):
+        name, message = "broken", "never"
+
+        def measures(self, col):
+            raise ValueError("no measure")
+
+    res = quality.DataContract("c", constraints={"w": [Broken()], "v": [quality.NotNull()]}).validate(df)
+    assert not res.valid and len(res.errors) == 1 and "broken" in res.errors[0]
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND"):
+        gone = spark.read.schema("w double").parquet("/nowhere/at/all")
+        quality.DataContract("c", constraints={"w": [quality.NotNull()]}).validate(gone)
+
+
+def test_rules_that_do_not_fit_the_table_are_skipped(spark):
+    df = spark.createDataFrame([(1, 20.0, "payment", 0.1)], "id int, amount double, transaction_type string, score double")
+    bad = rules.Rule("absent", "no_such_column > 3", "block", rules.CRITICAL)
+    worse = rules.Rule("no_sql", "amount >>> (", "block", rules.CRITICAL)
+    good = rules.Rule("large", "amount > 10", "block", rules.CRITICAL)
+    chosen = rules.RuleSet((bad, worse, good))
+    assert rules.unresolved(df, chosen) == ["absent", "no_sql"]
+    with pytest.warns(UserWarning):
+        assert rules.check_before_score(df, chosen).first()["rule_name"] == "large"
+        assert rules.triggered_rules(df, chosen).first()["triggered_rules"] == ["large"]
 
 
 def test_records(spark):
@@ -154,12 +180,13 @@ def test_check_splits_before_scoring(spark):
 
 
 def test_contribution_explanation(spark):
-    c = {"amount_log": 0.15, "is_vpn": 0.25, "is_new_device": 0.18, "account_age_days": -0.05, "hour_of_day": 0.03, "zz": 0.5}
-    v = {"amount_log": 10.5, "is_vpn": 1.0, "is_new_device": 1.0, "account_age_days": 30.0, "hour_of_day": 3.0, "zz": 100.0}
-    df = spark.createDataFrame([(1, c, v), (2, None, {"is_vpn": 1.0}), (3, {}, {})], "id int, contributions map<string,double>, values map<string,double>")
+    pushes = {"zz": -0.4, "is_emulator": 0.3, "amount_log": 0.02, "txn_count_24h": -0.11, "account_age_days": 0.22, "yy": 0.05}
+    values = {"zz": 2.0, "is_emulator": 1.0, "amount_log": 3.5, "txn_count_24h": 8.0, "account_age_days": 12.0, "yy": 1.0}
+    df = spark.createDataFrame([(1, pushes, values), (2, None, {"is_vpn": 1.0}), (3, {}, {})], "id int, contributions map<string,double>, values map<string,double>")
     got = {r["id"]: r["risk_reasons"] for r in scoring.explain_contributions(df).collect()}
-    assert [r["feature"] for r in got[1]] == ["zz", "is_vpn", "is_new_device", "amount_log", "account_age_days"]
-    assert got[1][0]["severity"] == "critical" and "30 days" in got[1][4]["description"]
+    ranked = sorted(pushes, key=lambda k: -abs(pushes[k]))[:5]
+    assert [r["feature"] for r in got[1]] == ranked
+    assert "12 days" in {r["feature"]: r["description"] for r in got[1]}["account_age_days"]
     assert [r["feature"] for r in got[2]] == ["is_vpn"] and got[3] == []
 
 
@@ -194,6 +221,19 @@ def test_single_class_performance(spark):
 
 
 # ---- snapshots -------------------------------------------------------------------------
+def test_lookups_see_no_later_snapshot(spark):
+    ddl = "entity_type string, entity_id string, features map<string,double>, timestamp timestamp, ttl_seconds bigint"
+    day = timedelta(days=1)
+    s = spark.createDataFrame([("user", "a", {"x": 1.0}, T0, 3600), ("user", "a", {"x": 5.0}, T0 + 4 * day, 3600)], ddl)
+    times = [T0 - timedelta(seconds=1), T0, T0 + timedelta(minutes=30), T0 + 2 * day, T0 + 4 * day]
+    ask = spark.createDataFrame([("user", "a", t) for t in times], "entity_type string, entity_id string, as_of timestamp")
+    for min_rows in (1_000_000, 2):
+        got = {r["as_of"]: (r["features"] or {}).get("x") for r in snapshots.snapshot_lookup(ask, s, min_rows=min_rows).collect()}
+        assert [got[t] for t in times] == [None, 1.0, 1.0, None, 5.0]
+    again = snapshots.upsert(s, spark.createDataFrame([("user", "a", {"x": 0.0}, T0 + 4 * day, 1)], ddl))
+    assert again.first()["features"] == {"x": 0.0}
+
+
 def test_snapshot_expiry_is_inclusive(spark):
     ddl = "entity_type string, entity_id string, features map<string,double>, timestamp timestamp, ttl_seconds bigint"
     s = spark.createDataFrame([("user", "a", {"x": 1.0}, T0, 60), ("user", "a", {"x": 2.0}, T0 + timedelta(seconds=5), 60), ("user", "b", {"x": 3.0}, T0, 60)], ddl)

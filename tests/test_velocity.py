@@ -33,7 +33,7 @@ def test_windows_against_brute_force(spark, min_rows):
     pdf = pd.DataFrame(data, columns=["id", "t", "u", "d", "m", "a"])
     df = spark.createDataFrame(data, SCHEMA)
     got = V.burst_ratios(V.windowed_features(df, (1, 24), min_rows=min_rows)).toPandas().set_index("transaction_id")
-    peak = V.trailing_max(df, "user_id", {"1h": 3600}, "amount", "mx", min_rows=min_rows).toPandas().set_index("transaction_id")
+    peak = V.trailing_max(df, "user_id", {"1h": 3600}, "amount", "mx", min_rows=min_rows).toPandas().set_index(["user_id", "timestamp"])
     for r in pdf.itertuples():
         g = got.loc[r.id]
         for h in (1, 24):
@@ -44,7 +44,7 @@ def test_windows_against_brute_force(spark, min_rows):
             assert g[f"unique_merchants_{h}h"] == past.m.nunique()
         assert g["txn_count_ratio_1h_24h"] == pytest.approx(g["txn_count_1h"] / max(g["txn_count_24h"], 1))
         hour = pdf[(pdf.u == r.u) & (pdf.t >= r.t - timedelta(hours=1)) & (pdf.t < r.t)]
-        assert peak.loc[r.id, "mx_1h"] == (hour.a.max() if len(hour) else 0)
+        assert peak.loc[(r.u, r.t), "mx_1h"] == (hour.a.max() if len(hour) else 0)
 
 
 @PATHS
@@ -107,3 +107,19 @@ def test_cold_plan_shuffles_events_once(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     plan = V.windowed_features(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+@PATHS
+def test_grid_keeps_rows_of_null_and_repeated_ids_and_takes_nan(spark, min_rows):
+    hour = timedelta(hours=1)
+    data = [
+        (None, T0, "a", 1, "m", 7.0), (None, T0 + hour, "a", 1, "m", 3.0), (5, T0, "b", 1, "m", 500.0),
+        (5, T0 + hour, "b", 1, "m", float("nan")), (5, T0 + hour, "a", 1, "m", 2.0), (6, T0 + 2 * hour, "b", 1, "m", 1.0),
+        (7, T0, None, 1, "m", 4.0), (8, T0 + hour, None, 1, "m", 4.0),
+    ]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = V.velocity_grid(df, {"24h": 86400}, min_rows=min_rows).toPandas()
+    assert len(got) == len(data)
+    found = {(r.user_id, r.timestamp.hour - T0.hour): (r.amount_max_24h, r.txn_count_24h, r.amount_sum_24h) for r in got.itertuples()}
+    assert found[("a", 1)] == (7.0, 1, 7.0) and found[("b", 1)] == (500.0, 1, 500.0)
+    assert found[("b", 2)] == (500.0, 2, 500.0) and found[(None, 1)][0] == 4.0
