@@ -137,7 +137,7 @@ def with_successor(docs: DataFrame, order: str, text: str, carry: dict[str, Colu
         tagged = tagged.withColumn("_b", F.coalesce("_b", F.lit(float(len(edges)))))
     else:
         tagged = tagged.withColumn("_b", F.when(F.col("_at").isNull(), 1.0).otherwise(0.0))
-    tagged = tagged.drop("_at")
+    tagged = tagged.drop("_at").withColumn("_b", F.col("_b").cast("int"))
 
     # one row per range, at most MOST_RANGES + 1
     firsts = tagged.groupBy("_b").agg(F.min("doc_id").alias("_first"))
