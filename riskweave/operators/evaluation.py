@@ -19,14 +19,13 @@ DEFAULT_THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 MIN_SLICE_ROWS = 10
 
 
-def confusion(positive: Column, label: Column) -> list[Column]:
+def outcomes(positive: Column, label: Column) -> dict[str, Column]:
+    """1 or 0 per row for each cell of the confusion matrix."""
     y = label == 1
-    return [
-        F.sum(one_if(y & positive)).alias("true_positives"),
-        F.sum(one_if(~y & positive)).alias("false_positives"),
-        F.sum(one_if(~y & ~positive)).alias("true_negatives"),
-        F.sum(one_if(y & ~positive)).alias("false_negatives"),
-    ]
+    return {
+        "true_positives": one_if(y & positive), "false_positives": one_if(~y & positive),
+        "true_negatives": one_if(~y & ~positive), "false_negatives": one_if(y & ~positive),
+    }
 
 
 def rates() -> dict[str, Column]:
@@ -48,30 +47,43 @@ def threshold_metrics(
 
     ``prediction`` names a column of given 0/1 predictions; without it score >= threshold.
     """
+    parts = _parts(score, label, prediction, threshold)
+    return _finished(df.groupBy(*groups).agg(*[F.sum(c).alias(n) for n, c in parts.items()]))
+
+
+def _parts(score: str, label: str, prediction: str | None, threshold: float) -> dict[str, Column]:
+    """What each row adds to the metrics; all of them are sums."""
     y, p = F.col(label), F.col(score)
     positive = (F.col(prediction) == 1) if prediction else (p >= threshold)
     q = F.greatest(F.lit(LOG_LOSS_EPS), F.least(p, F.lit(1 - LOG_LOSS_EPS)))
     loss = -F.when(y == 1, F.log(q)).otherwise(F.log(1 - q))
-    sums = df.groupBy(*groups).agg(
-        *confusion(positive, y),
-        F.avg((p - y) * (p - y)).alias("brier_score"),
-        F.avg(loss).alias("log_loss"),
-        F.avg(y.cast("double")).alias("positive_rate"),
-        F.avg(one_if(positive)).alias("predicted_positive_rate"),
-        F.count(F.lit(1)).alias("n_samples"),
-    )
-    return sums.withColumns(rates())
+    return {
+        **outcomes(positive, y),
+        "_square": (p - y) * (p - y), "_loss": loss, "_known": one_if(p.isNotNull() & y.isNotNull()),
+        "_y": y.cast("double"), "_labelled": one_if(y.isNotNull()), "_flagged": one_if(positive), "n_samples": F.lit(1),
+    }
+
+
+def _finished(sums: DataFrame) -> DataFrame:
+    def mean(total: str, n: str) -> Column:
+        return F.try_divide(F.col(total).cast("double"), F.col(n).cast("double"))
+
+    return sums.withColumns(
+        {
+            "brier_score": mean("_square", "_known"), "log_loss": mean("_loss", "_known"),
+            "positive_rate": mean("_y", "_labelled"), "predicted_positive_rate": mean("_flagged", "n_samples"), **rates(),
+        }
+    ).drop("_square", "_loss", "_known", "_y", "_labelled", "_flagged")
 
 
 def classification_metrics(
     df: DataFrame, *, score: str = "score", label: str = "label", prediction: str | None = None,
     threshold: float = 0.5, min_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """One row with every global metric, ranking measures included."""
+    """One row with every global metric, ranking measures included; one pass over the rows."""
     base = df.withColumn("_g", F.lit(0))
-    flat = threshold_metrics(base, ["_g"], score=score, label=label, prediction=prediction, threshold=threshold)
-    ranks = ranking_quality(base, ["_g"], score, label, min_rows)
-    return flat.join(ranks, "_g").drop("_g")
+    sums = ranking_quality(base, ["_g"], score, label, min_rows, _parts(score, label, prediction, threshold))
+    return _finished(sums).drop("_g")
 
 
 def slice_metrics(
@@ -88,9 +100,8 @@ def slice_metrics(
         F.inline(F.array(*[F.struct(F.lit(s).alias("slice_name"), F.col(s).cast("string").alias("slice")) for s in slices])),
     ).filter(F.col("slice").isNotNull())
     keys = ["slice_name", "slice"]
-    flat = threshold_metrics(long, keys, score=score, label=label, prediction=prediction, threshold=threshold)
-    ranks = ranking_quality(long, keys, score, label, min_rows)
-    return flat.filter(F.col("n_samples") >= MIN_SLICE_ROWS).join(ranks, keys)
+    sums = ranking_quality(long, keys, score, label, min_rows, _parts(score, label, prediction, threshold))
+    return _finished(sums.filter(F.col("n_samples") >= MIN_SLICE_ROWS))
 
 
 def _edges(n_bins: int) -> Column:
@@ -242,7 +253,8 @@ def latency_summary(
         F.sum(one_if(bad)).alias("error_count"), F.avg(one_if(bad).cast("double")).alias("error_rate"),
     )
     points = exact_quantiles(base, keys, "_ok", [0.50, 0.95, 0.99], rule="floor", min_rows=min_rows)
-    joined = flat.join(points, keys, "left")
+    # without groups both sides are one row
+    joined = flat.join(points if groups else F.broadcast(points), keys, "left")
     pct = {f"latency_{n}_ms": F.coalesce(F.col("q")[i], F.lit(0.0)) for i, n in enumerate(("p50", "p95", "p99"))}
     return joined.withColumns(pct).drop("q", "n", "_all")
 

@@ -167,25 +167,20 @@ def reconcile_stats(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     return sums.withColumn("match_rate", guarded_ratio(F.col("labels_matched"), F.col("labels_received")))
 
 
-def _outcomes() -> list[Column]:
+def _outcomes() -> dict[str, Column]:
+    """What each reconciled row adds to the sums."""
     actual, flagged, money = F.col("actual_fraud"), F.col("predicted_fraud"), F.col("amount")
 
-    def total(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, money)), F.lit(0.0))
+    def worth(cond: Column) -> Column:
+        return F.when(cond, money).otherwise(F.lit(0.0))
 
-    return [
-        F.count(F.lit(1)).alias("n_samples"),
-        F.avg(one_if(actual).cast("double")).alias("actual_fraud_rate"),
-        F.avg(one_if(flagged).cast("double")).alias("predicted_fraud_rate"),
-        F.sum(one_if(actual & flagged)).alias("true_positives"),
-        F.sum(one_if(~actual & flagged)).alias("false_positives"),
-        F.sum(one_if(actual & ~flagged)).alias("false_negatives"),
-        F.sum(one_if(~actual & ~flagged)).alias("true_negatives"),
-        total(actual).alias("total_fraud_amount"),
-        total(actual & flagged).alias("caught_fraud_amount"),
-        total(~actual & flagged).alias("false_positive_amount"),
-        F.avg("label_delay_days").alias("avg_label_delay_days"),
-    ]
+    return {
+        "n_samples": F.lit(1), "_actual": one_if(actual), "_flagged": one_if(flagged),
+        "true_positives": one_if(actual & flagged), "false_positives": one_if(~actual & flagged),
+        "false_negatives": one_if(actual & ~flagged), "true_negatives": one_if(~actual & ~flagged),
+        "total_fraud_amount": worth(actual), "caught_fraud_amount": worth(actual & flagged), "false_positive_amount": worth(~actual & flagged),
+        "_delay": F.col("label_delay_days"), "_delays": one_if(F.col("label_delay_days").isNotNull()),
+    }
 
 
 def performance(
@@ -208,17 +203,20 @@ def performance(
     keys = list(groups) or ["_all"]
     rows = rows if groups else rows.withColumn("_all", F.lit(0))
     tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
-    flat = rows.groupBy(*keys).agg(*_outcomes()).withColumns(
+    n = F.col("n_samples").cast("double")
+    scored = rows.withColumn("_y", one_if(F.col("actual_fraud")))
+    # one pass: sums and ranking measures come from the same ladder of scores
+    sums = ranking_quality(scored, keys, "fraud_probability", "_y", min_rows, _outcomes())
+    return sums.withColumns(
         {
+            "actual_fraud_rate": F.col("_actual") / n, "predicted_fraud_rate": F.col("_flagged") / n,
+            "avg_label_delay_days": F.try_divide(F.col("_delay"), F.col("_delays").cast("double")),
             "precision": guarded_ratio(tp, tp + fp),
             "recall": guarded_ratio(tp, tp + fn),
             "f1": guarded_ratio(2 * tp, 2 * tp + fp + fn),
             "fraud_catch_rate_dollars": guarded_ratio(F.col("caught_fraud_amount"), F.col("total_fraud_amount")),
         }
-    )
-    scored = rows.withColumn("_y", one_if(F.col("actual_fraud")))
-    ranks = ranking_quality(scored, keys, "fraud_probability", "_y", min_rows)
-    return flat.join(ranks, keys, "left").drop("_all")
+    ).drop("_all", "_actual", "_flagged", "_delay", "_delays")
 
 
 def performance_by_version(reconciled: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranked_hash
@@ -12,12 +12,14 @@ from .scan import HOT_ROWS, NO_HOT_GROUPS, running, value_at_rank
 
 
 def score_ladder(
-    df: DataFrame, groups: Sequence[str], score: str, label: str, min_rows: int = HOT_ROWS
+    df: DataFrame, groups: Sequence[str], score: str, label: str, min_rows: int = HOT_ROWS,
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per (group, score): counts at the score and counts strictly above it."""
+    """One row per (group, score): counts at the score and counts strictly above it, with the sums of ``totals``."""
     keys = list(groups)
     counts = df.groupBy(*keys, score).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_pos")
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_pos"),
+        *[F.sum(c).alias(n) for n, c in (totals or {}).items()],
     )
     ladder = running(
         counts, keys, score,
@@ -29,26 +31,26 @@ def score_ladder(
 
 def ranking_quality(
     df: DataFrame, groups: Sequence[str], score: str = "score", label: str = "label",
-    min_rows: int = HOT_ROWS,
+    min_rows: int = HOT_ROWS, totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """``roc_auc`` (ties count half) and ``pr_auc`` (average precision) per group.
-
-    Both are null when the group holds only one class.
+    """``roc_auc`` (ties count half) and ``pr_auc`` (average precision) per group, both null when the group
+    holds only one class, and the sums of the columns of ``totals``: all from one pass over the rows.
     """
+    totals = dict(totals or {})
     keys = list(groups) or ["_all"]
     base = df if groups else df.withColumn("_all", F.lit(0))
-    ladder = score_ladder(base, keys, score, label, min_rows)
+    ladder = score_ladder(base, keys, score, label, min_rows, totals)
     neg = F.col("_n") - F.col("_pos")
     won = neg.cast("double") * (F.col("_pos_above") + F.col("_pos") / 2.0)
     precision = (F.col("_pos_above") + F.col("_pos")) / (F.col("_n_above") + F.col("_n"))
     sums = ladder.groupBy(*keys).agg(
         F.sum("_pos").alias("_p"), F.sum(neg).alias("_q"),
-        F.sum(won).alias("_won"), F.sum(F.col("_pos") * precision).alias("_ap"),
+        F.sum(won).alias("_won"), F.sum(F.col("_pos") * precision).alias("_ap"), *[F.sum(n).alias(n) for n in totals],
     )
     both = (F.col("_p") > 0) & (F.col("_q") > 0)
     auc = F.try_divide(F.col("_won"), F.col("_p").cast("double") * F.col("_q").cast("double"))
     ap = F.try_divide(F.col("_ap"), F.col("_p").cast("double"))
-    return sums.select(*groups, F.when(both, auc).alias("roc_auc"), F.when(both, ap).alias("pr_auc"))
+    return sums.select(*groups, *totals, F.when(both, auc).alias("roc_auc"), F.when(both, ap).alias("pr_auc"))
 
 
 def precision_at_k(

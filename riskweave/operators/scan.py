@@ -243,7 +243,7 @@ def exact_quantiles(
     )
     ranked = ranked.withColumn("_before", F.coalesce("_before", F.lit(0)))
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    joined = ranked.join(sizes, keys)
+    joined = ranked.join(sizes if groups else F.broadcast(sizes), keys)  # without groups the size is one row
 
     # SQL text keeps the many small expressions cheap to build
     def at_rank(rank: str) -> str:

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import prepare, shared_root
-from ..streaming.labels import on_each_batch, reconcile_stream, windowed_activity
+from ..streaming.labels import reconcile_stream, windowed_activity
 from ..streaming.velocity import velocity_stream
+from . import label_queries
 from . import velocity_queries as V
-from .views import LAB_SQL, PRED_SQL, TXN_SQL, labels, predictions, transactions
+from .views import TXN_SQL, transactions
 
 
 def _folder(spark, name):
@@ -41,23 +42,18 @@ def stream_velocity(spark, sf_dir):
 
 
 def stream_reconcile(spark, sf_dir):
+    """Predictions and labels of which some come again, as streams."""
     root = _folder(spark, "reconcile")
-    reader = _StreamReader(spark)
-    rows = reconcile_stream(predictions(reader, sf_dir), labels(reader, sf_dir))
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
-
-    on_each_batch(rows, keep, f"{root}/checkpoint").awaitTermination()
+    repeated = label_queries._repeated(_StreamReader(spark), sf_dir)
+    reconcile_stream(*repeated, f"{root}/state", f"{root}/out", f"{root}/checkpoint").awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     return out.select(
         "transaction_id", "predicted_fraud", "actual_fraud", "correct", "model_version", F.round("label_delay_days", 5).alias("label_delay_days")
     )
 
 
-STREAM_RECONCILE = "WITH " + PRED_SQL + LAB_SQL + """ SELECT p.transaction_id, decision IN ('block', 'review') AS predicted_fraud, l.is_fraud = 1 AS actual_fraud,
-  (decision = 'block') = (l.is_fraud = 1) AS correct, model_version, round((epoch_us(label_timestamp) - epoch_us(prediction_timestamp)) / 86400000000.0::DOUBLE, 5) AS label_delay_days
-FROM pred p JOIN lab l USING (transaction_id) WHERE label_timestamp >= prediction_timestamp AND label_timestamp <= prediction_timestamp + INTERVAL 120 DAY"""
+STREAM_RECONCILE = "WITH " + label_queries.REPEATED + """ SELECT transaction_id, predicted_fraud, actual_fraud, correct, model_version,
+  round(label_delay_days, 5) AS label_delay_days FROM rec WHERE label_delay_days <= 120"""
 
 
 def windowed_counts(spark, sf_dir):

@@ -302,9 +302,9 @@ def snapshot_lookup(spark, sf_dir):
     return _snapshots(spark, sf_dir).select("entity_id", "hit", F.element_at("features", "amount").alias("amount"))
 
 
-_SNAP = TXN_SQL + f""", asked AS (SELECT c_custkey, c_mktsegment, {_MONTH_START} + (c_custkey * 37 % 720) * {_HOUR_US} AS at FROM customer),
-found AS (SELECT c_custkey::VARCHAR AS entity_id, c_mktsegment, coalesce(at <= us + 3600 * (1 + transaction_id % 48) * 1000000, false) AS hit, amount
-  FROM asked ASOF LEFT JOIN txn ON user_id = c_custkey AND at >= us)"""
+_SNAP = TXN_SQL + f""", asked AS (SELECT c_custkey, c_mktsegment, {_MONTH_START} + (c_custkey * 37 % 720) * {_HOUR_US} AS asked_us FROM customer),
+found AS (SELECT c_custkey::VARCHAR AS entity_id, c_mktsegment, coalesce(asked_us <= us + 3600 * (1 + transaction_id % 48) * 1000000, false) AS hit, amount
+  FROM asked ASOF LEFT JOIN txn ON user_id = c_custkey AND asked_us >= us)"""
 SNAPSHOT_LOOKUP = "WITH " + _SNAP + " SELECT entity_id, hit, CASE WHEN hit THEN amount END AS amount FROM found"
 
 

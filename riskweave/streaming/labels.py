@@ -3,31 +3,72 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.labels import MAX_AGE_DAYS, reconciled_columns
+from ..functions import micros
+from ..functions.columns import MICROS_PER_DAY
+from ..operators.labels import MAX_AGE_DAYS, first_labels, last_predictions, reconciled_columns
+from .velocity import _batches, _listed, _prune
 
 PREDICTION_COLUMNS = ["transaction_id", "fraud_probability", "decision", "model_version", "prediction_timestamp", "amount"]
 
 
 def reconcile_stream(
-    predictions: DataFrame, labels: DataFrame, *, max_age_days: int = MAX_AGE_DAYS,
-    prediction_delay: str = "1 day", label_delay: str = "1 day",
-) -> DataFrame:
-    """Reconciled rows as labels arrive, up to ``max_age_days`` after the prediction.
-
-    The time bound lets Spark drop predictions from its state when no label can come any more.
-    """
-    p = predictions.select(*PREDICTION_COLUMNS).withWatermark("prediction_timestamp", prediction_delay)
-    q = labels.select(F.col("transaction_id").alias("_id"), "is_fraud", "label_timestamp").withWatermark("label_timestamp", label_delay)
-    bound = (
-        (F.col("transaction_id") == F.col("_id"))
-        & (F.col("label_timestamp") >= F.col("prediction_timestamp"))
-        & (F.col("label_timestamp") <= F.col("prediction_timestamp") + F.expr(f"INTERVAL {max_age_days} DAYS"))
-    )
-    return reconciled_columns(p.join(q, bound).drop("_id"))
+    predictions: DataFrame, labels: DataFrame, state_path: str, output_path: str, checkpoint: str, *,
+    max_age_days: int = MAX_AGE_DAYS, available_now: bool = True,
+    prediction_order=("prediction_timestamp",), label_order=("label_timestamp",),
+):
+    """Reconciled rows, one to one, as labels arrive up to ``max_age_days`` after the prediction. Returns the query.
+
+    A label takes the prediction recorded last for its id and uses it up: a later label of the id finds nothing
+    until the id is predicted again. Predictions and used-up ids are tables in ``state_path``, written per batch as
+    the velocity stream does, so a batch that runs again replaces its own part, an id with many rows is joined and
+    not held in one keyed state, and predictions too old for any label are removed. Within a micro-batch predictions
+    come first.
+    """
+    extra_p = [c for c in prediction_order if c not in PREDICTION_COLUMNS]
+    extra_l = [c for c in label_order if c != "label_timestamp"]
+    p = predictions.select(*PREDICTION_COLUMNS, *extra_p)
+    q = labels.select("transaction_id", "is_fraud", "label_timestamp", *extra_l)
+    names_p, names_q = p.columns, q.columns
+    tagged = p.withColumn("_label", F.lit(False)).unionByName(q.withColumn("_label", F.lit(True)), allowMissingColumns=True)
+
+    def stored(spark: SparkSession, kind: str, before_batch: int) -> DataFrame | None:
+        fs, paths = _listed(spark, f"{state_path}/{kind}")
+        if not any(n < before_batch for n, _ in _batches(paths)):
+            return None
+        return spark.read.parquet(f"{state_path}/{kind}").filter(F.col("batch_id") < before_batch)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            fresh = batch.filter("NOT _label").select(*names_p, F.lit(batch_id).alias("batch_id"))
+            wanted = first_labels(batch.filter("_label").select(*names_q), label_order)
+            past, used = stored(spark, "predictions", batch_id), stored(spark, "matched", batch_id)
+            known = fresh if past is None else past.select(*names_p, "batch_id").unionByName(fresh)
+            known = last_predictions(known.join(wanted.select("transaction_id"), "transaction_id", "left_semi"), ("batch_id", *prediction_order))
+            if used is not None:
+                spent = used.groupBy("transaction_id").agg(F.max("batch_id").alias("_spent"))
+                known = known.join(spent, "transaction_id", "left").filter("_spent IS NULL OR _spent < batch_id").drop("_spent")
+            pairs = known.join(wanted, "transaction_id")
+            pairs = pairs.filter(micros("label_timestamp") - micros("prediction_timestamp") <= F.lit(max_age_days * MICROS_PER_DAY))
+            reconciled_columns(pairs).write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
+            done = spark.read.parquet(f"{output_path}/batch_id={batch_id}").select("transaction_id")
+            done.write.mode("overwrite").parquet(f"{state_path}/matched/batch_id={batch_id}")
+            recorded = fresh.drop("batch_id").withColumn("day", F.to_date("prediction_timestamp"))
+            recorded.write.mode("overwrite").partitionBy("day").parquet(f"{state_path}/predictions/batch_id={batch_id}")
+            newest = batch.agg(F.max("prediction_timestamp")).first()[0]
+            if newest is not None:
+                _prune(spark, f"{state_path}/predictions", batch_id, (newest - timedelta(days=2 * max_age_days)).date())
+        finally:
+            batch.unpersist()
+
+    writer = tagged.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def on_each_batch(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True):
