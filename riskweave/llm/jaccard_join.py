@@ -8,10 +8,11 @@ frequent, fuller ones first, those of frequent shingles only next, empty ones la
 where segments may be empty, one-deletion neighbourhoods are indexed too, and a probe that also takes them counts
 for two segments. Candidates are verified on the whole sets.
 
-Equal sets form one class, of which one document stands for all. Large candidate groups are not expanded into
-pairs: rounds compare each group with one pivot, connect what is linked, and go on with what is still in other
-components; pairs that the triangle inequality rules out by their known distances to pivots are left out.
-What no round settles is compared pair by pair, so no link is lost.
+Equal sets form one class, of which one document stands for all. Each has a histogram of its shingles over
+``BUCKETS`` hash classes: the distance of two histograms never exceeds the difference of the sets, so pairs whose
+histograms differ too much are left out before whole sets are sent for. Large candidate groups are not expanded
+into pairs: rounds compare each group with a few of its members, connect what is linked, and go on with members
+that are still in other components. What no round settles is compared pair by pair, so no link is lost.
 
 Words are runs without white space, A-Z lower-cased. Fewer than five words make one shingle; a document without
 words (null or blank text) is empty and linked with nothing. Repeated rows keep their rows; rows of one id are one
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +43,10 @@ DELETION_SIZE = 32
 FREQUENT, FREQUENT_FROM = 20_000, 24
 #: Groups up to this many sets give all their pairs at once.
 SMALL_GROUP = 8
-#: Rounds with one pivot for each larger group, before what is left is paired.
-PIVOT_ROUNDS = 5
+#: Members that each larger group is compared with, round by round, before what is left is paired.
+PIVOTS = (1, 4, 16)
+#: Hash classes of the histograms that rule out pairs.
+BUCKETS = 256
 #: Bytes of signatures for one task, and ids of candidates that may be broadcast; more are joined.
 TASK_BYTES, BROADCAST_IDS = 12_000_000, 500_000
 
@@ -296,8 +298,17 @@ def _candidate_rows(docs: DataFrame, frequent: np.ndarray, shingles: int, percen
     return blobs.mapInArrow(match, "g long, a long, b long")
 
 
+def _histogram(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of histograms, at most the differences of the sets."""
+    return np.abs(a.astype(np.int16) - b).sum(axis=-1, dtype=np.int64)
+
+
 def _sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(doc_id, set): the shingles of the documents that are candidates."""
+    """(doc_id, n, set, histogram): the shingles of the documents that are candidates."""
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)  # its size was just checked
     rows = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi")
@@ -306,10 +317,32 @@ def _sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
         for batch in batches:
             for part in words.slices(batch, 1):
                 first, s = shingle_sets(part.column(1))
-                blobs = [s[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["doc_id", "set"])
+                sets = [s[a:b] for a, b in zip(first[:-1], first[1:])]
+                columns = [part.column(0), pa.array(np.diff(first)), pa.array([x.tobytes() for x in sets], pa.binary())]
+                columns.append(pa.array([_histogram(x) for x in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set", "histogram"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n long, set binary, histogram binary")
+
+
+def _fitting(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that sizes and histograms do not rule out."""
+    a = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("_nx"), F.col("histogram").alias("_hx"))
+    b = sets.select(F.col("doc_id").alias("y"), F.col("n").alias("_ny"), F.col("histogram").alias("_hy"))
+    near = F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent
+    rows = pairs.join(a, "x").join(b, "y").filter(near).select("x", "y", "_nx", "_ny", "_hx", "_hy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                hx, hy = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS) for i in (4, 5))
+                keep = _apart(hx, hy) * (100 + percent) <= n * (100 - percent)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["x", "y"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set binary")
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"x {kind}, y {kind}")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -336,69 +369,86 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"x {kind}, y {kind}, shared long, united long")
 
 
-def _rest_pairs(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a group in different components that known distances to its pivots do not rule out."""
-    x, c = group["x"].to_numpy(), group["c"].to_numpy()
-    far = np.stack(group["far"].to_numpy()) if len(group) else np.zeros((0, 0))
-    out = []
-    for i in range(len(x) - 1):
-        open_ = c[i + 1 :] != c[i]
-        with np.errstate(invalid="ignore"):
-            gap = np.abs(far[i + 1 :] - far[i])
-        open_ &= ~np.any(gap > 1 - percent / 100 + 1e-9, axis=1)  # unknown distances are not numbers and rule out nothing
-        out.append(np.stack([np.full(open_.sum(), x[i]), x[i + 1 :][open_]], axis=1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=x.dtype)
-    return pd.DataFrame({"x": pairs.min(axis=1), "y": pairs.max(axis=1)}) if len(pairs) else pd.DataFrame({"x": x[:0], "y": x[:0]})
-
-
-def _settle(pairs: DataFrame, groups: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """All links (x, y) needed for the right components, from candidate pairs and large candidate groups."""
-
-    def fitting(p: DataFrame) -> DataFrame:
-        a = sizes.select(F.col("id").alias("x"), F.col("n").alias("_nx"))
-        b = sizes.select(F.col("id").alias("y"), F.col("n").alias("_ny"))
-        near = F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent
-        return p.join(a, "x").join(b, "y").filter(near).select("x", "y")
-
-    linked = (F.col("shared") * 100 >= F.col("united") * percent) & (F.col("united") > 0)
-    done = cut_lineage(_verified(fitting(pairs), sets))
-    links = done.filter(linked).select("x", "y")
-    if groups.isEmpty():
-        return links
-    pivots = None
-    for turn in range(PIVOT_ROUNDS):
-        comp = components(links, "x", "y").withColumnsRenamed({"node": "x", "component": "_c"})
-        named = groups.join(comp, "x", "left").withColumn("c", F.coalesce("_c", "x")).select("g", "x", "c")
-        open_ = named.groupBy("g").agg(
-            F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min_by("x", F.xxhash64("x", F.lit(turn))).alias("p")
-        ).filter("_lo <> _hi").select("g", "p")
-        open_ = cut_lineage(open_)
-        if open_.isEmpty():
-            return links
-        pivots = open_ if pivots is None else pivots.unionByName(open_).distinct()
-        at = named.select("g", F.col("x").alias("p"), F.col("c").alias("_pc"))
-        todo = named.join(open_, "g").join(at, ["g", "p"]).filter("c <> _pc")
-        todo = todo.select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y")).distinct()
-        todo = fitting(todo.join(done.select("x", "y"), ["x", "y"], "left_anti"))
-        done = done.unionByName(cut_lineage(_verified(todo, sets)))
-        links = done.filter(linked).select("x", "y")
-    comp = components(links, "x", "y").withColumnsRenamed({"node": "x", "component": "_c"})
-    named = groups.join(comp, "x", "left").withColumn("c", F.coalesce("_c", "x")).select("g", "x", "c")
-    open_ = named.groupBy("g").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("g")
-    known = done.select("x", "y", (1 - F.col("shared") / F.col("united")).alias("_d"))
-    known = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "_d"))
-    ranked = pivots.join(open_, "g", "left_semi").groupBy("g").agg(F.sort_array(F.collect_set("p")).alias("_ps"))  # few pivots a group
-    spread = named.join(ranked, "g").select("g", "x", "c", F.posexplode("_ps").alias("_i", "y"))
-    measured = spread.join(known, ["x", "y"], "left").withColumn(
-        "_d", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.coalesce("_d", F.lit(float("nan"))))
-    )
-    rows = measured.groupBy("g", "x").agg(
-        F.first("c").alias("c"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_d"))), lambda s: s["_d"]).alias("far")
-    )
-    kind = sets.schema["doc_id"].dataType.simpleString()
-    rest = rows.groupBy("g").applyInPandas(lambda pdf: _rest_pairs(pdf, percent), f"x {kind}, y {kind}").distinct()
-    rest = fitting(rest.join(done.select("x", "y"), ["x", "y"], "left_anti"))
-    return links.unionByName(cut_lineage(_verified(rest, sets)).filter(linked).select("x", "y"))
+def _group_pairs(ids, comp, n, hist, pivots: int | None, percent: int) -> tuple[list, list]:
+    """Pairs of one group in different components that sizes and histograms allow: with the first ``pivots``
+    members by a hash, or (None) all."""
+    order = np.argsort(mix(ids.astype(np.int64).view(np.uint64)), kind="stable")
+    ids, comp, n, hist = ids[order], comp[order], n[order], hist[order]
+    left, right = [], []
+    for i in range(len(ids) - 1 if pivots is None else min(pivots, len(ids) - 1)):
+        at = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        at = at[np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * percent]
+        at = at[_apart(hist[at], hist[i]) * (100 + percent) <= (n[at] + n[i]) * (100 - percent)]
+        left.append(np.minimum(ids[at], ids[i]))
+        right.append(np.maximum(ids[at], ids[i]))
+    return left, right
+
+
+def _open_pairs(rows: DataFrame, pivots: int | None, percent: int) -> DataFrame:
+    """Pairs still to compare, from rows (g, x, c, n, histogram)."""
+
+    def of(table: pa.Table) -> pa.RecordBatch:
+        g, x, c, n = (table.column(i).to_numpy() for i in range(4))
+        hist = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
+        cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        left, right = [x[:0]], [x[:0]]
+        for a, b in zip(cut, np.append(cut[1:], len(g))):
+            found = _group_pairs(x[a:b], c[a:b], n[a:b], hist[a:b], pivots, percent)
+            left += found[0]
+            right += found[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["x", "y"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # rows of the last group seen, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column(0)[batch.num_rows - 1].as_py()
+            start = int(np.searchsorted(batch.column(0).to_numpy(), last))
+            if start == 0 and waiting and waiting[-1].column(0)[0].as_py() == last:
+                waiting.append(batch)
+                continue
+            if waiting or start:
+                yield of(pa.Table.from_batches([*waiting, batch.slice(0, start)]))
+            waiting = [batch.slice(start)]
+        if waiting:
+            yield of(pa.Table.from_batches(waiting))
+
+    kind = rows.schema["x"].dataType.simpleString()
+    sorted_rows = rows.select("g", "x", "c", "n", "histogram").repartition("g").sortWithinPartitions("g")
+    return sorted_rows.mapInArrow(stream, f"x {kind}, y {kind}").distinct()
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, c) after more links, by the components of the few components they touch."""
+    x = comp.select(F.col("id").alias("x"), F.col("c").alias("_cx"))
+    y = comp.select(F.col("id").alias("y"), F.col("c").alias("_cy"))
+    edges = cut_lineage(links.join(x, "x").join(y, "y").filter("_cx <> _cy").select("_cx", "_cy").distinct())
+    if edges.isEmpty():
+        return comp
+    merged = components(edges, "_cx", "_cy").withColumnsRenamed({"node": "c", "component": "_new"})
+    return cut_lineage(comp.join(merged, "c", "left").select("id", F.coalesce("_new", "c").alias("c")))
+
+
+def _settle(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, c): components of all candidates, from candidate pairs and large candidate groups."""
+
+    def linked(p: DataFrame) -> DataFrame:
+        found = _verified(p, sets.select("doc_id", "set"))
+        return cut_lineage(found.filter((F.col("shared") * 100 >= F.col("united") * percent) & (F.col("united") > 0)).select("x", "y"))
+
+    ids = sets.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("c")).distinct()
+    comp = _joined(ids, linked(_fitting(pairs, sets, percent)))
+    traits = sets.select(F.col("doc_id").alias("x"), "n", "histogram")
+    for pivots in (*PIVOTS, None):
+        named = groups.join(comp.withColumnRenamed("id", "x"), "x")
+        torn = named.groupBy("g").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("g")
+        groups = cut_lineage(named.join(torn, "g", "left_semi").select("g", "x"))
+        if groups.isEmpty():
+            break
+        rows = groups.join(comp.withColumnRenamed("id", "x"), "x").join(traits, "x")
+        comp = _joined(comp, linked(_open_pairs(rows, pivots, percent)))
+    return comp
 
 
 def similar_documents(
@@ -428,8 +478,7 @@ def similar_documents(
     needed = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
     needed = cut_lineage(needed.unionByName(groups.select(F.col("x").alias("id"))).distinct())
     held = cut_lineage(_sets_of(rows, needed))
-    sizes = named.groupBy(F.col("class_id").alias("id")).agg(F.max("n").alias("n"))
-    links = _settle(pairs, groups, held, sizes, percent)
+    settled = _settle(pairs, groups, held, percent)
 
     classed = sets.join(classes.select("k1", "k2", "class_id"), ["k1", "k2"], "left")
     classed = classed.withColumn("class_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
@@ -437,7 +486,11 @@ def similar_documents(
     repeated = classed.groupBy("doc_id").agg(F.min("class_id").alias("_a"), F.max("class_id").alias("_b")).filter("doc_id <> _b OR _a <> _b")
     torn = repeated.filter("_a <> _b").select("doc_id")
     ties = classed.join(torn, "doc_id", "left_semi").select(F.col("doc_id").alias("x"), F.col("class_id").alias("y")).filter("x <> y")
-    comp = components(links.unionByName(ties), "x", "y").withColumnsRenamed({"node": "class_id", "component": "_c"})
-    return classed.join(comp, "class_id", "left").select(
+    joined = settled.withColumnsRenamed({"id": "class_id", "c": "_c"})
+    ties = cut_lineage(ties)
+    if not ties.isEmpty():
+        links = settled.filter("id <> c").select(F.col("id").alias("x"), F.col("c").alias("y"))
+        joined = components(links.unionByName(ties), "x", "y").withColumnsRenamed({"node": "class_id", "component": "_c"})
+    return classed.join(joined, "class_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_c", "class_id").alias("component_id")
     )
