@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -31,6 +32,8 @@ SPACE = "▁"
 #: Words a worker remembers before it starts afresh.
 CACHED_WORDS = 500_000
 _UNKNOWN = -1
+#: More than there are ids: a pair of ids makes one key.
+_IDS = 1 << 32
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -61,7 +64,7 @@ class PieceVocabulary:
                 self.surface.append(piece.replace(SPACE, " ").encode())
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (len(piece), i))
+            self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
         longer = [p for p in self.ids if len(p) > 1]
         joined = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in longer)
@@ -81,15 +84,33 @@ class PieceVocabulary:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
 
+class WordCache(dict):
+    """Results for words, computed when first asked for; very long words are not kept."""
+
+    def __init__(self, compute: Callable[[str], object]):
+        super().__init__()
+        self._compute = compute
+
+    def __missing__(self, word: str):
+        found = self._compute(word)
+        if len(word) <= 256:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class PieceBpe:
     """Encoder and decoder of a BPE vocabulary with byte fallback."""
 
     def __init__(self, model: bytes):
         self.vocabulary = PieceVocabulary(model)
         self._text = {i: p for p, i in self.vocabulary.ids.items()}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._sizes = {i: len(p) for p, i in self.vocabulary.ids.items()}
+        self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self._cache: dict[str, bytes] = {}
+        self._cache = WordCache(lambda word: array("i", self.encode_word(word)).tobytes())
+        self._end = np.int32(self.vocabulary.end_id).tobytes()
 
     def _merge(self, text: str) -> list[str]:
         """Merges in order of score, leftmost first; only for joined pairs of pieces, so short."""
@@ -111,65 +132,58 @@ class PieceBpe:
             found = self._whole[token] = self._merge(self._text[token]) == [self._text[token]]
         return found
 
-    def _compatible(self, left: int, right: int) -> bool:
+    def _learn(self, key: int) -> bool:
+        """Whether two neighbours, or a first token (behind ``_UNKNOWN``), stand in an encoding; kept by key."""
+        left, right = divmod(key, _IDS)
         if left == _UNKNOWN:
-            return self._is_whole(right)
-        key = (left, right)
-        found = self._fits.get(key)
-        if found is None:
+            found = self._is_whole(right)
+        else:
             a, b = self._text[left], self._text[right]
-            if len(self._fits) > CACHED_WORDS:
-                self._fits.clear()
-            found = self._fits[key] = self._merge(a + b) == [a, b]
+            found = self._merge(a + b) == [a, b]
+        if len(self._fits) > 4 * CACHED_WORDS:
+            self._fits.clear()
+        self._fits[key] = found
         return found
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one part, by its prefix table."""
+        fits, sizes = self._fits, self._sizes
         n = len(word)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.vocabulary.automaton.iter(word):
-            ends[end].append(found)
         last = [_UNKNOWN] * (n + 1)
-        length = [1] * (n + 1)
-        for j in range(1, n + 1):
-            for size, token in sorted(ends[j - 1], reverse=True):
-                i = j - size
-                if self._compatible(last[i] if i else _UNKNOWN, token):
-                    last[j], length[j] = token, size
-                    break
+        for end, token in self.vocabulary.automaton.iter(word):  # by end, longest first
+            j = end + 1
+            if last[j] == _UNKNOWN:
+                key = last[j - sizes[token]] * _IDS + token
+                ok = fits.get(key)
+                if ok or ok is None and self._learn(key):
+                    last[j] = token
         out: list[int] = []
         j = n
-        while j > 0:
-            if last[j] == _UNKNOWN:
+        while j:
+            token = last[j]
+            if token == _UNKNOWN:
                 out.extend(reversed(self.vocabulary.unknown_bytes(word[j - 1])))
+                j -= 1
             else:
-                out.append(last[j])
-            j -= length[j]
+                out.append(token)
+                j -= sizes[token]
         out.reverse()
         return out
 
     def encode(self, text: str, end: bool = True) -> np.ndarray:
         """Ids of a whole text as int32, with the end id."""
-        cache = self._cache
-        parts = []
-        for word in self.vocabulary.cut(text):
-            ids = cache.get(word)
-            if ids is None:
-                ids = np.array(self.encode_word(word), dtype=np.int32).tobytes()
-                if len(word) <= 256:
-                    if len(cache) >= CACHED_WORDS:
-                        cache.clear()
-                    cache[word] = ids
-            parts.append(ids)
+        parts = list(map(self._cache.__getitem__, self.vocabulary.cut(text)))
         if end:
-            parts.append(np.int32(self.vocabulary.end_id).tobytes())
+            parts.append(self._end)
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; controls vanish, bytes that are no UTF-8 become replacement characters one by one."""
         surface = self.vocabulary.surface
-        raw = b"".join([surface[i] for i in ids])
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "each_byte")
+        raw = b"".join(map(surface.__getitem__, ids))
+        # the space put before the text goes, if it is there: the mark of the first piece
+        first = next((i for i in ids if surface[i]), None)
+        return (raw[1:] if self._text.get(first, "")[:1] == SPACE else raw).decode("utf-8", "each_byte")
 
 
 _LOADED: dict[int, PieceBpe] = {}
@@ -219,7 +233,12 @@ def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [None if x is None else codec.decode(x) for x in part.column(1).to_pylist()]
+                lists = part.column(1)
+                offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+                texts = [
+                    codec.decode(flat[a:b].tolist()) if ok else None
+                    for a, b, ok in zip(offsets[:-1], offsets[1:], lists.is_valid().to_pylist())
+                ]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from riskweave.llm.piece_bpe import CACHED_WORDS, PieceVocabulary, _broadcast_model
+from riskweave.llm.piece_bpe import PieceVocabulary, WordCache, _broadcast_model
 
 #: Score of an uncovered character below the worst piece's.
 UNKNOWN_PENALTY = 10.0
@@ -38,44 +38,38 @@ class UnigramCounter:
     def __init__(self, model: bytes):
         self.vocabulary = PieceVocabulary(model)
         self._score = {i: zipf_score(r) for r, i in enumerate(sorted(self.vocabulary.ids.values()), start=1)}
+        self._sizes = {i: len(p) for p, i in self.vocabulary.ids.items()}
         self._floor = min(self._score.values()) - UNKNOWN_PENALTY
-        self._cache: dict[str, tuple[float, int]] = {}
+        self._cache = WordCache(lambda word: complex(*self.count_word(word)))  # both add up at once
 
     def count_word(self, word: str) -> tuple[float, int]:
         """Best score and piece count of one part."""
+        score_of, sizes, floor = self._score, self._sizes, self._floor
         n = len(word)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.vocabulary.automaton.iter(word):
-            ends[end].append(found)
-        best = [0.0] * (n + 1)
+        best: list[float | None] = [0.0] + [None] * n
         count = [0] * (n + 1)
-        for j in range(1, n + 1):
-            top, pieces, single = None, 0, False
-            for size, token in sorted(ends[j - 1], reverse=True):  # the earliest start first: it keeps a tie
-                single = single or size == 1
-                score = best[j - size] + self._score[token]
+        matches = iter(self.vocabulary.automaton.iter(word))
+        end, token = next(matches, (n, -1))
+        for at in range(n):
+            j, top, single = at + 1, None, False
+            while end == at:  # longest first, so the earliest start keeps a tie
+                size = sizes[token]
+                score = best[j - size] + score_of[token]
                 if top is None or score > top:
-                    top, pieces = score, count[j - size] + 1
+                    top, count[j] = score, count[j - size] + 1
+                single = size == 1
+                end, token = next(matches, (n, -1))
             if not single:
-                score = best[j - 1] + self._floor
+                score = best[at] + floor
                 if top is None or score > top:
-                    top, pieces = score, count[j - 1] + len(word[j - 1].encode("utf-8", "surrogatepass"))
-            best[j], count[j] = top, pieces
+                    top, count[j] = score, count[at] + len(word[at].encode("utf-8", "surrogatepass"))
+            best[j] = top
         return best[n], count[n]
 
     def count(self, text: str) -> tuple[float, int]:
-        cache, score, total = self._cache, 0.0, 0
-        for word in self.vocabulary.cut(text):
-            found = cache.get(word)
-            if found is None:
-                found = self.count_word(word)
-                if len(word) <= 256:
-                    if len(cache) >= CACHED_WORDS:
-                        cache.clear()
-                    cache[word] = found
-            score += found[0]
-            total += found[1]
-        return score, total
+        """Best score and piece count of a whole text."""
+        total = sum(map(self._cache.__getitem__, self.vocabulary.cut(text)), 0j)
+        return total.real, int(total.imag)
 
 
 _LOADED: dict[int, UnigramCounter] = {}
