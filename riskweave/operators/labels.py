@@ -83,8 +83,9 @@ def first_labels(labels: DataFrame, arrival: Sequence[str] = ("label_timestamp",
 
 
 def _one_per_id(df: DataFrame, arrival: Sequence[str], pick) -> DataFrame:
-    order = F.struct(*[F.col(c) for c in arrival])
     rest = [c for c in df.columns if c != "transaction_id"]
+    # equal times fall by content, so there is one result
+    order = F.struct(*[F.col(c) for c in arrival], F.xxhash64(F.to_json(F.struct(*sorted(rest)))))
     return df.groupBy("transaction_id").agg(pick(F.struct(*rest), order).alias("_r")).select("transaction_id", "_r.*")
 
 

@@ -22,10 +22,14 @@ from .scan import HOT_ROWS, exact_quantiles
 # fixed values: default training parameters
 DEFAULT_PARAMS = {
     "trees": 200, "depth": 6, "rate": 0.1, "min_rows_per_leaf": 5, "row_share": 0.8,
-    "column_share": 0.8, "positive_weight": 10.0, "seed": 42,
+    "column_share": 0.8, "positive_weight": 10.0, "seed": 42, "stop_rounds": 20,
 }
 
 
+# values of a class label at most
+MOST_CLASSES = 1_000
+
+
 @dataclass
 class ScoreModel:
     """A fitted model with the names of its inputs."""
@@ -82,29 +86,43 @@ def score_with(model: GBTClassificationModel, features: Sequence[str], df: DataF
     return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
 
+def best_round(losses: Sequence[float], stop_rounds: int) -> int:
+    """Number of rounds with the smallest loss seen before ``stop_rounds`` rounds in a row brought no gain."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= stop_rounds:
+            break
+    return best + 1
+
+
 def fit_model(
     train: DataFrame, label: str = "label", *, features: Sequence[str] | None = None, valid: DataFrame | None = None,
     weight: str | None = None, params: dict | None = None, threshold: float = 0.5, version: str = "v1",
     with_metrics: bool = True, trained_at: datetime | None = None,
 ) -> ScoreModel:
-    """Fit boosted trees. With ``valid`` the number of trees is chosen on it (early stop)."""
+    """Fit boosted trees. With ``valid`` the number of trees is the best on it before ``stop_rounds`` trees brought
+    no gain (early stop); the trees up to there are fitted again, which gives the same ones."""
     p = {**DEFAULT_PARAMS, **(params or {})}
     features = list(features or [c for c in model_inputs(train) if c not in (label, weight)])
     own = F.col(weight).cast("double") if weight else F.lit(1.0)
     keep = [*features, label, *([weight] if weight else [])]
-    rows = train.select(*keep).withColumn("_valid", F.lit(False))
-    if valid is not None:
-        rows = rows.unionByName(valid.select(*keep).withColumn("_valid", F.lit(True)))
-    rows = rows.withColumn("_w", own * F.when(F.col(label) == 1, float(p["positive_weight"])).otherwise(1.0))
-    staged = _assemble(rows, features).withColumn("_y", F.col(label).cast("double"))
+
+    def staged(rows: DataFrame) -> DataFrame:
+        weighed = own * F.when(F.col(label) == 1, float(p["positive_weight"])).otherwise(1.0)
+        return _assemble(rows.select(*keep).withColumn("_w", weighed), features).select("_x", F.col(label).cast("double").alias("_y"), "_w")
+
     learner = GBTClassifier(
         featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"],
         minInstancesPerNode=p["min_rows_per_leaf"], subsamplingRate=p["row_share"],
         featureSubsetStrategy=str(p["column_share"]), seed=p["seed"],
     )
+    fitted = learner.fit(staged(train))
     if valid is not None:
-        learner = learner.setValidationIndicatorCol("_valid")
-    fitted = learner.fit(staged.select("_x", "_y", "_w", "_valid"))
+        best = best_round(fitted.evaluateEachIteration(staged(valid)), p["stop_rounds"])
+        if best < p["trees"]:
+            fitted = learner.setMaxIter(best).fit(staged(train))
     out = ScoreModel(fitted, features, p, threshold, version, {}, trained_at.isoformat() if trained_at else None)
     if with_metrics:
         row = classification_metrics(out.score(train), label=label, threshold=threshold).first()
@@ -127,7 +145,10 @@ def stratified_split(
     df: DataFrame, label: str = "label", ident: str = "transaction_id", test_share: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test) with the same share of every class in test; repeatable by id and seed."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    classes = df.groupBy(label).count().limit(MOST_CLASSES + 1).collect()
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"{label!r} has more than {MOST_CLASSES} values and is no class label")
+    counts = {r[label]: r["count"] for r in classes}
     test = F.lit(False)
     for value, n in counts.items():
         cond = F.col(label) == F.lit(value)

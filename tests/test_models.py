@@ -67,7 +67,7 @@ def test_stress(train, fitted):
     assert set(out) == {"label_noise", "feature_perturbation", "missing_features", "class_imbalance"} and cols
     rare = stress.rarer_positives(scored, 0.05)
     assert rare.filter("label = 1").count() == scored.filter("label = 1").count()
-    assert stress.class_imbalance(scored, target=0.9).first()["description"].startswith("Test skipped")
+    assert stress.class_imbalance(scored, target=0.9).first()["description"].startswith("positives are already rare")
 
 
 def test_svd_matches_numpy(spark):
@@ -100,3 +100,11 @@ def test_embeddings_lookup(spark, tmp_path):
     assert row["merchant_emb_0"] == pytest.approx(emb.defaults["merchant"][0]) and row["device_emb_0"] == pytest.approx(emb.defaults["device"][0])
     known = emb.vectors.filter("entity_type = 'user' and entity_id = 'u1'").first()["vector"]
     assert row["user_emb_0"] == pytest.approx(known[0])
+
+
+def test_early_stop_counts_rounds_without_gain():
+    from riskweave.operators.model import best_round
+
+    assert best_round([5.0, 4.0, 4.5, 4.6, 3.0], 3) == 5
+    assert best_round([5.0, 4.0, 4.5, 4.6, 3.0], 2) == 2
+    assert best_round([1.0], 20) == 1
