@@ -72,7 +72,7 @@ SELECT user_id, count(*) AS txn_count, round(avg(amount), 8) AS avg_amount, roun
 
 
 def user_deviation(spark, sf_dir):
-    """Baselines from the first three weeks, applied to every transaction."""
+    """Baselines known on 3 January, applied to every transaction: users who first appear later get the global one."""
     t = transactions(spark, sf_dir).select("transaction_id", "timestamp", "user_id", "amount")
     base = velocity.user_baseline(t.filter(F.col("timestamp") < F.lit("2024-01-03").cast("timestamp")))
     out = velocity.amount_vs_user(t, base)

@@ -52,11 +52,28 @@ def shared_root(spark: SparkSession) -> str:
     return current
 
 
+#: Tables written by this process and not yet forgotten.
+_STEPS: list[str] = []
+
+
+def forget_steps(spark: SparkSession) -> int:
+    """Delete the step tables this process has written; returns their number.
+
+    Call it once the results of a job are stored: frames made before read from these tables.
+    """
+    gone = 0
+    while _STEPS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STEPS.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table once into the shared folder and go on from the files.
 
     The result no longer depends on what came before, so a lost executor costs a re-read.
     """
     path = f"{shared_root(df.sparkSession)}/riskweave-steps/{uuid.uuid4().hex}"
+    _STEPS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -100,3 +100,11 @@ def test_slices_too_large_for_one_round_are_cut_again(spark):
     assert sliced.groupBy("_sl_no").count().agg(F.max("count")).first()[0] <= 10
     edges = sliced.groupBy("_sl_no").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("_sl_no").collect()
     assert all(a["hi"] < b["lo"] for a, b in zip(edges, edges[1:]))
+
+
+def test_step_tables_can_be_forgotten(spark):
+    from riskweave.session import cut_lineage, forget_steps
+
+    forget_steps(spark)
+    kept = cut_lineage(spark.range(5))
+    assert kept.count() == 5 and forget_steps(spark) == 1 and forget_steps(spark) == 0
