@@ -35,7 +35,7 @@ from riskweave.llm.words import mix
 WINDOW = 20
 ROUNDS = 3
 #: Bytes of windows for one task of the comparison.
-TASK_BYTES = 12_000_000
+TASK_BYTES = 8_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -114,6 +114,8 @@ def anchors(w: words.Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple
     total = len(w.hashes)
     text = w.text_of
     places = np.flatnonzero(text[: total - window + 1] == text[window - 1 :]) if total >= window else np.zeros(0, dtype=np.int64)
+    if not len(places):
+        return places, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8)
     index = np.arange(total)
     levels = [_Symbols(w.hashes, index, index + 1, index, index + 1, text)]
     for turn in range(rounds):
@@ -124,7 +126,7 @@ def anchors(w: words.Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple
     for k in range(rounds, -1, -1):
         if not len(left):
             break
-        x = levels[k]
+        x = levels.pop()  # the highest round left; earlier ones are freed as the loop goes down
         at = places[left]
         # low and high never fall from one symbol to the next, so the symbols inside a window are neighbours
         below = np.cumsum(np.bincount(x.low + 1, minlength=total + 2))  # below[v]: low < v
@@ -209,8 +211,33 @@ def _emit(part: pa.RecordBatch, buckets: int, window: int) -> pa.RecordBatch | N
     )
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, spans): runs of windows to remove, as pairs of start and count."""
+def _merged(d: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (document, start, count) in order, those that touch made one."""
+    order = np.lexsort((s, d))
+    d, s, n = d[order], s[order], n[order]
+    breaks = np.ones(len(d), dtype=bool)
+    breaks[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + n[:-1])
+    at, _ = _runs(breaks)
+    reach = np.maximum.reduceat(s + n, at)
+    return d[at], s[at], (reach - s[at]).astype(np.int32)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_id, spans): one row for each document, with its runs of windows to remove as pairs of start and count."""
+    held = [(_from_planes(a, np.int64), _from_planes(b, np.int32), _from_planes(c, np.int32))
+            for batch in batches for _, a, b, c in zip(*[x.to_pylist() for x in batch.columns])]
+    if not held:
+        return
+    d, s, n = _merged(*(np.concatenate(x) for x in zip(*held)))
+    pairs = np.stack([s, n], axis=1).astype(np.int32)
+    cut, size = _runs(np.append(True, d[1:] != d[:-1]))
+    for a in range(0, len(cut), 10_000):
+        spans = [pairs[c : c + k].tobytes() for c, k in zip(cut[a : a + 10_000], size[a : a + 10_000])]
+        yield pa.RecordBatch.from_arrays([pa.array(d[cut[a : a + 10_000]]), pa.array(spans, pa.binary())], ["_id", "spans"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
+    """(home, docs, starts, counts): runs of windows to remove, packed by a hash of their documents."""
     docs, starts, hashes, gone = [], [], [], []
     for batch in batches:
         for _, d, s, n, h in zip(*[c.to_pylist() for c in batch.columns]):
@@ -242,29 +269,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone.append((d, s, np.ones(len(d), dtype=np.int32)))
     if not gone:
         return
-    d, s, n = (np.concatenate(x) for x in zip(*gone))
-    order = np.lexsort((s, d))
-    d, s, n = d[order], s[order], n[order]
-    breaks = np.ones(len(d), dtype=bool)
-    breaks[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + n[:-1])
-    at, _ = _runs(breaks)
-    reach = np.maximum.reduceat(s + n, at)
-    d, s = d[at], s[at]
-    pairs = np.stack([s, (reach - s).astype(np.int32)], axis=1).astype(np.int32)
-    cut, size = _runs(np.append(True, d[1:] != d[:-1]))
-    for a in range(0, len(cut), 10_000):
-        spans = [pairs[c : c + k].tobytes() for c, k in zip(cut[a : a + 10_000], size[a : a + 10_000])]
-        yield pa.RecordBatch.from_arrays([pa.array(d[cut[a : a + 10_000]]), pa.array(spans, pa.binary())], ["_id", "spans"])
+    d, s, n = _merged(*(np.concatenate(x) for x in zip(*gone)))
+    home = (mix(d.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    d, s, n, home = d[order], s[order], n[order], home[order]
+    cut, size = _runs(np.append(True, home[1:] != home[:-1]))
+    packed = [[_planes(np.ascontiguousarray(x[c : c + k])) for c, k in zip(cut, size)] for x in (d, s.astype(np.int32), n)]
+    yield pa.RecordBatch.from_arrays([pa.array(home[cut]), *[pa.array(x, pa.binary()) for x in packed]], ["home", "docs", "starts", "counts"])
 
 
-def kept_words(texts: pa.Array, spans: Sequence[list[bytes] | None], window: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def kept_words(texts: pa.Array, spans: Sequence[bytes | None], window: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Texts of the words no span covers, joined by one space, with the numbers of words and of removed words."""
     w = words.split(texts)
     total = len(w.hashes)
     edge = np.zeros(total + 1, dtype=np.int64)
     for i, found in enumerate(spans):
         if found:
-            p = np.frombuffer(b"".join(found), dtype=np.int32).reshape(-1, 2).astype(np.int64)
+            p = np.frombuffer(found, dtype=np.int32).reshape(-1, 2).astype(np.int64)
             # rows of one id may be shorter than the row a span was found in
             limit = w.first[i + 1]
             np.add.at(edge, np.minimum(w.first[i] + p[:, 0], limit), 1)
@@ -310,7 +331,8 @@ def remove_repeats(
     dealt = rows.select("_id", "_text").mapInArrow(
         emit, "bucket long, docs binary, starts binary, counts binary, hashes binary"
     ).repartition(tasks, "bucket")
-    spans = dealt.mapInArrow(_compare, "_id long, spans binary").groupBy("_id").agg(F.collect_list("spans").alias("_spans"))
+    found = dealt.mapInArrow(lambda batches: _compare(batches, tasks), "home long, docs binary, starts binary, counts binary")
+    spans = found.repartition(tasks, "home").mapInArrow(_gather, "_id long, spans binary").withColumnRenamed("spans", "_spans")
     named = [f"_c{i}" for i in range(len(carry))]
     joined = rows.join(spans, "_id", "left").select("_doc", "_text", "_spans", *named)
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
