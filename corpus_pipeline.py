@@ -14,21 +14,29 @@ from riskweave.llm import jaccard_join, mixing, substring_dedup, toxicity
 from riskweave.llm.queries import mixed, piece_digests
 from riskweave.session import cut_lineage, prepare
 
+#: Rows of ids and rates that may be broadcast (eight bytes each); more are joined.
+BROADCAST_ROWS = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A narrow table, stored once; broadcast if its count allows, so that texts need not be shuffled."""
+    rows = cut_lineage(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of at least 0.7 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score_toxicity(docs, labels)
-    bad = scored.filter("predicted = 1").select("doc_id").distinct()
+    bad = _small(scored.filter("predicted = 1").select("doc_id").distinct())
     return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays."""
     found = jaccard_join.similar_documents(docs)
-    copies = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    copies = _small(found.filter("component_id <> doc_id").select("doc_id").distinct())
     return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
 
 
@@ -44,7 +52,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say; a document may stand several times or not at all."""
-    rates = mixed(spark, docs, sf_dir).groupBy("doc_id").agg(F.max("rate").alias("rate"))
+    rates = _small(mixed(spark, docs, sf_dir).groupBy("doc_id").agg(F.max("rate").alias("rate")))
     times = mixing.draws(F.col("rate"), F.col("doc_id"))
     taken = docs.select(*COLUMNS).join(rates, docs["doc_id"].eqNullSafe(rates["doc_id"]), "left").drop(rates["doc_id"])
     taken = taken.withColumn("_times", times).filter("_times > 0")

@@ -11,8 +11,16 @@ from pyspark.sql import DataFrame
 import riskweave
 
 
+#: Rows of an Arrow batch where the session still has Spark's default: texts are long and blobs longer, and a batch is
+#: held by the JVM and by Python at once.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = 500, "10000"
+
+
 def shipped(df: DataFrame) -> DataFrame:
-    """Send the package to the workers of the frame's session, once a session; returns the frame."""
+    """Send the package to the workers of the frame's session, once a session, and keep Arrow batches small; returns
+    the frame."""
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = df.sparkSession.sparkContext
     if getattr(context, "_riskweave_shipped", False):
         return df
