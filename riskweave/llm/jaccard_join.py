@@ -48,7 +48,7 @@ PIVOTS = (1, 4, 16)
 #: Hash classes of the histograms that rule out pairs.
 BUCKETS = 256
 #: Bytes of signatures for one task, and ids of candidates that may be broadcast; more are joined.
-TASK_BYTES, BROADCAST_IDS = 12_000_000, 500_000
+TASK_BYTES, BROADCAST_IDS = 8_000_000, 500_000
 
 _PROBE, _INDEX = np.uint64(1), np.uint64(2)
 _FLAGS = np.uint64(3)
@@ -265,7 +265,7 @@ def _candidate_rows(docs: DataFrame, frequent: np.ndarray, shingles: int, percen
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent)  # at most FREQUENT values
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles * 8 // TASK_BYTES))
-    buckets = 4 * tasks
+    buckets = 2 * tasks
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -319,7 +319,7 @@ def remove_repeats(
     )
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 3 // 2 // TASK_BYTES))
-    buckets = 4 * tasks
+    buckets = 2 * tasks
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time; a longer text makes a slice of its own.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 800_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, dtype=bool)
@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     up = np.full(n, _BASE, dtype=np.uint64)
@@ -82,6 +82,7 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
 
 
 def split(texts: pa.Array, lower: bool = False, marks: bool = False) -> Words:
