@@ -8,9 +8,6 @@ from ..operators import embeddings, features, model, stress
 from .evaluation_queries import scored
 from .views import transactions
 
-# fewer trees than the default keep the registered queries quick to check
-TREES = {"trees": 10, "depth": 5}
-
 
 def _table(spark, sf_dir):
     t = transactions(spark, sf_dir)
@@ -19,9 +16,10 @@ def _table(spark, sf_dir):
 
 
 def _fitted(table):
+    """Default parameters; the part held out picks the number of trees, as in ``model.train_model``."""
     train, test = model.stratified_split(table)
     names = [c for c in features.model_inputs(table) if c != "label"]
-    return model.fit_model(train, features=names, params=TREES, with_metrics=False), test
+    return model.fit_model(train, features=names, valid=test, with_metrics=False), test
 
 
 def model_scores(spark, sf_dir):

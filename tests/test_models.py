@@ -108,3 +108,17 @@ def test_early_stop_counts_rounds_without_gain():
     assert best_round([5.0, 4.0, 4.5, 4.6, 3.0], 3) == 5
     assert best_round([5.0, 4.0, 4.5, 4.6, 3.0], 2) == 2
     assert best_round([1.0], 20) == 1
+
+
+def test_registered_queries_fit_the_default_model_with_early_stop(train, monkeypatch):
+    from riskweave.plans import model_queries
+
+    seen = {}
+
+    def fit(rows, **kw):
+        seen.update(kw, train=rows)
+
+    monkeypatch.setattr(model, "fit_model", fit)
+    _, test = model_queries._fitted(train)
+    assert {**model.DEFAULT_PARAMS, **(seen.get("params") or {})} == model.DEFAULT_PARAMS
+    assert seen["valid"] is test and seen["train"].join(test, "transaction_id").count() == 0
