@@ -10,7 +10,7 @@ gives the scores.
 
 Labels come from rows of the label table whose ``crc32(doc_id as text) mod 3`` is not 1 (the largest label of a
 repeated id; null labels are none). Lexicon mining and the classifier's fit take bounded samples by a hash of the
-id (``SAMPLE_ROWS``); vote counts and correlations cover all documents. Null text counts as empty: no votes, the
+id (``SAMPLE_ROWS``); mining counts each distinct text once and keeps every entry that passes. Vote counts and correlations cover all documents. Null text counts as empty: no votes, the
 base score. A null id counts as not held out and unlabelled. Repeated rows score alike. Without labels of both
 kinds nothing can be learned: every score is 0. Empty tables give empty tables.
 """
@@ -31,8 +31,10 @@ from riskweave.session import cut_lineage
 
 #: Labelled rows from which the lexicon is mined, and rows the classifier is fitted on.
 SAMPLE_ROWS = 20_000
-#: Voters of the lexicon; the beginnings of words that are tried, in bytes.
-LEXICON, BEGINNINGS = 256, (4, 5, 6, 7)
+#: The beginnings of words that are tried, in bytes.
+BEGINNINGS = (4, 5, 6, 7)
+#: Numbers a task or the driver unpacks from votes at a time, as the lexicon has no fixed length.
+CELLS = 4_000_000
 #: Rounds of expectation and maximisation.
 ROUNDS = 5
 #: A text counts as toxic from this score.
@@ -70,8 +72,8 @@ def _patterns(texts: pa.Array) -> np.ndarray:
 
 
 def _votes(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
-    """Voters by text as 0 and 1: the lexicon in order, then the patterns."""
-    out = np.zeros((len(texts), len(lexicon) + PATTERNS), dtype=np.float32)
+    """Voters by text, true or false: the lexicon in order, then the patterns."""
+    out = np.zeros((len(texts), len(lexicon) + PATTERNS), dtype=bool)
     if len(lexicon):
         order = np.argsort(lexicon)
         known = lexicon[order]
@@ -84,7 +86,9 @@ def _votes(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
 
 
 def mine_lexicon(labelled: DataFrame) -> tuple[np.ndarray, float]:
-    """(entries, share of toxic rows) from rows (text, toxic): entries far more frequent in toxic texts."""
+    """(entries, share of toxic texts) from rows (text, toxic): entries far more frequent in toxic texts.
+
+    A text counts once, however many copies it has, with the largest of its labels."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,6 +107,7 @@ def mine_lexicon(labelled: DataFrame) -> tuple[np.ndarray, float]:
                     [pa.array(kinds.view(np.int64)), pa.array(bad.astype(np.int64)), pa.array(n.astype(np.int64))], ["entry", "bad", "n"]
                 )
 
+    labelled = cut_lineage(labelled.groupBy("text").agg(F.max("toxic").alias("toxic")))
     rows, toxic = labelled.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not rows or not toxic or toxic == rows:
         return np.zeros(0, dtype=np.uint64), 0.0
@@ -117,7 +122,7 @@ def mine_lexicon(labelled: DataFrame) -> tuple[np.ndarray, float]:
     chosen = (
         counts.filter((F.col("bad") > 1) & (rate > max(0.5, 2 * base)))
         .withColumn("gain", gain).filter(F.col("gain") > float(np.log(max(2, tried)) + 1))
-        .orderBy(F.desc("gain"), "entry").limit(LEXICON).select("entry").collect()
+        .orderBy(F.desc("gain"), "entry").select("entry").collect()
     )
     return np.array([r[0] for r in chosen], dtype=np.int64).view(np.uint64), base
 
@@ -126,17 +131,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _logistic(x: np.ndarray, target: np.ndarray, ridge: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    """Ridge logistic weights for soft targets, by damped Newton steps."""
+def _logistic(inputs, target: np.ndarray, ridge: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Ridge logistic weights for soft targets, by damped Newton steps; ``inputs(a, b)`` makes rows a to b."""
+    step_rows = max(1, CELLS // len(ridge))
+    parts = [(a, min(a + step_rows, len(target))) for a in range(0, len(target), step_rows)]
 
     def loss(b: np.ndarray) -> float:
-        z = x @ b
-        return float(np.logaddexp(0, z).sum() - target @ z + 0.5 * ridge @ (b * b))
+        out = 0.5 * ridge @ (b * b)
+        for i, j in parts:
+            z = inputs(i, j) @ b
+            out += np.logaddexp(0, z).sum() - target[i:j] @ z
+        return float(out)
 
     now = loss(beta)
     for _ in range(40):
-        p = _sigmoid(x @ beta)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (target - p) - ridge * beta)
+        bend, slope = np.diag(ridge), -ridge * beta
+        for i, j in parts:
+            x = inputs(i, j)
+            p = _sigmoid(x @ beta)
+            bend = bend + (x * (p * (1 - p))[:, None]).T @ x
+            slope = slope + x.T @ (target[i:j] - p)
+        step = np.linalg.solve(bend, slope)
         size = 1.0
         while size > 1e-4 and loss(beta + size * step) > now:
             size /= 2
@@ -165,11 +180,11 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         return _sigmoid(self.scale[0] + self.scale[1] * self.logit(votes))
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+    def calibrate(self, logits: np.ndarray, labels: np.ndarray) -> None:
         """Sharing weights makes posteriors timid: offset and scale are set on labelled rows."""
         if len(labels):
-            x = np.stack([np.ones(len(votes)), self.logit(votes)], axis=1)
-            self.scale = _logistic(x, np.clip(labels, 0.005, 0.995), np.array([1e-3, 1e-3]), np.array([0.0, 1.0]))
+            x = np.stack([np.ones(len(logits)), logits], axis=1)
+            self.scale = _logistic(lambda a, b: x[a:b], np.clip(labels, 0.005, 0.995), np.array([1e-3, 1e-3]), np.array([0.0, 1.0]))
 
     def update(self, n: float, bad: float, votes: np.ndarray, bad_votes: np.ndarray) -> None:
         good = n - bad
@@ -177,15 +192,22 @@ class LabelModel:
         self.toxic = np.clip((bad_votes + 0.1) / (bad + 1), 1e-4, 0.999)
         self.clean = np.clip((votes - bad_votes + 0.1) / (good + 100), 1e-6, 0.999)
 
-    def correlate(self, bad: float, moments: np.ndarray) -> None:
-        """Votes that go together given a toxic label share one vote's weight."""
-        mean = self.toxic
-        cov = moments / max(bad, 1.0) - np.outer(mean, mean)
+    def correlate(self, bad: float, moments: np.ndarray, at: int = 0) -> None:
+        """Votes that go together given a toxic label share one vote's weight; the moments of voters from ``at`` on."""
+        mean, own = self.toxic, slice(at, at + len(moments))
+        cov = moments / max(bad, 1.0) - np.outer(mean[own], mean)
         scale = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-        rho = np.clip(cov / np.outer(scale, scale), 0, 1)
-        np.fill_diagonal(rho, 1)
+        rho = np.clip(cov / np.outer(scale[own], scale), 0, 1)
+        rho[np.arange(len(rho)), at + np.arange(len(rho))] = 1
         rho[rho < 0.1] = 0  # chance
-        self.weight = 1 / rho.sum(axis=1)
+        self.weight[own] = 1 / rho.sum(axis=1)
+
+
+def _parts(batch: pa.RecordBatch, voters: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, as many at a time as unpack to ``CELLS`` numbers."""
+    most = max(1, CELLS // voters)
+    for a in range(0, batch.num_rows, most):
+        yield batch.slice(a, most)
 
 
 def _unpacked(batch: pa.RecordBatch, at: int, voters: int) -> np.ndarray:
@@ -205,27 +227,33 @@ def _believed(model: LabelModel, votes: np.ndarray, labels: np.ndarray) -> np.nd
 def fit_label_model(voted: DataFrame, voters: int, base: float) -> LabelModel:
     """Expectation and maximisation over all rows (votes, label)."""
     model = LabelModel(voters, base)
+    block = max(1, CELLS // voters)  # voters whose moments a task holds
     for turn in range(ROUNDS):
-        last = turn == 1  # correlations are measured once the rates have settled on the labelled rows
-
-        def partial(batches: Iterator[pa.RecordBatch], model=model, moments=last, first=turn == 0) -> list[np.ndarray]:
-            one = np.zeros(2 + 2 * voters)
-            two = np.zeros((voters, voters)) if moments else None
-            for batch in batches:
-                v, y = _unpacked(batch, 0, voters), _labels_of(batch, 1)
-                if first:  # starting rates come from the labelled rows alone
-                    v, y = v[~np.isnan(y)], y[~np.isnan(y)]
-                p = _believed(model, v, y)
-                one += np.concatenate([[len(p), p.sum()], v.sum(axis=0), p @ v])
-                if two is not None:
-                    two += (v * p[:, None]).T @ v
-            return [one] if two is None else [one, *two]
-
-        found = vector_sums(voted.select("votes", "label"), partial)
+        # correlations are measured once the rates have settled on the labelled rows, a block of voters a pass
+        blocks = range(0, voters, block) if turn == 1 else [None]
+        shared = []
+        for lo in blocks:
+
+            def partial(batches: Iterator[pa.RecordBatch], model=model, lo=lo, first=turn == 0) -> list[np.ndarray]:
+                one = np.zeros(2 + 2 * voters)
+                two = None if lo is None else np.zeros((min(block, voters - lo), voters))
+                for part in (p for batch in batches for p in _parts(batch, voters)):
+                    v, y = _unpacked(part, 0, voters), _labels_of(part, 1)
+                    if first:  # starting rates come from the labelled rows alone
+                        v, y = v[~np.isnan(y)], y[~np.isnan(y)]
+                    p = _believed(model, v, y)
+                    one += np.concatenate([[len(p), p.sum()], v.sum(axis=0), p @ v])
+                    if two is not None:
+                        two += (v[:, lo : lo + len(two)] * p[:, None]).T @ v
+                return [one] if two is None else [one, *two]
+
+            found = vector_sums(voted.select("votes", "label"), partial)
+            shared.append((lo, found[1:]))
         n, bad = found[0][:2]
         model.update(n, bad, found[0][2 : 2 + voters], found[0][2 + voters :])
-        if last:
-            model.correlate(bad, np.stack(found[1:]))
+        for lo, moments in shared:
+            if lo is not None:
+                model.correlate(bad, np.stack(moments), lo)
     return model
 
 
@@ -236,10 +264,9 @@ def _features(votes: np.ndarray, lexicon: int) -> np.ndarray:
 
 def fit_classifier(votes: np.ndarray, target: np.ndarray, lexicon: int, penalty: float = 1.0) -> np.ndarray:
     """Logistic weights for posterior labels, by Newton steps."""
-    x = _features(votes, lexicon)
-    ridge = np.full(x.shape[1], penalty)
+    ridge = np.full(votes.shape[1] + 3, penalty)
     ridge[0] = 1e-3
-    return _logistic(x, target, ridge, np.zeros(x.shape[1]))
+    return _logistic(lambda a, b: _features(votes[a:b], lexicon), target, ridge, np.zeros(len(ridge)))
 
 
 def score_toxicity(
@@ -263,12 +290,12 @@ def score_toxicity(
         return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     voters = len(lexicon) + PATTERNS
     spark = docs.sparkSession
-    lexicon_sent = spark.sparkContext.broadcast(lexicon)  # at most LEXICON values
+    lexicon_sent = spark.sparkContext.broadcast(lexicon)  # eight bytes an entry
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, 1):
-                packed = np.packbits(_votes(part.column(1), lexicon_sent.value).astype(bool), axis=1)
+            for part in (p for x in words.slices(batch, 1) for p in _parts(x, voters)):
+                packed = np.packbits(_votes(part.column(1), lexicon_sent.value), axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["doc_id", "votes"]
                 )
@@ -282,19 +309,20 @@ def score_toxicity(
     rows_fit = voted.filter(share).select("votes", F.col("label").cast("double")).toArrow().combine_chunks()
     if rows_fit.num_rows:
         batch = rows_fit.to_batches()[0]
-        v = _unpacked(batch, 0, voters)
         y = _labels_of(batch, 1)
-        model.calibrate(v[~np.isnan(y)], y[~np.isnan(y)])
-        target = _believed(model, v, y)
+        logits = np.concatenate([model.logit(_unpacked(p, 0, voters)) for p in _parts(batch, voters)])
+        model.calibrate(logits[~np.isnan(y)], y[~np.isnan(y)])
+        target = np.concatenate([_believed(model, _unpacked(p, 0, voters), _labels_of(p, 1)) for p in _parts(batch, voters)])
+        v = np.concatenate([_unpacked(p, 0, voters).astype(bool) for p in _parts(batch, voters)])
         beta = fit_classifier(v, target, len(lexicon))
     else:
         beta = np.zeros(3 + voters)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = _features(_unpacked(batch, 1, voters), len(lexicon))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(x @ beta))], ["doc_id", "score"])
+            for part in _parts(batch, voters):
+                x = _features(_unpacked(part, 1, voters), len(lexicon))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_sigmoid(x @ beta))], ["doc_id", "score"])
 
     scored = voted.select("doc_id", "votes").mapInArrow(score, f"doc_id {kind}, score double")
     return scored.select(

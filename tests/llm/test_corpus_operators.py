@@ -284,3 +284,33 @@ def test_pipeline_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         kept = corpus_pipeline.cut_lineage(stage(spark, kept, SF_DIR))
     assert kept.count() >= 3
+
+
+def test_lexicon_counts_a_text_once_and_keeps_every_entry_that_passes(spark):
+    rng = random.Random(4)
+    rows = [(" ".join(f"w{rng.randint(0, 500)}" for _ in range(10)), 0) for _ in range(600)]
+    rows += [(f"grubix w{i} t{i}", 1) for i in range(60)]
+    hot = " ".join(f"hotword{k}" for k in range(120))
+    labelled = spark.createDataFrame(rows + [(hot, 1)] * 500, "text string, toxic int")
+    found, base = toxicity.mine_lexicon(labelled)
+    assert base == pytest.approx(61 / 661, abs=0.01)
+    assert set(found) >= entries_of("grubix") and not set(found) & entries_of("hotword7")
+    # 300 words that all pass
+    many = rows[:600] + [(" ".join(f"vile{k}" for k in range(300)) + f" u{i}", 1) for i in range(60)]
+    found, _ = toxicity.mine_lexicon(spark.createDataFrame(many, "text string, toxic int"))
+    assert all(entries_of(f"vile{k}") & set(found) for k in range(300)) and len(found) > 256
+
+
+def entries_of(word):
+    import pyarrow as pa
+
+    return set(toxicity._entries(pa.array([word]))[1])
+
+
+def test_moments_in_blocks_give_the_same_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} " + ("grubix vilest" if i % 5 == 0 else "fine")) for i in range(300)], "doc_id long, text string")
+    known = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    whole = toxicity.score_toxicity(docs, known).toPandas().sort_values("doc_id")
+    monkeypatch.setattr(toxicity, "CELLS", 40)
+    parts = toxicity.score_toxicity(docs, known).toPandas().sort_values("doc_id")
+    assert np.allclose(whole.score.to_numpy(), parts.score.to_numpy(), atol=1e-6)
