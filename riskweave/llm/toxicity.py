@@ -120,7 +120,7 @@ def mine_lexicon(labelled: DataFrame) -> tuple[np.ndarray, float]:
     # exponent of the chance that a harmless entry does as well
     gain = F.col("n") * (rate * F.log(rate / base) + (1 - rate) * F.log((1 - rate) / (1 - base)))
     chosen = (
-        counts.filter((F.col("bad") > 1) & (rate > max(0.5, 2 * base)))
+        counts.filter((F.col("bad") > 1) & (rate > max(0.5, min(2 * base, (1 + base) / 2))))
         .withColumn("gain", gain).filter(F.col("gain") > float(np.log(max(2, tried)) + 1))
         .orderBy(F.desc("gain"), "entry").select("entry").collect()
     )

@@ -314,3 +314,17 @@ def test_moments_in_blocks_give_the_same_scores(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "CELLS", 40)
     parts = toxicity.score_toxicity(docs, known).toPandas().sort_values("doc_id")
     assert np.allclose(whole.score.to_numpy(), parts.score.to_numpy(), atol=1e-6)
+
+
+@pytest.mark.parametrize("tenths", [5, 6, 7])
+def test_toxicity_learns_from_labels_that_are_mostly_toxic(spark, tenths):
+    rng = random.Random(tenths)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 10 < tenths
+        text = " ".join(rng.choice("red green blue cyan pink".split()) + str(rng.randint(0, 9)) for _ in range(20))
+        rows.append((i, text + (" grubix vilest" if bad else "")))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).toPandas()
+    assert ((got.doc_id % 10 < tenths) == (got.predicted == 1)).all()
