@@ -1,7 +1,8 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs, in built-in functions only.
 
 A text is cut into sections (behind blank lines), those into paragraphs (lines), those into leaves
-(behind sentence marks and long words), without losing a character. A leaf's digest is the SHA-256 of
+(behind sentence marks and long words, else behind other words by their last letter, at most ``LEAF_CHARS``
+characters), without losing a character. A leaf's digest is the SHA-256 of
 its text, an inner node's that of its children's digests, so equal roots mean equal texts and a differing
 root leads down to the leaves that were edited. The fingerprint is the root and the leaves (32 bits of
 hash and the length, 16 hex digits a leaf with its separator at most), with ``/`` between paragraphs and
@@ -19,12 +20,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cuts: behind a blank line, behind a line, behind a sentence mark or a word of ten or more characters.
+#: Code points of a leaf at most; from half of it on a leaf may end behind more words.
+LEAF_CHARS = 64
+#: Cuts: behind a blank line, behind a line.
 SECTION = r"(?<=\n[ \t\r]{0,4}\n)(?=[^\n])"
 PARAGRAPH = r"(?<=\n)(?=[^\n])"
-LEAF = r"(?<=[.!?,;:|]\s)(?=\S)|(?<=\S{10}\s)(?=\S)"
-#: A leaf's length is kept up to here; a longer leaf weighs as much.
-MOST = 65_535
+#: A leaf: up to a sentence mark (full-width ones need no space) or a word of ten or more characters, else up to a
+#: word that ends in one of some letters and digits, else as long as may be.
+_STRONG = r"(?<=[.!?,;:|]\s)(?=\S)|(?<=\S{10}\s)(?=\S)|(?<=[\x{3001}\x{3002}\x{FF01}\x{FF0C}\x{FF1A}\x{FF1B}\x{FF1F}])|\z"
+_WEAK = r"(?<=[cdghkmpwyCDGHKMPWY5-9]\s)(?=\S)"
+LEAF = (
+    rf"(?s).{{1,{LEAF_CHARS}}}?(?:{_STRONG})|.{{{LEAF_CHARS // 2},{LEAF_CHARS}}}?{_WEAK}|.{{{LEAF_CHARS}}}"
+)
 #: Documents in a range of ids that one task pairs with their successors, and the most ranges; beyond
 #: that ranges grow, and the window over a range spills.
 RANGE_ROWS, MOST_RANGES = 5_000, 20_000
@@ -56,11 +63,11 @@ def tree(text: Column) -> Column:
         mark = F.xxhash64(piece).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.struct(
             F.sha2(piece, 256).alias("d"),
-            (F.shiftleft(mark, 16).bitwiseOR(F.least(F.length(piece), F.lit(MOST)).cast("long"))).alias("k"),
+            (F.shiftleft(mark, 16).bitwiseOR(F.length(piece).cast("long"))).alias("k"),
         )
 
     def paragraph(line: Column) -> Column:
-        return _node(F.transform(F.filter(_cut(line, LEAF), lambda x: x != ""), leaf))
+        return _node(F.transform(F.regexp_extract_all(line, F.lit(LEAF), F.lit(0)), leaf))
 
     def section(part: Column) -> Column:
         return _node(F.transform(_cut(part, PARAGRAPH), paragraph))
@@ -89,14 +96,34 @@ def _weight(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a + k.bitwiseAND(F.lit(0xFFFF).cast("long")))
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """Weight of the leaves two lists have in common, each as often as both have it: one walk over both in order."""
+    both = F.sort_array(F.concat(
+        F.transform(a, lambda k: F.shiftleft(k, 1)), F.transform(b, lambda k: F.shiftleft(k, 1).bitwiseOR(F.lit(1).cast("long")))
+    ))
+    zero = F.lit(0).cast("long")
+
+    def step(acc: Column, x: Column) -> Column:
+        key, own = F.shiftright(x, 1), x.bitwiseAND(F.lit(1).cast("long")) == 0
+        free = F.when(acc["k"] == key, acc["free"]).otherwise(zero)  # leaves of the first list not yet met
+        met = ~own & (free > 0)
+        return F.struct(
+            key.alias("k"), F.when(own, free + 1).when(met, free - 1).otherwise(free).alias("free"),
+            F.when(met, acc["w"] + key.bitwiseAND(F.lit(0xFFFF).cast("long"))).otherwise(acc["w"]).alias("w"),
+        )
+
+    start = F.struct(F.lit(-1).cast("long").alias("k"), zero.alias("free"), zero.alias("w"))
+    return F.aggregate(both, start, step, lambda acc: acc["w"])
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the characters of two trees that lie in leaves of both (equal leaves count once): 1 for equal
-    roots, 0 if nothing is shared. Twice the shared weight over the sum of both."""
+    """Share of the characters of two trees that lie in leaves of both (a repeated leaf as often as both have it): 1
+    for equal roots, 0 if nothing is shared. Twice the shared weight over the sum of both."""
     def share(keys: Column) -> Column:
         total = _weight(keys["a"]) + _weight(keys["b"])
-        return F.when(total > 0, 2.0 * _weight(F.array_intersect(keys["a"], keys["b"])) / total).otherwise(F.lit(0.0))
+        return F.when(total > 0, 2.0 * _shared(keys["a"], keys["b"]) / total).otherwise(F.lit(0.0))
 
-    keys = F.struct(F.array_distinct(leaves(a)).alias("a"), F.array_distinct(leaves(b)).alias("b"))
+    keys = F.struct(leaves(a).alias("a"), leaves(b).alias("b"))
     return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(F.least(_let(keys, share), F.lit(1.0)))
 
 

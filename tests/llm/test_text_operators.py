@@ -112,6 +112,33 @@ def test_likeness_is_one_only_for_equal_texts(spark):
     assert got[0] == 1 and got[1] == 0 and got[2] == 1 and got[4] == 0
 
 
+def test_leaves_are_bounded_and_lose_nothing(spark):
+    rng = random.Random(6)
+    texts = ["ab cd ef " * 300, "漢字仮名" * 300, "x" * 70_001, "😀" * 100, " \n\n \r\n  a. b", "".join(rng.choice("ab c.漢。\n\t😀k ") for _ in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    got = df.select("a", F.regexp_extract_all("a", F.lit(merkle.LEAF), F.lit(0)).alias("p"), merkle.leaves(merkle.tree(F.col("a"))).alias("k")).collect()
+    for r in got:
+        assert "".join(r["p"]) == r["a"] and max(map(len, r["p"])) <= merkle.LEAF_CHARS
+        assert sum(k & 0xFFFF for k in r["k"]) == len(r["a"])
+
+
+def test_likeness_of_texts_without_marks_and_with_repeated_leaves(spark):
+    rng = random.Random(5)
+    short = " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200))
+    cjk = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(1000))
+    edits = [(t, t[: len(t) * 3 // 4] + t[: len(t) // 4]) for t in (short, cjk, "z" * 100_000 + "y" * 100)]
+    edits[2] = ("z" * 100_000 + "y" * 100, "z" * 100_000 + "x" * 100)
+    edits.append(("One. " * 100, "One. " * 50))
+    edits.append((short, "zz yyy x " + short))
+    df = spark.createDataFrame(edits, "a string, b string").select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
+    got = df.select(merkle.likeness(F.col("a"), F.col("b")).alias("near"), merkle.first_difference(F.col("a"), F.col("b")).alias("at")).collect()
+    assert 0.6 < got[0]["near"] < 1 and 650 < got[0]["at"] <= 750
+    assert 0.6 < got[1]["near"] < 1 and 650 < got[1]["at"] <= 750
+    assert got[2]["near"] > 0.99 and 99_900 < got[2]["at"] <= 100_000
+    assert got[3]["near"] == pytest.approx(2 / 3, abs=0.02)
+    assert got[4]["near"] > 0.5
+
+
 def test_url_query_equals_sql(spark):
     same_as_sql(spark, "op5_url_filter", OP5_SQL)
 
