@@ -4,7 +4,7 @@ Rules name a host and a path prefix. A url's own longest rule decides; a url wit
 from any url that redirects to it, that it redirects to, or that shares a canonical link with it, however
 long the chain. An explicit allow rule always wins over an inherited block.
 
-A url is taken without its fragment. Null urls, and urls without ``://``, have an empty host and path, fit no
+A url is taken without its fragment, with scheme and host in lower case and dot segments resolved. Null urls, and urls without ``://``, have an empty host and path, fit no
 rule and are no alias of anything (verdict: allow). Repeated pages and links do no harm; empty tables give
 empty tables. Only the named columns are read.
 """
@@ -59,27 +59,63 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)#.*$", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments resolved."""
+    part = F.split(path, "/", -1)
+    kept = F.aggregate(
+        part,
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc))
+        .when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    tail = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), tail)).otherwise(path)
+
+
+def node_of(url: Column) -> Column:
+    """The form in which urls are compared; urls without ``://`` only lose their fragment."""
+    plain = without_fragment(url)
+    site = F.translate(F.regexp_extract(plain, r"(?s)^([^/?#]*://[^/?#]*)", 1), _UPPER, _LOWER)
+    rest = F.substring(plain, F.length(site) + 1, F.length(plain))
+    path = F.regexp_extract(rest, r"(?s)^([^?]*)", 1)
+    query = F.substring(rest, F.length(path) + 1, F.length(rest))
+    return F.when(site != "", F.concat(site, _without_dots(path), query)).otherwise(plain)
+
+
 def _absolute(link: Column, base: Column) -> Column:
-    """A link with scheme, without scheme or with a path from the root; other forms are left out (null)."""
-    link = F.trim(link)
-    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
+    """A link of a page resolved against the page's url; links of schemes without ``://`` are no page (null)."""
+    link = without_fragment(F.trim(F.regexp_replace(link, r"(?i)&(amp|#38|#x26);", "&")))
+    page = without_fragment(base)
+    site = F.regexp_extract(page, r"(?s)^([^/?#]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(page, r"(?s)^([^/?#]*:)//", 1)
+    whole = F.regexp_extract(page, r"(?s)^([^?]*)", 1)
+    folder = F.concat(site, F.regexp_extract(F.substring(whole, F.length(site) + 1, F.length(whole)), r"(?s)^(.*/)", 1))
+    folder = F.when(folder == site, F.concat(site, F.lit("/"))).otherwise(folder)
     return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        F.when(link == "", None)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
         .when(link.startswith("//") & (scheme != ""), F.concat(scheme, link))
-        .when(link.startswith("/") & (site != ""), F.concat(site, link))
+        .when(site == "", None)
+        .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(whole, link))
+        .otherwise(F.concat(folder, link))
     )
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): canonical links and refresh redirects that pages declare."""
+    """(a, b): all canonical links and refresh redirects that pages declare."""
     rows = pages.select(F.col(url).alias("_u"), F.col(html).alias("_h"))
-    canonical = F.regexp_extract(F.regexp_extract("_h", _CANONICAL, 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract("_h", _REFRESH, 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    links = F.filter(F.array(canonical, refresh), lambda x: x.isNotNull() & (x != ""))
+
+    def targets(tag: str, attribute: str) -> Column:
+        found = F.regexp_extract_all("_h", F.lit(tag), F.lit(0))
+        pattern = rf"(?is)\b{attribute}\s*=\s*[\"']?([^\"'\s>]+)"
+        return F.coalesce(F.transform(found, lambda t: F.regexp_extract(t, pattern, 1)), F.array().cast("array<string>"))
+
+    links = F.filter(F.concat(targets(_CANONICAL, "href"), targets(_REFRESH, "url")), lambda x: x != "")
     return (
         rows.select("_u", F.explode(links).alias("_l"))
-        .select(without_fragment(F.col("_u")).alias("a"), without_fragment(_absolute(F.col("_l"), F.col("_u"))).alias("b"))
+        .select(node_of(F.col("_u")).alias("a"), node_of(_absolute(F.col("_l"), F.col("_u"))).alias("b"))
         .filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     )
 
@@ -100,13 +136,13 @@ def judge_urls(
     """
     found = link_edges(pages, url, html)
     if edges is not None:
-        given = edges.select(without_fragment(F.col("a")).alias("a"), without_fragment(F.col("b")).alias("b"))
+        given = edges.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
         found = found.unionByName(given)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url")).select(
         "page_id",
         host_of(F.col("_url")).alias("host"),
         path_of(F.col("_url")).alias("path"),
-        without_fragment(F.col("_url")).alias("_node"),
+        node_of(F.col("_url")).alias("_node"),
     )
     rows = rows.withColumn("_rule", own_rule(F.col("host"), F.col("path"), rules))
     classes = components(found)

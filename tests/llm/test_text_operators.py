@@ -167,6 +167,19 @@ def test_url_blocks_spread_over_aliases_but_not_over_an_explicit_allow(spark):
     assert url_alias.judge_urls(df.limit(0), RULES).count() == 0
 
 
+def test_url_links_of_every_form_are_resolved(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv=refresh content="0;url={}">'
+    bad = "http://bad.com/"
+    rows = [(1, "http://a.net/d/e/p?q=1#f", "".join(link.format(x) for x in ("page.html", "../x", "?p=1", "./y/", "mailto:m@n", "#top", "../../../up")))]
+    rows += [(2, bad, "".join(refresh.format(x) for x in ("HTTP://Example.NET/a?x=1&amp;y=2", "http://A.net/d/e/p?q=1")))]
+    want = ["http://a.net/d/e/page.html", "http://a.net/d/x", "http://a.net/d/e/p?p=1", "http://a.net/d/e/y/", "http://a.net/up", "http://example.net/a?x=1&y=2", "http://a.net/d/e/p?q=1"]
+    rows += [(10 + k, u, None) for k, u in enumerate(want)] + [(30, "http://EXAMPLE.net/a?x=1&y=2", ""), (31, "http://a.net/d/E/page.html", ""), (32, "http://a.net", link.format("z")), (33, "http://a.net/z", refresh.format(bad))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_alias.judge_urls(df, RULES).collect()}
+    assert [got[10 + k] for k in range(len(want))] == ["block"] * len(want)
+    assert got[1] == got[2] == got[30] == got[32] == got[33] == "block" and got[31] == "allow"
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(200, 260)] + [(5, 5), (9, None), (8, 6), (6, 8)]
     got = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
