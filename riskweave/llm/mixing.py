@@ -7,7 +7,8 @@ by the inverse of the domains' second moments and rates by the inverse of their
 step exact; clipping at zero needs a few more. A rate follows from the steps so far, so a step is one pass that
 sums a vector, and no task or driver holds more than that.
 
-The classifier's word statistics and fit use at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the id;
+The classifier's word statistics and fit use about ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the id, of each
+domain its share but a part of an equal share at least; intercepts make up for domains taken more often than others;
 posteriors, moments and sums cover all documents. Null text counts as empty: no tokens, posteriors of the base
 shares. Repeated rows are rated alike; null ids and null domains label nothing. Without labelled rows there are no
 domains and every rate is one. Targets of domains that have no labelled row are left out and the rest scaled up.
@@ -16,6 +17,7 @@ domains and every rate is one. Targets of domains that have no labelled row are
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -96,17 +98,34 @@ class DomainClassifier:
         return n, _softmax(self._inputs(likelihoods, n) @ self.beta)
 
 
+def sample_quotas(counts: Mapping[str, int], sample_rows: int) -> dict[str, int]:
+    """Rows to take of each domain: all if they fit, else its share, at least half of an equal share (or all it has)."""
+    total = sum(counts.values())
+    if total <= sample_rows:
+        return dict(counts)
+    least = max(1, sample_rows // (2 * len(counts)))
+    return {d: min(n, max(least, n * sample_rows // total)) for d, n in counts.items()}
+
+
 def train_classifier(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DomainClassifier | None:
     """From documents (doc_id, text) and labels (doc_id, domain)."""
     known = labelled.select(labelled["doc_id"].alias("_id"), labelled["domain"].cast("string").alias("domain"))
     known = known.filter("_id IS NOT NULL AND domain IS NOT NULL").groupBy("_id").agg(F.min("domain").alias("domain"))
-    sample = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))  # at most sample_rows rows
-    rows = cut_lineage(docs.join(sample, docs["doc_id"] == sample["_id"]).select("text", "domain"))
-    domains = [r[0] for r in rows.select("domain").distinct().orderBy("domain").limit(MOST_DOMAINS + 1).collect()]
-    if not domains:
+    known = cut_lineage(known.join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi"))
+    counts_of = {r[0]: r[1] for r in known.groupBy("domain").count().orderBy("domain").limit(MOST_DOMAINS + 1).collect()}
+    if not counts_of:
         return None
-    if len(domains) > MOST_DOMAINS:
+    if len(counts_of) > MOST_DOMAINS:
         raise ValueError(f"more than {MOST_DOMAINS} domains")
+    domains, total = sorted(counts_of), sum(counts_of.values())
+    taken = sample_quotas(counts_of, sample_rows)
+    sample = known
+    if total > sample_rows:
+        order = (F.xxhash64("_id"), "_id")
+        parts = [known.filter(F.col("domain") == d).orderBy(*order).limit(taken[d]) for d in domains]
+        sample = reduce(DataFrame.unionByName, parts)
+    sample = F.broadcast(cut_lineage(sample))  # at most 1.5 times sample_rows rows and one a domain
+    rows = cut_lineage(docs.join(sample, docs["doc_id"] == sample["_id"]).select("text", "domain"))
     place = {d: i for i, d in enumerate(domains)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
@@ -136,6 +155,7 @@ def train_classifier(docs: DataFrame, labelled: DataFrame, sample_rows: int = SA
     fitted = rows.mapInArrow(measure, "y long, n long, x binary").toArrow().sort_by([("y", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(fitted.column("x").to_pylist()), dtype=np.float64).reshape(-1, len(domains))
     model.fit(x, fitted.column("n").to_numpy(), fitted.column("y").to_numpy())
+    model.beta[0] += np.log([counts_of[d] / taken[d] for d in domains])
     return model
 
 

@@ -307,11 +307,14 @@ def score_toxicity(
     total = voted.count()
     share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, sample_rows / max(total, 1)) * 1_000_000)
     rows_fit = voted.filter(share).select("votes", F.col("label").cast("double")).toArrow().combine_chunks()
+    # labelled rows of their own for offset and scale, as few of the rows above may have a label
+    held = voted.filter("label IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "votes").limit(sample_rows)
+    held = held.select("votes", F.col("label").cast("double")).toArrow().combine_chunks()
+    if held.num_rows:
+        batch = held.to_batches()[0]
+        model.calibrate(np.concatenate([model.logit(_unpacked(p, 0, voters)) for p in _parts(batch, voters)]), _labels_of(batch, 1))
     if rows_fit.num_rows:
         batch = rows_fit.to_batches()[0]
-        y = _labels_of(batch, 1)
-        logits = np.concatenate([model.logit(_unpacked(p, 0, voters)) for p in _parts(batch, voters)])
-        model.calibrate(logits[~np.isnan(y)], y[~np.isnan(y)])
         target = np.concatenate([_believed(model, _unpacked(p, 0, voters), _labels_of(p, 1)) for p in _parts(batch, voters)])
         v = np.concatenate([_unpacked(p, 0, voters).astype(bool) for p in _parts(batch, voters)])
         beta = fit_classifier(v, target, len(lexicon))

@@ -328,3 +328,22 @@ def test_toxicity_learns_from_labels_that_are_mostly_toxic(spark, tenths):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).toPandas()
     assert ((got.doc_id % 10 < tenths) == (got.predicted == 1)).all()
+
+
+def test_a_rare_domain_is_in_the_sample(spark):
+    rows = [(i, " ".join(f"{'rare' if i >= 400 else 'ab'[i % 2]}{(i * 7 + k) % 9}" for k in range(12)), "r" if i >= 400 else "ab"[i % 2]) for i in range(403)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    model = mixing.train_classifier(df.select("doc_id", "text"), df.select("doc_id", "domain"), 12)
+    assert model.domains == ["a", "b", "r"]
+    assert mixing.sample_quotas({"a": 100, "r": 1}, 10) == {"a": 9, "r": 1}
+    assert mixing.sample_quotas({"a": 5, "r": 1}, 10) == {"a": 5, "r": 1}
+
+
+def test_toxicity_calibrates_on_labelled_rows_of_a_large_corpus(spark, monkeypatch):
+    seen = []
+    plain = toxicity.LabelModel.calibrate
+    monkeypatch.setattr(toxicity.LabelModel, "calibrate", lambda m, x, y: (seen.append(len(y)), plain(m, x, y))[1])
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w', id % 7, IF(id % 4 = 0, ' grubix', ' fine')) AS text")
+    known = docs.filter("doc_id < 90").select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    toxicity.score_toxicity(docs, known, sample_rows=60).count()
+    assert 50 <= seen[0] <= 60
