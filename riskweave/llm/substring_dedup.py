@@ -12,9 +12,9 @@ repeat), and compared there by a 64-bit hash of their words (which verifies it);
 document id and position, are removed. Windows repeated within a slice of a few megabytes are settled before the
 shuffle, so copies without number do not meet in one task.
 
-Words are runs without white space, unchanged; windows are judged on the input. Null text has no words. Rows of one
-id count as one document: their places are the same, a place removed in one is removed in all, and a repeated row
-removes nothing from its twin. Null ids come last and count as one document. Ids are integers. An empty table gives
+Words are runs without white space, unchanged; windows are judged on the input. Null text has no words. A document is
+an id with a text, in the order of ids and then of a 64-bit hash of the text: equal rows are one document and remove
+nothing from each other, rows of one id with different texts are several. Null ids come last, by their texts. Ids are integers. An empty table gives
 an empty table; of further columns only those named in ``carry`` are kept.
 """
 
@@ -165,10 +165,11 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit(part: pa.RecordBatch, buckets: int, window: int) -> pa.RecordBatch | None:
-    """Rows (bucket, docs, starts, counts, hashes) for the comparison; no hashes: windows already settled here."""
-    part = part.take(pc.sort_indices(part.column(0)))
-    ids = part.column(0).to_numpy()
-    w = words.split(part.column(1))
+    """Rows (bucket, docs, keys, starts, counts, hashes) for the comparison, from rows (id, key of the text, text); no
+    hashes: windows already settled here."""
+    part = part.take(pc.sort_indices(part, sort_keys=[("_id", "ascending"), ("_key", "ascending")]))
+    ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
+    w = words.split(part.column(2))
     places, name, _ = anchors(w, window)
     if not len(places):
         return None
@@ -179,7 +180,7 @@ def _emit(part: pa.RecordBatch, buckets: int, window: int) -> pa.RecordBatch | N
     same = np.zeros(len(order), dtype=bool)
     same[1:] = hashes[order][1:] == hashes[order][:-1]
     head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-    twin = (ids[text[order]] == ids[text[head]]) & (start[order] == start[head])
+    twin = (ids[text[order]] == ids[text[head]]) & (keys[text[order]] == keys[text[head]]) & (start[order] == start[head])
     later = np.zeros(len(order), dtype=bool)
     later[order] = same & ~twin
     home = (mix(name) % np.uint64(buckets)).astype(np.int64)
@@ -203,79 +204,83 @@ def _emit(part: pa.RecordBatch, buckets: int, window: int) -> pa.RecordBatch | N
             seen = b""
             if not settled:
                 seen = hashes[np.repeat(f - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())].tobytes()
-            rows.append((goes[c], _planes(ids[text[f]]), _planes(start[f].astype(np.int32)), _planes(n.astype(np.int32)), seen))
+            rows.append((goes[c], _planes(ids[text[f]]), _planes(keys[text[f]]), _planes(start[f].astype(np.int32)), _planes(n.astype(np.int32)), seen))
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-        ["bucket", "docs", "starts", "counts", "hashes"],
+        ["bucket", "docs", "keys", "starts", "counts", "hashes"],
     )
 
 
-def _merged(d: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (document, start, count) in order, those that touch made one."""
-    order = np.lexsort((s, d))
-    d, s, n = d[order], s[order], n[order]
+def _merged(d: np.ndarray, q: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs (id, key, start, count) in order, those that touch made one."""
+    order = np.lexsort((s, q, d))
+    d, q, s, n = d[order], q[order], s[order], n[order]
     breaks = np.ones(len(d), dtype=bool)
-    breaks[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + n[:-1])
+    breaks[1:] = (d[1:] != d[:-1]) | (q[1:] != q[:-1]) | (s[1:] > s[:-1] + n[:-1])
     at, _ = _runs(breaks)
     reach = np.maximum.reduceat(s + n, at)
-    return d[at], s[at], (reach - s[at]).astype(np.int32)
+    return d[at], q[at], s[at], (reach - s[at]).astype(np.int32)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, spans): one row for each document, with its runs of windows to remove as pairs of start and count."""
-    held = [(_from_planes(a, np.int64), _from_planes(b, np.int32), _from_planes(c, np.int32))
-            for batch in batches for _, a, b, c in zip(*[x.to_pylist() for x in batch.columns])]
+    """(_id, _key, spans): one row for each document, with its runs of windows to remove as pairs of start and count."""
+    held = [tuple(_from_planes(x, kind) for x, kind in zip(row, (np.int64, np.int64, np.int32, np.int32)))
+            for batch in batches for row in zip(*[x.to_pylist() for x in batch.columns[1:]])]
     if not held:
         return
-    d, s, n = _merged(*(np.concatenate(x) for x in zip(*held)))
+    d, q, s, n = _merged(*(np.concatenate(x) for x in zip(*held)))
     pairs = np.stack([s, n], axis=1).astype(np.int32)
-    cut, size = _runs(np.append(True, d[1:] != d[:-1]))
+    cut, size = _runs(np.append(True, (d[1:] != d[:-1]) | (q[1:] != q[:-1])))
     for a in range(0, len(cut), 10_000):
-        spans = [pairs[c : c + k].tobytes() for c, k in zip(cut[a : a + 10_000], size[a : a + 10_000])]
-        yield pa.RecordBatch.from_arrays([pa.array(d[cut[a : a + 10_000]]), pa.array(spans, pa.binary())], ["_id", "spans"])
+        own = cut[a : a + 10_000]
+        spans = [pairs[c : c + k].tobytes() for c, k in zip(own, size[a : a + 10_000])]
+        yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(q[own]), pa.array(spans, pa.binary())], ["_id", "_key", "spans"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
-    """(home, docs, starts, counts): runs of windows to remove, packed by a hash of their documents."""
-    docs, starts, hashes, gone = [], [], [], []
+    """(home, docs, keys, starts, counts): runs of windows to remove, packed by a hash of their documents."""
+    docs, keys, starts, hashes, gone = [], [], [], [], []
     for batch in batches:
-        for _, d, s, n, h in zip(*[c.to_pylist() for c in batch.columns]):
-            d, s, n = _from_planes(d, np.int64), _from_planes(s, np.int32), _from_planes(n, np.int32)
+        for _, d, q, s, n, h in zip(*[c.to_pylist() for c in batch.columns]):
+            d, q, s, n = _from_planes(d, np.int64), _from_planes(q, np.int64), _from_planes(s, np.int32), _from_planes(n, np.int32)
             if not h:
-                gone.append((d, s, n))
+                gone.append((d, q, s, n))
                 continue
             docs.append(np.repeat(d, n))
+            keys.append(np.repeat(q, n))
             starts.append((np.repeat(s - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())).astype(np.int32))
             hashes.append(np.frombuffer(h, dtype=np.uint64))
     if docs:
-        d, s, h = np.concatenate(docs), np.concatenate(starts), np.concatenate(hashes)
-        docs.clear(), starts.clear(), hashes.clear()
+        d, q, s, h = np.concatenate(docs), np.concatenate(keys), np.concatenate(starts), np.concatenate(hashes)
+        docs.clear(), keys.clear(), starts.clear(), hashes.clear()
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         alike = np.zeros(len(h), dtype=bool)
         alike[1:] |= same
         alike[:-1] |= same
         order = order[alike]  # only windows that occur again
-        d, s, h = d[order], s[order], h[order]
-        order = np.lexsort((s, d, h))
-        d, s, h = d[order], s[order], h[order]
+        d, q, s, h = d[order], q[order], s[order], h[order]
+        order = np.lexsort((s, q, d, h))
+        d, q, s, h = d[order], q[order], s[order], h[order]
         fresh = np.ones(len(h), dtype=bool)
         fresh[1:] = h[1:] != h[:-1]
         head = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
-        later = (d != d[head]) | (s != s[head])
-        d, s = d[later], s[later]
+        later = (d != d[head]) | (q != q[head]) | (s != s[head])
+        d, q, s = d[later], q[later], s[later]
         if len(d):
-            gone.append((d, s, np.ones(len(d), dtype=np.int32)))
+            gone.append((d, q, s, np.ones(len(d), dtype=np.int32)))
     if not gone:
         return
-    d, s, n = _merged(*(np.concatenate(x) for x in zip(*gone)))
-    home = (mix(d.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    d, q, s, n = _merged(*(np.concatenate(x) for x in zip(*gone)))
+    home = (mix(d.view(np.uint64) ^ mix(q.view(np.uint64))) % np.uint64(homes)).astype(np.int64)
     order = np.argsort(home, kind="stable")
-    d, s, n, home = d[order], s[order], n[order], home[order]
+    d, q, s, n, home = d[order], q[order], s[order], n[order], home[order]
     cut, size = _runs(np.append(True, home[1:] != home[:-1]))
-    packed = [[_planes(np.ascontiguousarray(x[c : c + k])) for c, k in zip(cut, size)] for x in (d, s.astype(np.int32), n)]
-    yield pa.RecordBatch.from_arrays([pa.array(home[cut]), *[pa.array(x, pa.binary()) for x in packed]], ["home", "docs", "starts", "counts"])
+    packed = [[_planes(np.ascontiguousarray(x[c : c + k])) for c, k in zip(cut, size)] for x in (d, q, s.astype(np.int32), n)]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(home[cut]), *[pa.array(x, pa.binary()) for x in packed]], ["home", "docs", "keys", "starts", "counts"]
+    )
 
 
 def kept_words(texts: pa.Array, spans: Sequence[bytes | None], window: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -286,7 +291,6 @@ def kept_words(texts: pa.Array, spans: Sequence[bytes | None], window: int) -> t
     for i, found in enumerate(spans):
         if found:
             p = np.frombuffer(found, dtype=np.int32).reshape(-1, 2).astype(np.int64)
-            # rows of one id may be shorter than the row a span was found in
             limit = w.first[i + 1]
             np.add.at(edge, np.minimum(w.first[i] + p[:, 0], limit), 1)
             np.add.at(edge, np.minimum(w.first[i] + p[:, 0] + p[:, 1] - 1 + window, limit), -1)
@@ -315,6 +319,7 @@ def remove_repeats(
     spark = docs.sparkSession
     rows = docs.select(
         F.coalesce(docs[doc_id].cast("long"), F.lit(_LAST)).alias("_id"), docs[text].cast("string").alias("_text"),
+        F.xxhash64(docs[text].cast("string")).alias("_key"),
         docs[doc_id].alias("_doc"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)],
     )
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
@@ -323,18 +328,18 @@ def remove_repeats(
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, 1):
+            for part in words.slices(batch, 2):
                 out = _emit(part, buckets, window)
                 if out is not None:
                     yield out
 
-    dealt = rows.select("_id", "_text").mapInArrow(
-        emit, "bucket long, docs binary, starts binary, counts binary, hashes binary"
+    dealt = rows.select("_id", "_key", "_text").mapInArrow(
+        emit, "bucket long, docs binary, keys binary, starts binary, counts binary, hashes binary"
     ).repartition(tasks, "bucket")
-    found = dealt.mapInArrow(lambda batches: _compare(batches, tasks), "home long, docs binary, starts binary, counts binary")
-    spans = found.repartition(tasks, "home").mapInArrow(_gather, "_id long, spans binary").withColumnRenamed("spans", "_spans")
+    found = dealt.mapInArrow(lambda batches: _compare(batches, tasks), "home long, docs binary, keys binary, starts binary, counts binary")
+    spans = found.repartition(tasks, "home").mapInArrow(_gather, "_id long, _key long, spans binary").withColumnRenamed("spans", "_spans")
     named = [f"_c{i}" for i in range(len(carry))]
-    joined = rows.join(spans, "_id", "left").select("_doc", "_text", "_spans", *named)
+    joined = rows.join(spans, ["_id", "_key"], "left").select("_doc", "_text", "_spans", *named)
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

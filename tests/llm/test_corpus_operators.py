@@ -330,6 +330,18 @@ def test_toxicity_learns_from_labels_that_are_mostly_toxic(spark, tenths):
     assert ((got.doc_id % 10 < tenths) == (got.predicted == 1)).all()
 
 
+def test_repeats_of_null_ids_and_of_one_id_with_several_texts(spark):
+    passage, clean = (" ".join(f"{c}{k}" for k in range(30)) for c in "pc")
+    for doc_id in (None, 7):
+        rows = [(1, passage), (doc_id, passage + " end"), (doc_id, clean), (doc_id, clean + " tail"), (doc_id, clean)]
+        got = [(r["doc_id"], r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(
+            spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+        assert (doc_id, 30, "end") in got and (1, 0, passage) in got
+        # clean words stay in one of the two texts; equal rows stay alike
+        left = sorted(((n, t) for i, n, t in got if i == doc_id and "end" != t), key=repr)
+        assert left in (sorted([(0, clean), (0, clean), (30, "tail")], key=repr), sorted([(30, ""), (30, ""), (0, clean + " tail")], key=repr))
+
+
 def test_a_rare_domain_is_in_the_sample(spark):
     rows = [(i, " ".join(f"{'rare' if i >= 400 else 'ab'[i % 2]}{(i * 7 + k) % 9}" for k in range(12)), "r" if i >= 400 else "ab"[i % 2]) for i in range(403)]
     df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
