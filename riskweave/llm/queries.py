@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat_format, jaccard_join, merkle, mixing, nearest, piece_bpe, substring_dedup, token_count, toxicity, url_alias
+from riskweave.llm import (
+    chat_format, jaccard_join, merkle, mixing, nearest, piece_bpe, quality_cascade, substring_dedup, target_resample, token_count,
+    toxicity, url_alias, vector_codes,
+)
 from riskweave.session import prepare
 
 #: Where the vocabulary file lies; a deployment names its own.
@@ -212,6 +215,152 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_cascade.judge_quality(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_echo_words"
+    )
+
+
+_SQL_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _sql_rejects(rule: quality_cascade.Rule) -> str:
+    def count(what: str) -> str:
+        return what if what in quality_cascade.MEASURES else f"len(regexp_extract_all(text, '{what}'))"
+
+    sides = []
+    if rule.most is not None:
+        sides.append(f"100 * {count(rule.count)} > {rule.most} * {count(rule.over)}")
+    if rule.least is not None:
+        sides.append(f"100 * {count(rule.count)} < {rule.least} * {count(rule.over)}")
+    return " OR ".join(sides)
+
+
+OP11_SQL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), split AS MATERIALIZED (
+  SELECT *, regexp_extract_all(text, '{_SQL_WORD}+') AS w,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_SQL_WORD}')) AS lines
+  FROM texts
+), windows AS (
+  SELECT r, i, list_aggregate(w[i : i + 4], 'string_agg', ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM split)
+), covered AS (
+  SELECT DISTINCT r, unnest(range(i, i + 5)) AS i
+  FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows) WHERE n > 1
+), measured AS (
+  SELECT doc_id, text, len(w)::BIGINT AS n_words, length(list_aggregate(w, 'string_agg', ''))::BIGINT AS chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_echo_words
+  FROM split LEFT JOIN (SELECT r, count(*) AS n_repeat_words FROM covered GROUP BY r) USING (r)
+), judged AS (
+  SELECT * EXCLUDE chars, coalesce(chars, 0) AS word_chars, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR {" OR ".join(f"({_sql_rejects(rule)})" for rule in quality_cascade.RULES)}) AS kept, n_lines, n_echo_words
+FROM judged
+"""
+
+
+def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = target_resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 byte by byte; the table of its 256 remainders follows from the polynomial.
+OP12_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT n::BIGINT AS n, n::BIGINT AS c, 0 AS k FROM range(256) t(n)
+  UNION ALL
+  SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8
+), remainders AS MATERIALIZED (
+  SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8
+), said AS MATERIALIZED (
+  SELECT r, true AS ours, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, doc_id
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)
+  UNION ALL
+  SELECT NULL, false, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), NULL FROM benchmark
+), spoken AS MATERIALIZED (
+  SELECT r, ours, unnest(w) AS word FROM said
+), walk AS (
+  SELECT word, hex(encode(word)) AS h, 0 AS i, 4294967295 AS c FROM (SELECT DISTINCT word FROM spoken)
+  UNION ALL
+  SELECT word, h, i + 1, xor(c // 256, t[xor(c % 256,
+      (16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT) + 1])
+  FROM walk, remainders WHERE 2 * i < length(h)
+), buckets AS MATERIALIZED (
+  SELECT word, xor(c, 4294967295) % 10000 AS b FROM walk WHERE 2 * i = length(h)
+), counted AS (
+  SELECT b, count(*) FILTER (ours) AS s, count(*) FILTER (NOT ours) AS t FROM spoken JOIN buckets USING (word) GROUP BY b
+), gains AS MATERIALIZED (
+  SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counted
+), weights AS (
+  SELECT r, sum(gain)::BIGINT AS weight FROM spoken JOIN buckets USING (word) JOIN gains USING (b) WHERE ours GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((list_reduce(list_transform(string_split(sha256('2024:' || doc_id)[1:8], ''),
+      lambda x: (instr('0123456789abcdef', x) - 1)::BIGINT), lambda a, x: 16 * a + x) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM said LEFT JOIN weights USING (r) WHERE ours
+), listed AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+    10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM listed
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _op13_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    def assigned(i: int) -> str:
+        gap = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        return (
+            f"near{i} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min({gap} * {entries} + e) AS m "
+            f"FROM parts JOIN book{i} USING (p) GROUP BY r, p)"
+        )
+
+    steps = []
+    for i in range(rounds):
+        steps += [
+            assigned(i),
+            f"sums{i} AS (SELECT p, m % {entries} AS e, pos, floor(sum(x[pos])::DOUBLE / count(*))::BIGINT AS c "
+            f"FROM (SELECT p, m, x, unnest(range(1, len(x) + 1)) AS pos FROM near{i}) GROUP BY ALL)",
+            f"book{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.c, b.c) AS c FROM book{i} b "
+            f"LEFT JOIN (SELECT p, e, list(c ORDER BY pos) AS c FROM sums{i} GROUP BY p, e) n USING (p, e))",
+        ]
+    joined = ",\n".join([*steps, assigned(rounds)])
+    return f"""
+WITH clean AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT r, vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM clean, range({parts}) t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, e, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < {entries}
+),
+{joined}
+, coded AS (
+  SELECT r, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM near{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(list_aggregate(c, 'string_agg', ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM clean JOIN coded USING (r)
+"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_mixing": op2_mixing,
@@ -223,6 +372,15 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_quality_cascade": op11_quality_cascade,
+    "op12_target_resample": op12_target_resample,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE = {"op1_chat_format": OP1_SQL, "op5_url_filter": OP5_SQL}
+ORACLE = {
+    "op1_chat_format": OP1_SQL,
+    "op5_url_filter": OP5_SQL,
+    "op11_quality_cascade": OP11_SQL,
+    "op12_target_resample": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
+}
