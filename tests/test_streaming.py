@@ -4,12 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators.labels import reconcile
 from riskweave.operators.rules import engine_rules
 from riskweave.operators.velocity import serving_velocity
 from riskweave.sources.messages import good_events, to_messages
 from riskweave.streaming import io
-from riskweave.streaming.labels import reconcile_stream, windowed_activity
+from riskweave.streaming.labels import windowed_activity
 from riskweave.streaming.scoring import prediction_events
 from riskweave.streaming.velocity import velocity_stream
 
@@ -85,37 +84,6 @@ def test_message_sink_and_memory_table(spark, tmp_path):
     assert spark.table("seen").count() == 10
 
 
-def test_reconcile_stream_equals_batch(spark, tmp_path):
-    schema_p = "transaction_id string, fraud_probability double, decision string, model_version string, prediction_timestamp timestamp, amount double"
-    schema_q = "transaction_id string, is_fraud int, label_timestamp timestamp"
-    rows = [(f"{i}", i / 50, "block" if i % 3 else "allow", "v1", T0 + timedelta(hours=i), 1.0 * i) for i in range(50)]
-    p = spark.createDataFrame(rows + [("7", 0.9, "review", "v2", T0 + timedelta(days=1), 2.0)], schema_p)
-    told = [(f"{i}", i % 2, T0 + timedelta(hours=i, days=3 * i)) for i in range(50)]
-    q = spark.createDataFrame(told + [("7", 0, T0 + timedelta(days=40))], schema_q)
-    p.repartition(1).write.parquet(str(tmp_path / "p"))
-    q.repartition(1).write.parquet(str(tmp_path / "q"))
-    read = lambda n, ddl: spark.readStream.schema(ddl).parquet(str(tmp_path / n))
-
-    def run():
-        paths = [str(tmp_path / x) for x in ("state", "out", "cp")]
-        reconcile_stream(read("p", schema_p), read("q", schema_q), *paths).awaitTermination()
-        return spark.read.parquet(str(tmp_path / "out")).collect()
-
-    got, want = run(), reconcile(p, q, max_delay_days=120).collect()
-    assert sorted((r["transaction_id"], r["prediction_timestamp"]) for r in got) == sorted(
-        (r["transaction_id"], r["prediction_timestamp"]) for r in want
-    )
-    assert len(got) == 41
-    # later batches: a second label finds nothing, a new prediction is matched once, with the label that follows it
-    spark.createDataFrame([("3", 1, T0 + timedelta(days=20)), ("60", 1, T0 + timedelta(days=21))], schema_q).write.mode("append").parquet(str(tmp_path / "q"))
-    assert len(run()) == 41
-    spark.createDataFrame([("3", 0.1, "allow", "v3", T0 + timedelta(days=22), 1.0)], schema_p).write.mode("append").parquet(str(tmp_path / "p"))
-    assert len(run()) == 41
-    spark.createDataFrame([("3", 0, T0 + timedelta(days=23)), ("3", 0, T0 + timedelta(days=24))], schema_q).write.mode("append").parquet(str(tmp_path / "q"))
-    again = [r for r in run() if r["transaction_id"] == "3"]
-    assert len(again) == 2 and {r["model_version"] for r in again} == {"v1", "v3"}
-
-
 def test_windows(spark):
     df = events(spark, 10)
     out = windowed_activity(df, length="1 hour", slide="1 hour")
