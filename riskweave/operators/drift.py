@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import one_if
+from ..session import cut_lineage
 from .labels import between_dates
 from .scan import HOT_ROWS, NO_HOT_GROUPS, exact_quantiles, has_hot_group, running
 
@@ -22,6 +24,8 @@ EPS = 1e-10
 PSI_WARNING, PSI_CRITICAL, KS_ALPHA, KL_THRESHOLD = 0.1, 0.2, 0.05, 0.1
 PROFILE_PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 MIN_CURRENT_ROWS = 10
+# Most values on a side for which KS p-values are exact.
+EXACT_KS_ROWS = 10_000
 
 
 def drift_columns(reference: DataFrame, current: DataFrame | None = None, any_numeric: bool = False) -> list[str]:
@@ -61,29 +65,108 @@ def _tagged(reference: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def _histograms(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per feature the arrays ``r`` and ``c`` of counts per bin, plus ``nr``, ``nc``.
+class Comparison:
+    """Both sides as one stored table of (feature, value, ref, cur) counts, from which every measure is taken.
 
-    ``edges`` holds one ascending array per feature. Bins are closed on the left, the last also
-    on the right; values outside count only in ``nr`` / ``nc``. There is one edge row per
-    feature, so the broadcast side is as large as the column list, not as the data.
+    The sources are read once. Totals and cut points are one row per feature, so what is broadcast is as large as the
+    column list, not as the data.
     """
-    j = rows.join(F.broadcast(edges), "feature")
-    v, e = F.col("value"), F.col("edges")
-    last = F.size(e) - 1
-    below = F.size(F.filter(e, lambda x: x <= v))
-    inside = (v >= e[0]) & (v <= F.element_at(e, -1))
-    index = F.when(inside, F.least(below - 1, last - 1)).otherwise(F.lit(-1))
-    cells = j.groupBy("feature", "edges", index.alias("bin")).agg(F.sum("ref").alias("r"), F.sum("cur").alias("c"))
-    per = cells.groupBy("feature", "edges").agg(
-        # one entry per bin
-        F.map_from_entries(F.collect_list(F.struct("bin", "r"))).alias("_r"),
-        F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("_c"),
-        F.sum("r").alias("nr"), F.sum("c").alias("nc"),
-    )
-    bins = F.when(F.size("edges") >= 2, F.sequence(F.lit(0), F.size("edges") - 2)).otherwise(F.array().cast("array<int>"))
-    pick = lambda m: F.transform(bins, lambda i: F.coalesce(F.try_element_at(F.col(m), i), F.lit(0)))
-    return per.select("feature", "edges", pick("_r").alias("r"), pick("_c").alias("c"), "nr", "nc")
+
+    def __init__(self, reference: DataFrame, current: DataFrame, min_rows: int = HOT_ROWS):
+        counts = _tagged(reference, current).groupBy("feature", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+        self.counts = cut_lineage(counts)
+        if min_rows != NO_HOT_GROUPS and not has_hot_group(self.counts, ["feature"], min_rows):
+            min_rows = NO_HOT_GROUPS
+        self.min_rows = min_rows
+        mean = lambda n: F.try_divide(F.sum(F.col("value") * F.col(n)), F.sum(n))
+        held = F.col("ref") + F.col("cur") > 0
+        self.totals = self.counts.groupBy("feature").agg(
+            F.sum("ref").alias("nr"), F.sum("cur").alias("nc"), mean("ref").alias("ref_mean"), mean("cur").alias("cur_mean"),
+            F.min(F.when(held, F.col("value"))).alias("lo"), F.max(F.when(held, F.col("value"))).alias("hi"),
+        )
+
+    def ladder(self, n_bins: int = 10) -> DataFrame:
+        """Per feature ``edges``, the reference's distinct quantiles, ``gap``, the largest distance of the two
+        distribution functions, and for small samples ``steps``, the gap in units of 1 / (nr * nc)."""
+        seen = running(
+            self.counts, ["feature"], "value", {"_r": ("sum", F.col("ref")), "_c": ("sum", F.col("cur"))},
+            include_current=True, min_rows=self.min_rows,
+        )
+        rows = seen.join(F.broadcast(self.totals.select("feature", "nr", "nc")), "feature")
+        gap = F.abs(F.try_divide(F.col("_r"), F.col("nr")) - F.try_divide(F.col("_c"), F.col("nc")))
+        small = (F.col("nr") <= EXACT_KS_ROWS) & (F.col("nc") <= EXACT_KS_ROWS)
+        picks, ends = [], []
+        for i in range(n_bins + 1):
+            h = f"((nr - 1) * {i / n_bins!r}D)"
+            for name, rank in (("_a", f"floor({h})"), ("_b", f"ceil({h})")):
+                picks.append(F.expr(f"max(CASE WHEN ref > 0 AND _r - ref <= {rank} AND {rank} < _r THEN value END) AS {name}{i}"))
+            ends.append(f"_a{i} + (_b{i} - _a{i}) * ({h} - floor({h}))")
+        best = rows.groupBy("feature", "nr", "nc").agg(
+            F.max(gap).alias("gap"), F.max(F.when(small, F.abs(F.col("_r") * F.col("nc") - F.col("_c") * F.col("nr")))).alias("steps"), *picks
+        )
+        edges = F.array_distinct(F.filter(F.expr(f"array({', '.join(ends)})"), lambda x: x.isNotNull()))
+        return best.select("feature", "nr", "nc", "gap", "steps", edges.alias("edges"))
+
+    def histograms(self, edges: DataFrame) -> DataFrame:
+        """Per feature the arrays ``r`` and ``c`` of counts per bin, plus ``nr``, ``nc``.
+
+        ``edges`` holds one ascending array per feature. Bins are closed on the left, the last also on the right;
+        values outside count only in ``nr`` / ``nc``.
+        """
+        j = self.counts.join(F.broadcast(edges.select("feature", "edges")), "feature")
+        v, e = F.col("value"), F.col("edges")
+        last = F.size(e) - 1
+        below = F.size(F.filter(e, lambda x: x <= v))
+        inside = (v >= F.try_element_at(e, F.lit(1))) & (v <= F.try_element_at(e, F.lit(-1)))
+        index = F.when(inside, F.least(below - 1, last - 1)).otherwise(F.lit(-1))
+        cells = j.groupBy("feature", "edges", index.alias("bin")).agg(F.sum("ref").alias("r"), F.sum("cur").alias("c"))
+        per = cells.groupBy("feature", "edges").agg(
+            # one entry per bin
+            F.map_from_entries(F.collect_list(F.struct("bin", "r"))).alias("_r"),
+            F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("_c"),
+            F.sum("r").alias("nr"), F.sum("c").alias("nc"),
+        )
+        bins = F.when(F.size("edges") >= 2, F.sequence(F.lit(0), F.size("edges") - 2)).otherwise(F.array().cast("array<int>"))
+        pick = lambda m: F.transform(bins, lambda i: F.coalesce(F.try_element_at(F.col(m), i), F.lit(0)))
+        return per.select("feature", "edges", pick("_r").alias("r"), pick("_c").alias("c"), "nr", "nc")
+
+    def psi(self, ladder: DataFrame) -> DataFrame:
+        """(feature, psi): edges are the reference's quantiles without repeats; fewer than two give 0, as does an empty side."""
+        h = self.histograms(ladder)
+        n = F.size("r")
+        share = lambda counts, total: F.transform(
+            counts, lambda x: (x + F.lit(EPS)) / (total + F.lit(EPS) * n)
+        )
+        terms = F.zip_with(share(F.col("c"), F.col("nc")), share(F.col("r"), F.col("nr")), lambda a, b: (a - b) * F.log(a / b))
+        usable = (F.size("edges") >= 2) & (F.col("nr") > 0) & (F.col("nc") > 0)
+        return h.select("feature", F.when(usable, _total(terms)).otherwise(0.0).alias("psi"))
+
+    def ks(self, ladder: DataFrame) -> DataFrame:
+        """(feature, ks_statistic, ks_pvalue); (0, 1) if a side is empty."""
+        d = F.coalesce(F.col("gap"), F.lit(0.0))
+        both = (F.col("nr") > 0) & (F.col("nc") > 0)
+        exact = exact_ks_p_value()(F.when(both, F.col("steps")), F.col("nr"), F.col("nc"))
+        p = F.when(both, F.coalesce(exact, ks_p_value(d, F.col("nr"), F.col("nc")))).otherwise(1.0)
+        return ladder.select("feature", d.alias("ks_statistic"), p.alias("ks_pvalue"))
+
+    def kl(self, n_bins: int = 10) -> DataFrame:
+        """(feature, kl_divergence) of current from reference over equal-width bins of the joint range."""
+        flat = F.col("lo") == F.col("hi")
+        lo = F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo"))
+        hi = F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))
+        step = (hi - lo) / F.lit(float(n_bins))
+        edges = self.totals.select(
+            "feature",
+            F.transform(F.sequence(F.lit(0), F.lit(n_bins)), lambda i: F.when(i == n_bins, hi).otherwise(lo + i * step)).alias("edges"),
+        )
+        h = self.histograms(edges)
+        width = (F.element_at("edges", -1) - F.col("edges")[0]) / F.lit(float(n_bins))
+        density = lambda counts, total: F.transform(counts, lambda x: x / (total * width) + F.lit(EPS))
+        d = h.withColumns({"_p": density(F.col("c"), F.col("nc")), "_q": density(F.col("r"), F.col("nr"))})
+        sp, sq = _total(F.col("_p")), _total(F.col("_q"))
+        terms = F.zip_with("_p", "_q", lambda a, b: (a / sp) * F.log((a / sp) / (b / sq)))
+        usable = (F.col("nr") > 0) & (F.col("nc") > 0)
+        return d.select("feature", F.when(usable, _total(terms)).otherwise(0.0).alias("kl_divergence"))
 
 
 def _total(values: Column) -> Column:
@@ -91,21 +174,9 @@ def _total(values: Column) -> Column:
 
 
 def psi(reference: DataFrame, current: DataFrame, n_bins: int = 10, min_rows: int = HOT_ROWS) -> DataFrame:
-    """(feature, psi) from two (feature, value) tables.
-
-    Edges are the reference's quantiles without repeats; fewer than two give 0, as does an
-    empty side.
-    """
-    points = exact_quantiles(reference, ["feature"], "value", [i / n_bins for i in range(n_bins + 1)], min_rows=min_rows)
-    edges = points.select("feature", F.array_distinct("q").alias("edges"))
-    h = _histograms(_tagged(reference, current), edges)
-    n = F.size("r")
-    share = lambda counts, total: F.transform(
-        counts, lambda x: (x + F.lit(EPS)) / (total + F.lit(EPS) * n)
-    )
-    terms = F.zip_with(share(F.col("c"), F.col("nc")), share(F.col("r"), F.col("nr")), lambda a, b: (a - b) * F.log(a / b))
-    usable = (F.size("edges") >= 2) & (F.col("nr") > 0) & (F.col("nc") > 0)
-    return h.select("feature", F.when(usable, _total(terms)).otherwise(0.0).alias("psi"))
+    """(feature, psi) from two (feature, value) tables."""
+    both = Comparison(reference, current, min_rows)
+    return both.psi(both.ladder(n_bins))
 
 
 def ks_p_value(statistic: Column, n_ref: Column, n_cur: Column, terms: int = 100) -> Column:
@@ -119,45 +190,60 @@ def ks_p_value(statistic: Column, n_ref: Column, n_cur: Column, terms: int = 100
     return F.when(lam < 0.1, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))
 
 
+def exact_ks_p_value():
+    """A function of (steps, n_ref, n_cur): the chance that two samples of one distribution lie ``steps / (n_ref * n_cur)``
+    or more apart; null where ``steps`` is.
+
+    The order of both samples is a lattice path from (0, 0) to (n_ref, n_cur), all equally likely. Of the paths to a
+    point (i, j) with |i * n_cur - j * n_ref| >= steps all have been that far apart; elsewhere the share follows from
+    the two points before it, which are passed with chances i / (i + j) and j / (i + j). The shares of one diagonal
+    i + j are one vector, of which only the part nearer than ``steps`` is worked out.
+    """
+
+    # a function of its own scope, so that workers get it by value and need no package
+    def of_paths(steps: int, m: int, n: int) -> float:
+        import numpy
+
+        m, n = min(m, n), max(m, n)
+        if steps <= 0:
+            return 1.0
+        share = numpy.ones(m + 2)  # share[i + 1] belongs to i; ones stand for all that lies outside
+        share[1] = 0.0
+        low = high = 0
+        for s in range(1, m + n + 1):
+            # |i * (m + n) - s * m| < steps, within the rectangle
+            first = max(0, s - n, (s * m - steps) // (m + n) + 1)
+            last = min(m, s, -((-s * m - steps) // (m + n)) - 1)
+            if first > last:
+                return 1.0
+            i = numpy.arange(first, last + 1)
+            fresh = share[first : last + 1] * (i / s) + share[first + 1 : last + 2] * ((s - i) / s)
+            share[low + 1 : high + 2] = 1.0
+            share[first + 1 : last + 2] = fresh
+            low, high = first, last
+        return float(min(1.0, share[m + 1]))
+
+    @F.pandas_udf("double")
+    def p_value(steps: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        import pandas
+
+        return pandas.Series([None if pandas.isna(h) else of_paths(int(h), int(a), int(b)) for h, a, b in zip(steps, m, n)], dtype="float64")
+
+    return p_value
+
+
 def ks(reference: DataFrame, current: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
-    """(feature, ks_statistic, ks_pvalue) from two (feature, value) tables; (0, 1) if one is empty."""
-    rows = _tagged(reference, current)
-    counts = rows.groupBy("feature", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
-    totals = counts.groupBy("feature").agg(F.sum("ref").alias("_nr"), F.sum("cur").alias("_nc"))
-    seen = running(
-        counts, ["feature"], "value", {"_r": ("sum", F.col("ref")), "_c": ("sum", F.col("cur"))},
-        include_current=True, min_rows=min_rows, probe=rows.select("feature", "value"),
-    )
-    gap = F.abs(F.try_divide(F.col("_r"), F.col("_nr")) - F.try_divide(F.col("_c"), F.col("_nc")))
-    # one total row per feature: as many as there are columns
-    best = seen.join(F.broadcast(totals), "feature").groupBy("feature").agg(
-        F.max(gap).alias("_d"), F.max("_nr").alias("_nr"), F.max("_nc").alias("_nc")
-    )
-    d = F.coalesce(F.col("_d"), F.lit(0.0))
-    p = F.when((F.col("_nr") > 0) & (F.col("_nc") > 0), ks_p_value(d, F.col("_nr"), F.col("_nc"))).otherwise(1.0)
-    return best.select("feature", d.alias("ks_statistic"), p.alias("ks_pvalue"))
+    """(feature, ks_statistic, ks_pvalue) from two (feature, value) tables; (0, 1) if one is empty.
+
+    The p-value is exact up to ``EXACT_KS_ROWS`` values on both sides, beyond it follows the limiting distribution.
+    """
+    both = Comparison(reference, current, min_rows)
+    return both.ks(both.ladder())
 
 
 def kl(reference: DataFrame, current: DataFrame, n_bins: int = 10) -> DataFrame:
     """(feature, kl_divergence) of current from reference over equal-width bins of the joint range."""
-    rows = _tagged(reference, current)
-    span = rows.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    flat = F.col("_lo") == F.col("_hi")
-    lo = F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo"))
-    hi = F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi"))
-    step = (hi - lo) / F.lit(float(n_bins))
-    edges = span.select(
-        "feature",
-        F.transform(F.sequence(F.lit(0), F.lit(n_bins)), lambda i: F.when(i == n_bins, hi).otherwise(lo + i * step)).alias("edges"),
-    )
-    h = _histograms(rows, edges)
-    width = (F.element_at("edges", -1) - F.col("edges")[0]) / F.lit(float(n_bins))
-    density = lambda counts, total: F.transform(counts, lambda x: x / (total * width) + F.lit(EPS))
-    d = h.withColumns({"_p": density(F.col("c"), F.col("nc")), "_q": density(F.col("r"), F.col("nr"))})
-    sp, sq = _total(F.col("_p")), _total(F.col("_q"))
-    terms = F.zip_with("_p", "_q", lambda a, b: (a / sp) * F.log((a / sp) / (b / sq)))
-    usable = (F.col("nr") > 0) & (F.col("nc") > 0)
-    return d.select("feature", F.when(usable, _total(terms)).otherwise(0.0).alias("kl_divergence"))
+    return Comparison(reference, current, NO_HOT_GROUPS).kl(n_bins)
 
 
 def feature_drift(
@@ -167,17 +253,12 @@ def feature_drift(
 ) -> DataFrame:
     """One row per feature with at least ten current values: PSI, KS, both means and a severity."""
     columns = columns or drift_columns(reference, current)
-    ref, cur = melt(reference, columns), melt(current, columns)
-    if min_rows != NO_HOT_GROUPS and not has_hot_group(_tagged(ref, cur), ["feature"], min_rows):
-        min_rows = NO_HOT_GROUPS  # one count settles it for every measure below
-    means = _tagged(ref, cur).groupBy("feature").agg(
-        F.avg(F.when(F.col("ref") == 1, F.col("value"))).alias("ref_mean"),
-        F.avg(F.when(F.col("cur") == 1, F.col("value"))).alias("cur_mean"), F.sum("cur").alias("_n"),
-    )
+    both = Comparison(melt(reference, columns), melt(current, columns), min_rows)
+    ladder = cut_lineage(both.ladder())  # one row per feature
     joined = (
-        means.filter(F.col("_n") >= MIN_CURRENT_ROWS)
-        .join(psi(ref, cur, min_rows=min_rows), "feature", "left")
-        .join(ks(ref, cur, min_rows), "feature", "left")
+        both.totals.filter(F.col("nc") >= MIN_CURRENT_ROWS)
+        .join(F.broadcast(both.psi(ladder)), "feature", "left")
+        .join(F.broadcast(both.ks(ladder)), "feature", "left")
         .withColumn("psi", F.coalesce("psi", F.lit(0.0)))
     )
     severity = (
@@ -198,11 +279,8 @@ def prediction_drift(
     """One row for the score column: PSI, KL divergence, both means and a severity."""
     ref = melt(reference.withColumnRenamed(score, "predictions"), ["predictions"])
     cur = melt(current.withColumnRenamed(score, "predictions"), ["predictions"])
-    means = _tagged(ref, cur).groupBy("feature").agg(
-        F.avg(F.when(F.col("ref") == 1, F.col("value"))).alias("ref_mean"),
-        F.avg(F.when(F.col("cur") == 1, F.col("value"))).alias("cur_mean"),
-    )
-    j = means.join(psi(ref, cur, min_rows=min_rows), "feature", "left").join(kl(ref, cur), "feature", "left")
+    both = Comparison(ref, cur, min_rows)
+    j = both.totals.join(F.broadcast(both.psi(both.ladder())), "feature", "left").join(F.broadcast(both.kl()), "feature", "left")
     severity = (
         F.when((F.col("psi") >= psi_critical) | (F.col("kl_divergence") >= 2 * kl_threshold), "critical")
         .when((F.col("psi") >= psi_warning) | (F.col("kl_divergence") >= kl_threshold), "warning")

@@ -55,13 +55,21 @@ h AS (SELECT b.feature, b.i, any_value(nb) AS nb, count(*) FILTER (v.early) AS r
   FROM b LEFT JOIN v ON v.feature = b.feature AND value >= lo AND (value < hi OR (is_last AND value <= hi)) GROUP BY 1, 2),
 s AS (SELECT feature, (r + 1e-10::DOUBLE) / (nr + 1e-10::DOUBLE * nb) AS pr, (c + 1e-10::DOUBLE) / (nc + 1e-10::DOUBLE * nb) AS pc FROM h JOIN n USING (feature)),
 psi AS (SELECT feature, coalesce(sum((pc - pr) * ln(pc / pr)), 0) AS psi FROM n LEFT JOIN s USING (feature) GROUP BY feature)"""
+# exact p-values by the share of lattice paths that leave the band, diagonal by diagonal; large samples by the limiting law
 _KS = """d AS (SELECT feature, value, count(*) FILTER (early) AS r, count(*) FILTER (NOT early) AS c FROM v GROUP BY 1, 2),
-k0 AS (SELECT feature, sum(r) OVER w / sum(r) OVER a AS fr, sum(c) OVER w / sum(c) OVER a AS fc, sum(r) OVER a AS nr, sum(c) OVER a AS nc FROM d
+k0 AS (SELECT feature, sum(r) OVER w AS r, sum(c) OVER w AS c, sum(r) OVER a AS nr, sum(c) OVER a AS nc FROM d
   WINDOW w AS (PARTITION BY feature ORDER BY value), a AS (PARTITION BY feature)),
-k1 AS (SELECT feature, max(abs(fr - fc)) AS ks, max(nr)::DOUBLE AS nr, max(nc)::DOUBLE AS nc FROM k0 GROUP BY feature),
-k2 AS (SELECT feature, ks, ks * sqrt(nr * nc / (nr + nc)) AS lam FROM k1),
-ks AS (SELECT feature, ks, CASE WHEN lam < 0.1 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101),
-  lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * lam * lam))))) END AS p FROM k2)"""
+k1 AS MATERIALIZED (SELECT feature, max(abs(r / nr - c / nc)) AS ks, max(abs(r * nc - c * nr))::BIGINT AS h,
+  max(nr)::BIGINT AS nr, max(nc)::BIGINT AS nc FROM k0 GROUP BY feature),
+k2 AS (SELECT *, ks * sqrt(nr::DOUBLE * nc / (nr + nc)) AS lam FROM k1),
+paths(feature, m, n, h, s, lo, p) USING KEY (feature) AS (
+  SELECT feature, least(nr, nc), greatest(nr, nc), h, 0::BIGINT, 0::BIGINT, [0.0::DOUBLE] FROM k1 WHERE greatest(nr, nc) <= 10000 AND h > 0
+  UNION SELECT feature, m, n, h, s + 1, first, list_transform(range(first, last + 1),
+    lambda i: coalesce(p[i - lo], 1.0) * i / (s + 1) + coalesce(p[i - lo + 1], 1.0) * (s + 1 - i) / (s + 1))
+  FROM (SELECT *, greatest(0, s + 1 - n, floor(((s + 1) * m - h) / (m + n))::BIGINT + 1) AS first,
+    least(m, s + 1, ceil(((s + 1) * m + h) / (m + n))::BIGINT - 1) AS last FROM paths WHERE s < m + n)),
+ks AS (SELECT feature, ks, CASE WHEN h = 0 THEN 1.0::DOUBLE WHEN s = m + n THEN least(1.0, coalesce(p[m - lo + 1], 1.0)) WHEN lam < 0.1 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101),
+  lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * lam * lam))))) END AS p FROM k2 LEFT JOIN (SELECT feature, m, n, s, lo, p FROM paths) USING (feature))"""
 
 
 def psi(spark, sf_dir):
@@ -77,7 +85,7 @@ def ks(spark, sf_dir):
     return _round(D.ks(D.melt(ref, FEATURES), D.melt(cur, FEATURES)), 6, "ks_statistic", "ks_pvalue")
 
 
-KS = "WITH " + _LONG + ", " + _KS + " SELECT feature, round(ks, 6) AS ks_statistic, round(p, 6)::DOUBLE AS ks_pvalue FROM ks"
+KS = "WITH RECURSIVE " + _LONG + ", " + _KS + " SELECT feature, round(ks, 6) AS ks_statistic, round(p, 6)::DOUBLE AS ks_pvalue FROM ks"
 
 
 def kl(spark, sf_dir):
@@ -109,7 +117,7 @@ def feature_drift(spark, sf_dir):
     return _round(out, 5, "statistic", "p_value", "ks_statistic", "ref_mean", "cur_mean")
 
 
-FEATURE_DRIFT = "WITH " + _DRIFT + """ SELECT 'feature' AS drift_type, feature, severity, round(psi, 5) AS statistic, 0.1::DOUBLE AS threshold, round(p, 5)::DOUBLE AS p_value,
+FEATURE_DRIFT = "WITH RECURSIVE " + _DRIFT + """ SELECT 'feature' AS drift_type, feature, severity, round(psi, 5) AS statistic, 0.1::DOUBLE AS threshold, round(p, 5)::DOUBLE AS p_value,
   round(ks, 5) AS ks_statistic, round(ref_mean, 5) AS ref_mean, round(cur_mean, 5) AS cur_mean, severity <> 'none' AS is_drifted FROM drift"""
 
 
@@ -129,7 +137,7 @@ def drift_gate(spark, sf_dir):
     return gate.select(F.concat_ws(",", "critical_features").alias("critical_features"), "passed")
 
 
-DRIFT_GATE = "WITH " + _DRIFT + """ SELECT coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (severity = 'critical'), '') AS critical_features,
+DRIFT_GATE = "WITH RECURSIVE " + _DRIFT + """ SELECT coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (severity = 'critical'), '') AS critical_features,
   count(*) FILTER (severity = 'critical') = 0 AS passed FROM drift"""
 
 
@@ -137,7 +145,7 @@ def drifting_share(spark, sf_dir):
     return _round(D.drifting_share(_drift(spark, sf_dir)), 5, "psi", "drifting_features_pct")
 
 
-DRIFTING_SHARE = "WITH " + _DRIFT + """ SELECT round(max(psi), 5) AS psi, round(avg((severity <> 'none')::INT) * 100, 5) AS drifting_features_pct FROM drift"""
+DRIFTING_SHARE = "WITH RECURSIVE " + _DRIFT + """ SELECT round(max(psi), 5) AS psi, round(avg((severity <> 'none')::INT) * 100, 5) AS drifting_features_pct FROM drift"""
 
 
 def drift_windows(spark, sf_dir):
@@ -147,7 +155,7 @@ def drift_windows(spark, sf_dir):
     return _round(D.feature_drift(ref, cur).select("feature", "severity", "statistic", "ks_statistic"), 5, "statistic", "ks_statistic")
 
 
-DRIFT_WINDOWS = "WITH " + PRED_SQL + """, y AS (SELECT "timestamp" < TIMESTAMP '2024-01-24' AS early, amount, fraud_probability, latency_ms FROM pred
+DRIFT_WINDOWS = "WITH RECURSIVE " + PRED_SQL + """, y AS (SELECT "timestamp" < TIMESTAMP '2024-01-24' AS early, amount, fraud_probability, latency_ms FROM pred
   WHERE "timestamp" >= TIMESTAMP '2024-01-03' AND "timestamp" < TIMESTAMP '2024-01-31')""" + _long(
     [(c, c) for c in ("amount", "fraud_probability", "latency_ms")]) + ", " + _PSI + ", " + _KS + """
 SELECT feature, CASE WHEN psi >= 0.2 THEN 'critical' WHEN psi >= 0.1 OR p < 0.05 THEN 'warning' ELSE 'none' END AS severity, round(psi, 5) AS statistic, round(ks, 5) AS ks_statistic
@@ -189,7 +197,7 @@ def drift_alerts(spark, sf_dir):
     return A.drift_alerts(_drift(spark, sf_dir), AS_OF).select("name", "severity", "message", F.element_at("details", "feature").alias("feature"))
 
 
-DRIFT_ALERTS = "WITH " + _DRIFT + """ SELECT 'drift_detected' AS name, severity, 'Drift detected in ''' || feature || ''': ' || printf('%.3f', psi) || ' (threshold: 0.100)' AS message, feature
+DRIFT_ALERTS = "WITH RECURSIVE " + _DRIFT + """ SELECT 'drift_detected' AS name, severity, 'Drift detected in ''' || feature || ''': ' || printf('%.3f', psi) || ' (threshold: 0.100)' AS message, feature
 FROM drift WHERE severity <> 'none'"""
 
 
@@ -199,7 +207,7 @@ def recent_alerts(spark, sf_dir):
     return out.select("name", "severity", F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "source")
 
 
-RECENT_ALERTS = "WITH " + _DRIFT + """, sc AS (SELECT is_fraud AS label, fraud_probability AS score FROM pred),
+RECENT_ALERTS = "WITH RECURSIVE " + _DRIFT + """, sc AS (SELECT is_fraud AS label, fraud_probability AS score FROM pred),
 c AS (SELECT count(*) FILTER (label = 1 AND score >= 0.5) AS tp, count(*) FILTER (label = 0 AND score >= 0.5) AS fp, count(*) FILTER (label = 1 AND score < 0.5) AS fn FROM sc),
 lad0 AS (SELECT score AS s, count(*) AS n, sum(label) AS pos FROM sc GROUP BY 1),
 lad AS (SELECT *, sum(n) OVER (ORDER BY s DESC) AS nn, sum(pos) OVER (ORDER BY s DESC) AS pp FROM lad0), ap AS (SELECT sum(pos * (pp::DOUBLE / nn::DOUBLE)) / sum(pos) AS ap FROM lad),
@@ -229,7 +237,7 @@ def retrain_triggers(spark, sf_dir):
     return _triggers(spark, sf_dir).select("trigger_id", "reason", "threshold_violated", "model_version_before", "status", "notes")
 
 
-_TRIG = "WITH " + _DRIFT + """, sc AS (SELECT is_fraud AS label, fraud_probability AS score FROM pred),
+_TRIG = "WITH RECURSIVE " + _DRIFT + """, sc AS (SELECT is_fraud AS label, fraud_probability AS score FROM pred),
 c AS (SELECT count(*) FILTER (label = 1 AND score >= 0.5) AS tp, count(*) FILTER (label = 0 AND score >= 0.5) AS fp, count(*) FILTER (label = 1 AND score < 0.5) AS fn, avg(label) AS rate FROM sc),
 lad0 AS (SELECT score AS s, count(*) AS n, sum(label) AS pos FROM sc GROUP BY 1),
 lad AS (SELECT *, sum(n) OVER (ORDER BY s DESC) AS nn, sum(pos) OVER (ORDER BY s DESC) AS pp FROM lad0), ap AS (SELECT sum(pos * (pp::DOUBLE / nn::DOUBLE)) / sum(pos) AS ap FROM lad),

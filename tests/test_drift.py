@@ -144,3 +144,56 @@ def test_rate_schedule_and_log(spark, tmp_path):
     save_retrain_state(spark, after, path)
     assert load_retrain_state(spark, path) == after
     assert R.manual_trigger(spark, NOW, "why").first()["notes"] == "why"
+
+
+def exact_by_enumeration(ref, cur):
+    """Share of all orders of two samples without ties that lie as far apart as these."""
+    from itertools import combinations
+
+    m, n = len(ref), len(cur)
+    steps = round(np_ks(np.array(ref, float), np.array(cur, float)) * m * n)
+    hit = total = 0
+    for chosen in combinations(range(m + n), m):
+        i = far = 0
+        for k in range(m + n):
+            i += k in chosen
+            far = max(far, abs(i * n - (k + 1 - i) * m))
+        hit, total = hit + (far >= steps), total + 1
+    return hit / total
+
+
+@pytest.mark.parametrize(
+    "ref,cur",
+    [([1, 2, 3, 4, 5, 6], [4.5, 5.5, 6.5, 7.5, 8.5, 9.5]), ([1, 2, 3], [1.5, 2.5, 9, 10, 11]), ([1, 2, 2, 3], [2, 2, 3, 3, 4]), ([5], [1, 2, 3, 4]), ([1, 2], [1, 2])],
+)
+def test_small_samples_have_exact_p_values(spark, ref, cur):
+    got = D.ks(one(spark, ref), one(spark, cur)).first()
+    assert got["ks_pvalue"] == pytest.approx(exact_by_enumeration(ref, cur), abs=1e-12)
+
+
+def test_known_exact_p_values_and_their_severity(spark):
+    """Two samples of six whose distance is a half: 132 of the 924 orders lie as far apart, 0.142857."""
+    got = D.ks(one(spark, range(1, 7)), one(spark, [4.5, 5.5, 6.5, 7.5, 8.5, 9.5])).first()
+    assert got["ks_statistic"] == pytest.approx(0.5) and got["ks_pvalue"] == pytest.approx(132 / 924)
+    # completely apart: two of all orders; also for samples of unequal size and very small chances
+    got = D.ks(one(spark, range(300)), one(spark, range(1000, 1200))).first()
+    assert 0 < got["ks_pvalue"] < 1e-100
+
+
+def test_exact_and_limiting_values_meet(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = one(spark, rng.normal(0, 1, 3000)), one(spark, rng.normal(0.04, 1, 2500))
+    exact = D.ks(a, b).first()["ks_pvalue"]
+    monkeypatch.setattr(D, "EXACT_KS_ROWS", 100)
+    assert D.ks(a, b).first()["ks_pvalue"] == pytest.approx(exact, abs=0.02)
+
+
+def test_severity_follows_the_exact_value(spark):
+    """Between the limiting law's chance and the exact one lies the border of 0.05."""
+    ref, cur = [float(i) for i in range(10)], [5.5 + i for i in range(10)]
+    exact = exact_by_enumeration(ref, cur)
+    a = spark.createDataFrame([(x,) for x in ref], "x double")
+    b = spark.createDataFrame([(x,) for x in cur], "x double")
+    row = D.feature_drift(a, b, ["x"], psi_warning=1e9, psi_critical=1e9).first()
+    assert row["p_value"] == pytest.approx(exact) and row["severity"] == ("warning" if exact < 0.05 else "none")
+    assert D.feature_drift(a, b, ["x"], psi_warning=1e9, psi_critical=1e9, ks_alpha=exact).first()["severity"] == "none"
