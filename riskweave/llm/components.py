@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.ship import shipped
+from riskweave.llm.ship import shipped, tidy
 from riskweave.session import cut_lineage
 
 
@@ -55,7 +55,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     kind = pairs.schema["a"].dataType.simpleString()
-    pairs = shipped(pairs).mapInArrow(_stars, f"a {kind}, b {kind}")
+    pairs = shipped(pairs).mapInArrow(tidy(_stars), f"a {kind}, b {kind}")
     both = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:

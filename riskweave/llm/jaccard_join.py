@@ -11,8 +11,11 @@ for two segments. Candidates are verified on the whole sets.
 Equal sets form one class, of which one document stands for all. Each has a histogram of its shingles over
 ``BUCKETS`` hash classes: the distance of two histograms never exceeds the difference of the sets, so pairs whose
 histograms differ too much are left out before whole sets are sent for. Large candidate groups are not expanded
-into pairs: rounds compare each group with a few of its members, connect what is linked, and go on with members
-that are still in other components. What no round settles is compared pair by pair, so no link is lost.
+into pairs at once: each group is compared with one of its members, what is linked is connected, and only members
+still in other components go on, as long as that settles most of what is open. What is left is compared pair by
+pair, so no link is lost. A group of more than ``BLOCK`` members is cut into blocks by size and a salt; every pair of
+blocks whose sizes can still reach ``delta`` is a row key of its own, and members of a group's largest component meet
+only the others, so no task holds a group.
 
 Words are runs without white space, A-Z lower-cased. Fewer than five words make one shingle; a document without
 words (null or blank text) is empty and linked with nothing. Repeated rows keep their rows; rows of one id are one
@@ -26,12 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm import words
 from riskweave.llm.components import components
-from riskweave.llm.ship import shipped
+from riskweave.llm.ship import shipped, tidy
 from riskweave.llm.words import mix
 from riskweave.session import cut_lineage
 
@@ -43,8 +46,10 @@ DELETION_SIZE = 32
 FREQUENT, FREQUENT_FROM = 20_000, 24
 #: Groups up to this many sets give all their pairs at once.
 SMALL_GROUP = 8
-#: Members that each larger group is compared with, round by round, before what is left is paired.
-PIVOTS = (1, 4, 16)
+#: Pairs per row that may stay open after a round for the rest to be compared; a further round must halve them.
+OPEN_PAIRS = 64
+#: Members of a group that are compared in one task.
+BLOCK = 1_024
 #: Hash classes of the histograms that rule out pairs.
 BUCKETS = 256
 #: Bytes of signatures for one task, and ids of candidates that may be broadcast; more are joined.
@@ -257,15 +262,15 @@ def _profile(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "n", "k1", "k2"])
 
-    return docs.mapInArrow(run, f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k1 long, k2 long")
+    return docs.mapInArrow(tidy(run), f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k1 long, k2 long")
 
 
 def _candidate_rows(docs: DataFrame, frequent: np.ndarray, shingles: int, percent: int) -> DataFrame:
     """(g, a, b): g 0 for a pair of class keys, else a group and one of its members."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent)  # at most FREQUENT values
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles * 8 // TASK_BYTES))
-    buckets = 2 * tasks
+    tasks = max(1, -(-shingles * 16 // TASK_BYTES))
+    buckets = 2 * tasks  # from bytes alone: a slice makes one blob for each
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,8 +299,8 @@ def _candidate_rows(docs: DataFrame, frequent: np.ndarray, shingles: int, percen
             [pa.array(x.view(np.int64)) for x in (g, np.concatenate([left, members]), b)], ["g", "a", "b"]
         )
 
-    blobs = docs.mapInArrow(emit, "bucket long, rows binary").repartition(tasks, "bucket")
-    return blobs.mapInArrow(match, "g long, a long, b long")
+    blobs = docs.mapInArrow(tidy(emit), "bucket long, rows binary").repartition(tasks, "bucket")
+    return blobs.mapInArrow(tidy(match), "g long, a long, b long")
 
 
 def _histogram(s: np.ndarray) -> bytes:
@@ -323,7 +328,7 @@ def _sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set", "histogram"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, set binary, histogram binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n long, set binary, histogram binary")
 
 
 def _fitting(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -342,7 +347,7 @@ def _fitting(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["x", "y"])
 
     kind = sets.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"x {kind}, y {kind}")
+    return rows.mapInArrow(tidy(run), f"x {kind}, y {kind}")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -366,40 +371,96 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["x", "y", "shared", "united"])
 
     kind = sets.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"x {kind}, y {kind}, shared long, united long")
+    return both.mapInArrow(tidy(run), f"x {kind}, y {kind}, shared long, united long")
 
 
-def _group_pairs(ids, comp, n, hist, pivots: int | None, percent: int) -> tuple[list, list]:
-    """Pairs of one group in different components that sizes and histograms allow: with the first ``pivots``
-    members by a hash, or (None) all."""
-    order = np.argsort(mix(ids.astype(np.int64).view(np.uint64)), kind="stable")
-    ids, comp, n, hist = ids[order], comp[order], n[order], hist[order]
+def _pivot_pairs(groups: DataFrame, turn: int) -> DataFrame:
+    """(x, y): every member of a group with the one that is first by a hash of this turn."""
+    first = groups.groupBy("g").agg(F.min_by("x", F.xxhash64("x", F.lit(turn))).alias("_p"))
+    both = groups.join(first, "g").filter("x <> _p")
+    return both.select(F.least("x", "_p").alias("x"), F.greatest("x", "_p").alias("y"))
+
+
+def _met(a: tuple, b: tuple | None, percent: int) -> tuple[list, list]:
+    """Pairs of members (ids, components, sizes, histograms) in different components that sizes and histograms allow:
+    between two blocks, or (``b`` None) within one."""
     left, right = [], []
-    for i in range(len(ids) - 1 if pivots is None else min(pivots, len(ids) - 1)):
-        at = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-        at = at[np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * percent]
-        at = at[_apart(hist[at], hist[i]) * (100 + percent) <= (n[at] + n[i]) * (100 - percent)]
-        left.append(np.minimum(ids[at], ids[i]))
-        right.append(np.maximum(ids[at], ids[i]))
+    ids, comp, n, hist = a if b is None else b
+    for i in range(len(a[0])):
+        start = i + 1 if b is None else 0
+        at = np.flatnonzero(comp[start:] != a[1][i]) + start
+        at = at[np.minimum(n[at], a[2][i]) * 100 >= np.maximum(n[at], a[2][i]) * percent]
+        if len(at):
+            at = at[_apart(hist[at], a[3][i]) * (100 + percent) <= (n[at] + a[2][i]) * (100 - percent)]
+        left.append(np.minimum(ids[at], a[0][i]))
+        right.append(np.maximum(ids[at], a[0][i]))
     return left, right
 
 
-def _open_pairs(rows: DataFrame, pivots: int | None, percent: int) -> DataFrame:
-    """Pairs still to compare, from rows (g, x, c, n, histogram)."""
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows (k, side, x, c, n, histogram) from rows (g, x, c, n, histogram): ``k`` names a whole group of up to ``BLOCK``
+    members (side 0) or a pair of blocks of a larger one (sides 0 and 1, or 0 alone for a block with itself).
+
+    Blocks part a group by size, so that partners lie in one band or in neighbours, by whether a member is of the
+    group's largest component, and by a salt.
+    """
+    sizes = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("_m"))
+    whole = sizes.groupBy("g").agg(F.sum("_m").alias("_all"), F.max_by("c", F.struct("_m", "c")).alias("_mass"))
+    rows = rows.join(whole, "g")
+    small = rows.filter(F.col("_all") <= BLOCK).select(
+        F.xxhash64("g", F.lit(-1)).alias("k"), F.lit(0).alias("side"), "x", "c", "n", "histogram"
+    )
+    large = rows.filter(F.col("_all") > BLOCK).withColumns(
+        # sizes of partners differ by a factor of 1.25 at most, so less than one band
+        {"_band": F.floor(F.log("n") / F.lit(float(np.log(1.2501)))).cast("int"), "_other": F.col("c") != F.col("_mass")}
+    )
+    name = lambda band, other: F.concat(band.cast("string"), F.when(other, "o").otherwise("m"))
+    counts = large.groupBy("g", "_band", "_other").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_k"))
+    # one entry per band of sizes, at most some dozens
+    known = counts.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct(name(F.col("_band"), F.col("_other")), "_k"))).alias("_blocks"))
+    large = large.join(known, "g")
+    own = F.try_element_at("_blocks", name(F.col("_band"), F.col("_other")))
+    salt = F.pmod(F.xxhash64("x", F.lit("block")), own)
+
+    def against(step: int, other: bool, first: bool | None) -> Column:
+        """Keys with the blocks ``step`` bands up; ``first``: whether this side is named first (None: by salt)."""
+        to = name(F.col("_band") + step, F.lit(other))
+        many = F.coalesce(F.try_element_at("_blocks", to), F.lit(0).cast("long"))
+        mine = F.concat(name(F.col("_band"), F.col("_other")), F.lit(":"), salt.cast("string"))
+
+        def key(t: Column) -> Column:
+            theirs = F.concat(to, F.lit(":"), t.cast("string"))
+            ahead = F.lit(first) if first is not None else salt <= t
+            name_of = F.when(ahead, F.concat_ws("|", mine, theirs)).otherwise(F.concat_ws("|", theirs, mine))
+            return F.struct(F.xxhash64("g", name_of).alias("k"), F.when(ahead, 0).otherwise(1).alias("side"))
+
+        return F.when(many > 0, F.transform(F.sequence(F.lit(0).cast("long"), many - 1), key)).otherwise(F.array().cast("array<struct<k:bigint,side:int>>"))
+
+    others = F.concat(against(0, True, None), against(1, True, True), against(-1, True, False), *[against(d, False, True) for d in (-1, 0, 1)])
+    mass = F.concat(*[against(d, True, False) for d in (-1, 0, 1)])
+    dealt = large.withColumn("_to", F.explode(F.when(F.col("_other"), others).otherwise(mass)))
+    return small.unionByName(dealt.select("_to.k", "_to.side", "x", "c", "n", "histogram"))
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of the groups still to compare, from rows (g, x, c, n, histogram)."""
 
     def of(table: pa.Table) -> pa.RecordBatch:
-        g, x, c, n = (table.column(i).to_numpy() for i in range(4))
-        hist = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
-        cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        k, side, x, c, n = (table.column(i).to_numpy() for i in range(5))
+        hist = np.frombuffer(b"".join(table.column(5).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
+        cut = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         left, right = [x[:0]], [x[:0]]
-        for a, b in zip(cut, np.append(cut[1:], len(g))):
-            found = _group_pairs(x[a:b], c[a:b], n[a:b], hist[a:b], pivots, percent)
+        for a, b in zip(cut, np.append(cut[1:], len(k))):
+            middle = a + int(np.searchsorted(side[a:b], 1))
+            first, second = ((x[p:q], c[p:q], n[p:q], hist[p:q]) for p, q in ((a, middle), (middle, b)))
+            # a key of two blocks of which one has no row has nothing to compare
+            found = _met(first, second if len(second[0]) else None, percent) if len(first[0]) else ([], [])
             left += found[0]
             right += found[1]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["x", "y"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []  # rows of the last group seen, which may go on
+        waiting: list[pa.RecordBatch] = []  # rows of the last key seen, which may go on: two blocks at most
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -415,8 +476,8 @@ def _open_pairs(rows: DataFrame, pivots: int | None, percent: int) -> DataFrame:
             yield of(pa.Table.from_batches(waiting))
 
     kind = rows.schema["x"].dataType.simpleString()
-    sorted_rows = rows.select("g", "x", "c", "n", "histogram").repartition("g").sortWithinPartitions("g")
-    return sorted_rows.mapInArrow(stream, f"x {kind}, y {kind}").distinct()
+    dealt = _blocked(rows).repartition("k").sortWithinPartitions("k", "side")
+    return dealt.mapInArrow(tidy(stream), f"x {kind}, y {kind}").distinct()
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -437,18 +498,32 @@ def _settle(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int)
         found = _verified(p, sets.select("doc_id", "set"))
         return cut_lineage(found.filter((F.col("shared") * 100 >= F.col("united") * percent) & (F.col("united") > 0)).select("x", "y"))
 
-    ids = sets.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("c")).distinct()
-    comp = _joined(ids, linked(_fitting(pairs, sets, percent)))
+    comp = sets.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("c")).distinct()
+    comp = _joined(comp, linked(_fitting(pairs.unionByName(_pivot_pairs(groups, 0)).distinct(), sets, percent)))
     traits = sets.select(F.col("doc_id").alias("x"), "n", "histogram")
-    for pivots in (*PIVOTS, None):
+    turn, before = 0, None
+    while True:
+        turn += 1
         named = groups.join(comp.withColumnRenamed("id", "x"), "x")
-        torn = named.groupBy("g").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("g")
-        groups = cut_lineage(named.join(torn, "g", "left_semi").select("g", "x"))
-        if groups.isEmpty():
-            break
-        rows = groups.join(comp.withColumnRenamed("id", "x"), "x").join(traits, "x")
-        comp = _joined(comp, linked(_open_pairs(rows, pivots, percent)))
-    return comp
+        torn = named.groupBy("g", "c").agg(F.count(F.lit(1)).alias("_m")).groupBy("g").agg(
+            F.sum("_m").alias("_n"), (F.pow(F.sum("_m").cast("double"), 2) - F.sum(F.pow(F.col("_m").cast("double"), 2))).alias("_open")
+        )
+        torn = cut_lineage(torn.filter("_open > 0"))
+        left = torn.agg(F.sum("_n").alias("n"), F.sum("_open").alias("open")).first()
+        if not left["n"]:
+            return comp
+        groups = named.join(torn, "g", "left_semi").select("g", "x", "c")
+        settled = left["open"] <= OPEN_PAIRS * left["n"] or (before is not None and left["open"] * 2 > before)
+        if settled:
+            rows = groups.join(traits, "x")
+            return _joined(comp, linked(_open_pairs(rows, percent)))
+        before = left["open"]
+        groups = cut_lineage(groups)
+        pivots = _pivot_pairs(groups, turn).distinct()
+        comps = groups.select("x", "c").distinct()
+        apart = pivots.join(comps, "x").join(comps.withColumnsRenamed({"x": "y", "c": "_d"}), "y").filter("c <> _d")
+        comp = _joined(comp, linked(_fitting(apart.select("x", "y"), sets, percent)))
+        groups = groups.select("g", "x")
 
 
 def similar_documents(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm import words
-from riskweave.llm.ship import shipped
+from riskweave.llm.ship import shipped, tidy
 from riskweave.session import cut_lineage
 
 #: Labelled rows the classifier is fitted on; hashed word classes; domains at most (more is an error).
@@ -47,7 +47,7 @@ def vector_sums(rows: DataFrame, partial) -> list[np.ndarray]:
         total = sum(np.frombuffer(x, dtype=np.float64) for x in table.column("v").to_pylist())
         return pa.table({"i": table.column("i").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
 
-    found = rows.mapInArrow(run, "i long, v binary").groupBy("i").applyInArrow(add, "i long, v binary").collect()
+    found = rows.mapInArrow(tidy(run), "i long, v binary").groupBy("i").applyInArrow(add, "i long, v binary").collect()
     return [np.frombuffer(bytes(r["v"]), dtype=np.float64) for r in sorted(found, key=lambda r: r["i"])]
 
 
@@ -152,7 +152,7 @@ def train_classifier(docs: DataFrame, labelled: DataFrame, sample_rows: int = SA
                     [y, pa.array(n.astype(np.int64)), pa.array([r.tobytes() for r in likelihoods], pa.binary())], ["y", "n", "x"]
                 )
 
-    fitted = rows.mapInArrow(measure, "y long, n long, x binary").toArrow().sort_by([("y", "ascending"), ("x", "ascending")])
+    fitted = rows.mapInArrow(tidy(measure), "y long, n long, x binary").toArrow().sort_by([("y", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(fitted.column("x").to_pylist()), dtype=np.float64).reshape(-1, len(domains))
     model.fit(x, fitted.column("n").to_numpy(), fitted.column("y").to_numpy())
     model.beta[0] += np.log([counts_of[d] / taken[d] for d in domains])
@@ -231,7 +231,7 @@ def mix_to_targets(
                     ["doc_id", "n_tokens", "p"],
                 )
 
-    members = cut_lineage(rows.mapInArrow(member, f"doc_id {kind}, n_tokens long, p binary"))
+    members = cut_lineage(rows.mapInArrow(tidy(member), f"doc_id {kind}, n_tokens long, p binary"))
     steps = fit_rates(members.select("n_tokens", "p"), shares / shares.sum())
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def mix_to_targets(
                 columns = [pa.array(names[best], pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(_rates(p, steps))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_tokens", "domain", "membership", "rate"])
 
-    return members.mapInArrow(rate, f"doc_id {kind}, n_tokens long, domain string, membership double, rate double")
+    return members.mapInArrow(tidy(rate), f"doc_id {kind}, n_tokens long, domain string, membership double, rate double")
 
 
 def draws(rate, doc_id):

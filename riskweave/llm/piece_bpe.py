@@ -26,11 +26,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from riskweave.llm.ship import shipped
+from riskweave.llm.ship import shipped, tidy
 
 SPACE = "▁"
-#: Words a worker remembers before it starts afresh.
-CACHED_WORDS = 500_000
+#: Bytes of words and results a task remembers before it starts afresh (as estimated), and pairs of ids a worker knows.
+CACHED_BYTES, CACHED_PAIRS = 64_000_000, 400_000
+#: What a remembered word takes besides its characters and its result.
+_ENTRY_BYTES = 250
 _UNKNOWN = -1
 #: More than there are ids: a pair of ids makes one key.
 _IDS = 1 << 32
@@ -90,15 +92,21 @@ class WordCache(dict):
     def __init__(self, compute: Callable[[str], object]):
         super().__init__()
         self._compute = compute
+        self._bytes = 0
 
     def __missing__(self, word: str):
         found = self._compute(word)
         if len(word) <= 256:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
+            self._bytes += _ENTRY_BYTES + 4 * len(word) + 4 * len(word)  # a result has as many ids as characters at most
+            if self._bytes > CACHED_BYTES:
+                self.forget()
             self[word] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self._bytes = 0
+
 
 class PieceBpe:
     """Encoder and decoder of a BPE vocabulary with byte fallback."""
@@ -112,6 +120,10 @@ class PieceBpe:
         self._cache = WordCache(lambda word: array("i", self.encode_word(word)).tobytes())
         self._end = np.int32(self.vocabulary.end_id).tobytes()
 
+    def forget_words(self) -> None:
+        """Drop the words of a task; workers live on."""
+        self._cache.forget()
+
     def _merge(self, text: str) -> list[str]:
         """Merges in order of score, leftmost first; only for joined pairs of pieces, so short."""
         ids, scores = self.vocabulary.ids, self.vocabulary.scores
@@ -140,7 +152,7 @@ class PieceBpe:
         else:
             a, b = self._text[left], self._text[right]
             found = self._merge(a + b) == [a, b]
-        if len(self._fits) > 4 * CACHED_WORDS:
+        if len(self._fits) >= CACHED_PAIRS:
             self._fits.clear()
         self._fits[key] = found
         return found
@@ -218,9 +230,10 @@ def encode_texts(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", te
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+        codec.forget_words()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -242,4 +255,4 @@ def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, decoded string")

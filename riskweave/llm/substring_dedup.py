@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm import words
-from riskweave.llm.ship import shipped
+from riskweave.llm.ship import shipped, tidy
 from riskweave.llm.words import mix
 
 WINDOW = 20
@@ -337,7 +337,7 @@ def remove_repeats(
         emit, "bucket long, docs binary, keys binary, starts binary, counts binary, hashes binary"
     ).repartition(tasks, "bucket")
     found = dealt.mapInArrow(lambda batches: _compare(batches, tasks), "home long, docs binary, keys binary, starts binary, counts binary")
-    spans = found.repartition(tasks, "home").mapInArrow(_gather, "_id long, _key long, spans binary").withColumnRenamed("spans", "_spans")
+    spans = found.repartition(tasks, "home").mapInArrow(tidy(_gather), "_id long, _key long, spans binary").withColumnRenamed("spans", "_spans")
     named = [f"_c{i}" for i in range(len(carry))]
     joined = rows.join(spans, ["_id", "_key"], "left").select("_doc", "_text", "_spans", *named)
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
@@ -352,7 +352,7 @@ def remove_repeats(
                 )
 
     schema = f"_doc {kinds['_doc']}, n_words long, n_removed long, _text string" + "".join(f", {c} {kinds[c]}" for c in named)
-    out = joined.mapInArrow(rebuild, schema)
+    out = joined.mapInArrow(tidy(rebuild), schema)
     return out.select(
         F.col("_doc").alias("doc_id"), "n_words", "n_removed", F.col("_text").alias("text"),
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],

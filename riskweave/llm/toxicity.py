@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import words
 from riskweave.llm.mixing import vector_sums
-from riskweave.llm.ship import shipped
+from riskweave.llm.ship import shipped, tidy
 from riskweave.session import cut_lineage
 
 #: Labelled rows from which the lexicon is mined, and rows the classifier is fitted on.
@@ -112,7 +112,7 @@ def mine_lexicon(labelled: DataFrame) -> tuple[np.ndarray, float]:
     if not rows or not toxic or toxic == rows:
         return np.zeros(0, dtype=np.uint64), 0.0
     base = toxic / rows
-    counts = cut_lineage(labelled.select("text", "toxic").mapInArrow(count, "entry long, bad long, n long").groupBy("entry").agg(
+    counts = cut_lineage(labelled.select("text", "toxic").mapInArrow(tidy(count), "entry long, bad long, n long").groupBy("entry").agg(
         F.sum("bad").alias("bad"), F.sum("n").alias("n")
     ))
     tried = counts.filter("n > 1").count()
@@ -300,7 +300,7 @@ def score_toxicity(
                     [part.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["doc_id", "votes"]
                 )
 
-    voted = rows.mapInArrow(vote, f"doc_id {kind}, votes binary")
+    voted = rows.mapInArrow(tidy(vote), f"doc_id {kind}, votes binary")
     voted = cut_lineage(voted.join(known, voted["doc_id"] == known["_id"], "left").select("doc_id", "votes", "label"))
     model = fit_label_model(voted, voters, base)
 
@@ -327,7 +327,7 @@ def score_toxicity(
                 x = _features(_unpacked(part, 1, voters), len(lexicon))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_sigmoid(x @ beta))], ["doc_id", "score"])
 
-    scored = voted.select("doc_id", "votes").mapInArrow(score, f"doc_id {kind}, score double")
+    scored = voted.select("doc_id", "votes").mapInArrow(tidy(score), f"doc_id {kind}, score double")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
