@@ -47,11 +47,13 @@ FREQUENT, FREQUENT_FROM = 20_000, 24
 #: Groups up to this many sets give all their pairs at once.
 SMALL_GROUP = 8
 #: Pairs per row that may stay open after a round for the rest to be compared; a further round must halve them.
-OPEN_PAIRS = 64
+OPEN_PAIRS = 1_000
 #: Members of a group that are compared in one task.
-BLOCK = 1_024
+BLOCK = 2_048
 #: Hash classes of the histograms that rule out pairs.
 BUCKETS = 256
+#: Classes added up for coarse histograms.
+COARSE = 8
 #: Bytes of signatures for one task, and ids of candidates that may be broadcast; more are joined.
 TASK_BYTES, BROADCAST_IDS = 8_000_000, 500_000
 
@@ -383,17 +385,28 @@ def _pivot_pairs(groups: DataFrame, turn: int) -> DataFrame:
 
 def _met(a: tuple, b: tuple | None, percent: int) -> tuple[list, list]:
     """Pairs of members (ids, components, sizes, histograms) in different components that sizes and histograms allow:
-    between two blocks, or (``b`` None) within one."""
+    between two blocks, or (``b`` None) within one. Coarse histograms rule out most pairs first."""
+
+    def by_size(block: tuple) -> tuple:
+        order = np.argsort(block[2], kind="stable")
+        ids, comp, n, hist = (x[order] for x in block)
+        return ids, comp, n, hist, hist.reshape(len(ids), -1, COARSE).sum(axis=2, dtype=np.int16)
+
+    first = by_size(a)
+    second = first if b is None else by_size(b)
+    ids, comp, n, hist, coarse = second
+    low = np.searchsorted(n, -(-first[2] * percent // 100)) if b is not None else np.arange(1, len(n) + 1)
+    high = np.searchsorted(n, first[2] * 100 // percent, side="right")
     left, right = [], []
-    ids, comp, n, hist = a if b is None else b
-    for i in range(len(a[0])):
-        start = i + 1 if b is None else 0
-        at = np.flatnonzero(comp[start:] != a[1][i]) + start
-        at = at[np.minimum(n[at], a[2][i]) * 100 >= np.maximum(n[at], a[2][i]) * percent]
+    for i in range(len(first[0])):
+        mine, c, size, own, rough = (x[i] for x in first)
+        part = slice(low[i], high[i])
+        most = (n[part] + size) * (100 - percent)
+        at = np.flatnonzero((comp[part] != c) & (np.abs(coarse[part] - rough).sum(axis=1) * (100 + percent) <= most))
         if len(at):
-            at = at[_apart(hist[at], a[3][i]) * (100 + percent) <= (n[at] + a[2][i]) * (100 - percent)]
-        left.append(np.minimum(ids[at], a[0][i]))
-        right.append(np.maximum(ids[at], a[0][i]))
+            at = at[_apart(hist[part][at], own) * (100 + percent) <= most[at]]
+            left.append(np.minimum(ids[part][at], mine))
+            right.append(np.maximum(ids[part][at], mine))
     return left, right
 
 
@@ -442,8 +455,8 @@ def _blocked(rows: DataFrame) -> DataFrame:
     return small.unionByName(dealt.select("_to.k", "_to.side", "x", "c", "n", "histogram"))
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of the groups still to compare, from rows (g, x, c, n, histogram)."""
+def _open_pairs(rows: DataFrame, percent: int, largest: int) -> DataFrame:
+    """All pairs of the groups still to compare, from rows (g, x, c, n, histogram); ``largest``: members of the largest."""
 
     def of(table: pa.Table) -> pa.RecordBatch:
         k, side, x, c, n = (table.column(i).to_numpy() for i in range(5))
@@ -476,7 +489,8 @@ def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
             yield of(pa.Table.from_batches(waiting))
 
     kind = rows.schema["x"].dataType.simpleString()
-    dealt = _blocked(rows).repartition("k").sortWithinPartitions("k", "side")
+    whole = rows.select(F.col("g").alias("k"), F.lit(0).alias("side"), "x", "c", "n", "histogram")
+    dealt = (whole if largest <= BLOCK else _blocked(rows)).repartition("k").sortWithinPartitions("k", "side")
     return dealt.mapInArrow(tidy(stream), f"x {kind}, y {kind}").distinct()
 
 
@@ -491,6 +505,12 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(comp.join(merged, "c", "left").select("id", F.coalesce("_new", "c").alias("c")))
 
 
+def _started(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, c) of ids by their first links."""
+    found = components(links, "x", "y").withColumnsRenamed({"node": "id", "component": "_new"})
+    return cut_lineage(ids.join(found, "id", "left").select("id", F.coalesce("_new", "id").alias("c")))
+
+
 def _settle(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, c): components of all candidates, from candidate pairs and large candidate groups."""
 
@@ -498,8 +518,7 @@ def _settle(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int)
         found = _verified(p, sets.select("doc_id", "set"))
         return cut_lineage(found.filter((F.col("shared") * 100 >= F.col("united") * percent) & (F.col("united") > 0)).select("x", "y"))
 
-    comp = sets.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("c")).distinct()
-    comp = _joined(comp, linked(_fitting(pairs.unionByName(_pivot_pairs(groups, 0)).distinct(), sets, percent)))
+    comp = _started(sets.select(F.col("doc_id").alias("id")).distinct(), linked(_fitting(pairs.unionByName(_pivot_pairs(groups, 0)).distinct(), sets, percent)))
     traits = sets.select(F.col("doc_id").alias("x"), "n", "histogram")
     turn, before = 0, None
     while True:
@@ -509,14 +528,14 @@ def _settle(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int)
             F.sum("_m").alias("_n"), (F.pow(F.sum("_m").cast("double"), 2) - F.sum(F.pow(F.col("_m").cast("double"), 2))).alias("_open")
         )
         torn = cut_lineage(torn.filter("_open > 0"))
-        left = torn.agg(F.sum("_n").alias("n"), F.sum("_open").alias("open")).first()
+        left = torn.agg(F.sum("_n").alias("n"), F.sum("_open").alias("open"), F.max("_n").alias("most")).first()
         if not left["n"]:
             return comp
         groups = named.join(torn, "g", "left_semi").select("g", "x", "c")
         settled = left["open"] <= OPEN_PAIRS * left["n"] or (before is not None and left["open"] * 2 > before)
         if settled:
             rows = groups.join(traits, "x")
-            return _joined(comp, linked(_open_pairs(rows, percent)))
+            return _joined(comp, linked(_open_pairs(rows, percent, left["most"])))
         before = left["open"]
         groups = cut_lineage(groups)
         pivots = _pivot_pairs(groups, turn).distinct()
