@@ -30,24 +30,31 @@ from riskweave.session import cut_lineage
 
 #: Labelled rows the classifier is fitted on; hashed word classes; domains at most (more is an error).
 SAMPLE_ROWS, WORD_CLASSES, MOST_DOMAINS = 20_000, 1 << 15, 64
+#: Groups of tasks whose vectors are added first.
+FAN = 32
 #: Steps at most, and the relative residual at which they end.
 STEPS, ENOUGH = 40, 1e-4
 
 
 def vector_sums(rows: DataFrame, partial) -> list[np.ndarray]:
-    """Sums over all tasks of the vectors that ``partial`` makes of each task's batches."""
+    """Sums over all tasks of the vectors that ``partial`` makes of each task's batches.
+
+    Added in two levels, so that a group holds a vector of every ``FAN``-th task, or ``FAN`` vectors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = partial(batches)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(vectors)), pa.int64()), pa.array([v.astype(np.float64).tobytes() for v in vectors], pa.binary())], ["i", "v"]
-        )
+        )
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, dtype=np.float64) for x in table.column("v").to_pylist())
         return pa.table({"i": table.column("i").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
 
-    found = rows.mapInArrow(tidy(run), "i long, v binary").groupBy("i").applyInArrow(add, "i long, v binary").collect()
+    sent = rows.mapInArrow(tidy(run), "i long, v binary").withColumn("t", F.spark_partition_id() % FAN)
+    fewer = sent.groupBy("i", "t").applyInArrow(add, "i long, v binary")
+    found = fewer.groupBy("i").applyInArrow(add, "i long, v binary").collect()
     return [np.frombuffer(bytes(r["v"]), dtype=np.float64) for r in sorted(found, key=lambda r: r["i"])]
 
 

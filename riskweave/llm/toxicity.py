@@ -188,7 +188,7 @@ class LabelModel:
 
     def update(self, n: float, bad: float, votes: np.ndarray, bad_votes: np.ndarray) -> None:
         good = n - bad
-        self.base = float(np.clip((bad + 1) / (n + 2), 1e-4, 0.5))
+        self.base = float(np.clip((bad + 1) / (n + 2), 1e-4, 0.999))
         self.toxic = np.clip((bad_votes + 0.1) / (bad + 1), 1e-4, 0.999)
         self.clean = np.clip((votes - bad_votes + 0.1) / (good + 100), 1e-6, 0.999)
 
@@ -304,11 +304,11 @@ def score_toxicity(
     voted = cut_lineage(voted.join(known, voted["doc_id"] == known["_id"], "left").select("doc_id", "votes", "label"))
     model = fit_label_model(voted, voters, base)
 
-    total = voted.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, sample_rows / max(total, 1)) * 1_000_000)
-    rows_fit = voted.filter(share).select("votes", F.col("label").cast("double")).toArrow().combine_chunks()
+    # the same number of rows at every size, chosen by a hash; equal ids by their votes
+    chosen = (F.xxhash64("doc_id", F.lit(7)), "doc_id", "votes")
+    rows_fit = voted.orderBy(*chosen).limit(sample_rows).select("votes", F.col("label").cast("double")).toArrow().combine_chunks()
     # labelled rows of their own for offset and scale, as few of the rows above may have a label
-    held = voted.filter("label IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "votes").limit(sample_rows)
+    held = voted.filter("label IS NOT NULL").orderBy(*chosen).limit(sample_rows)
     held = held.select("votes", F.col("label").cast("double")).toArrow().combine_chunks()
     if held.num_rows:
         batch = held.to_batches()[0]
