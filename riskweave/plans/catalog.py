@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ("velocity", "quality", "label", "rule", "evaluation", "monitoring", "model", "stream")
+_PARTS = ("velocity", "quality", "label", "rule", "evaluation", "monitoring", "model", "stream", "sketch")
 
 
 def _collect(what: str) -> dict:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.labels import between_dates, evaluation_window, join_labels, label_coverage
 from ..operators.quality import LABEL_CONTRACT, TRANSACTION_CONTRACT, DataContract, require_valid
 from ..schemas import LABEL_FIELDS, PREDICTION_LOG, TRANSACTION_FIELDS, record_ddl
 from ..session import prepare
+from .daily import has_days, read_days
 
 
 def _exists(spark: SparkSession, pattern: str) -> bool:
@@ -20,14 +23,16 @@ def load_parts(
     spark: SparkSession, directory: str, stem: str, time_column: str, empty: str,
     start=None, end=None, contract: DataContract | None = None, schema: str | None = None,
 ) -> DataFrame:
-    """All ``{stem}_*.parquet`` parts, or ``{stem}*.csv`` if there are none, or an empty table.
+    """The table ``{stem}`` of day partitions, else all ``{stem}_*.parquet`` parts, else ``{stem}*.csv``, else an empty table.
 
-    Parts are united by column name. The [start, end) filter is pushed into the scan; the
+    Of day partitions only the days of [start, end) are read. Parts are united by column name. The [start, end) filter is pushed into the scan; the
     contract, when given, is checked on the filtered rows and raises on errors.
     """
     prepare(spark)
     parquet, csv = f"{directory}/{stem}_*.parquet", f"{directory}/{stem}*.csv"
-    if _exists(spark, parquet):
+    if has_days(spark, f"{directory}/{stem}"):
+        df = read_days(spark, f"{directory}/{stem}", time_column, start, end)
+    elif _exists(spark, parquet):
         reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
         df = reader.parquet(parquet)
     elif _exists(spark, csv):
@@ -70,9 +75,8 @@ def load_ground_truth(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def load_evaluation_window(spark: SparkSession, data_dir: str, window_end, window_days: int = 30) -> DataFrame:
     """Predictions of the window, labelled by every label there is."""
-    return evaluation_window(
-        load_predictions(spark, data_dir), load_labels(spark, data_dir), window_end, window_days
-    )
+    start = window_end - timedelta(days=window_days)
+    return evaluation_window(load_predictions(spark, data_dir, start, window_end), load_labels(spark, data_dir), window_end, window_days)
 
 
 __all__ = [
