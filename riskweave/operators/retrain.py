@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..schemas import TRIGGER
 
 
+#: Statuses of a retrain from its first to its last.
+PROGRESS = ("pending", "in_progress", "failed", "completed")
+
+
 @dataclass(frozen=True)
 class RetrainLimits:
     # fixed values: default limits of the triggers
@@ -133,15 +137,17 @@ def trigger_counts(triggers: DataFrame) -> DataFrame:
 
 
 def trigger_status(log: DataFrame) -> DataFrame:
-    """Current row per trigger: the one written last."""
+    """Current row per trigger: the latest one, at equal times the one furthest on (``PROGRESS``), then by content."""
     rest = [c for c in log.columns if c != "trigger_id"]
-    return log.groupBy("trigger_id").agg(F.max_by(F.struct(*rest), F.col("timestamp")).alias("_r")).select("trigger_id", "_r.*")
+    order = F.struct("timestamp", F.array_position(F.lit(list(PROGRESS)), F.col("status")), F.xxhash64(F.to_json(F.struct(*sorted(rest)))))
+    return log.groupBy("trigger_id").agg(F.max_by(F.struct(*rest), order).alias("_r")).select("trigger_id", "_r.*")
 
 
 def state_from_log(log: DataFrame, baseline_fraud_rate: float | None = None, version: str = "v1") -> RetrainState:
     """Last completed retrain and the model version it produced."""
     done = log.filter(F.col("status") == "completed")
-    row = done.agg(F.max("timestamp").alias("t"), F.max_by("model_version_after", "timestamp").alias("v")).first()
+    last = F.max_by("model_version_after", F.struct("timestamp", "trigger_id", "model_version_after"))
+    row = done.agg(F.max("timestamp").alias("t"), last.alias("v")).first()
     return RetrainState(row["t"], row["v"] or version, baseline_fraud_rate)
 
 

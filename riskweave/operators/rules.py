@@ -8,11 +8,12 @@ into one projection.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRITICAL, HIGH, MEDIUM, LOW = 1, 2, 3, 4
@@ -195,21 +196,42 @@ def rules_from_config(items: Sequence[Mapping[str, str]]) -> tuple[Rule, ...]:
 
 
 def unresolved(df: DataFrame, rules: RuleSet) -> list[str]:
-    """Names of rules whose condition does not fit the table (an absent column, a wrong type, no valid SQL)."""
-    row, names = Row(df.columns), []
-    for rule in rules.rules:
+    """Names of rules whose condition does not fit the table (an absent column, a wrong type, no valid SQL).
+
+    All are resolved by one analysis; only if that fails each is tried by itself. No job runs.
+    """
+    row = Row(df.columns)
+
+    def fits(some: Sequence[Rule]) -> bool:
         try:
-            df.select(rule.fires(row)).schema  # resolves the expression; no job
+            df.select(*[rule.fires(row).alias(f"_{i}") for i, rule in enumerate(some)]).schema
         except AnalysisException:
-            names.append(rule.name)
-    return names
+            return False
+        return True
 
+    return [] if fits(rules.rules) else [rule.name for rule in rules.rules if not fits([rule])]
 
-def bind(df: DataFrame, rules: RuleSet) -> RuleSet:
-    """The set without the rules that do not fit the table; each is reported as a warning and never fires.
 
-    Errors that depend on values (a bad cast) are left to the condition: write ``try_cast`` and its like.
-    """
+@contextmanager
+def errors_as_null(spark: SparkSession) -> Iterator[None]:
+    """Expressions built inside give null where a row's values would make them fail (a bad cast, a division by zero)."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def with_verdicts(df: DataFrame, verdicts: Mapping[str, Column]) -> DataFrame:
+    """Add columns made of rule conditions. A condition that fails on a row does not fire there; the row goes on to the
+    next rule and the job goes on."""
+    with errors_as_null(df.sparkSession):
+        return df.withColumns(dict(verdicts))
+
+
+def bind(df: DataFrame, rules: RuleSet) -> RuleSet:
+    """The set without the rules that do not fit the table; each is reported as a warning and never fires."""
     skipped = set(unresolved(df, rules))
     for name in sorted(skipped):
         warnings.warn(f"rule {name!r} does not fit the table and is skipped", stacklevel=3)
@@ -219,8 +241,7 @@ def bind(df: DataFrame, rules: RuleSet) -> RuleSet:
 def check_before_score(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Add ``triggered``, ``rule_name``, ``action`` and ``reason`` of the early rules."""
     rules = bind(df, rules)
-    first = rules.before_score(df.columns)
-    return df.withColumn("_v", first).select(
+    return with_verdicts(df, {"_v": rules.before_score(df.columns)}).select(
         *df.columns, F.col("_v").isNotNull().alias("triggered"), F.col("_v.rule_name").alias("rule_name"),
         F.col("_v.action").alias("action"), F.col("_v.reason").alias("reason"),
     )
@@ -228,8 +249,9 @@ def check_before_score(df: DataFrame, rules: RuleSet) -> DataFrame:
 
 def decide(df: DataFrame, rules: RuleSet, score: str = "score", kind: str = "transaction_type") -> DataFrame:
     """Add rule_name, action, challenge_type and reason from late rules and the score."""
-    return df.withColumn("_v", bind(df, rules).decide(F.col(score), df.columns, kind)).select(*df.columns, "_v.*")
+    verdicts = {"_v": bind(df, rules).decide(F.col(score), df.columns, kind)}
+    return with_verdicts(df, verdicts).select(*df.columns, "_v.*")
 
 
 def triggered_rules(df: DataFrame, rules: RuleSet) -> DataFrame:
-    return df.withColumn("triggered_rules", bind(df, rules).fired(df.columns))
+    return with_verdicts(df, {"triggered_rules": bind(df, rules).fired(df.columns)})

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import band_of
-from .rules import RuleSet, simple_rules
+from .rules import RuleSet, simple_rules, with_verdicts
 
 # fixed values: risk tiers as (name, lower bound)
 TIERS = (("low", 0.0), ("medium", 0.3), ("high", 0.6), ("critical", 0.85))
@@ -98,43 +98,57 @@ def reasons(columns: Sequence[str]) -> Column:
 
 def check_transactions(
     context: DataFrame, scorer: Scorer | None, rules: RuleSet | None = None, *,
-    model_version: str = "v1", explain: bool = True,
+    model_version: str = "v1", explain: bool = True, score_all: bool = False,
 ) -> DataFrame:
     """The decision table. Rows stopped by an early rule are never scored.
 
+    That takes two branches over what lies below. With ``score_all`` there is one: the scorer, which keeps all columns
+    and rows, sees stopped rows too, and their score is not used. Choose it where making the rows costs more than
+    scoring the few that are stopped.
+
     Without a scorer every other row gets score 0.5, action "challenge" and a system reason.
     """
     rules = rules or simple_rules()
-    tagged = context.withColumn("_early", rules.before_score(context.columns))
-    stopped = tagged.filter(F.col("_early").isNotNull())
-    rest = tagged.filter(F.col("_early").isNull()).drop("_early")
+    names = context.columns
+    tagged = with_verdicts(context, {"_early": rules.before_score(names)})
+    early, empty = F.col("_early"), F.slice(reasons(names), 1, 0)
+    stopped = early.isNotNull()
     none = F.lit(None).cast("string")
-    empty = F.slice(reasons(context.columns), 1, 0)
 
-    def response(df: DataFrame, score: Column, action, challenge, reason, why, rule) -> DataFrame:
+    def either(blocked: Column, other: Column) -> Column:
+        return F.when(stopped, blocked).otherwise(other)
+
+    def response(df: DataFrame, score: Column, tier: Column, action: Column, challenge: Column, reason: Column, why: Column, rule: Column) -> DataFrame:
+        """Stopped rows answer by their rule, all others as given; one pass over the rows."""
+        one = F.lit(1.0)
         return df.select(
-            "transaction_id", rounded_score(score).alias("risk_score"), risk_tier(score).alias("risk_tier"),
-            action.alias("action"), challenge.alias("challenge_type"), reason.alias("action_reason"),
-            why.alias("risk_reasons"), F.lit(model_version).alias("model_version"), rule.alias("rule_triggered"),
-        )
+            "transaction_id", either(rounded_score(one), rounded_score(score)).alias("risk_score"),
+            either(risk_tier(one), tier).alias("risk_tier"), either(early["action"], action).alias("action"),
+            either(early["challenge_type"], challenge).alias("challenge_type"), either(early["reason"], reason).alias("action_reason"),
+            either(empty, why).alias("risk_reasons"), F.lit(model_version).alias("model_version"),
+            either(early["rule_name"], rule).alias("rule_triggered"),
+        )
 
-    early = F.col("_early")
-    blocked = response(stopped, F.lit(1.0), early["action"], early["challenge_type"], early["reason"], empty, early["rule_name"])
     if scorer is None:
         system = F.array(F.struct(
             F.lit("system").alias("feature"), F.lit("No model available, manual check needed").alias("description"),
             F.lit(0.0).alias("contribution"), F.lit("medium").alias("severity"),
         ))
-        degraded = response(
-            rest, F.lit(0.5), F.lit("challenge"), F.lit("otp"), F.lit("Model not loaded"), system, none
-        ).withColumn("risk_tier", F.lit("medium"))
-        return blocked.unionByName(degraded)
-    scored = scorer(rest)
-    decided = scored.withColumn("_v", rules.decide(F.col("score"), scored.columns))
+        return response(
+            tagged, F.lit(0.5), F.lit("medium"), F.lit("challenge"), F.lit("otp"), F.lit("Model not loaded"), system, none
+        )
+    scored = scorer(tagged if score_all else tagged.filter(~stopped))
+    # an early rule's row keeps no score, whatever the scorer made of it
+    score = F.when(~stopped, F.col("score"))
+    late = rules.decide(score, [c for c in scored.columns if c != "_early"])
+    decided = with_verdicts(scored, {"_v": late})
     v = F.col("_v")
-    why = reasons(context.columns) if explain else empty
-    answered = response(decided, F.col("score"), v["action"], v["challenge_type"], v["reason"], why, v["rule_name"])
-    return blocked.unionByName(answered)
+    why = reasons(names) if explain else empty
+    answered = response(decided, score, risk_tier(score), v["action"], v["challenge_type"], v["reason"], why, v["rule_name"])
+    if score_all:
+        return answered
+    blank = F.lit(None).cast("double")
+    return answered.unionByName(response(tagged.filter(stopped), blank, none, none, none, none, empty, none))
 
 
 def simple_prediction(scored: DataFrame, model_version: str = "v1") -> DataFrame:

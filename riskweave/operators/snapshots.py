@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions import guarded_ratio, micros, one_if
 from .scan import HOT_ROWS, running
@@ -31,23 +32,24 @@ def snapshot_lookup(
     """Requests plus ``features`` and ``hit``: the latest snapshot of the entity written up to ``as_of``, if
     still alive then (as_of <= timestamp + ttl). Later snapshots are never seen.
 
-    Requests and snapshot times are swept together, hot entities in slices; the snapshot found is then fetched by
-    entity and time.
+    Requests and snapshots are swept together, hot entities in slices; the sweep carries the last snapshot along, so
+    each side is shuffled once. Features are a map or any type with an order.
     """
-    rest = [c for c in snapshots.columns if c not in (*KEY, "timestamp")]
-    last = F.max_by(F.struct(*rest), F.struct(*_order(snapshots.columns, written)[1:]))
-    stored = snapshots.filter("timestamp IS NOT NULL").groupBy(*KEY, "timestamp").agg(last.alias("_r")).select(
-        *KEY, micros("timestamp").alias("_at"), F.col("_r.features").alias("_f"), F.col("_r.ttl_seconds").alias("_ttl")
-    )
+    mapped = isinstance(snapshots.schema["features"].dataType, MapType)
+    content = F.map_entries("features") if mapped else F.col("features")
+    ties = [o.alias(f"o{i}") for i, o in enumerate(_order(snapshots.columns, written)[1:])]
+    kept = F.struct(micros("timestamp").alias("at"), *ties, F.col("ttl_seconds").alias("ttl"), content.alias("features"))
+    stored = snapshots.filter("timestamp IS NOT NULL").select(*KEY, micros("timestamp").alias("_us"), F.lit(0).alias("_asked"), kept.alias("_kept"))
     asked = requests.select(*KEY, micros(as_of).alias("_us"), F.lit(1).alias("_asked"), F.struct(*requests.columns).alias("_row"))
-    points = asked.unionByName(stored.select(*KEY, F.col("_at").alias("_us"), F.lit(0).alias("_asked")), allowMissingColumns=True)
+    points = asked.unionByName(stored, allowMissingColumns=True)
     found = running(
-        points, KEY, "_us", {"_at": ("max", F.when(F.col("_asked") == 0, F.col("_us")))}, ties=["_asked"], include_current=True,
-        min_rows=min_rows, probe=points.select(*KEY, "_us"),
-    ).filter("_asked = 1").select(*KEY, "_us", "_at", "_row")
-    joined = found.join(stored, [*KEY, "_at"], "left")
-    hit = F.coalesce(F.col("_us") <= F.col("_at") + F.col("_ttl") * F.lit(1_000_000), F.lit(False))
-    return joined.select("_row.*", F.when(hit, F.col("_f")).alias("features"), hit.alias("hit"))
+        points, KEY, "_us", {"_last": ("max", F.col("_kept"))}, ties=["_asked"], include_current=True, min_rows=min_rows,
+        probe=points.select(*KEY, "_us"),
+    ).filter("_asked = 1")
+    last = F.col("_last")
+    hit = F.coalesce(F.col("_us") <= last["at"] + last["ttl"] * F.lit(1_000_000), F.lit(False))
+    features = F.map_from_entries(last["features"]) if mapped else last["features"]
+    return found.select("_row.*", F.when(hit, features).alias("features"), hit.alias("hit"))
 
 
 def hit_statistics(looked_up: DataFrame, groups=()) -> DataFrame:

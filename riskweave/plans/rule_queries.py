@@ -123,7 +123,7 @@ _SIMPLE_LATE = ["velocity_10m", "vpn_high_amount", "emulator"]
 def decision_explained(spark, sf_dir):
     """The full check: early rules, score, late rules, reasons."""
     ctx = _context(spark, sf_dir)
-    out = scoring.check_transactions(ctx.drop("score"), _rescored, R.simple_rules(), model_version="v2")
+    out = scoring.check_transactions(ctx.drop("score"), _rescored, R.simple_rules(), model_version="v2", score_all=True)
     return out.select(
         "transaction_id", F.round("risk_score", 4).alias("risk_score"), "risk_tier", "action", "challenge_type", "action_reason", "model_version",
         "rule_triggered", F.concat_ws(",", F.transform("risk_reasons", lambda r: F.concat(r["feature"], F.lit(":"), r["severity"]))).alias("reasons"),

@@ -33,7 +33,7 @@ def prediction_events(scorer: Scorer | None, rules: RuleSet | None = None, model
             context.withColumn("_fired", fired).withColumn("_id", F.col("transaction_id")).withColumn(
                 "transaction_id", F.struct(F.col("_id").alias("id"), F.col("_fired").alias("fired"), F.col("timestamp").alias("ts"))
             ),
-            scorer, rules, model_version=model_version, explain=False,
+            scorer, rules, model_version=model_version, explain=False, score_all=True,
         )
         return answered.select(
             F.col("transaction_id.id").alias("transaction_id"), F.col("risk_score").alias("fraud_probability"),

@@ -292,3 +292,44 @@ def test_versioned_state(spark, tmp_path):
     first = state.load_reconciler(spark, path)[0]
     state.save_reconciler(path, first.unionByName(p), p)
     assert state.load_reconciler(spark, path)[0].count() == 2 and first.count() == 1
+
+
+def test_a_condition_that_fails_on_a_row_is_skipped_there(spark):
+    df = spark.createDataFrame(
+        [("a", "12", 1.0), ("b", "many", 1.0), ("c", None, 0.0), ("d", "3", 0.0)], "transaction_id string, note string, amount double"
+    )
+    cast = rules.Rule("bad_cast", "CAST(note AS INT) > 5", "block", rules.CRITICAL, None, "cast")
+    ratio = rules.Rule("ratio", "10 / amount > 5", "block", rules.CRITICAL, None, "ratio")
+    odd = rules.Rule("no_column", "nothing > 1", "block", rules.CRITICAL)
+    found = rules.RuleSet((cast, ratio, odd))
+    with pytest.warns(UserWarning, match="no_column"):
+        got = {r["transaction_id"]: r["rule_name"] for r in rules.check_before_score(df, found).collect()}
+    assert got == {"a": "bad_cast", "b": "ratio", "c": None, "d": None}
+    with pytest.warns(UserWarning):
+        fired = {r["transaction_id"]: r["triggered_rules"] for r in rules.triggered_rules(df, found).collect()}
+    assert fired == {"a": ["bad_cast", "ratio"], "b": ["ratio"], "c": [], "d": []}
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    late = rules.RuleSet((rules.Rule("late", "CAST(note AS INT) > 5", "challenge", rules.HIGH, "otp", "late"),))
+    decided = {r["transaction_id"]: r["rule_name"] for r in rules.decide(df.withColumn("score", F.lit(0.1)), late).collect()}
+    assert decided == {"a": "late", "b": None, "c": None, "d": None}
+
+
+def test_check_reads_its_rows_once(spark, tmp_path):
+    path = str(tmp_path / "context")
+    spark.createDataFrame([(1, True, 10.0), (2, False, 10.0)], "transaction_id long, user_is_blocked boolean, amount double").write.parquet(path)
+    out = scoring.check_transactions(spark.read.parquet(path), lambda df: df.withColumn("score", F.lit(0.2)), score_all=True)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    rows = {r["transaction_id"]: r for r in out.collect()}
+    assert rows[1]["action"] == "block" and rows[1]["risk_score"] == 1.0 and rows[1]["risk_reasons"] == []
+    assert rows[2]["action"] == "allow" and rows[2]["risk_score"] == pytest.approx(0.2)
+
+
+def test_equal_times_of_a_trigger_fall_by_progress(spark):
+    from riskweave.operators import retrain as R
+
+    at = datetime(2024, 5, 1)
+    first = R.manual_trigger(spark, at, "x")
+    log = R.outcome(first, at, "completed", "v9").unionByName(first).unionByName(R.outcome(first, at, "in_progress"))
+    for parts in (1, 3):
+        row = R.trigger_status(log.repartition(parts)).first()
+        assert (row["status"], row["model_version_after"]) == ("completed", "v9")
