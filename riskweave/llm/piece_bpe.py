@@ -215,25 +215,57 @@ def _broadcast_model(df: DataFrame, path: str):
         return shipped(df).sparkSession.sparkContext.broadcast(f.read())  # the vocabulary: fixed size
 
 
-def encode_texts(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of every whole text, the end id last."""
-    model = _broadcast_model(docs, model_path)
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
+def _encoded(codec: PieceBpe, texts: list[str | None]) -> pa.ListArray:
+    ids = [codec.encode(t or "") for t in texts]
+    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+
+
+def _decoded(codec: PieceBpe, lists: pa.ListArray) -> pa.Array:
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    texts = [
+        codec.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], lists.is_valid().to_pylist())
+    ]
+    return pa.array(texts, pa.string())
+
+
+def _by_parts(model, work: Callable[[PieceBpe, pa.RecordBatch], pa.RecordBatch]):
+    """Work on few texts of a batch at a time; a task's words are forgotten at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # ids of few texts at a time
-                part = batch.slice(at, 256)
-                ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
-                offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, 256):
+                yield work(codec, batch.slice(at, 256))
         codec.forget_words()
 
+    return tidy(run)
+
+
+def encode_texts(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids): the ids of every whole text, the end id last."""
+    model = _broadcast_model(docs, model_path)
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
+
+    def work(codec: PieceBpe, part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), _encoded(codec, part.column(1).to_pylist())], ["doc_id", "ids"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_by_parts(model, work), f"doc_id {kind}, ids array<int>")
+
+
+def encode_and_decode(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): ``decode_ids`` of ``encode_texts`` in one worker a task instead of two."""
+    model = _broadcast_model(docs, model_path)
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
+
+    def work(codec: PieceBpe, part: pa.RecordBatch) -> pa.RecordBatch:
+        ids = _encoded(codec, part.column(1).to_pylist())
+        return pa.RecordBatch.from_arrays([part.column(0), ids, _decoded(codec, ids)], ["doc_id", "ids", "decoded"])
+
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(_by_parts(model, work), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -241,18 +273,8 @@ def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
     model = _broadcast_model(encoded, model_path)
     rows = encoded.select("doc_id", "ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lists = part.column(1)
-                offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-                texts = [
-                    codec.decode(flat[a:b].tolist()) if ok else None
-                    for a, b, ok in zip(offsets[:-1], offsets[1:], lists.is_valid().to_pylist())
-                ]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+    def work(codec: PieceBpe, part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns, _decoded(codec, part.column(1))], ["doc_id", "ids", "decoded"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(_by_parts(model, work), f"doc_id {kind}, ids array<int>, decoded string")

@@ -190,7 +190,7 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def piece_digests(docs: DataFrame) -> DataFrame:
     """Digests of the ids of every whole text and of the text decoded from them."""
-    decoded = piece_bpe.decode_ids(piece_bpe.encode_texts(docs, MODEL_PATH), MODEL_PATH)
+    decoded = piece_bpe.encode_and_decode(docs, MODEL_PATH)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
