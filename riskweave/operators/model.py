@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import micros
+from ..session import shared_root
 from .evaluation import classification_metrics
 from .features import model_inputs
 from .sampling import chosen_flag
@@ -97,13 +100,51 @@ def best_round(losses: Sequence[float], stop_rounds: int) -> int:
     return best + 1
 
 
+def first_trees(model: GBTClassificationModel, count: int) -> GBTClassificationModel:
+    """The ensemble of the first ``count`` trees, with the same parameters."""
+    weights = model.treeWeights
+    if count >= len(weights):
+        return model
+    gateway, fitted = model._java_obj, model._java_obj.trees()
+    sc = SparkContext._active_spark_context
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, count)
+    kept = sc._gateway.new_array(sc._gateway.jvm.double, count)
+    for i in range(count):
+        trees[i], kept[i] = fitted[i], float(weights[i])
+    made = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(gateway.uid(), trees, kept, gateway.numFeatures(), gateway.numClasses())
+    short = GBTClassificationModel(made)
+    model._copyValues(short)
+    short._transfer_params_to_java()
+    return short
+
+
+#: Rows a training partition holds at least, unless the table is smaller.
+ROWS_PER_PARTITION = 50_000
+
+
+@contextmanager
+def _held(rows: DataFrame) -> Iterator[DataFrame]:
+    """The rows in memory (and on disk beyond it) while in use, in no more partitions than they fill: each tree runs
+    several jobs over them."""
+    held = rows.persist()
+    try:
+        parts = max(1, -(-held.count() // ROWS_PER_PARTITION))
+        yield held.coalesce(parts)
+    finally:
+        held.unpersist()
+
+
 def fit_model(
     train: DataFrame, label: str = "label", *, features: Sequence[str] | None = None, valid: DataFrame | None = None,
     weight: str | None = None, params: dict | None = None, threshold: float = 0.5, version: str = "v1",
     with_metrics: bool = True, trained_at: datetime | None = None,
 ) -> ScoreModel:
     """Fit boosted trees. With ``valid`` the number of trees is the best on it before ``stop_rounds`` trees brought
-    no gain (early stop); the trees up to there are fitted again, which gives the same ones."""
+    no gain (early stop); the fitted ensemble is cut there, as later trees do not change earlier ones.
+
+    The assembled table is held for the fit, in as many partitions as its rows ask for; nodes of rows are kept from
+    level to level and written to the shared folder every ten trees, so a lost executor costs ten at most.
+    """
     p = {**DEFAULT_PARAMS, **(params or {})}
     features = list(features or [c for c in model_inputs(train) if c not in (label, weight)])
     own = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -116,13 +157,14 @@ def fit_model(
     learner = GBTClassifier(
         featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"],
         minInstancesPerNode=p["min_rows_per_leaf"], subsamplingRate=p["row_share"],
-        featureSubsetStrategy=str(p["column_share"]), seed=p["seed"],
+        featureSubsetStrategy=str(p["column_share"]), seed=p["seed"], cacheNodeIds=True, checkpointInterval=10,
     )
-    fitted = learner.fit(staged(train))
+    shared_root(train.sparkSession)
+    with _held(staged(train)) as rows:
+        fitted = learner.fit(rows)
     if valid is not None:
-        best = best_round(fitted.evaluateEachIteration(staged(valid)), p["stop_rounds"])
-        if best < p["trees"]:
-            fitted = learner.setMaxIter(best).fit(staged(train))
+        with _held(staged(valid)) as rows:
+            fitted = first_trees(fitted, best_round(fitted.evaluateEachIteration(rows), p["stop_rounds"]))
     out = ScoreModel(fitted, features, p, threshold, version, {}, trained_at.isoformat() if trained_at else None)
     if with_metrics:
         row = classification_metrics(out.score(train), label=label, threshold=threshold).first()

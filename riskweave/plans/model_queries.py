@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import embeddings, features, model, stress
+from ..session import cut_lineage
 from .evaluation_queries import scored
 from .views import transactions
 
@@ -12,7 +13,7 @@ from .views import transactions
 def _table(spark, sf_dir):
     t = transactions(spark, sf_dir)
     out = features.RiskFeatures().fit_transform(t)
-    return out.join(t.select("transaction_id", F.col("is_fraud").alias("label")), "transaction_id")
+    return cut_lineage(out.join(t.select("transaction_id", F.col("is_fraud").alias("label")), "transaction_id"))
 
 
 def _fitted(table):
@@ -23,8 +24,8 @@ def _fitted(table):
 
 
 def model_scores(spark, sf_dir):
-    fitted, _ = _fitted(_table(spark, sf_dir))
-    return fitted.predict(_table(spark, sf_dir)).select("transaction_id", "score", "prediction")
+    table = _table(spark, sf_dir)
+    return _fitted(table)[0].predict(table).select("transaction_id", "score", "prediction")
 
 
 def feature_importance(spark, sf_dir):

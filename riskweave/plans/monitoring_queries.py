@@ -11,6 +11,7 @@ from ..operators import drift as D
 from ..operators import evaluation as E
 from ..operators import quality
 from ..operators import retrain as R
+from ..session import cut_lineage
 from .evaluation_queries import scored
 from .views import PRED_SQL, predictions
 
@@ -253,7 +254,7 @@ RETRAIN_TRIGGERS = _TRIG + """ SELECT k || '_20240201_000000' AS trigger_id, rea
 
 def trigger_counts(spark, sf_dir):
     """Triggers per reason after the drift retrain has started and finished."""
-    log = _triggers(spark, sf_dir)
+    log = cut_lineage(_triggers(spark, sf_dir))  # a few rows, read three times below
     drift = log.filter("reason = 'data_drift'")
     log = log.unionByName(R.outcome(drift, datetime(2024, 2, 1, 1), "in_progress")).unionByName(
         R.outcome(drift, datetime(2024, 2, 1, 2), "completed", "v3")

@@ -7,7 +7,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import panes, profiles
+from ..operators import entities, membership, panes, profiles
 from ..operators.drift import PROFILE_PERCENTS, melt
 from ..session import prepare, shared_root
 from ..sources import daily
@@ -114,5 +114,44 @@ TRANSACTIONS_OF_DAYS = "WITH " + TXN_SQL + """ SELECT part, strftime("timestamp"
 FROM txn, (VALUES (0, TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-09'), (1, TIMESTAMP '2024-01-12 06:00:00', TIMESTAMP '2024-01-12 18:00:00')) r(part, a, z)
 WHERE "timestamp" >= a AND "timestamp" < z GROUP BY 1, 2"""
 
-QUERIES = {"window_profiles": window_profiles, "profile_drift": profile_drift, "pane_windows": pane_windows, "loaded_window": loaded_window, "transactions_of_days": transactions_of_days}
-ORACLE = {"window_profiles": WINDOW_PROFILES, "profile_drift": PROFILE_DRIFT, "pane_windows": PANE_WINDOWS, "loaded_window": LOADED_WINDOW, "transactions_of_days": TRANSACTIONS_OF_DAYS}
+def _lists(spark, sf_dir):
+    """Long lists made of the data: most items belong to no row."""
+    t = transactions(spark, sf_dir)
+    return {
+        "listed_transaction": ("transaction_id", t.select((F.col("transaction_id") * 13).alias("item"))),
+        "listed_user": ("user_id", t.select((F.col("user_id") * 7 + 1).alias("item"))),
+    }
+
+
+def filtered_list_flags(spark, sf_dir):
+    """Two lists as long as the table; only rows their filters let through are joined."""
+    flagged = membership.flag_members(transactions(spark, sf_dir).select("transaction_id", "user_id", "amount"), _lists(spark, sf_dir))
+    return flagged.select("transaction_id", "listed_transaction", "listed_user")
+
+
+FILTERED_LIST_FLAGS = "WITH " + TXN_SQL + """ SELECT transaction_id, transaction_id IN (SELECT transaction_id * 13 FROM txn) AS listed_transaction,
+  user_id IN (SELECT user_id * 7 + 1 FROM txn) AS listed_user FROM txn"""
+
+
+def top_users(spark, sf_dir):
+    """The 25 busiest users, from a sketch's candidates counted exactly."""
+    return entities.heavy_hitters(transactions(spark, sf_dir), "user_id", 25, tracked=2_000)
+
+
+TOP_USERS = "WITH " + TXN_SQL + " SELECT user_id, count(*) AS n FROM txn GROUP BY 1 ORDER BY n DESC, user_id LIMIT 25"
+
+
+def top_merchants(spark, sf_dir):
+    return entities.heavy_hitters(transactions(spark, sf_dir), "merchant_id", 10)
+
+
+TOP_MERCHANTS = "WITH " + TXN_SQL + " SELECT merchant_id, count(*) AS n FROM txn GROUP BY 1 ORDER BY n DESC, merchant_id LIMIT 10"
+
+QUERIES = {
+    "window_profiles": window_profiles, "profile_drift": profile_drift, "pane_windows": pane_windows, "loaded_window": loaded_window, "transactions_of_days": transactions_of_days,
+    "filtered_list_flags": filtered_list_flags, "top_users": top_users, "top_merchants": top_merchants,
+}
+ORACLE = {
+    "window_profiles": WINDOW_PROFILES, "profile_drift": PROFILE_DRIFT, "pane_windows": PANE_WINDOWS, "loaded_window": LOADED_WINDOW, "transactions_of_days": TRANSACTIONS_OF_DAYS,
+    "filtered_list_flags": FILTERED_LIST_FLAGS, "top_users": TOP_USERS, "top_merchants": TOP_MERCHANTS,
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,29 +23,6 @@ def _folder(spark, name):
     return f"{shared_root(prepare(spark))}/{name}-{uuid.uuid4().hex}"
 
 
-class _StreamReader:
-    """Lets the view builders read a table as a stream."""
-
-    def __init__(self, spark):
-        self.spark, self.conf = spark, spark.conf
-
-    @property
-    def read(self):
-        return self
-
-    def parquet(self, path):
-        schema = self.spark.read.parquet(path).schema
-        # a pattern, as the stream source takes a plain path to be a folder
-        return self.spark.readStream.schema(schema).parquet(f"{path}*")
-
-
-def stream_velocity(spark, sf_dir):
-    root = _folder(spark, "velocity")
-    events = transactions(_StreamReader(spark), sf_dir).select("transaction_id", "timestamp", "user_id", "amount", "merchant_id", "device_id")
-    velocity_stream(events, f"{root}/history", f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return V.online_columns(spark.read.parquet(f"{root}/out"))
-
-
 #: Cut points of the reconciled stream: one part of predictions and of labels per micro-batch.
 CUTS = tuple(datetime(2024, *day) for day in ((1, 8), (1, 20), (2, 10), (3, 20)))
 
@@ -63,6 +40,19 @@ def _slices(frame: DataFrame, time: str, folder: str, cuts: Sequence[datetime])
     return frame.sparkSession.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+#: Cut points of the velocity stream: windows of a week reach over several micro-batches.
+EVENT_CUTS = tuple(datetime(2024, 1, day) for day in (5, 9, 14, 15, 24))
+
+
+def stream_velocity(spark, sf_dir):
+    """Serving velocity over six micro-batches in time order; history recorded and pruned on the way."""
+    root = _folder(spark, "velocity")
+    events = transactions(spark, sf_dir).select("transaction_id", "timestamp", "user_id", "amount", "merchant_id", "device_id")
+    stream = _slices(events, "timestamp", f"{root}/events", EVENT_CUTS)
+    velocity_stream(stream, f"{root}/history", f"{root}/out", f"{root}/checkpoint", lateness=timedelta(hours=1)).awaitTermination()
+    return V.online_columns(spark.read.parquet(f"{root}/out"))
+
+
 def stream_reconcile(spark, sf_dir):
     """Predictions and labels of which some come again, as streams of five micro-batches; every event with its outcome."""
     root = _folder(spark, "reconcile")

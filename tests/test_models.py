@@ -122,3 +122,22 @@ def test_registered_queries_fit_the_default_model_with_early_stop(train, monkeyp
     _, test = model_queries._fitted(train)
     assert {**model.DEFAULT_PARAMS, **(seen.get("params") or {})} == model.DEFAULT_PARAMS
     assert seen["valid"] is test and seen["train"].join(test, "transaction_id").count() == 0
+
+
+def test_a_cut_ensemble_equals_a_second_fit(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id AS transaction_id", "rand(1) AS a", "rand(2) AS b")
+    df = rows.withColumn("label", (F.col("a") + F.rand(5) * 0.8 > 0.9).cast("int"))
+    train, valid = df.filter("transaction_id % 3 <> 0"), df.filter("transaction_id % 3 = 0")
+    params = {"trees": 12, "depth": 3, "stop_rounds": 3}
+    short = model.fit_model(train, features=["a", "b"], valid=valid, params=params, with_metrics=False)
+    n = short.model.getNumTrees
+    assert 1 <= n <= 12
+    again = model.fit_model(train, features=["a", "b"], params={**params, "trees": n}, with_metrics=False)
+    trees = lambda m: m.model.toDebugString.split("\n", 1)[1]
+    assert trees(short) == trees(again)
+    both = short.score(valid).withColumnRenamed("score", "s").join(again.score(valid).select("transaction_id", "score"), "transaction_id")
+    assert both.agg(F.max(F.abs(F.col("s") - F.col("score")))).first()[0] == 0
+    short.save(str(tmp_path / "m"), spark)
+    loaded = model.ScoreModel.load(str(tmp_path / "m"), spark)
+    assert loaded.model.getNumTrees == n and sorted(map(tuple, loaded.importance(spark).collect())) == sorted(map(tuple, short.importance(spark).collect()))
+    assert model.first_trees(short.model, n + 5) is short.model
