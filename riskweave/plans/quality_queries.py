@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, quality, records
+from ..operators import features, merging, quality, records
 from ..operators.labels import between_dates
 from ..schemas import LABEL_FIELDS, LABEL_SOURCES, MERCHANT_CATEGORIES, TRANSACTION_FIELDS, TRANSACTION_TYPES
 from ..sources.messages import good_events, to_messages
@@ -20,6 +20,23 @@ def contract_checks(spark, sf_dir):
     return found.select("contract", "column", "check", "severity", "passed", F.round("value", 6).alias("value"))
 
 
+def contract_statistics(spark, sf_dir):
+    """Statistics of the user's own making as parts of a contract."""
+    t = transactions(spark, sf_dir).select("amount", F.col("user_id").cast("double").alias("user"), (F.col("amount") * 2 + F.col("user_id")).alias("mix"))
+    own = [merging.trimmed_mean("amount", 0.0, 400.0, share=0.1, bins=80, low=1.0, high=45.0), merging.correlation("amount", "mix", low=0.9), merging.correlation("amount", "user", high=0.5)]
+    found = quality.DataContract("own", merged=own).check(t)
+    return found.select("contract", "column", "check", "severity", "passed", F.round("value", 5).alias("value"))
+
+
+CONTRACT_STATISTICS = "WITH " + TXN_SQL + """, b AS (SELECT greatest(-1, least(80, floor(amount * 80 / 400)))::INT AS bin, count(*) AS n, sum(amount) AS s FROM txn GROUP BY 1),
+u AS (SELECT bin, n, s, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS a FROM b),
+k AS (SELECT s / n AS m, greatest(0, least(upto, a - 0.1::DOUBLE * a) - greatest(upto - n, 0.1::DOUBLE * a)) AS kept FROM u),
+v AS (SELECT 'amount' AS "column", 'trimmed_mean' AS "check", sum(m * kept) / sum(kept) AS value, 1.0 AS low, 45.0 AS high FROM k
+  UNION ALL SELECT 'amount', 'correlation with mix', corr(amount, amount * 2 + user_id), 0.9, NULL FROM txn
+  UNION ALL SELECT 'amount', 'correlation with user', corr(amount, user_id), NULL, 0.5 FROM txn)
+SELECT 'own' AS contract, "column", "check", 'warning' AS severity, coalesce(value >= low, true) AND coalesce(value <= high, true) AS passed, round(value, 5) AS value FROM v"""
+
+
 def _contract_sql():
     rows = [f"SELECT 'transactions' AS contract, '{c}' AS \"column\", 'required' AS \"check\", 'error' AS severity, true AS passed, NULL::DOUBLE AS value"
             for c in quality.TRANSACTION_CONTRACT.required_columns]
@@ -238,12 +255,12 @@ EVENT_MESSAGES = "WITH " + TXN_SQL + """ SELECT transaction_id, merchant_id, coa
 FROM txn WHERE transaction_id % 10 <> 3"""
 
 QUERIES = {
-    "contract_checks": contract_checks, "record_quarantine": record_quarantine, "category_normalise": category_normalise,
+    "contract_checks": contract_checks, "contract_statistics": contract_statistics, "record_quarantine": record_quarantine, "category_normalise": category_normalise,
     "label_records": label_records, "date_range": date_range, "time_features": time_features, "amount_features": amount_features,
     "one_hot": one_hot, "risk_features": risk_features, "feature_matrix": feature_matrix, "event_messages": event_messages,
 }
 ORACLE = {
-    "contract_checks": CONTRACT_CHECKS, "record_quarantine": RECORD_QUARANTINE, "category_normalise": CATEGORY_NORMALISE,
+    "contract_checks": CONTRACT_CHECKS, "contract_statistics": CONTRACT_STATISTICS, "record_quarantine": RECORD_QUARANTINE, "category_normalise": CATEGORY_NORMALISE,
     "label_records": LABEL_RECORDS, "date_range": DATE_RANGE, "time_features": TIME_FEATURES, "amount_features": AMOUNT_FEATURES,
     "one_hot": ONE_HOT, "risk_features": RISK_FEATURES, "feature_matrix": FEATURE_MATRIX, "event_messages": EVENT_MESSAGES,
 }

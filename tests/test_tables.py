@@ -38,7 +38,7 @@ def test_empty_and_all_null(spark):
     assert failed(empty, contract) == {("v", "filled")}
     nulls = spark.createDataFrame([(None,), (None,)], "v double")
     assert failed(nulls, contract) == {("v", "filled")}
-    soft = quality.DataContract("c", anomaly_checks=[quality.null_rate(0.05)])
+    soft = quality.DataContract("c", statistics=[quality.null_rate(0.05)])
     res = soft.validate(nulls)
     assert res.valid and len(res.warnings) == 1 and res.stats["v_null_rate"] == 1.0
 
@@ -59,8 +59,8 @@ def test_custom_constraint(spark):
 
 def test_a_check_that_cannot_run_leaves_the_others(spark):
     df = spark.createDataFrame([("x", 7.0), ("y", -2.0)], "v string, w double")
-    cast_all = quality.AnomalyCheck("x", lambda c: F.sum(c.cast("int")), 1)
-    res = quality.DataContract("c", constraints={"w": [quality.Range(0, 5)]}, anomaly_checks=[cast_all]).validate(df)
+    cast_all = quality.ColumnStatistic("x", lambda c: F.sum(c.cast("int")), high=1)
+    res = quality.DataContract("c", constraints={"w": [quality.Range(0, 5)]}, statistics=[cast_all]).validate(df)
     assert not res.valid and len(res.errors) == 1 and res.errors[0].startswith("w ")
     assert any("could not evaluate 'x'" in m for m in res.warnings)
 
