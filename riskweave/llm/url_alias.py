@@ -4,8 +4,10 @@ Rules name a host and a path prefix. A url's own longest rule decides; a url wit
 from any url that redirects to it, that it redirects to, or that shares a canonical link with it, however
 long the chain. An explicit allow rule always wins over an inherited block.
 
-A url is taken without its fragment, with scheme and host in lower case and dot segments resolved. Null urls, and urls without ``://``, have an empty host and path, fit no
-rule and are no alias of anything (verdict: allow). Repeated pages and links do no harm; empty tables give
+A url is compared without its fragment, with scheme and host in lower case, without a default port, with dot segments
+resolved and ``/`` for an empty path. Links are read from attributes by name, resolved against the page's base, and not
+from comments. Null urls, and urls without ``://``, have an empty host and path, fit no rule and are no alias of anything
+(verdict: allow). Repeated pages and links do no harm; empty tables give
 empty tables. Only the named columns are read.
 """
 
@@ -21,8 +23,10 @@ from riskweave.llm.components import components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+#: Tags that declare links, with their attributes (quoted values may hold any sign); a tag of more than 200 parts is none.
+_TAG = r"(?is)<(?:link|meta|base)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,200}+>"
+_ATTRIBUTE = r"(?s)([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?"
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 
 
 @dataclass(frozen=True)
@@ -79,7 +83,9 @@ def node_of(url: Column) -> Column:
     rest = F.substring(plain, F.length(site) + 1, F.length(plain))
     path = F.regexp_extract(rest, r"(?s)^([^?]*)", 1)
     query = F.substring(rest, F.length(path) + 1, F.length(rest))
-    return F.when(site != "", F.concat(site, _without_dots(path), query)).otherwise(plain)
+    site_only = F.regexp_replace(F.regexp_replace(site, r"^(http://.*):(?:80)?$", "$1"), r"^(https://.*):(?:443)?$", "$1")
+    rooted = F.when(path == "", F.lit("/")).otherwise(_without_dots(path))
+    return F.when(site != "", F.concat(site_only, rooted, query)).otherwise(plain)
 
 
 def _absolute(link: Column, base: Column) -> Column:
@@ -103,19 +109,41 @@ def _absolute(link: Column, base: Column) -> Column:
     )
 
 
-def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): all canonical links and refresh redirects that pages declare."""
-    rows = pages.select(F.col(url).alias("_u"), F.col(html).alias("_h"))
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, without quotes; null if it has none.
+
+    Attributes are read one after another, so a name inside another one's value, or at its end, is not taken for it.
+    """
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))
+    at = F.array_position(names, name)
+    return F.when(at > 0, F.regexp_replace(F.get(values, (at - 1).cast("int")), r"^[\"']|[\"']$", ""))
 
-    def targets(tag: str, attribute: str) -> Column:
-        found = F.regexp_extract_all("_h", F.lit(tag), F.lit(0))
-        pattern = rf"(?is)\b{attribute}\s*=\s*[\"']?([^\"'\s>]+)"
-        return F.coalesce(F.transform(found, lambda t: F.regexp_extract(t, pattern, 1)), F.array().cast("array<string>"))
 
-    links = F.filter(F.concat(targets(_CANONICAL, "href"), targets(_REFRESH, "url")), lambda x: x != "")
+def _declared(tag: Column) -> Column:
+    """The url a tag declares for its page: a canonical link or a refresh; null for other tags."""
+    kind = F.lower(F.regexp_extract(tag, r"^<(\w+)", 1))
+    canonical = F.array_contains(F.split(F.lower(F.trim(_attribute(tag, "rel"))), r"\s+"), "canonical")
+    refresh = F.lower(F.trim(_attribute(tag, "http-equiv"))) == "refresh"
+    target = F.regexp_extract(_attribute(tag, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*[\"']?\s*([^\"']*)", 1)
+    return F.when((kind == "link") & canonical, _attribute(tag, "href")).when((kind == "meta") & refresh, target)
+
+
+def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(a, b): all canonical links and refresh redirects that pages declare, outside comments, resolved against the
+    page's base."""
+    rows = pages.select(F.col(url).alias("_u"), F.col(html).alias("_h"))
+    # most pages declare nothing: a cheap test before comments are cut out of whole pages
+    rows = rows.filter(F.col("_h").rlike(r"(?i)canonical|refresh"))
+    tags = rows.select("_u", F.regexp_extract_all(F.regexp_replace("_h", _COMMENT, ""), F.lit(_TAG), F.lit(0)).alias("_t"))
+    bases = F.filter("_t", lambda t: F.lower(t).startswith("<base") & _attribute(t, "href").isNotNull())
+    base = F.when(F.size(bases) > 0, _absolute(_attribute(F.get(bases, F.lit(0)), "href"), F.col("_u")))
+    links = F.filter(F.transform("_t", _declared), lambda x: F.trim(x) != "")
+    # base and link leave the generator as values, so that what follows does not repeat how they were found
+    pairs = F.transform(links, lambda x: F.struct(x.alias("link"), F.coalesce(base, F.col("_u")).alias("base")))
     return (
-        rows.select("_u", F.explode(links).alias("_l"))
-        .select(node_of(F.col("_u")).alias("a"), node_of(_absolute(F.col("_l"), F.col("_u"))).alias("b"))
+        tags.select("_u", F.explode(pairs).alias("_p"))
+        .select(node_of(F.col("_u")).alias("a"), node_of(_absolute(F.col("_p.link"), F.col("_p.base"))).alias("b"))
         .filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     )
 

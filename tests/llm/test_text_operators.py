@@ -243,3 +243,40 @@ def test_counts_equal_a_unigram_tokenizer(spark):
         want = len(lib.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids) if text else 0
         assert r["n_tokens"] == want
     assert public_tokenizers.path("piece_bpe_32k.model") == MODEL_PATH
+
+
+LINKED = [
+    # (url, html, verdict): each page but the allowed ones is an alias of a blocked page
+    ("http://a.example/1", '<link data-href="http://x.example/" rel=canonical href="http://bad.net/1">', "block"),
+    ("http://a.example/2", '<link rel="alternate canonical" href="http://bad.net/1">', "block"),
+    ("http://a.example/3", '<link title="a > b" rel="canonical" href="http://bad.net/1">', "block"),
+    ("http://a.example/4", '<base href="http://bad.net/dir/"><link rel="canonical" href="page">', "block"),
+    ("http://bad.net/dir/page", "", "block"),
+    ("http://a.example/5", "<link rel=canonical href=http://c.example:80>", "allow"),
+    ("http://c.example/", '<LINK HREF="http://C.example/#top" REL="Canonical"><meta content="0; URL=\'http://d.example\'" http-equiv="Refresh">', "allow"),
+    ("http://a.example/6", '<!-- <link rel="canonical" href="http://bad.net/1"> -->', "allow"),
+    ("http://a.example/7", '<link title="x rel=canonical href=http://bad.net/1" rel="next" href="http://bad.net/1">', "allow"),
+    ("http://a.example/8", '<meta name="refresh" content="0;url=http://bad.net/1">', "allow"),
+    ("https://e.example:443/x", '<meta http-equiv=refresh content="5;url=http://bad.net/1">', "block"),
+    ("https://e.example/y", '<link rel="canonical" href="x">', "block"),
+    ("http://a.example/9", "<link rel=canonical href='http://bad.net/1' " + "\"" * 4_001, "allow"),
+    ("http://a.example/10", "<link " + "a='1' " * 100_000 + ">" + "<link rel=canonical href=//bad.net/1>", "block"),
+    (None, "<link rel=canonical href=http://bad.net/1>", "allow"),
+    ("http://a.example/11", None, "allow"),
+]
+
+
+def test_links_are_read_by_attribute(spark):
+    rows = [(i, u, h) for i, (u, h, _) in enumerate(LINKED)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = (url_alias.Rule("net", "/", allow=False),)
+    got = {r["page_id"]: r["verdict"] for r in url_alias.judge_urls(pages, rules).collect()}
+    assert got == {i: v for i, (_, _, v) in enumerate(LINKED)}
+
+
+def test_ports_and_empty_paths_are_one_node(spark):
+    urls = ["http://c.example", "http://c.example/", "HTTP://C.example:80/", "http://c.example:/", "http://c.example/#x"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(url_alias.node_of(F.col("u")).alias("n")).distinct().collect()
+    assert [r["n"] for r in got] == ["http://c.example/"]
+    other = spark.createDataFrame([("https://c.example:80/",), ("http://c.example?q=1",)], "u string").select(url_alias.node_of(F.col("u")).alias("n"))
+    assert [r["n"] for r in other.collect()] == ["https://c.example:80/", "http://c.example/?q=1"]
