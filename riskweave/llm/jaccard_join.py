@@ -515,7 +515,8 @@ def _settle(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int)
     """(id, c): components of all candidates, from candidate pairs and large candidate groups."""
 
     def linked(p: DataFrame) -> DataFrame:
-        found = _verified(p, sets.select("doc_id", "set"))
+        # stored first: ruling out and verifying in one task would take two Python workers for it
+        found = _verified(cut_lineage(p), sets.select("doc_id", "set"))
         return cut_lineage(found.filter((F.col("shared") * 100 >= F.col("united") * percent) & (F.col("united") > 0)).select("x", "y"))
 
     comp = _started(sets.select(F.col("doc_id").alias("id")).distinct(), linked(_fitting(pairs.unionByName(_pivot_pairs(groups, 0)).distinct(), sets, percent)))
