@@ -76,9 +76,12 @@ def test_near_copies_at_the_border(spark, length):
     same_as_brute(spark, texts)
 
 
-def test_a_large_group_of_near_copies_goes_through_pivots(spark, monkeypatch):
+@pytest.mark.parametrize("open_pairs,block", [(0, 2_048), (1_000, 8)], ids=["rounds", "blocks"])
+def test_a_large_group_of_near_copies(spark, monkeypatch, open_pairs, block):
+    """Settled by rounds with one member each, or cut into blocks whose pairs are tasks of their own."""
     monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 3)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", (1, 2))
+    monkeypatch.setattr(jaccard_join, "OPEN_PAIRS", open_pairs)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -92,6 +95,26 @@ def test_a_large_group_of_near_copies_goes_through_pivots(spark, monkeypatch):
     same_as_brute(spark, texts)
 
 
+def test_block_pairs_meet_every_open_pair_once(spark, monkeypatch):
+    """A group of 900 members of all sizes, half in one component: every pair that sizes and histograms allow, no more."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 400, 900)
+    comp = np.where(rng.random(900) < 0.5, 0, rng.integers(1, 400, 900))
+    hist = np.zeros((900, jaccard_join.BUCKETS), dtype=np.uint8)
+    hist[:, :20] = (n[:, None] + rng.integers(0, 20, (900, 20))) // 20
+    rows = [(g, i, int(comp[i]), int(n[i]), hist[i].tobytes()) for g, members in ((7, range(900)), (8, range(20))) for i in members]
+    frame = spark.createDataFrame(rows, "g long, x long, c long, n long, histogram binary").repartition(5)
+    blocks = jaccard_join._blocked(frame).groupBy("k").agg(F.count(F.lit(1)).alias("m")).collect()
+    assert max(r["m"] for r in blocks) <= 4 * 64  # two blocks each, dealt by a hash
+    got = sorted(map(tuple, jaccard_join._open_pairs(frame, 80, 900).collect()))
+    small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+    apart = np.abs(hist[:, None].astype(int) - hist).sum(axis=2)
+    fits = (small * 100 >= large * 80) & (apart * 180 <= (n[:, None] + n) * 20) & (comp[:, None] != comp)
+    want = sorted((int(i), int(j)) for i, j in zip(*np.nonzero(fits)) if i < j)
+    assert got == want and len(want) > 1_000
+
+
 def test_near_copies_of_odd_rows(spark):
     rows = [(3, "A b c d e f g"), (1, "a B c d e f g"), (1, "a B c d e f g"), (7, None), (8, "  \t"), (9, "one two"), (4, "One\x0btwo"), (None, "one two"), (12, "zz"), (12, "yy"), (15, "yy")]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
