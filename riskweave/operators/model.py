@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark import SparkContext
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -118,32 +118,53 @@ def first_trees(model: GBTClassificationModel, count: int) -> GBTClassificationM
     return short
 
 
-#: Rows a training partition holds at least, unless the table is smaller.
-ROWS_PER_PARTITION = 50_000
+#: Rows of a training partition: tables of fewer stay in one; beyond ``EVEN_PARTITIONS`` of them partitions grow up to ``MOST_ROWS``.
+ROWS_PER_PARTITION, EVEN_PARTITIONS, MOST_ROWS = 40_000, 12, 1_200_000
+
+
+def fit_partitions(rows: int) -> int:
+    """Partitions of a fit. They follow from the rows alone: each draws its own bag of rows. Every tree runs a job per
+    level over all of them, so there are only as many as keep the cores busy and a partition in memory."""
+    return max(1, min(-(-rows // ROWS_PER_PARTITION), EVEN_PARTITIONS), -(-rows // MOST_ROWS))
 
 
 @contextmanager
 def _held(rows: DataFrame) -> Iterator[DataFrame]:
-    """The rows in memory (and on disk beyond it) while in use, in no more partitions than they fill: each tree runs
-    several jobs over them."""
-    held = rows.persist()
+    """The rows dealt evenly over ``fit_partitions`` and kept on disk while in use, however few files they come from;
+    memory is left to the learner's own binned copy."""
+    parts = fit_partitions(rows.count())
+    held = (rows.repartition(parts) if parts > 1 else rows.coalesce(1)).persist(StorageLevel.DISK_ONLY)
     try:
-        parts = max(1, -(-held.count() // ROWS_PER_PARTITION))
-        yield held.coalesce(parts)
+        yield held
     finally:
         held.unpersist()
 
 
+def _best_ensemble(learner: GBTClassifier, rows: DataFrame, unseen: DataFrame, trees: int, stop_rounds: int) -> GBTClassificationModel:
+    """The ensemble of ``trees`` rounds cut at the best round on ``unseen`` rows.
+
+    Half the rounds come first. If the search for the best round stops within them, later trees could not count, and
+    they are not fitted; otherwise all rounds are fitted.
+    """
+    for count in sorted({max(1, trees // 2), trees}):
+        fitted = learner.copy({learner.maxIter: count}).fit(rows)
+        best = best_round(fitted.evaluateEachIteration(unseen), stop_rounds)
+        if count - best >= stop_rounds:
+            break
+    return first_trees(fitted, best)
+
+
 def fit_model(
     train: DataFrame, label: str = "label", *, features: Sequence[str] | None = None, valid: DataFrame | None = None,
     weight: str | None = None, params: dict | None = None, threshold: float = 0.5, version: str = "v1",
     with_metrics: bool = True, trained_at: datetime | None = None,
 ) -> ScoreModel:
     """Fit boosted trees. With ``valid`` the number of trees is the best on it before ``stop_rounds`` trees brought
-    no gain (early stop); the fitted ensemble is cut there, as later trees do not change earlier ones.
+    no gain (early stop); the fitted ensemble is cut there, as later trees do not change earlier ones (``_best_ensemble``).
 
-    The assembled table is held for the fit, in as many partitions as its rows ask for; nodes of rows are kept from
-    level to level and written to the shared folder every ten trees, so a lost executor costs ten at most.
+    The assembled table is held for the fit, dealt evenly over as many partitions as its rows ask for. Rows walk down
+    the few levels of a tree again at each level, which costs less than to store their nodes; their errors are written to
+    the shared folder every ten trees, so a lost executor costs ten at most.
     """
     p = {**DEFAULT_PARAMS, **(params or {})}
     features = list(features or [c for c in model_inputs(train) if c not in (label, weight)])
@@ -157,14 +178,15 @@ def fit_model(
     learner = GBTClassifier(
         featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"],
         minInstancesPerNode=p["min_rows_per_leaf"], subsamplingRate=p["row_share"],
-        featureSubsetStrategy=str(p["column_share"]), seed=p["seed"], cacheNodeIds=True, checkpointInterval=10,
+        featureSubsetStrategy=str(p["column_share"]), seed=p["seed"], cacheNodeIds=False, checkpointInterval=10,
     )
     shared_root(train.sparkSession)
     with _held(staged(train)) as rows:
-        fitted = learner.fit(rows)
-    if valid is not None:
-        with _held(staged(valid)) as rows:
-            fitted = first_trees(fitted, best_round(fitted.evaluateEachIteration(rows), p["stop_rounds"]))
+        if valid is None:
+            fitted = learner.fit(rows)
+        else:
+            with _held(staged(valid)) as unseen:
+                fitted = _best_ensemble(learner, rows, unseen, p["trees"], p["stop_rounds"])
     out = ScoreModel(fitted, features, p, threshold, version, {}, trained_at.isoformat() if trained_at else None)
     if with_metrics:
         row = classification_metrics(out.score(train), label=label, threshold=threshold).first()

@@ -141,3 +141,37 @@ def test_a_cut_ensemble_equals_a_second_fit(spark, tmp_path):
     loaded = model.ScoreModel.load(str(tmp_path / "m"), spark)
     assert loaded.model.getNumTrees == n and sorted(map(tuple, loaded.importance(spark).collect())) == sorted(map(tuple, short.importance(spark).collect()))
     assert model.first_trees(short.model, n + 5) is short.model
+
+
+def test_rows_of_one_file_are_dealt_over_all_fit_partitions(spark, monkeypatch):
+    monkeypatch.setattr(model, "ROWS_PER_PARTITION", 100)
+    rows = spark.range(0, 1_000, 1, 1).toDF("id")
+    with model._held(rows) as held:
+        sizes = [r["count"] for r in held.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 2 * min(sizes) and sum(sizes) == 1_000
+    monkeypatch.undo()
+    with model._held(rows) as held:
+        assert held.rdd.getNumPartitions() == 1
+    assert model.fit_partitions(0) == 1 and model.fit_partitions(10**6) == model.EVEN_PARTITIONS
+    assert model.fit_partitions(10**9) == -(-(10**9) // model.MOST_ROWS)
+
+
+def test_trees_after_the_stop_are_not_fitted(spark, monkeypatch):
+    rows = spark.range(0, 300, 1, 1).selectExpr("id AS transaction_id", "rand(1) AS a", "rand(2) AS b", "int(rand(3) > 0.6) AS label")
+    train, valid = rows.filter("transaction_id % 3 <> 0"), rows.filter("transaction_id % 3 = 0")
+    seen, search = [], model.best_round
+
+    def counted(losses, stop_rounds):
+        seen.append(len(losses))
+        return search(losses, stop_rounds)
+
+    monkeypatch.setattr(model, "best_round", counted)
+    params = {"trees": 16, "depth": 3, "stop_rounds": 2}
+    short = model.fit_model(train, features=["a", "b"], valid=valid, params=params, with_metrics=False)
+    assert seen == [8] and short.model.getNumTrees <= 6
+    again = model.fit_model(train, features=["a", "b"], params={**params, "trees": 16}, with_metrics=False)
+    trees = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert trees(model.first_trees(again.model, short.model.getNumTrees)) == trees(short.model)
+    seen.clear()
+    model.fit_model(train, features=["a", "b"], valid=valid, params={**params, "trees": 4, "stop_rounds": 20}, with_metrics=False)
+    assert seen == [2, 4]
