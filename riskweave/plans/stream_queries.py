@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -31,13 +31,17 @@ CUTS = tuple(datetime(2024, *day) for day in ((1, 8), (1, 20), (2, 10), (3, 20))
 MAX_AGE, OUTCOMES_AT = 60, datetime(2024, 3, 31)
 
 
-def _slices(frame: DataFrame, time: str, folder: str, cuts: Sequence[datetime]) -> DataFrame:
-    """A stream over the rows of a table, cut by time and written in order, one file per cut and micro-batch."""
+def _in_slices(tables: Sequence[tuple[DataFrame, str, str]], cuts: Sequence[datetime], start: Callable) -> None:
+    """Run a stream over the rows of tables (rows, time column, folder), cut by time, one micro-batch per cut.
+
+    Every slice is added to the folders by as many tasks and files as its rows have, then the stream goes on over what
+    is new.
+    """
     bounds = [None, *cuts, None]
     for low, high in zip(bounds, bounds[1:]):
-        part = between_dates(frame, time, low, high)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return frame.sparkSession.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        for frame, time, folder in tables:
+            between_dates(frame, time, low, high).write.mode("append").parquet(folder)
+        start(*[frame.sparkSession.readStream.schema(frame.schema).parquet(folder) for frame, _, folder in tables]).awaitTermination()
 
 
 #: Cut points of the velocity stream: windows of a week reach over several micro-batches.
@@ -48,8 +52,11 @@ def stream_velocity(spark, sf_dir):
     """Serving velocity over six micro-batches in time order; history recorded and pruned on the way."""
     root = _folder(spark, "velocity")
     events = transactions(spark, sf_dir).select("transaction_id", "timestamp", "user_id", "amount", "merchant_id", "device_id")
-    stream = _slices(events, "timestamp", f"{root}/events", EVENT_CUTS)
-    velocity_stream(stream, f"{root}/history", f"{root}/out", f"{root}/checkpoint", lateness=timedelta(hours=1)).awaitTermination()
+
+    def start(stream: DataFrame):
+        return velocity_stream(stream, f"{root}/history", f"{root}/out", f"{root}/checkpoint", lateness=timedelta(hours=1))
+
+    _in_slices([(events, "timestamp", f"{root}/events")], EVENT_CUTS, start)
     return V.online_columns(spark.read.parquet(f"{root}/out"))
 
 
@@ -59,8 +66,11 @@ def stream_reconcile(spark, sf_dir):
     p, q = label_queries._repeated(spark, sf_dir)
     p = p.select("transaction_id", *PREDICTION_FIELDS)
     q = q.select("transaction_id", *LABEL_FIELDS)
-    streams = _slices(p, "prediction_timestamp", f"{root}/p", CUTS), _slices(q, "label_timestamp", f"{root}/q", CUTS)
-    reconcile_stream(*streams, f"{root}/state", f"{root}/out", f"{root}/checkpoint", max_age_days=MAX_AGE).awaitTermination()
+
+    def start(told: DataFrame, known: DataFrame):
+        return reconcile_stream(told, known, f"{root}/state", f"{root}/out", f"{root}/checkpoint", max_age_days=MAX_AGE)
+
+    _in_slices([(p, "prediction_timestamp", f"{root}/p"), (q, "label_timestamp", f"{root}/q")], CUTS, start)
     out = spark.read.parquet(f"{root}/out").drop("batch_id").unionByName(open_outcomes(spark, f"{root}/state", max_age_days=MAX_AGE))
     delay = (F.unix_micros("label_timestamp") - F.unix_micros("prediction_timestamp")) / F.lit(86_400_000_000.0)
     return out.select(

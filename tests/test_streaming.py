@@ -89,3 +89,25 @@ def test_windows(spark):
     out = windowed_activity(df, length="1 hour", slide="1 hour")
     assert out.agg(F.sum("n")).first()[0] == 10
     assert out.agg(F.sum("amount")).first()[0] == pytest.approx(df.agg(F.sum("amount")).first()[0])
+
+
+def test_slices_are_written_by_many_tasks_and_read_as_one_batch_each(spark, tmp_path):
+    from riskweave.plans import stream_queries
+
+    every = events(spark).repartition(4)
+    cuts = (T0 + timedelta(days=1), T0 + timedelta(days=2), T0 + timedelta(days=9))
+    folder, sizes, files = tmp_path / "in", [], []
+
+    def start(stream):
+        def step(batch, batch_id):
+            sizes.append((batch_id, batch.count()))
+            files.append(len(list(folder.glob("*.parquet"))))
+
+        return stream.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+
+    stream_queries._in_slices([(every, "timestamp", str(folder))], cuts, start)
+    hours = [timedelta(minutes=40 * i) for i in range(120)]
+    bounds = [timedelta(0), *[c - T0 for c in cuts], timedelta(days=99)]
+    want = [sum(low <= h < high for h in hours) for low, high in zip(bounds, bounds[1:])]
+    assert sizes == list(enumerate(want)) and want[-1] == 0
+    assert files[0] > 1 and spark.read.parquet(str(folder)).count() == 120
