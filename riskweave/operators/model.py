@@ -12,11 +12,12 @@ from pyspark import SparkContext, StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import micros
 from ..session import shared_root
+from .boosting import MOST_DEPTH, boosted_rounds, spark_model
 from .evaluation import classification_metrics
 from .features import model_inputs
 from .sampling import chosen_flag
@@ -73,12 +74,16 @@ class ScoreModel:
         return cls(GBTClassificationModel.load(f"{path}/model"), **meta)
 
 
-def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    inputs = [
+def _inputs(df: DataFrame, features: Sequence[str]) -> list[Column]:
+    """The features as doubles named by their place; null or missing counts as 0."""
+    return [
         (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)).alias(f"_f{i}")
         for i, c in enumerate(features)
     ]
-    staged = df.select("*", *inputs)
+
+
+def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    staged = df.select("*", *_inputs(df, features))
     return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_x").transform(staged).drop(
         *[f"_f{i}" for i in range(len(features))]
     )
@@ -128,6 +133,12 @@ def fit_partitions(rows: int) -> int:
     return max(1, min(-(-rows // ROWS_PER_PARTITION), EVEN_PARTITIONS), -(-rows // MOST_ROWS))
 
 
+def fit_blocks(rows: int, cores: int) -> int:
+    """Blocks of a fit on packed rows: as many for every core, of ``MOST_ROWS`` at most, and none of few rows. Draws do
+    not follow them."""
+    return min(-(-rows // ROWS_PER_PARTITION), cores * max(1, -(-rows // (cores * MOST_ROWS))))
+
+
 @contextmanager
 def _held(rows: DataFrame) -> Iterator[DataFrame]:
     """The rows dealt evenly over ``fit_partitions`` and kept on disk while in use, however few files they come from;
@@ -162,18 +173,25 @@ def fit_model(
     """Fit boosted trees. With ``valid`` the number of trees is the best on it before ``stop_rounds`` trees brought
     no gain (early stop); the fitted ensemble is cut there, as later trees do not change earlier ones (``_best_ensemble``).
 
-    The assembled table is held for the fit, dealt evenly over as many partitions as its rows ask for. Rows walk down
-    the few levels of a tree again at each level, which costs less than to store their nodes; their errors are written to
-    the shared folder every ten trees, so a lost executor costs ten at most.
+    Tables of one training partition go to Spark's learner: the assembled table is held for the fit. Larger ones are
+    fitted by ``boosting.boosted_rounds``, the same rounds on packed rows, which stop at the tree that settles the best.
+    Rows walk down the few levels of a tree again at each level, which costs less than to store their nodes; the sums of
+    their trees are written to the shared folder every ten trees, so a lost executor costs ten at most.
     """
     p = {**DEFAULT_PARAMS, **(params or {})}
     features = list(features or [c for c in model_inputs(train) if c not in (label, weight)])
     own = F.col(weight).cast("double") if weight else F.lit(1.0)
     keep = [*features, label, *([weight] if weight else [])]
 
+    weighed = (own * F.when(F.col(label) == 1, float(p["positive_weight"])).otherwise(1.0)).alias("_w")
+    marked = F.col(label).cast("double").alias("_y")
+
     def staged(rows: DataFrame) -> DataFrame:
-        weighed = own * F.when(F.col(label) == 1, float(p["positive_weight"])).otherwise(1.0)
-        return _assemble(rows.select(*keep).withColumn("_w", weighed), features).select("_x", F.col(label).cast("double").alias("_y"), "_w")
+        return _assemble(rows.select(*keep).select("*", weighed), features).select("_x", marked, "_w")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        known = rows.select(*keep)
+        return known.select(*_inputs(known, features), marked, weighed)
 
     learner = GBTClassifier(
         featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"],
@@ -181,12 +199,22 @@ def fit_model(
         featureSubsetStrategy=str(p["column_share"]), seed=p["seed"], cacheNodeIds=False, checkpointInterval=10,
     )
     shared_root(train.sparkSession)
-    with _held(staged(train)) as rows:
-        if valid is None:
-            fitted = learner.fit(rows)
-        else:
-            with _held(staged(valid)) as unseen:
-                fitted = _best_ensemble(learner, rows, unseen, p["trees"], p["stop_rounds"])
+    total = train.count()
+    if fit_partitions(total) > 1 and 1 <= p["depth"] <= MOST_DEPTH:
+        parts = fit_blocks(total, train.sparkSession.sparkContext.defaultParallelism)
+        trees, cuts, losses = boosted_rounds(
+            plain(train), None if valid is None else plain(valid), len(features), parts, p, learner.getMaxBins(),
+            lambda seen: len(seen) - best_round(seen, p["stop_rounds"]) >= p["stop_rounds"],
+        )
+        kept = trees if valid is None else trees[: best_round(losses, p["stop_rounds"])]
+        fitted = spark_model(train.sparkSession, learner, kept, cuts, p["rate"])
+    else:
+        with _held(staged(train)) as rows:
+            if valid is None:
+                fitted = learner.fit(rows)
+            else:
+                with _held(staged(valid)) as unseen:
+                    fitted = _best_ensemble(learner, rows, unseen, p["trees"], p["stop_rounds"])
     out = ScoreModel(fitted, features, p, threshold, version, {}, trained_at.isoformat() if trained_at else None)
     if with_metrics:
         row = classification_metrics(out.score(train), label=label, threshold=threshold).first()
