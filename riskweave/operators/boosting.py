@@ -5,20 +5,24 @@ loss, splits by the gain in weighted variance, a bag of rows for every tree and
 differs is how rows are kept. Each feature is turned into its bin once. Features of a block of rows are then put together
 into a few joint codes, as long as no more than ``MOST_CODES`` combinations of their bins occur in the block; sums over
 joint codes are exact sums over the bins of every feature in them, so a level of a tree adds up a few columns instead of
-all features. A level is one job that returns sums per node, feature and bin; loss on unseen rows comes with the first level
-of the next tree, so the fit ends with the tree that settles the best round.
+all features. A block stays in the worker of its task for ten trees: tasks run side by side (barrier mode) and add up their
+sums per node, feature and bin at every level by small files, so that all come to the same tree without a job a level.
+Where executors come and go, or the shared folder is no path of the file system, every level is a job.
 """
 
 from __future__ import annotations
 
+import os
 import sys
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, SparkContext, StorageLevel, TaskContext, cloudpickle
+from pyspark import BarrierTaskContext, RDD, SparkContext, StorageLevel, TaskContext, cloudpickle
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +31,8 @@ from ..session import shared_root
 # workers need not be able to import the package: functions of this module travel by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows of a block: one set of joint codes.
+BLOCK_ROWS = 1_200_000
 #: Rows of a packed chunk, rows worked on at once, joint codes of a column, points of a quantile summary, rows summarised at once.
 CHUNK_ROWS, STEP_ROWS, MOST_CODES, SUMMARY_POINTS, SUMMARY_ROWS = 8_192, 1 << 16, 1_024, 4_096, 1 << 18
 #: Levels of a tree at most: its inner nodes are the bits of a word.
@@ -35,8 +41,10 @@ MOST_DEPTH = 6
 FEW_VALUES = 256
 #: Summaries of a task that are merged into one when there are so many.
 SUMMARIES = 32
-#: Trees between two states of the rows that are written to the shared folder.
+#: Trees of a job, after which the state of the rows is written to the shared folder.
 CHECKPOINT_TREES = 10
+#: Seconds a task waits for the sums of another.
+EXCHANGE_SECONDS = 900
 #: Gains that differ by less than this share are equal; the first feature is taken.
 SAME_GAIN = 1e-10
 EPSILON = sys.float_info.epsilon
@@ -235,24 +243,31 @@ def joint_codes(bins: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, lis
     return np.stack([c[0] for c in columns]), [(c[1], c[2]) for c in columns]
 
 
-def _block(sizes: Sequence[int], seed: int, share: float) -> Callable[[Iterator], Iterator[dict]]:
-    """One block from the chunks of a partition: rows to fit first, then unseen rows, whose sums of trees start at 0."""
+def _blocks(sizes: Sequence[int], seed: int, share: float) -> Callable[[Iterator], Iterator[tuple]]:
+    """The chunks of a partition as one list of blocks, with no trees and losses yet."""
 
-    def run(rows):
-        rows = sorted(rows, key=lambda r: (r["side"], r["task"], r["number"]))
-        if not rows:
-            return
+    def block(rows):
         bins = np.concatenate([np.frombuffer(r["bins"], np.uint8).reshape(len(sizes), r["n"]) for r in rows], axis=1)
         signed = np.concatenate([np.frombuffer(r["signed"]) for r in rows])
         kinds, kind = np.unique(signed, return_inverse=True)
         codes, columns = joint_codes(bins, sizes)
         chunks = [(r["task"], r["number"], r["n"]) for r in rows if not r["side"]]
-        yield {
+        # rows to fit come first, then unseen rows; the sums of their trees start at 0
+        return {
             "chunks": chunks, "fit": sum(c[2] for c in chunks), "codes": codes, "columns": columns,
             "kinds": kinds if len(kinds) <= 256 else None, "signed": kind.astype(np.uint8) if len(kinds) <= 256 else signed,
             "margin": np.zeros(len(signed)), "bag": _bag(chunks, 0, seed, share),
         }
 
+    def run(rows):
+        rows, some, out = sorted(rows, key=lambda r: (r["task"], r["number"], r["side"]), reverse=True), [], []
+        while rows:
+            some.append(rows.pop())
+            if not rows or sum(r["n"] for r in some) >= BLOCK_ROWS:
+                out.append(block(sorted(some, key=lambda r: (r["side"], r["task"], r["number"]))))
+                some = []
+        yield out, [], []
+
     return run
 
 
@@ -308,11 +323,10 @@ def _places(block: dict, part: slice, turns: list, levels: int) -> np.ndarray:
     return at.view(np.int64)
 
 
-def _level(sizes: Sequence[int], path: list, slots: np.ndarray, number: int) -> Callable[[dict], tuple]:
+def _level(sizes: Sequence[int], path: list, slots: np.ndarray, number: int) -> Callable[[dict], np.ndarray]:
     """Sums (rows, weight, weighted target, weighted square) of a block by measured node and bin, all features side by side.
 
-    ``slots`` numbers the measured nodes by place, others have -1. With the first level come loss and weight of the unseen
-    rows under the trees so far.
+    ``slots`` numbers the measured nodes by place, others have -1.
     """
     offsets, nodes = np.concatenate([[0], np.cumsum(sizes)]), int((slots >= 0).sum())
 
@@ -358,32 +372,28 @@ def _level(sizes: Sequence[int], path: list, slots: np.ndarray, number: int) ->
                 index = (np.arange(nodes)[:, None] * sizes[f] + stands[:, i]).reshape(-1)
                 for s in range(4):
                     out[s, :, offsets[f] : offsets[f + 1]] = np.bincount(index, sums[s], nodes * sizes[f]).reshape(nodes, sizes[f])
-        return out, *((0.0, 0.0) if path else _loss(block))
+        return out
 
     return run
 
 
-def _loss(block: dict) -> tuple[float, float]:
+def _loss(block: dict) -> np.ndarray:
     """Weighted logistic loss of the unseen rows, and their weight."""
     unseen = slice(block["fit"], len(block["margin"]))
     w, y = _weighed(block, unseen)
-    return float((2.0 * w * np.logaddexp(0.0, -2.0 * y * block["margin"][unseen])).sum()), float(w.sum())
+    return np.array([(2.0 * w * np.logaddexp(0.0, -2.0 * y * block["margin"][unseen])).sum(), w.sum()])
 
 
-def _advanced(path: list, values: np.ndarray, number: int, seed: int, share: float) -> Callable[[dict], dict]:
-    """The block with a tree's values added to its rows and the bag of tree ``number``, the next."""
+def _advanced(block: dict, path: list, values: np.ndarray) -> np.ndarray:
+    """The sums of trees of the block's rows with those of one more."""
+    turns, margin = _turns(block, path), block["margin"].copy()
+    for at in range(0, len(margin), STEP_ROWS):
+        part = slice(at, at + STEP_ROWS)
+        margin[part] += values.take(_places(block, part, turns, len(path)))
+    return margin
 
-    def run(block):
-        turns, margin = _turns(block, path), block["margin"].copy()
-        for at in range(0, len(margin), STEP_ROWS):
-            part = slice(at, at + STEP_ROWS)
-            margin[part] += values.take(_places(block, part, turns, len(path)))
-        return {**block, "margin": margin, "bag": _bag(block["chunks"], number, seed, share)}
-
-    return run
 
-
-# --- levels and rounds, on the driver ---------------------------------------------------------------
+# --- rounds: all tasks add up their sums at every level and come to the same tree -------------------
 
 
 def _variance(sums: np.ndarray) -> np.ndarray:
@@ -416,24 +426,22 @@ def best_splits(sums: np.ndarray, sizes: Sequence[int], allowed: np.ndarray, min
     return [b[1] for b in best]
 
 
-def _grown(blocks: RDD, sizes: Sequence[int], number: int, params: dict, draws: np.random.Generator) -> tuple[Tree, float, float]:
-    """One tree, with loss and weight of the unseen rows under the trees before it.
+def _grown(measure: Callable[[list, np.ndarray], np.ndarray], sizes: Sequence[int], number: int, params: dict) -> Tree:
+    """One tree; ``measure`` gives the sums of the measured nodes by path and slots (``_level``) over all rows.
 
     Of two sister nodes the one with fewer rows is measured; sums of the other are what is left of their parent's.
     """
+    draws = np.random.default_rng([params["seed"], number])
     tree, width = Tree(), len(sizes)
     some = max(1, int(np.ceil(params["column_share"] * width)))
-    loss = weight = 0.0
     known: dict[int, np.ndarray] = {}  # sums of the open nodes of the level above
     measured, opened = [0], [0]
     for level in range(params["depth"]):
         slots = np.full(2**level, -1)
         slots[measured] = np.arange(len(measured))
-        sums = 0.0
-        for part, lost, heavy in blocks.map(_level(sizes, tree.path(level), slots, number)).collect():
-            sums, loss, weight = sums + part, loss + lost, weight + heavy
+        sums = measure(tree.path(level), slots)
         above, known = known, {}
-        for place, own in zip(measured, np.moveaxis(np.asarray(sums), 1, 0)):
+        for place, own in zip(measured, np.moveaxis(sums, 1, 0)):
             known[place] = own
             if level:
                 rest = above[place // 2] - own
@@ -462,7 +470,128 @@ def _grown(blocks: RDD, sizes: Sequence[int], number: int, params: dict, draws:
         opened = following
         if not opened:
             break
-    return tree, loss, weight
+    return tree
+
+
+def _added_up(folder: str, part: int, parts: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that adds up its argument over all tasks, which call it equally often, by files of a folder all see.
+
+    (A barrier's own exchange takes a second a call.) A file goes when all tasks have come to the next call.
+    """
+    step = 0
+
+    def over_all(own: np.ndarray) -> np.ndarray:
+        nonlocal step
+        mine, total, until = f"{folder}/{step}-{part}", np.zeros(own.shape), time.monotonic() + EXCHANGE_SECONDS
+        own.tofile(f"{mine}.part")
+        os.replace(f"{mine}.part", mine)
+        for other in range(parts):
+            while not os.path.exists(f"{folder}/{step}-{other}"):
+                if time.monotonic() > until:
+                    raise TimeoutError(f"no sums of task {other} in {EXCHANGE_SECONDS} seconds")
+                time.sleep(0.002)
+            total += np.fromfile(f"{folder}/{step}-{other}").reshape(own.shape)
+        if step:
+            os.remove(f"{folder}/{step - 1}-{part}")
+        step += 1
+        return total
+
+    return over_all
+
+
+def _rounds(sizes: Sequence[int], params: dict, first: int, most: int, folder: str) -> Callable[[Iterator], Iterator[tuple]]:
+    """Blocks of a partition after ``most`` more trees, with those trees and the loss on the unseen rows after each."""
+
+    def run(partition):
+        blocks, context = next(iter(partition))[0], BarrierTaskContext.get()
+        # a folder for this attempt, the same for all tasks
+        own = f"{folder}/{context.allGather(uuid.uuid4().hex)[0]}"
+        os.makedirs(own, exist_ok=True)
+        over_all = _added_up(own, context.partitionId(), len(context.getTaskInfos()))
+        trees, losses = [], []
+        for number in range(first, first + most):
+            tree = _grown(lambda path, slots: over_all(_measured(blocks, sizes, path, slots, number)), sizes, number, params)
+            blocks = _next(blocks, tree, number, params)
+            trees.append(_plain(tree))
+            losses.append(_mean_loss(over_all(_losses(blocks))))
+        yield blocks, trees, losses
+
+    return run
+
+
+def _measured(blocks: list[dict], sizes: Sequence[int], path: list, slots: np.ndarray, number: int) -> np.ndarray:
+    level = _level(sizes, path, slots, number)
+    return sum((level(block) for block in blocks), np.zeros((4, int((slots >= 0).sum()), sum(sizes))))
+
+
+def _losses(blocks: list[dict]) -> np.ndarray:
+    return sum((_loss(block) for block in blocks), np.zeros(2))
+
+
+def _mean_loss(sums: np.ndarray) -> float:
+    return float(sums[0] / sums[1]) if sums[1] else float("nan")
+
+
+def _next(blocks: list[dict], tree: Tree, number: int, params: dict) -> list[dict]:
+    """The blocks with a tree's values added and the bag of the tree after it."""
+    path, values = tree.path(params["depth"]), (params["rate"] if number else 1.0) * tree.values(params["depth"])
+    return [
+        {**block, "margin": _advanced(block, path, values), "bag": _bag(block["chunks"], number + 1, params["seed"], params["row_share"])}
+        for block in blocks
+    ]
+
+
+def _plain(tree: Tree) -> tuple[dict, dict]:
+    """Sums and splits; where trees are read, the class need not be known."""
+    return {at: tuple(sums.tolist()) for at, sums in tree.sums.items()}, tree.splits
+
+
+def _told(state: tuple) -> tuple:
+    return state[1:]
+
+
+def _side_by_side(state: RDD, sizes: Sequence[int], params: dict, first: int, most: int, folder: str) -> tuple[RDD, list[Tree], list[float]]:
+    """State of the rows after ``most`` more trees, those trees and losses: one job of tasks that wait for each other."""
+    state = state.barrier().mapPartitions(_rounds(sizes, params, first, most, folder)).persist(StorageLevel.MEMORY_AND_DISK)
+    state.checkpoint()
+    told = state.map(_told).collect()
+    if any(t[0] != told[0][0] for t in told):
+        raise RuntimeError("tasks did not come to the same trees")
+    return state, [Tree({at: np.array(s) for at, s in sums.items()}, splits) for sums, splits in told[0][0]], told[0][1]
+
+
+def _job_by_job(state: RDD, sizes: Sequence[int], params: dict, first: int, most: int) -> tuple[RDD, list[Tree], list[float]]:
+    """The same with a job for every level, where tasks cannot wait for each other."""
+    trees, losses, kept = [], [], []
+    for number in range(first, first + most):
+        now = state
+
+        def measure(path, slots, number=number, now=now):
+            return sum(now.map(lambda held: _measured(held[0], sizes, path, slots, number)).collect())
+
+        trees.append(_grown(measure, sizes, number, params))
+        state = now.map(lambda held, tree=trees[-1], number=number: (_next(held[0], tree, number, params), [], [])).persist(StorageLevel.MEMORY_AND_DISK)
+        if len(trees) == most:
+            state.checkpoint()
+        losses.append(_mean_loss(sum(state.map(lambda held: _losses(held[0])).collect())))
+        for old in kept:
+            old.unpersist()
+        kept = [state]
+    return state, trees, losses
+
+
+def exchange_folder(spark: SparkSession) -> str | None:
+    """The shared folder as a path of the file system, or None where it is none or executors come and go."""
+    if spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return None
+    scheme, _, path = shared_root(spark).rpartition(":")
+    return "/" + path.lstrip("/") if scheme in ("", "file") and path.startswith("/") else None
+
+
+def concurrent_tasks(spark: SparkSession) -> int:
+    """Tasks that run at the same time."""
+    own = spark.sparkContext._jsc.sc()
+    return max(1, own.maxNumConcurrentTasks(own.resourceProfileManager().defaultResourceProfile()))
 
 
 def _delete(sc: SparkContext, at: str | None) -> None:
@@ -472,57 +601,52 @@ def _delete(sc: SparkContext, at: str | None) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _drop(rows: RDD) -> None:
+    rows.unpersist()
+    _delete(rows.ctx, rows.getCheckpointFile())
+
+
 def boosted_rounds(
     train: DataFrame, unseen: DataFrame | None, width: int, parts: int, params: dict, bins: int, settled: Callable[[list[float]], bool],
 ) -> tuple[list[Tree], list[np.ndarray], list[float]]:
     """(trees, thresholds per feature, loss on the unseen rows after each tree).
 
     Frames hold ``width`` features, label and weight. They are read twice: for the thresholds and to be packed. Rounds
-    end when all trees are fitted or ``settled`` says of the losses so far that later trees cannot count.
+    end when all trees are fitted or ``settled`` says of the losses so far that later trees cannot count; it is asked every
+    ``CHECKPOINT_TREES`` trees, when the rows' sums of trees are stored. Side by side, ``parts`` tasks must be able to run at once.
     """
     sc, cuts = train.sparkSession.sparkContext, candidate_thresholds(train, width, bins)
     sizes = [len(c) + 1 for c in cuts]
-    bag = params["seed"], params["row_share"]
     kind = "side long, task long, number long, n long, bins binary, signed binary"
     chunks = train.mapInArrow(_packed(cuts, 0), kind)
     if unseen is not None:
         chunks = chunks.unionByName(unseen.mapInArrow(_packed(cuts, 1), kind))
-    state = chunks.repartition(parts).rdd.mapPartitions(_block(sizes, *bag)).persist(StorageLevel.MEMORY_AND_DISK)
-    draws = np.random.default_rng(params["seed"])
+    state = chunks.repartition(parts).rdd.mapPartitions(_blocks(sizes, params["seed"], params["row_share"]))
     trees: list[Tree] = []
     losses: list[float] = []
-    before, kept = None, []
+    stored: list[RDD] = []
+    shared = exchange_folder(train.sparkSession)
+    folder = f"{shared}/riskweave-steps/{uuid.uuid4().hex}"
     try:
         while len(trees) < params["trees"]:
-            number = len(trees)
-            tree, loss, weight = _grown(state, sizes, number, params, draws)
-            if before is not None:
-                before.unpersist()
-            if state.getCheckpointFile():
-                for old in kept:
-                    _delete(sc, old.getCheckpointFile())
-                kept = [state]
-            if number and unseen is not None:
-                losses.append(loss / weight if weight else float("nan"))
-                if settled(losses):
-                    return trees, cuts, losses
-            trees.append(tree)
-            rate = 1.0 if number == 0 else params["rate"]
-            before = state
-            added = _advanced(tree.path(params["depth"]), rate * tree.values(params["depth"]), len(trees), *bag)
-            state = state.map(added).persist(StorageLevel.MEMORY_AND_DISK)
-            if len(trees) % CHECKPOINT_TREES == 0:
-                state.checkpoint()
-        if unseen is not None:
-            loss, weight = np.sum(state.map(_loss).collect(), axis=0)
-            losses.append(loss / weight if weight else float("nan"))
+            most = min(CHECKPOINT_TREES, params["trees"] - len(trees))
+            grow = _job_by_job if shared is None else partial(_side_by_side, folder=folder)
+            state, grown, lost = grow(state, sizes, params, len(trees), most)
+            stored.append(state)
+            while len(stored) > 1:
+                _drop(stored.pop(0))
+            for tree, loss in zip(grown, lost):
+                trees.append(tree)
+                if unseen is not None:
+                    losses.append(loss)
+                    if settled(losses):
+                        return trees, cuts, losses
         return trees, cuts, losses
     finally:
-        for rows in (before, state):
-            if rows is not None:
-                rows.unpersist()
-        for old in {id(r): r for r in (*kept, before, state) if r is not None}.values():
-            _delete(sc, old.getCheckpointFile())
+        for rows in stored:
+            _drop(rows)
+        if shared is not None:
+            _delete(sc, f"file://{folder}")
 
 
 # --- Spark's model ----------------------------------------------------------------------------------

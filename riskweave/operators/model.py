@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import micros
 from ..session import shared_root
-from .boosting import MOST_DEPTH, boosted_rounds, spark_model
+from .boosting import MOST_DEPTH, boosted_rounds, concurrent_tasks, spark_model
 from .evaluation import classification_metrics
 from .features import model_inputs
 from .sampling import chosen_flag
@@ -133,12 +133,6 @@ def fit_partitions(rows: int) -> int:
     return max(1, min(-(-rows // ROWS_PER_PARTITION), EVEN_PARTITIONS), -(-rows // MOST_ROWS))
 
 
-def fit_blocks(rows: int, cores: int) -> int:
-    """Blocks of a fit on packed rows: as many for every core, of ``MOST_ROWS`` at most, and none of few rows. Draws do
-    not follow them."""
-    return min(-(-rows // ROWS_PER_PARTITION), cores * max(1, -(-rows // (cores * MOST_ROWS))))
-
-
 @contextmanager
 def _held(rows: DataFrame) -> Iterator[DataFrame]:
     """The rows dealt evenly over ``fit_partitions`` and kept on disk while in use, however few files they come from;
@@ -174,9 +168,10 @@ def fit_model(
     no gain (early stop); the fitted ensemble is cut there, as later trees do not change earlier ones (``_best_ensemble``).
 
     Tables of one training partition go to Spark's learner: the assembled table is held for the fit. Larger ones are
-    fitted by ``boosting.boosted_rounds``, the same rounds on packed rows, which stop at the tree that settles the best.
+    fitted by ``boosting.boosted_rounds``, the same rounds on packed rows, ten trees a job, until the best is settled.
     Rows walk down the few levels of a tree again at each level, which costs less than to store their nodes; the sums of
-    their trees are written to the shared folder every ten trees, so a lost executor costs ten at most.
+    their trees are written to the shared folder every ten trees, so a lost executor costs ten at most. Trees deeper than
+    ``MOST_DEPTH`` are left to Spark's learner whatever the table.
     """
     p = {**DEFAULT_PARAMS, **(params or {})}
     features = list(features or [c for c in model_inputs(train) if c not in (label, weight)])
@@ -200,8 +195,8 @@ def fit_model(
     )
     shared_root(train.sparkSession)
     total = train.count()
+    parts = min(-(-total // ROWS_PER_PARTITION), concurrent_tasks(train.sparkSession))
     if fit_partitions(total) > 1 and 1 <= p["depth"] <= MOST_DEPTH:
-        parts = fit_blocks(total, train.sparkSession.sparkContext.defaultParallelism)
         trees, cuts, losses = boosted_rounds(
             plain(train), None if valid is None else plain(valid), len(features), parts, p, learner.getMaxBins(),
             lambda seen: len(seen) - best_round(seen, p["stop_rounds"]) >= p["stop_rounds"],

@@ -31,8 +31,8 @@ def _trees(fitted):
     return fitted.model.toDebugString.split("\n", 1)[1]
 
 
-@pytest.mark.parametrize("weight", [None, "share"])
-def test_packed_rows_grow_the_trees_of_sparks_learner(spark, parts, weight, monkeypatch):
+@pytest.mark.parametrize("weight, jobs", [(None, False), ("share", True)])
+def test_packed_rows_grow_the_trees_of_sparks_learner(spark, parts, weight, jobs, monkeypatch):
     train, valid = parts
     params = {"trees": 4, "depth": 4, "stop_rounds": 9, "row_share": 1.0, "column_share": 1.0}
     kw = dict(features=FEATURES, valid=valid, params=params, with_metrics=False, weight=weight)
@@ -41,6 +41,11 @@ def test_packed_rows_grow_the_trees_of_sparks_learner(spark, parts, weight, monk
         m.setattr(model, "ROWS_PER_PARTITION", 100)
         m.setattr(boosting, "STEP_ROWS", 64)
         m.setattr(boosting, "MOST_CODES", 70)
+        m.setattr(boosting, "BLOCK_ROWS", 100)
+        m.setattr(boosting, "CHUNK_ROWS", 50)
+        m.setattr(boosting, "CHECKPOINT_TREES", 3)
+        if jobs:
+            m.setattr(boosting, "exchange_folder", lambda spark: None)
         mine = model.fit_model(train, **kw)
     assert NUMBER.sub("#", _trees(mine)) == NUMBER.sub("#", _trees(plain))
     numbers = [[float(x) for x in NUMBER.findall(_trees(m))] for m in (mine, plain)]
@@ -74,7 +79,7 @@ def test_draws_do_not_follow_the_blocks(spark, parts, packed, monkeypatch):
     train, valid = parts
     params, found = {"trees": 3, "depth": 3, "column_share": 0.6}, []
     for blocks in (1, 3):
-        monkeypatch.setattr(model, "fit_blocks", lambda rows, cores, n=blocks: n)
+        monkeypatch.setattr(model, "concurrent_tasks", lambda spark, n=blocks: n)
         found.append(model.fit_model(train, features=FEATURES, valid=valid, params=params, with_metrics=False))
     one, three = (_trees(m) for m in found)
     assert NUMBER.sub("#", one) == NUMBER.sub("#", three)
